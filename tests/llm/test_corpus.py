@@ -253,6 +253,25 @@ def test_spelling_probabilities_add_up():
         assert abs(sum(s.probability(d, ctx, b) for b in range(256)) - 1) < 1e-9
 
 
+def test_word_contexts_add_up():
+    root = np.log10([0.3, 0.2, 0.1, 0.15])  # the last is the end; a quarter is left for words not known
+    c = suffix_tree.WordContexts(np.array([13, 1, 2, 4]), np.array([6, 9, 1, 2]), np.array([12.0, 5.0, 3.0, 6.0]), root, 0.1)
+    for before in range(4):
+        known = [c.score(np.array([before, k, 3])) - c.score(np.array([before, 3])) for k in range(4)]
+        assert np.isfinite(known).all()
+        p = [10 ** (float(np.log10(c.to_root[before] * 10 ** root[k] + sum(c.share[c.key == before * 4 + k])))) for k in range(4)]
+        assert abs(sum(p) + 0.25 * c.to_root[before] - 1) < 1e-9
+    assert abs(c.score(np.array([-1, 3])) - c.log_to_root[3] - root[3]) < 1e-9
+    none = suffix_tree.WordContexts(np.array([], np.int64), np.array([], np.int64), np.zeros(4), root, 1.0)
+    assert abs(none.score(np.array([0, -1, 3])) - root[0] - root[3]) < 1e-9
+
+
+def test_held_out_text_scores_above_the_base(spark):
+    d = spark.createDataFrame([(k, f"the {a} {b} and then the {a} {b} again", k % 10 != 0) for k in range(300) for a, b in [[("red", "fox"), ("blue", "whale"), ("old", "tree")][k % 3]]], "doc_id long, text string, train boolean")
+    r = suffix_tree.score_texts(d).filter("NOT train").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
+
+
 def test_cross_parsing():
     text = "abracadabra"
     m = language_id.SuffixAutomaton(text)
