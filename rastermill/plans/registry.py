@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry, model
-from ..operators import columns, fill, fits, masks, overlays, sampling
+from ..operators import columns, fill, fits, masks, overlays, repairs, sampling
 from ..sources import rasters
 from . import sql as S
 
@@ -548,6 +548,57 @@ def overlay_rays(s):
     return overlays.overlay_rays(s.px, _elements(s, "(5.0D,5.0D,0.8D,0.6D,20.0D,1.5D,9000D,1.0D)", "x, y, a, b, radius, width, intensity, falloff"))
 
 
+_GRAY = "gp AS (SELECT *, (r+g+b)/3.0::DOUBLE/65535.0::DOUBLE AS gray FROM px)"
+
+
+def _bilateral(dx, dy):
+    w = "exp(-(pow(q.x-p.x,2)+pow(q.y-p.y,2))/8-pow(q.gray-p.gray,2)/0.02)"
+    return f"{BASE}, {_GRAY} SELECT p.image_id, p.x, p.y, round(sum({w}*q.gray)/sum({w}), 6) AS smooth FROM gp p JOIN gp q ON p.image_id=q.image_id AND q.x BETWEEN p.x-{dx} AND p.x+{dx} AND q.y BETWEEN p.y-{dy} AND p.y+{dy} GROUP BY 1, 2, 3"
+
+
+@query(_bilateral(2, 2))
+def bilateral_gray(s):
+    return rounded(repairs.bilateral_gray(s.px), 6, "smooth")
+
+
+@query(_bilateral(5, 0))
+def bilateral_gray_rows(s):
+    return rounded(repairs.bilateral_gray(s.px, 5, 0), 6, "smooth")
+
+
+@query(f"""{BASE}, {_GRAY}, st AS (SELECT image_id, x, y, avg(gray) OVER u AS m1, avg(gray) OVER d AS m2, stddev_samp(gray) OVER u AS s1, stddev_samp(gray) OVER d AS s2, count(*) OVER u AS n1, count(*) OVER d AS n2,
+{", ".join(f"avg({c}) OVER u AS {c}1, avg({c}) OVER d AS {c}2" for c in "rgb")} FROM gp WINDOW u AS ({YW} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), d AS ({YW} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
+SELECT image_id, x, y, round((m1-m2)/nullif(sqrt(s1*s1/n1+s2*s2/nullif(n2,0)),0), 4) AS t, round(m1-m2, 6) AS mean_diff, round(sqrt(pow(r1-r2,2)+pow(g1-g2,2)+pow(b1-b2,2))/nullif(sqrt(r1*r1+g1*g1+b1*b1),0), 6) AS color_dist, round(s1/nullif(m1,0)-s2/nullif(m2,0), 6) AS cv_diff FROM st""")
+def two_band_profile(s):
+    return rounded(repairs.two_band_profile(s.px), 6, "mean_diff", "color_dist", "cv_diff").withColumn("t", F.round("t", 4))
+
+
+@query(f"""{BASE}, {_GRAY}, near AS (SELECT a.image_id, a.x, a.eos, b.x AS nx, b.eos AS n_eos FROM col a JOIN col b ON a.image_id=b.image_id AND abs(a.x-b.x)=1 AND b.eos-a.eos>2),
+st AS (SELECT e.image_id, e.x, nx, e.eos, n_eos, (p.y-e.eos-1)//3 AS k, avg(p.gray-q.gray) AS m, stddev_samp(p.gray-q.gray) AS s, count(*) AS n FROM near e JOIN gp p ON p.image_id=e.image_id AND p.x=e.x AND p.y>e.eos AND p.y<=n_eos JOIN gp q ON q.image_id=e.image_id AND q.x=nx AND q.y=p.y GROUP BY ALL),
+mv AS (SELECT image_id, x, nx, coalesce(min(eos+k*3) FILTER (WHERE abs(m)*sqrt(n)>1.833*s AND abs(m)>0.02), any_value(n_eos)) AS e FROM st GROUP BY 1, 2, 3)
+SELECT image_id, x, CAST(coalesce(e, eos) AS INT) AS paired_eos FROM col LEFT JOIN (SELECT image_id, x, max(e) AS e FROM mv GROUP BY 1, 2) USING (image_id, x)""")
+def paired_t_end(s):
+    return repairs.paired_t_end(s.px, s.col, gap=2, block=3)
+
+
+@query(f"""{MODEL}, {S.PROB}, m AS (SELECT image_id, x, y, a, prob_sky, {", ".join(f"avg({c}) FILTER (WHERE a>=32767) OVER w AS m_{c}" for c in "rgb")} FROM prob WINDOW w AS ({YW} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)),
+e AS (SELECT *, CASE WHEN a>=32767 AND prob_sky>0.5 THEN {{'x': x, 'r': m_r, 'g': m_g, 'b': m_b}} END AS e FROM m),
+n AS (SELECT *, last_value(e IGNORE NULLS) OVER ({RW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(e IGNORE NULLS) OVER ({RW} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM e)
+SELECT image_id, x, y, {", ".join(f"CAST(floor(p.{c}*(1-(x-p.x)/(q.x-p.x)::DOUBLE)+q.{c}*((x-p.x)/(q.x-p.x)::DOUBLE)) AS INT) AS {c}" for c in "rgb")} FROM n WHERE a<16384 AND p IS NOT NULL AND q IS NOT NULL""")
+def interpolate_transparent(s):
+    return repairs.interpolate_transparent(fill.sky_probability(s.predicted, s.col), confident=0.5)
+
+
+@query(None)
+def local_color_fit(s):
+    return rounded(repairs.local_color_fit(s.px, s.px.filter("x % 5 = 0 AND y % 5 = 0").selectExpr("image_id", "x AS cx", "y AS cy"), 3), 3, "r", "g", "b")
+
+
+@query(None)
+def fill_to_min_start(s):
+    return repairs.fill_to_min_start(s.px, s.col)
+
+
 @query(f"{_BANDS}, e AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE y>=6 AND (round(dh, 6)>360 OR round(ds, 6)>0.3 OR round(dv, 6)>0.015)), 24) AS eos FROM bands GROUP BY 1, 2), f AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE greatest(r,g,b)>3840), 0) AS sos FROM px GROUP BY 1, 2) SELECT image_id, min(sos) AS min_sos, max(sos) AS max_sos, min(eos) AS min_eos, max(eos) AS max_eos, round(1-max(eos)/24.0::DOUBLE, 6) AS lowest_py FROM e JOIN f USING (image_id, x) GROUP BY 1")
 def sky_outline(s):
     """The flagship: start of sky, first failing row of every column, and the extents of every image."""

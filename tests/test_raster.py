@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.functions import color
-from rastermill.operators import columns, fits, sampling
+from rastermill.operators import columns, fits, repairs, sampling
 from rastermill.plans.registry import QUERIES
 from rastermill.sources import rasters
 
@@ -27,7 +27,7 @@ def rows(df, cols):
     return sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-TWINS = ["sky_outline", "drop_masked", "skip_mask_y", "clamp_slope", "nearest_unmasked_end", "box_smooth", "sobel_strength", "close_neighbors", "sample_sky", "score_sky_grid", "column_corrections", "best_sat_start", "contrast_end", "edge_suspects"]
+TWINS = ["sky_outline", "drop_masked", "skip_mask_y", "clamp_slope", "nearest_unmasked_end", "box_smooth", "sobel_strength", "close_neighbors", "sample_sky", "score_sky_grid", "column_corrections", "best_sat_start", "contrast_end", "edge_suspects", "bilateral_gray", "bilateral_gray_rows", "two_band_profile", "paired_t_end", "interpolate_transparent"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -97,3 +97,23 @@ def test_partitions_do_not_matter(spark):
         px = spark.createDataFrame([(1, x, y, (x * 7919 + y * 104729) % 60000, 100, 200, 65535) for x in range(12) for y in range(12)], rasters.PIXELS).repartition(n)
         results.append(sorted(columns.box_smooth(px).select("x", "y", F.round("r_box", 6)).collect()))
     assert results[0] == results[1] == results[2]
+
+
+def test_local_color_fit(spark):
+    r = np.random.default_rng(2)
+    p = pd.DataFrame([(1, x, y, *(int(v) for v in (20000 + 50 * x + 9 * y * y, r.integers(0, 65536), 3000)), 65535 if (x + y) % 7 else 0) for x in range(14) for y in range(12)], columns=["image_id", "x", "y", "r", "g", "b", "a"])
+    centers = [(1, 5, 5), (1, 0, 0), (1, 40, 5)]
+    got = {(q.cx, q.cy): q for q in repairs.local_color_fit(spark.createDataFrame(p, rasters.PIXELS), spark.createDataFrame(centers, "image_id int, cx int, cy int"), 3).collect()}
+    assert set(got) == {(5, 5), (0, 0)}
+    for (cx, cy), q in got.items():
+        ok = p[p.a >= 32767]
+        for width in (3, 6):
+            near = ok[((ok.x - cx).abs() <= width) & ((ok.y - cy).abs() <= width)]
+            if len(near) >= 16:
+                break
+        u, v = near.x - cx, near.y - cy
+        w = np.sqrt(1 / (u.abs() + v.abs() + 1)).to_numpy()
+        design = np.stack([np.ones(len(u)), u, v, v * v], axis=1) * w[:, None]
+        for c in "rgb":
+            want = np.linalg.lstsq(design, near[c].to_numpy() * w, rcond=None)[0][0]
+            assert q.n == len(near) and abs(q[c] - min(65535, max(0, want))) < 1e-3
