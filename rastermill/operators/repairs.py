@@ -97,5 +97,41 @@ def local_color_fit(px: DataFrame, centers: DataFrame, width: int, least: int =
 def fill_to_min_start(px: DataFrame, col: DataFrame, width: int = 30) -> DataFrame:
     """image_id, x, y, r, g, b of the pixels between the image's smallest start of sky and each column's own, by local fits."""
     least = F.min("sos").over(Window.partitionBy("image_id"))
-    todo = col.withColumn("least", least).filter("sos > least").select("image_id", F.col("x").alias("cx"), F.explode(F.expr("sequence(least, sos - 1)")).alias("cy"))
-    return local_color_fit(px, todo, width).select("image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])
+    todo = col.withColumn("least", least).filter("sos > least").select("image_id", "x", F.explode(F.expr("sequence(least, sos - 1)")).alias("y"))
+    return _recolored(px, todo, width)
+
+
+def _recolored(px: DataFrame, todo: DataFrame, width: int) -> DataFrame:
+    """image_id, x, y, r, g, b: the pixels of todo (image_id, x, y) in the colour of their own local fit."""
+    fit = local_color_fit(px, todo.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy")), width)
+    return fit.select("image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])
+
+
+def repair_outlier_pixels(px: DataFrame, col: DataFrame, step: int = 5, width: int = 5, limit: float = 3000.0) -> DataFrame:
+    """image_id, x, y, r, g, b of repaired pixels: in the top half of the sky, those with a channel more than `limit` off the
+    local fit at the nearest point of a grid of `step` take the fit's colour. All fits see the pixels as they came."""
+    d = px.filter("a >= 32767").join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y >= sos AND y <= sos + (eos - sos) / 2")
+    near = lambda c: F.floor((F.col(c) + step // 2) / step).cast("int") * step
+    d = d.withColumns({"cx": near("x"), "cy": near("y")})
+    fit = local_color_fit(px, d, width).select("image_id", "cx", "cy", *[F.floor(F.col(c) + 0.5).cast("int").alias(f"f_{c}") for c in "rgb"])
+    d = d.join(fit, ["image_id", "cx", "cy"]).filter(F.greatest(*[F.abs(F.col(c) - F.col(f"f_{c}")) for c in "rgb"]) > limit)
+    return d.select("image_id", "x", "y", *[F.col(f"f_{c}").alias(c) for c in "rgb"])
+
+
+def clean_vertical_edges(px: DataFrame, col: DataFrame, width: int = 2) -> DataFrame:
+    """image_id, x, y, r, g, b of opaque pixels beside a transparent one, in rows down to the image's largest start of sky."""
+    last = col.groupBy("image_id").agg(F.max("sos").alias("last"))
+    d = px.withColumn("low", F.least(F.lag("a").over(by_row()), F.lead("a").over(by_row()))).filter("a >= 32767 AND low < 16384")
+    return _recolored(px, d.join(last, "image_id").filter("y <= last"), width)
+
+
+def fill_side_edges(px: DataFrame, width_px: int, share: int = 40, width: int = 5) -> DataFrame:
+    """image_id, x, y, r, g, b of black or transparent pixels in the outer 1 / share of the width that lie outside the first
+    or last good pixel of their row: the colour fitted locally at that pixel."""
+    band = max(1, width_px // share)
+    good = F.when((F.col("a") >= 32767) & (F.greatest("r", "g", "b") > 3840), F.col("x"))
+    row = Window.partitionBy("image_id", "y")
+    d = px.withColumns({"first_x": F.min(good).over(row), "last_x": F.max(good).over(row)})
+    d = d.withColumn("cx", F.when((F.col("x") < band) & (F.col("x") < F.col("first_x")), F.col("first_x")).when((F.col("x") >= width_px - band) & (F.col("x") > F.col("last_x")), F.col("last_x")))
+    d = d.filter("cx IS NOT NULL").select("image_id", "x", "y", "cx", F.col("y").alias("cy"))
+    return d.join(local_color_fit(px, d, width), ["image_id", "cx", "cy"]).select("image_id", "x", "y", *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])

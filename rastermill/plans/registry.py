@@ -599,6 +599,21 @@ def fill_to_min_start(s):
     return repairs.fill_to_min_start(s.px, s.col)
 
 
+@query(None)
+def repair_outlier_pixels(s):
+    return repairs.repair_outlier_pixels(s.px, s.col)
+
+
+@query(None)
+def clean_vertical_edges(s):
+    return repairs.clean_vertical_edges(s.px, s.col)
+
+
+@query(None)
+def fill_side_edges(s):
+    return repairs.fill_side_edges(s.px, W)
+
+
 @query(f"{_BANDS}, e AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE y>=6 AND (round(dh, 6)>360 OR round(ds, 6)>0.3 OR round(dv, 6)>0.015)), 24) AS eos FROM bands GROUP BY 1, 2), f AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE greatest(r,g,b)>3840), 0) AS sos FROM px GROUP BY 1, 2) SELECT image_id, min(sos) AS min_sos, max(sos) AS max_sos, min(eos) AS min_eos, max(eos) AS max_eos, round(1-max(eos)/24.0::DOUBLE, 6) AS lowest_py FROM e JOIN f USING (image_id, x) GROUP BY 1")
 def sky_outline(s):
     """The flagship: start of sky, first failing row of every column, and the extents of every image."""
