@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -9,18 +10,47 @@ from collections import deque
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Ends of sentences: white space after a full stop, question or exclamation mark, or a line break.
 SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
+#: Pre-tokens of the vocabulary, as its file states them, and the same for characters below U+0250 in lower case.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0D\x20\x85\xA0\p{L}\p{N}]+")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter of each byte in a byte-level vocabulary: printable bytes stand for themselves, others follow from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {x: 256 + k for k, x in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+class Pieces(dict):
+    """Ids (bytes) of a pre-token of Latin letters, digits or signs, by the vocabulary's merges alone."""
+
+    bound = 300_000
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) >= self.bound:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit) of a word between white space; remembers a bounded number of words.
 
     The tokenizer drops white space and never joins over it, so a text's ids are its words' ids one after another.
+    Where the tokenizer's rules are those of `LATIN`, a new word of Latin characters is split here and only its new
+    pieces meet the merges; every other word goes through the whole tokenizer.
     """
 
     bound = 300_000
@@ -30,9 +60,18 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [r["type"] for r in (rules.get("normalizer") or {}).get("normalizers", [])]
+        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        same = steps == ["NFC", "Replace", "Lowercase"] and [r["type"] for r in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": RULE}
+        self.pieces = Pieces(self.tokenizer.model) if same and not rules["model"].get("dropout") else None
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        text = word.decode()
+        if self.pieces is not None and len(word) <= 64 and max(text) < "\u0250" and "<|" not in text:
+            ids = b"".join(map(self.pieces.__getitem__, LATIN.findall(text.lower())))
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             if len(self) >= self.bound:
                 self.clear()

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -310,3 +311,17 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
         kept = ids
         out.write.parquet(str(tmp_path / str(k)))
         d = spark.read.parquet(str(tmp_path / str(k)))
+
+
+def test_word_ids_equal_the_whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    r = random.Random(4)
+    letters = "abcXYZéèÀßñİı'’.,;-_%&$#0129²½ªº\xa0\x85\xad\x1c\x7fāŽſǅ<|>ΣςЖ中́"
+    words = ["".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(20000)] + ["it's", "I'LL", "<|endoftext|>", "x<|startoftext|>y", "DON'T", "é" * 200, *map(chr, range(33, 0x250))]
+    assert ids.pieces is not None
+    for w in words:
+        for part in w.encode().split():
+            assert array("I", ids[part]).tolist() == whole.encode(part.decode(), add_special_tokens=False).ids, w
