@@ -120,3 +120,30 @@ def hue_repair_factors(predicted: DataFrame, l: int, r: int, reach: int = 10) ->
     return d.groupBy("image_id", "side").agg(F.count("*").alias("n"), F.regr_slope("q", "yd").alias("slope"), F.regr_intercept("q", "yd").alias("intercept"))
 
 
+def repair_sky_hue(predicted: DataFrame, col: DataFrame, l: int, r: int, reach: int = 10) -> DataFrame:  # noqa: E741
+    """New pixels of the sky in the columns l..r-1 of a range with a wrong hue: image_id, x, y, r, g, b, clipped.
+
+    Measured over predicted hue and saturation are regressed in y on either side of the range (one row an image, by
+    partial aggregation). Predicted colours times those factors, blended from side to side, replace the range; then all
+    channels rise so that the channel that dropped most has its old value again. An image without pixels on a side, and
+    masked columns, give no rows.
+    """
+    d = predicted.withColumn("hsv", rgb_to_hsv("r", "g", "b"))
+    y = F.col("y").cast("double")
+    fits = []
+    for side, near in (("l", F.col("x").between(l - reach, l - 1)), ("r", F.col("x").between(r + 1, r + reach))):
+        for c in "hs":
+            q = F.when(near & (F.col("s_hat") > 0.1) & (F.col("h_hat") > 0), F.col(f"hsv.{c}") / F.col(f"{c}_hat"))
+            fits += [F.regr_slope(q, y).alias(f"{c}{side}1"), F.regr_intercept(q, y).alias(f"{c}{side}0")]
+    factors = d.groupBy("image_id").agg(*fits)
+    inside = d.filter((F.col("x") >= l) & (F.col("x") < r)).join(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos"), ["image_id", "x"])
+    inside = inside.filter("y BETWEEN sos AND eos").join(factors, "image_id")
+    left = 1 - (F.col("x") - l) / float(r - l)
+    factor = lambda c: left * (F.col(f"{c}l0") + F.col(f"{c}l1") * y) + (1 - left) * (F.col(f"{c}r0") + F.col(f"{c}r1") * y)
+    inside = inside.withColumn("new", model.predicted_rgb(F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * factor("h"))), F.col("s_hat") * factor("s"), F.col("hsv.v")))
+    dr, dg, db = (F.col(f"new.{c}") - F.col(c) for c in "rgb")
+    ratio = lambda c: F.col(c) / F.nullif(F.col(f"new.{c}"), F.lit(0))
+    rise = F.when((dr < dg) & (dr < db), ratio("r")).when((dr >= dg) & (dg < db), ratio("g")).otherwise(ratio("b"))
+    inside = inside.withColumn("rise", F.coalesce(rise, F.lit(1.0))).filter("new.r IS NOT NULL")
+    raised = {c: F.floor(F.col(f"new.{c}") * F.col("rise") + 0.5) for c in "rgb"}
+    return inside.select("image_id", "x", "y", *[F.least(F.lit(65535), v).cast("int").alias(c) for c, v in raised.items()], (F.greatest(*raised.values()) > 65535).alias("clipped"))

@@ -524,6 +524,28 @@ def hue_repair_factors(s):
     return fill.hue_repair_factors(s.predicted, 30, 33).withColumns({"slope": F.round("slope", 5), "intercept": F.round("intercept", 4)})
 
 
+def _side_fits() -> str:
+    parts = []
+    for side, near in (("l", "x BETWEEN 20 AND 29"), ("r", "x BETWEEN 34 AND 43")):
+        for c in "hs":
+            q = f"CASE WHEN {near} AND s_hat>0.1 AND h_hat>0 THEN {c}/{c}_hat END"
+            parts.append(f"regr_slope({q}, y) AS {c}{side}1, regr_intercept({q}, y) AS {c}{side}0")
+    return ", ".join(parts)
+
+
+_NEW_HUE = S.rgb("h2", "s2", "v")
+
+
+@query(f"""{MODEL}, q AS ({S.hsv('pred')}), f AS (SELECT image_id, {_side_fits()} FROM q GROUP BY 1),
+i AS (SELECT *, 1-(x-30)/3.0::DOUBLE AS p FROM q JOIN col USING (image_id, x) JOIN f USING (image_id) WHERE x>=30 AND x<33 AND column_mask=0 AND y BETWEEN sos AND eos),
+z AS (SELECT *, greatest(0,least(359.99,h_hat*(p*(hl0+hl1*y)+(1-p)*(hr0+hr1*y)))) AS h2, greatest(0,least(1,s_hat*(p*(sl0+sl1*y)+(1-p)*(sr0+sr1*y)))) AS s2 FROM i),
+n AS (SELECT *, {", ".join(f"{x} AS n_{c}" for c, x in _NEW_HUE.items())} FROM z),
+u AS (SELECT *, coalesce(CASE WHEN n_r-r<n_g-g AND n_r-r<n_b-b THEN r/nullif(n_r,0)::DOUBLE WHEN n_r-r>=n_g-g AND n_g-g<n_b-b THEN g/nullif(n_g,0)::DOUBLE ELSE b/nullif(n_b,0)::DOUBLE END, 1) AS rise FROM n WHERE n_r IS NOT NULL)
+SELECT image_id, x, y, {", ".join(f"CAST(least(65535, floor(n_{c}*rise+0.5)) AS INT) AS {c}" for c in "rgb")}, floor(greatest(n_r,n_g,n_b)*rise+0.5)>65535 AS clipped FROM u""")
+def repair_sky_hue(s):
+    return fill.repair_sky_hue(s.predicted, s.col, 30, 33)
+
+
 @query(None)
 def dither(s):
     return fill.dither(s.px)
