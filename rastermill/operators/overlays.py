@@ -40,3 +40,42 @@ def overlay_rays(px: DataFrame, rays: DataFrame) -> DataFrame:
 def _added(px: DataFrame, sums: DataFrame) -> DataFrame:
     d = px.join(sums, ["image_id", "x", "y"], "left")
     return d.select("image_id", "x", "y", *[F.least(F.lit(65535), F.floor(F.col(c) + F.coalesce(f"add_{c}", F.lit(0.0)))).cast("int").alias(c) for c in "rgb"], "a")
+
+
+def audit_marks(col: DataFrame, smp: DataFrame, rects: DataFrame, width: int, height: int, depth: float = 0.5) -> DataFrame:
+    """(image_id, x, y, r, g, b, layer): pixels that show what was found; where several marks fall on one, the last layer's.
+
+    Layers: 1 manual end (red, two below), 2 start of sky (red, one above), 3 raw start (yellow), 4 end of the fill (grey),
+    5 end of sky (green, two and three below), 6 boxes of 3 by 3 around samples (black to white by their error), 7 borders
+    of rectangles (light red). Masked columns have no layer from 2 to 5. Every mark is a row of its own table, so pixels
+    are not scanned; marks are united and the last layer is taken by partial aggregation.
+    """
+    half, full, last = 32767, 65535, height - 1
+    below = lambda end, n: F.least(F.lit(last), F.least(F.lit(last), F.col(end) + 2) + n)
+
+    def mark(d: DataFrame, y, rgb: tuple, layer: int) -> DataFrame:
+        return d.select("image_id", "x", y.cast("int").alias("y"), *[F.lit(v).cast("int").alias(c) for c, v in zip("rgb", rgb)], F.lit(layer).alias("layer"))
+
+    seen = col.filter("column_mask = 0")
+    fill_end = F.col("sos") + F.floor((F.col("eos") - F.col("sos")) * depth + 0.5)
+    marks = [
+        mark(col.filter(F.col("manual_eos").between(0, last)), below("manual_eos", 0), (full, 0, 0), 1),
+        mark(seen, F.col("sos") - 1, (full, 0, 0), 2),
+        mark(seen, F.col("raw_sos") - 1, (half, half, 0), 3),
+        *[mark(seen, fill_end + n, (half, half, half), 4) for n in (0, 1)],
+        *[mark(seen, below("eos", n), (0, full, 0), 5) for n in (0, 1)],
+    ]
+    grey = F.floor(F.least(F.lit(1.0), F.abs("v_error") * 10) * full + 0.5).cast("int")
+    clip = lambda v, top: F.greatest(F.lit(0), F.least(F.lit(top), v))
+    box = smp.withColumn("grey", grey).withColumn("bx", F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1))).withColumn("by", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)))
+    box = box.groupBy("image_id", clip(F.col("bx"), width - 1).alias("x"), clip(F.col("by"), last).alias("y")).agg(F.max("grey").alias("grey"))
+    marks.append(box.select("image_id", "x", "y", *[F.col("grey").alias(c) for c in "rgb"], F.lit(6).alias("layer")))
+    sides = F.explode(F.array(*[F.struct(*[F.expr(e).alias(n) for e, n in zip(s.split(), ("x0", "x1", "y0", "y1"))]) for s in ("l r t-1 t", "l r b b+1", "l-1 l t b", "r r+1 t b")]))
+    edge = rects.select("image_id", sides.alias("s")).select("image_id", *[clip(F.col(f"s.{c}"), top).alias(c) for c, top in (("x0", width - 1), ("x1", width - 1), ("y0", last), ("y1", last))])
+    edge = edge.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    marks.append(mark(edge, F.col("y"), (full, half, half), 7))
+    every = marks[0]
+    for m in marks[1:]:
+        every = every.unionByName(m)
+    top = every.filter(F.col("y").between(0, last)).groupBy("image_id", "x", "y").agg(F.max(F.struct("layer", "r", "g", "b")).alias("m"))
+    return top.select("image_id", "x", "y", "m.r", "m.g", "m.b", "m.layer")

@@ -570,6 +570,24 @@ def overlay_rays(s):
     return overlays.overlay_rays(s.px, _elements(s, "(5.0D,5.0D,0.8D,0.6D,20.0D,1.5D,9000D,1.0D)", "x, y, a, b, radius, width, intensity, falloff"))
 
 
+_SEEN = "FROM col WHERE column_mask=0"
+
+
+@query(f"""{MODEL}, bx AS (SELECT image_id, greatest(0,least({W - 1},x+i)) AS x, greatest(0,least({H - 1},y+j)) AS y, CAST(floor(least(1.0,abs(greatest(r,g,b)/65535.0::DOUBLE-v_hat)*10)*65535+0.5) AS INT) AS grey
+  FROM pred, (VALUES (-1),(0),(1)) u(i), (VALUES (-1),(0),(1)) w(j) WHERE x%9=4 AND y%7=3),
+ed AS (SELECT image_id, l AS x0, r AS x1, t-1 AS y0, t AS y1 FROM rects UNION ALL SELECT image_id, l, r, b, b+1 FROM rects UNION ALL SELECT image_id, l-1, l, t, b FROM rects UNION ALL SELECT image_id, r, r+1, t, b FROM rects),
+every AS (SELECT image_id, x, least(24,manual_eos+2) AS y, 65535 AS r, 0 AS g, 0 AS b, 1 AS layer FROM col WHERE manual_eos IS NOT NULL
+UNION ALL SELECT image_id, x, sos-1, 65535, 0, 0, 2 {_SEEN} UNION ALL SELECT image_id, x, raw_sos-1, 32767, 32767, 0, 3 {_SEEN}
+UNION ALL SELECT image_id, x, CAST(sos+floor((eos-sos)*0.5+0.5) AS INT)+k, 32767, 32767, 32767, 4 FROM col, (VALUES (0),(1)) t(k) WHERE column_mask=0
+UNION ALL SELECT image_id, x, least(24,eos+2+k), 0, 65535, 0, 5 FROM col, (VALUES (0),(1)) t(k) WHERE column_mask=0
+UNION ALL SELECT image_id, x, y, max(grey), max(grey), max(grey), 6 FROM bx GROUP BY 1, 2, 3
+UNION ALL SELECT image_id, px.x, px.y, 65535, 32767, 32767, 7 FROM px JOIN ed USING (image_id) WHERE px.x BETWEEN x0 AND x1 AND px.y BETWEEN y0 AND y1)
+SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(max_by(r, layer) AS INT) AS r, CAST(max_by(g, layer) AS INT) AS g, CAST(max_by(b, layer) AS INT) AS b, CAST(max(layer) AS INT) AS layer FROM every WHERE y BETWEEN 0 AND 24 GROUP BY 1, 2, 3""")
+def audit_marks(s):
+    smp = s.predicted.filter("x % 9 = 4 AND y % 7 = 3").select("image_id", "x", "y", (F.greatest("r", "g", "b") / 65535.0 - F.col("v_hat")).alias("v_error"))
+    return overlays.audit_marks(s.col, smp, s.rects, W, H)
+
+
 _GRAY = "gp AS (SELECT *, (r+g+b)/3.0::DOUBLE/65535.0::DOUBLE AS gray FROM px)"
 
 
