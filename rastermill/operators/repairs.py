@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import by_row, by_y
@@ -135,3 +136,31 @@ def fill_side_edges(px: DataFrame, width_px: int, share: int = 40, width: int =
     d = d.withColumn("cx", F.when((F.col("x") < band) & (F.col("x") < F.col("first_x")), F.col("first_x")).when((F.col("x") >= width_px - band) & (F.col("x") > F.col("last_x")), F.col("last_x")))
     d = d.filter("cx IS NOT NULL").select("image_id", "x", "y", "cx", F.col("y").alias("cy"))
     return d.join(local_color_fit(px, d, width), ["image_id", "cx", "cy"]).select("image_id", "x", "y", *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])
+
+
+def forecast_weights(height: int, back: int = 10, ahead: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices that turn `back` + `ahead` values down a column into residuals of the fit and errors of the forecast.
+
+    1, py and exp(py) span the same functions wherever the window lies, so one pair of matrices holds for every row.
+    """
+    k = np.arange(back + ahead) / height
+    x = np.stack([np.ones_like(k), k, np.exp(k)], axis=1)
+    q, r = np.linalg.qr(x[:back])
+    residuals = np.hstack([np.eye(back) - q @ q.T, np.zeros((back, ahead))])
+    errors = np.hstack([-x[back:] @ np.linalg.solve(r, q.T), np.eye(ahead)])
+    return residuals, errors
+
+
+def forecast_ratio(px: DataFrame, height: int, back: int = 10, ahead: int = 2, value: Column | None = None) -> DataFrame:
+    """(image_id, x, y, rmse, rmse_next, ratio): how badly the regression of the previous `back` values (grey unless given)
+    on (1, py, exp(py)) forecasts the values of rows y .. y + ahead - 1, against its own error. Columns and one bounded
+    window only. Rows without a whole window are left out; a fit without error has a null ratio.
+    """
+    d = px.withColumn("_v", (F.col("r") + F.col("g") + F.col("b")) / 3.0 / 65535.0 if value is None else value)
+    w = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-back, ahead - 1)
+    d = d.withColumn("_w", F.collect_list("_v").over(w)).filter(F.size("_w") == back + ahead)
+    dot = lambda row: sum(float(c) * F.col("_w")[i] for i, c in enumerate(row) if c)
+    rms = lambda m: F.sqrt(sum(F.pow(dot(row), F.lit(2.0)) for row in m) / float(len(m)))
+    residuals, errors = forecast_weights(height, back, ahead)
+    d = d.select("image_id", "x", "y", rms(residuals).alias("rmse"), rms(errors).alias("rmse_next"))
+    return d.withColumn("ratio", F.col("rmse_next") / F.nullif(F.col("rmse"), F.lit(0.0)))

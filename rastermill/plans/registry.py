@@ -629,6 +629,20 @@ def interpolate_transparent(s):
     return repairs.interpolate_transparent(fill.sky_probability(s.predicted, s.col), confident=0.5)
 
 
+def _rms(m) -> str:
+    return f"sqrt(({'+'.join(f'pow(list_dot_product(w, {row.tolist()}::DOUBLE[]),2)' for row in m)})/{len(m)})"
+
+
+_RESIDUALS, _ERRORS = repairs.forecast_weights(H)
+
+
+@query(f"""{BASE}, {_GRAY}, w AS (SELECT image_id, x, y, list(gray) OVER ({YW} ROWS BETWEEN 10 PRECEDING AND 1 FOLLOWING) AS w FROM gp),
+e AS (SELECT image_id, x, y, {_rms(_RESIDUALS)} AS rmse, {_rms(_ERRORS)} AS rmse_next FROM w WHERE len(w)=12)
+SELECT image_id, x, y, round(rmse, 7) AS rmse, round(rmse_next, 6) AS rmse_next, round(rmse_next/nullif(rmse,0), 3) AS ratio FROM e""")
+def forecast_ratio(s):
+    return repairs.forecast_ratio(s.px, H).withColumns({"rmse": F.round("rmse", 7), "rmse_next": F.round("rmse_next", 6), "ratio": F.round("ratio", 3)})
+
+
 @query(None)
 def local_color_fit(s):
     return rounded(repairs.local_color_fit(s.px, s.px.filter("x % 5 = 0 AND y % 5 = 0").selectExpr("image_id", "x AS cx", "y AS cy"), 3), 3, "r", "g", "b")

@@ -27,7 +27,7 @@ def rows(df, cols):
     return sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-TWINS = ["sky_outline", "drop_masked", "skip_mask_y", "clamp_slope", "nearest_unmasked_end", "box_smooth", "sobel_strength", "close_neighbors", "sample_sky", "score_sky_grid", "column_corrections", "best_sat_start", "contrast_end", "edge_suspects", "bilateral_gray", "bilateral_gray_rows", "two_band_profile", "paired_t_end", "interpolate_transparent", "repair_sky_hue", "audit_marks"]
+TWINS = ["sky_outline", "drop_masked", "skip_mask_y", "clamp_slope", "nearest_unmasked_end", "box_smooth", "sobel_strength", "close_neighbors", "sample_sky", "score_sky_grid", "column_corrections", "best_sat_start", "contrast_end", "edge_suspects", "bilateral_gray", "bilateral_gray_rows", "two_band_profile", "paired_t_end", "interpolate_transparent", "repair_sky_hue", "audit_marks", "forecast_ratio"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -137,3 +137,17 @@ def test_repairs_by_local_fits(spark):
     assert {(q.x, q.y) for q in beside} == {(11, 0), (13, 0), (11, 1), (13, 1)} and all(map(near, beside))
     side = repairs.fill_side_edges(px, 20).collect()
     assert [(q.x, q.y) for q in side] == [(0, 6)] and near(side[0])
+
+
+def test_forecast_ratio(spark):
+    r = np.random.default_rng(8)
+    v = r.integers(0, 65536, 20)
+    px = spark.createDataFrame([(1, 0, y, int(c), int(c), int(c), 65535) for y, c in enumerate(v)], rasters.PIXELS)
+    got = {q.y: q for q in repairs.forecast_ratio(px, 20).collect()}
+    assert sorted(got) == list(range(10, 19))
+    for y, q in got.items():
+        k = np.arange(y - 10, y + 2) / 20
+        design = np.stack([np.ones(12), k, np.exp(k)], axis=1)
+        e = v[y - 10 : y + 2] / 65535 - design @ np.linalg.lstsq(design[:10], v[y - 10 : y] / 65535, rcond=None)[0]
+        want = np.sqrt((e[:10] ** 2).mean()), np.sqrt((e[10:] ** 2).mean())
+        assert np.allclose((q.rmse, q.rmse_next, q.ratio), (*want, want[1] / want[0]), rtol=1e-6)
