@@ -325,3 +325,16 @@ def test_word_ids_equal_the_whole_tokenizer():
     for w in words:
         for part in w.encode().split():
             assert array("I", ids[part]).tolist() == whole.encode(part.decode(), add_special_tokens=False).ids, w
+
+
+def test_a_passage_of_many_texts_links_them_all(spark):
+    shared = prose(5, 60)
+    rows = [(k, prose(1000 + k, 30) + " " + shared + " " + prose(3000 + k, 40), "en") for k in range(200)]
+    links = {(x.doc_id, x.other_doc_id) for x in substring_dedup.repeated_passages(table(spark, rows)).collect()}
+    reached, todo = {0}, [0]
+    while todo:
+        at = todo.pop()
+        new = {y for x, y in links if x == at} - reached
+        reached |= new
+        todo += new
+    assert reached == set(range(200))
