@@ -338,3 +338,12 @@ def test_a_passage_of_many_texts_links_them_all(spark):
         reached |= new
         todo += new
     assert reached == set(range(200))
+
+
+def test_leaks_of_frequent_and_long_items(spark):
+    rare = lambda seed, n: " ".join("".join(random.Random(seed * 1000 + k).choices("bcdfgaeiou", k=7)) for k in range(n))
+    often, long = rare(1, 30), rare(2, 300)
+    rows = [(k, prose(k, 80) + (" " + often if k % 3 == 0 else "") + (" " + long if k == 7 else ""), "en") for k in range(60)]
+    bench = spark.createDataFrame([(1, often), (2, long), (3, rare(3, 30))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(table(spark, rows), bench).collect()}
+    assert got == {(k, 1) for k in range(0, 60, 3)} | {(7, 2)}
