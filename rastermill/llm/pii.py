@@ -16,9 +16,12 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
     "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}|(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d)[ .-]\d{4}(?!\w)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    # A whole run of numbers, up to a social security number: the cards in it are looked for between its separators.
+    "card": r"(?<![\w.-])\d(?:(?:[ -](?!\d{3}-\d{2}-\d{4}(?![\w-])))?\d){12,}+(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in [PATTERNS["email"], PATTERNS["date"], PATTERNS["ssn"], PATTERNS["ip"], PATTERNS["phone"], PATTERNS["card"]])
+USUAL = r"^(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})[ -]?$"
+OTHER = "|".join(f"(?:{PATTERNS[p]})" for p in ["date", "ssn", "ip", "phone"])
 KEY = "rastermill"
 
 
@@ -129,14 +132,55 @@ def _email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
-    """The pseudonym of one match of ANY, or the match itself if it isn't valid for its kind."""
+    """The pseudonym of one match of OTHER or an e-mail address, or the match itself if it isn't valid for its kind."""
     whole = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
     return (
         F.when(m.contains("@"), _email(m, key)).when(m.rlike(whole["date"]), _date(m, key)).when(m.rlike(whole["ssn"]), _ssn(m, key))
-        .when(m.rlike(whole["ip"]), _ip(m, key)).when(m.rlike(whole["phone"]), _phone(m, key)).otherwise(_card(m, key))
+        .when(m.rlike(whole["ip"]), _ip(m, key)).when(m.rlike(whole["phone"]), _phone(m, key)).otherwise(m)
     )
 
 
+def _run(m: Column, layout: str) -> Column:
+    """A run of numbers as parts (x, card): cards are the leftmost, then longest, runs of 13 to 19 digits between
+    separators that have the layout and a valid Luhn sum; what lies between them are the other parts."""
+    words = F.split(m, "(?<=[ -])")  # each with its separator
+    between = lambda i, j: F.array_join(F.slice(words, i, j - i + 1), "")
+    valid = lambda x: x.rlike(layout) & F.length(_digits(x)).between(13, 19) & (_luhn(_digits(x)) % 10 == 0)
+
+    def step(s: Column, i: Column) -> Column:
+        ends = F.filter(F.sequence(i, F.least(i + 18, F.size(words))), lambda j: valid(between(i, j)))
+        last = F.when(i >= s["next"], F.array_max(ends))
+        before, part = F.try_element_at(s["parts"], F.lit(-1)), lambda x, card: F.array(F.struct(x.alias("x"), F.lit(card).alias("card")))
+        longer = F.concat(F.slice(s["parts"], 1, F.size(s["parts"]) - 1), part(F.concat(before["x"], F.element_at(words, i)), False))
+        parts = F.when(i < s["next"], s["parts"]).when(last.isNotNull(), F.concat(s["parts"], part(between(i, last), True))).when(~before["card"], longer).otherwise(F.concat(s["parts"], part(F.element_at(words, i), False)))
+        return F.struct(F.greatest(s["next"], F.coalesce(last, i) + 1).alias("next"), parts.alias("parts"))
+
+    start = F.struct(F.lit(1).alias("next"), F.expr("cast(array() as array<struct<x:string,card:boolean>>)").alias("parts"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step, lambda s: s["parts"])
+
+
+def _values(m: Column, key: str) -> Column:
+    """(s, n): one match of ANY with its values replaced, and how many they are. A run of numbers can hold several."""
+    pair = lambda s, n: F.struct(s.alias("s"), n.cast("int").alias("n"))
+
+    def others(x: Column) -> Column:
+        found = F.regexp_extract_all(x, F.lit(OTHER), F.lit(0))
+        new = F.transform(found, lambda v: pseudonym(v, key))
+        joined = F.array_join(F.zip_with(F.split(x, OTHER, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        return pair(joined, F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda c: c)))
+
+    def card(x: Column) -> Column:
+        new = _card(x, key)
+        return pair(new, new != x)
+
+    # The usual layouts first, so that no chance sum of other numbers breaks such a card.
+    runs = F.flatten(F.transform(_run(m, USUAL), lambda p: F.when(p["card"], F.array(p)).otherwise(_run(p["x"], "."))))
+    parts = F.transform(runs, lambda p: F.when(p["card"], card(p["x"])).otherwise(others(p["x"])))
+    whole = pair(F.array_join(F.transform(parts, lambda p: p["s"]), ""), F.aggregate(F.transform(parts, lambda p: p["n"]), F.lit(0), lambda a, b: a + b))
+    new = pseudonym(m, key)
+    return F.when(m.rlike(f"^(?:{PATTERNS['card']})$") & ~m.rlike(f"^(?:{OTHER})$"), whole).otherwise(pair(new, new != m))
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with personal values in `text_col` replaced; with count_col also how many values were replaced.
 
@@ -149,10 +193,10 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_
     found, parts, new = (f"{text_col}_{x}_{'x' * max(map(len, docs.columns))}" for x in ("found", "parts", "new"))
     maybe = text.rlike("[0-9@]") & text.rlike(ANY)
     d = docs.withColumn(found, F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    d = d.withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda s, m: F.concat(s, m)), "")
+    d = d.withColumn(new, F.transform(found, lambda m: _values(m, key)))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(new, lambda v: v["s"]), F.array(F.lit(""))), lambda s, m: F.concat(s, m)), "")
     if count_col:
-        d = d.withColumn(count_col, F.coalesce(F.size(F.filter(F.zip_with(found, new, lambda x, y: x != y), lambda x: x)), F.lit(0)).cast("long"))
+        d = d.withColumn(count_col, F.coalesce(F.aggregate(F.transform(new, lambda v: v["n"]), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"))
     return d.withColumn(text_col, F.when(F.col(found).isNull(), text).otherwise(joined)).drop(found, parts, new)
 
 

@@ -347,3 +347,13 @@ def test_leaks_of_frequent_and_long_items(spark):
     bench = spark.createDataFrame([(1, often), (2, long), (3, rare(3, 30))], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(table(spark, rows), bench).collect()}
     assert got == {(k, 1) for k in range(0, 60, 3)} | {(7, 2)}
+
+
+def test_cards_among_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"card {card} 12/27", f"card {card} 123.", f"qty 3 {card}", f"{card} {card} 7", f"no {card[:-1]}2 or", f"12 123-45-6789 {card} x"]
+    got = [(x.text, x.n) for x in pii.pseudonymise(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), count_col="n").orderBy("doc_id").collect()]
+    new = re.search(r"\d{4}(?: \d{4}){3}", got[0][0])[0]
+    assert new != card and [n for _, n in got] == [1, 1, 1, 2, 0, 2]
+    assert [t for t, _ in got[:5]] == [t.replace(card, new) for t in texts[:5]]
+    assert got[5][0].endswith(f" {new} x") and "123-45-6789" not in got[5][0]
