@@ -2,81 +2,61 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from array import array
 from collections import deque
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Ends of sentences: white space after a full stop, question or exclamation mark, or a line break.
 SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
-#: Pre-tokens of the vocabulary, as its file states them, and the same for characters below U+0250 in lower case.
-RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0D\x20\x85\xA0\p{L}\p{N}]+")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def byte_letters() -> dict[int, int]:
-    """The letter of each byte in a byte-level vocabulary: printable bytes stand for themselves, others follow from 256."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {x: 256 + k for k, x in enumerate(sorted(set(range(256)) - set(shown)))}
-
-
-class Pieces(dict):
-    """Ids (bytes) of a pre-token of Latin letters, digits or signs, by the vocabulary's merges alone."""
-
-    bound = 300_000
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters = model, byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        if len(self) >= self.bound:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) of a word between white space; remembers a bounded number of words.
+    """Ids (little-endian unsigned 32-bit) of words between white space; remembers at most two generations of words.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are its words' ids one after another.
-    Where the tokenizer's rules are those of `LATIN`, a new word of Latin characters is split here and only its new
-    pieces meet the merges; every other word goes through the whole tokenizer.
+    The tokenizer drops white space and never joins over it, so a text's ids are its words' ids one after another. New
+    words are tokenized many at a time, MARK between them, and cut apart at its id.
     """
 
-    bound = 300_000
+    bound, many = 600_000, 2000
+    MARK = "\x02"  # one pre-token and one id; a word that holds it is tokenized by itself
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        rules = json.loads(self.tokenizer.to_str())
-        steps = [r["type"] for r in (rules.get("normalizer") or {}).get("normalizers", [])]
-        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        same = steps == ["NFC", "Replace", "Lowercase"] and [r["type"] for r in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": RULE}
-        self.pieces = Pieces(self.tokenizer.model) if same and not rules["model"].get("dropout") else None
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.pieces is not None and len(word) <= 64 and max(text) < "\u0250" and "<|" not in text:
-            ids = b"".join(map(self.pieces.__getitem__, LATIN.findall(text.lower())))
-        else:
-            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.bound:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Remember the ids of all words of the texts, of whatever number."""
+        new = set().union(*texts) - self.keys()
+        if len(self) + len(new) > self.bound:
+            self.older = dict(self)
+            self.clear()
+            new = set().union(*texts)
+        for w in self.older.keys() & new:
+            self[w] = self.older[w]
+        todo = [w for w in new if w not in self]
+        joined = [todo[k : k + self.many] for k in range(0, len(todo), self.many)]
+        between = f" {self.MARK} ".encode()
+        for words in joined:
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) == len(words):
+                start = 0
+                for w, end in zip(words, ends):
+                    self[w], start = ids[start:end].tobytes(), end + 1
+            else:
+                for w in words:
+                    self[w] = array("I", self.tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -84,20 +64,27 @@ def load(path: str) -> WordIds:
     return WordIds(path)
 
 
-def cuts(ends: list[int], penalties: list[int], width: int) -> list[int]:
+def cuts(ends: list[int], penalties: list[int], width: int, unpadded: tuple[int, ...] = ()) -> list[int]:
     """Indices of the chosen window ends (the last one always), given the allowed ends (rising) and their penalties.
 
     cost[j] = penalty[j] + width - (end[j] - end[i]) + cost[i], least over the i that lie at most width before j. In
-    cost[i] + end[i] the choice no longer depends on j, so a queue with rising values holds the least one.
+    cost[i] + end[i] the choice no longer depends on j, so a queue with rising values holds the least one. Windows of a
+    length in `unpadded` cost no padding: those few transitions are looked up by their end.
     """
     at = [0, *ends]
     back = [0] * len(at)
+    value_at = {0: (0, 0)}
     queue: deque[tuple[int, int]] = deque([(0, 0)])
     for j in range(1, len(at)):
         while at[j] - at[queue[0][1]] > width:
             queue.popleft()
         value, back[j] = queue[0]
         value += width + penalties[j - 1]  # = cost[j] + end[j]
+        for n in unpadded:
+            if (i := value_at.get(at[j] - n)) and i[0] + n + penalties[j - 1] < value:
+                value, back[j] = i[0] + n + penalties[j - 1], i[1]
+        if unpadded:
+            value_at[at[j]] = (value, j)
         while queue and queue[-1][0] >= value:
             queue.pop()
         queue.append((value, j))
@@ -113,6 +100,7 @@ class Packer:
 
     def __init__(self, width: int, sentence_penalty: int, word_penalty: int, block: int, first_id: int):
         self.width, self.sentence, self.word, self.block, self.next = width, sentence_penalty, word_penalty, block, first_id
+        self.unpadded = tuple(n for n in (width // 2, width // 4) if n & (n - 1) == 0 and n)
         self.docs: deque = deque()  # doc_id, bytes of ids, tokens already placed
         self.ends, self.penalties, self.total = [], [], 0
 
@@ -132,7 +120,7 @@ class Packer:
         """Pieces of the sequences that are final: all at the last call, else all but the last sequence."""
         if not self.ends or not last and self.total < self.block:
             return
-        chosen = cuts(self.ends, self.penalties, self.width)
+        chosen = cuts(self.ends, self.penalties, self.width, self.unpadded)
         if not last:
             chosen.pop()
         done = 0
@@ -155,7 +143,10 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int =
 
     Documents stay in the order in which a partition of docs holds them (sort first for another order) and every
     partition packs on its own: no shuffle, memory of one block of ids and one document. Windows end at document or
-    sentence ends, or at every 32nd of a window within a longer sentence, so that padding plus penalties are least.
+    sentence ends, or at every 32nd of a window within a longer sentence, so that padding plus penalties are least; a
+    window of a half or a quarter of `width` is not padded if that is a power of two. The horizon rolls: cuts are
+    least for each `block` ids of a partition, of which the last window is planned again with the next block, and
+    not over the whole table. A very long text takes as many windows as it needs; equal costs take the earlier cut.
     A document is its ids and end_id. A null or empty text is end_id alone; a null id stays null; repeated rows are
     packed each; an empty table gives an empty one; other columns of docs play no part, whatever their names.
     """
@@ -174,13 +165,15 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int =
 
         for b in batches:
             id_type = b.column(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = (text.as_py() or "").encode()
-                sentences = [b"".join(map(ids.__getitem__, s.split())) for s in SENTENCE.split(text)]
-                sentences[-1] += end
-                packer.add(doc_id, sentences)
-                if packer.total >= block and (rows := list(packer.rows(False))):
-                    yield out(rows)
+            for k in range(0, len(b), 512):
+                texts = [[s.split() for s in SENTENCE.split((x or "").encode())] for x in b.column(1).slice(k, 512).to_pylist()]
+                ids.learn([s for t in texts for s in t])
+                for doc_id, text in zip(b.column(0).slice(k, 512).to_pylist(), texts):
+                    sentences = [b"".join(map(ids.__getitem__, s)) for s in text]
+                    sentences[-1] += end
+                    packer.add(doc_id, sentences)
+                    if packer.total >= block and (rows := list(packer.rows(False))):
+                        yield out(rows)
         if rows := list(packer.rows(True)):
             yield out(rows)
 
