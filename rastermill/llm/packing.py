@@ -22,7 +22,8 @@ class WordIds(dict):
     """Ids (little-endian unsigned 32-bit) of words between white space; remembers at most two generations of words.
 
     The tokenizer drops white space and never joins over it, so a text's ids are its words' ids one after another. New
-    words are tokenized many at a time, MARK between them, and cut apart at its id.
+    words are tokenized many at a time: ASCII ones are told apart by the bytes that each id stands for, others by the id
+    of MARK between them.
     """
 
     bound, many = 600_000, 2000
@@ -34,6 +35,18 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[k] = len(token.removesuffix("</w>"))  # a letter of the vocabulary is a byte
+        for k, added in self.tokenizer.get_added_tokens_decoder().items():
+            self.sizes[k] = len(added.content.encode())
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def put(self, words: list[bytes], ids: np.ndarray, starts, ends) -> None:
+        data = ids.tobytes()
+        self.update(zip(words, [data[4 * a : 4 * b] for a, b in zip(starts, ends)]))
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Remember the ids of all words of the texts, of whatever number."""
@@ -42,21 +55,32 @@ class WordIds(dict):
             self.older = dict(self)
             self.clear()
             new = set().union(*texts)
-        for w in self.older.keys() & new:
-            self[w] = self.older[w]
-        todo = [w for w in new if w not in self]
-        joined = [todo[k : k + self.many] for k in range(0, len(todo), self.many)]
-        between = f" {self.MARK} ".encode()
-        for words in joined:
-            ids = np.array(self.tokenizer.encode_batch_fast([between.join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            if len(ends) == len(words):
-                start = 0
-                for w, end in zip(words, ends):
-                    self[w], start = ids[start:end].tobytes(), end + 1
+        old = self.older.keys() & new
+        self.update((w, self.older[w]) for w in old)
+        new -= old
+        plain = [w for w in new if w.isascii()]
+        for k in range(0, len(plain), self.many):
+            words = plain[k : k + self.many]
+            ids = self.encode(b" ".join(words).decode())
+            at, wanted = np.cumsum(self.sizes[ids]), np.cumsum([*map(len, words)])
+            ends = np.searchsorted(at, wanted) + 1
+            if len(ids) and ends[-1] == len(ids) and (at[ends - 1] == wanted).all():
+                self.put(words, ids, [0, *ends[:-1].tolist()], ends.tolist())
+            else:
+                new.difference_update(plain[:k])
+                break
+        else:
+            new.difference_update(plain)
+        rest = [*new]
+        for k in range(0, len(rest), self.many):
+            words = rest[k : k + self.many]
+            ids = self.encode(f" {self.MARK} ".join(w.decode() for w in words))
+            marks = np.flatnonzero(ids == self.mark).tolist()
+            if len(marks) == len(words) - 1:
+                self.put(words, ids, [0, *(x + 1 for x in marks)], [*marks, len(ids)])
             else:
                 for w in words:
-                    self[w] = array("I", self.tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes()
+                    self[w] = self.encode(w.decode()).tobytes()
 
 
 @lru_cache(maxsize=2)
