@@ -362,3 +362,41 @@ def test_cards_among_other_numbers(spark):
     assert new != card and [n for _, n in got] == [1, 1, 1, 2, 0, 2]
     assert [t for t, _ in got[:5]] == [t.replace(card, new) for t in texts[:5]]
     assert got[5][0].endswith(f" {new} x") and "123-45-6789" not in got[5][0]
+
+
+def test_latent_cosine_finds_paraphrases_that_plain_tf_idf_misses(spark):
+    r = random.Random(11)
+    word = lambda t, c, other: f"{'xy'[other]}{'abcdefghij'[t]}{'abcdefghijklmnopqrstuvwxyzäöüß'[c]}"
+    texts = [" ".join(word(t, r.randrange(30), r.randrange(2)) for _ in range(120)) for t in range(10) for _ in range(40)]
+    concepts = {k: [(k % 10, c) for c in r.sample(range(30), 20)] for k in range(40)}
+    items = {k: " ".join(word(t, c, 0) for t, c in cs) for k, cs in concepts.items()}
+    changed = {k: {*r.sample(range(20), 8)} for k in items}
+    para = {k: " ".join(word(t, c, j in changed[k]) for j, (t, c) in enumerate(cs)) for k, cs in concepts.items()}
+    docs = table(spark, [(k, t, "en") for k, t in enumerate(texts)] + [(1000 + k, prose(k, 60) + " " + t + " " + prose(90 + k, 60), "en") for k, t in para.items()])
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    found = lambda cosine, rank: {x.doc_id - 1000 for x in decontaminate.find_leaks(docs, bench, cosine=cosine, rank=rank).collect() if x.doc_id - 1000 == x.item_id}
+    every, latent, plain = found(-2.0, 12), found(0.75, 12), found(0.75, 100_000)  # no gate; 12 dimensions for 40 items; all terms: plain TF-IDF
+    assert len(every) >= 20 and len(latent) >= 0.9 * len(every) and len(plain) <= 0.3 * len(every), (len(every), len(latent), len(plain))
+
+
+def test_leaks_equal_a_search_of_every_window(spark, docs):
+    r = random.Random(3)
+    base = {x.doc_id: decontaminate.words_of(x.text) for x in docs.filter("doc_id < 20").collect()}
+    items = {100 + k: " ".join(base[k][10:40]) for k in range(0, 20, 3)} | {200 + k: prose(900 + k, 25) for k in range(5)} | {300: "", 301: None, 302: "alpha"}
+    edited = {400 + k: " ".join(w if r.random() < 0.8 else "zzz" for w in base[k][10:40]) for k in range(0, 20, 3)}
+    both = docs.union(table(spark, [(k, t, "en") for k, t in edited.items()] * 2))
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id) for x in decontaminate.find_leaks(both, bench, cosine=-2.0).collect() if x.doc_id is not None)
+    df = Counter(w for x in both.collect() for w in set(decontaminate.words_of(x.text)))
+    want = []
+    for x in both.filter("doc_id IS NOT NULL").collect():
+        words = decontaminate.words_of(x.text)
+        for i, t in items.items():
+            ws = decontaminate.words_of(t)
+            key = sorted(set(ws), key=lambda w: (max(df[w], 5), w))[:10]
+            starts = range(0, max(len(words) - 20, 0) + 1)
+            if ws and words and len(set(key) & set(words)) >= 0.5 * len(key) and any(sum(w in around for w in key) >= 0.5 * len(key) and decontaminate.common_subsequence(ws, around) >= 0.6 * len(ws) for s in starts for around in [words[max(0, s - len(ws)) : s + 20 + len(ws)]]):
+                want.append((x.doc_id, i))
+    assert set(got) <= set(want) and len(set(got)) >= 0.95 * len(set(want)) and len([g for g in got if g[0] >= 400]) == 2 * len({g for g in got if g[0] >= 400})
+    gated = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(both, bench).collect()}
+    assert len(gated & set(want)) >= 0.9 * len(set(want))
