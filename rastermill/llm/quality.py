@@ -10,10 +10,10 @@ from .common import SPACE, cut, table
 SYMBOLS = "[#*$%&|<>]"
 #: Thresholds of up to this many groups are broadcast, more are joined by shuffle.
 BROADCAST_GROUPS = 50_000
-#: feature -> (fence in interquartile ranges, least interquartile range, value from which a text can be an outlier at all)
-HIGH = {"symbols": (3.0, 0.0, 0.1), "dup_lines": (3.0, 0.0, 0.3), "repeats": (3.0, 0.0, 0.3), "word_len": (6.0, 0.1, 0.0)}
-LOW = {"word_len": (6.0, 0.1)}
-QUARTILES, ACCURACY = [0.25, 0.75], 10_000
+#: Quantiles sketched over all values of a feature, and over those above zero.
+ALL, SOME, ACCURACY = [0.25, 0.75], [0.05, 0.25, 0.75], 10_000
+#: Interquartile ranges from the upper (or lower) quartile to the fence.
+FENCE = {"symbols": 3.0, "dup_lines": 3.0, "repeats": 3.0, "word_len": 6.0}
 
 
 def with_features(docs: DataFrame, out: str = "features", text_col: str = "text") -> DataFrame:
@@ -49,26 +49,32 @@ def ratios(f: Column) -> dict[str, Column]:
 def thresholds(measured: DataFrame, features: str = "features", least_group: int = 100) -> DataFrame:
     """(lang, source, fences): bounds of every language and source, from sketches over rows that passed the base rules.
 
+    No bound is a constant. Word length: FENCE interquartile ranges beyond its quartiles. Duplicate lines and repeats,
+    which most texts lack: so many ranges above the upper quartile of the values above zero. Symbols: so many ranges
+    above the upper quartile of all values, or the 5 % quantile of the values above zero where that is more, so the
+    fence is low where symbols are rare and rises with their use in a source. A feature nobody shows has no bound.
     Groups of fewer than least_group such rows take their language's bounds, small languages those of all rows. The
     sketches are percentile_approx states: made where the rows are, merged after, of one size whatever a group holds.
     Null languages and sources are groups like others.
     """
-    q = {k: F.percentile_approx(k, QUARTILES, ACCURACY).alias(k) for k in HIGH}
     base = measured.select(F.coalesce("lang", F.lit("\0")).alias("lang"), F.coalesce("source", F.lit("\0")).alias("source"), F.col(features)["base_failed"].alias("failed"), *[c.alias(k) for k, c in ratios(F.col(features)).items()])
-    ok = [F.percentile_approx(F.when(~F.col("failed"), F.col(k)), QUARTILES, ACCURACY).alias(k) for k in q]
-    at = lambda *keys: base.groupBy(*keys).agg(F.count_if(~F.col("failed")).alias("n"), *ok)
+    ok = [F.percentile_approx(F.when(~F.col("failed"), F.col(k)), ALL, ACCURACY).alias(f"{k}_q") for k in FENCE]
+    some = [F.percentile_approx(F.when(~F.col("failed") & (F.col(k) > 0), F.col(k)), SOME, ACCURACY).alias(f"{k}_z") for k in FENCE if k != "word_len"]
+    at = lambda *keys: base.groupBy(*keys).agg(F.count_if(~F.col("failed")).alias("n"), *ok, *some)
     own, lang, every = at("lang", "source"), at("lang"), at()
     name = lambda df, p: df.select(*[F.col(c).alias(c if c in ("lang", "source") else f"{p}_{c}") for c in df.columns])
     both = name(own, "own").join(name(lang, "lang"), "lang").crossJoin(F.broadcast(name(every, "all")))  # the last is one row
     pick = lambda k: F.when(F.col("own_n") >= least_group, F.col(f"own_{k}")).when(F.col("lang_n") >= least_group, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}"))
-    iqr = lambda k, least: F.greatest(pick(k)[1] - pick(k)[0], F.lit(least))
-    high = [F.greatest(pick(k)[1] + fence * iqr(k, least), F.lit(floor)).alias(f"{k}_max") for k, (fence, least, floor) in HIGH.items()]
-    low = [(pick(k)[0] - fence * iqr(k, least)).alias(f"{k}_min") for k, (fence, least) in LOW.items()]
-    return both.select("lang", "source", F.struct(*high, *low).alias("fences"))
+    above = lambda q, low, high, fence: q[high] + fence * (q[high] - q[low])
+    high = {k: above(pick(f"{k}_z"), 1, 2, FENCE[k]) for k in ("dup_lines", "repeats")} | {"word_len": above(pick("word_len_q"), 0, 1, FENCE["word_len"])}
+    high["symbols"] = F.greatest(above(pick("symbols_q"), 0, 1, FENCE["symbols"]), pick("symbols_z")[0])
+    low = pick("word_len_q")[0] - FENCE["word_len"] * (pick("word_len_q")[1] - pick("word_len_q")[0])
+    return both.select("lang", "source", F.struct(*[high[k].alias(f"{k}_max") for k in FENCE], low.alias("word_len_min")).alias("fences"))
 
 
 def judge(measured: DataFrame, out: str = "kept", features: str = "features", least_group: int = 100) -> DataFrame:
-    """measured and a boolean column `out`: false where the base rules fail or a ratio lies beyond its group's fences."""
+    """measured (written before, see cut(): it is read twice) and a boolean column `out`: false where the base rules fail or a
+    ratio lies beyond its group's fences."""
     fences = cut(thresholds(measured, features, least_group), "fences")
     fences = fences.select(F.col("lang").alias(f"{out}_l"), F.col("source").alias(f"{out}_s"), F.col("fences").alias(f"{out}_f"))
     if fences.count() <= BROADCAST_GROUPS:
@@ -76,10 +82,9 @@ def judge(measured: DataFrame, out: str = "kept", features: str = "features", le
     on = (F.coalesce("lang", F.lit("\0")) == F.col(f"{out}_l")) & (F.coalesce("source", F.lit("\0")) == F.col(f"{out}_s"))
     x, f = ratios(F.col(features)), F.col(f"{out}_f")
     inside = ~F.col(features)["base_failed"]
-    for k in HIGH:
+    for k in FENCE:
         inside &= F.coalesce(x[k] <= f[f"{k}_max"], F.lit(True))
-    for k in LOW:
-        inside &= F.coalesce(x[k] >= f[f"{k}_min"], F.lit(True))
+    inside &= F.coalesce(x["word_len"] >= f["word_len_min"], F.lit(True))
     return measured.join(fences, on, "left").withColumn(out, inside).drop(f"{out}_l", f"{out}_s", f"{out}_f")
 
 
@@ -115,19 +120,17 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 
 
 def _quantiles(keys: str) -> str:
-    q = ", ".join(f"quantile_disc(x{k}, {p}) FILTER (WHERE NOT base_failed) AS q{k}_{int(100 * p)}" for k in range(1, 5) for p in QUARTILES)
-    return f"SELECT {keys + ', ' if keys else ''}count(*) FILTER (WHERE NOT base_failed) AS n, {q} FROM b" + (f" GROUP BY {keys}" if keys else "")
+    q = [f"quantile_disc(x{k}, {p}) FILTER (WHERE NOT base_failed) AS q{k}_{int(100 * p)}" for k in range(1, 5) for p in ALL]
+    q += [f"quantile_disc(x{k}, {p}) FILTER (WHERE NOT base_failed AND x{k} > 0) AS z{k}_{int(100 * p)}" for k in range(1, 4) for p in SOME]
+    return f"SELECT {keys + ', ' if keys else ''}count(*) FILTER (WHERE NOT base_failed) AS n, {', '.join(q)} FROM b" + (f" GROUP BY {keys}" if keys else "")
 
 
 def _verdict() -> str:
-    pick = lambda k, p: f"CASE WHEN own.n >= 100 THEN own.q{k}_{p} WHEN lang.n >= 100 THEN lang.q{k}_{p} ELSE every.q{k}_{p} END"
-    tests = ["NOT base_failed"]
-    for k, (name, (fence, least, floor)) in enumerate(HIGH.items(), 1):
-        iqr = f"greatest(({pick(k, 75)}) - ({pick(k, 25)}), {least}::DOUBLE)"
-        tests.append(f"coalesce(x{k} <= greatest(({pick(k, 75)}) + {fence}::DOUBLE * {iqr}, {floor}::DOUBLE), true)")
-        if name in LOW:
-            tests.append(f"coalesce(x{k} >= ({pick(k, 25)}) - {fence}::DOUBLE * {iqr}, true)")
-    return " AND ".join(tests)
+    pick = lambda q: f"(CASE WHEN own.n >= 100 THEN own.{q} WHEN lang.n >= 100 THEN lang.{q} ELSE every.{q} END)"
+    above = lambda q, k, fence: f"{pick(f'{q}{k}_75')} + {fence}::DOUBLE * ({pick(f'{q}{k}_75')} - {pick(f'{q}{k}_25')})"
+    low = f"{pick('q4_25')} - {FENCE['word_len']}::DOUBLE * ({pick('q4_75')} - {pick('q4_25')})"
+    high = [f"greatest({above('q', 1, FENCE['symbols'])}, {pick('z1_5')})", above("z", 2, FENCE["dup_lines"]), above("z", 3, FENCE["repeats"]), above("q", 4, FENCE["word_len"])]
+    return " AND ".join(["NOT base_failed", *(f"coalesce(x{k} <= {h}, true)" for k, h in enumerate(high, 1)), f"coalesce(x4 >= {low}, true)"])
 
 
 KEPT_SQL = f"""WITH {FEATURES_SQL}, own AS ({_quantiles('lang, source')}), lang AS ({_quantiles('lang')}), every AS ({_quantiles('')})

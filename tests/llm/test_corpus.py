@@ -400,3 +400,16 @@ def test_leaks_equal_a_search_of_every_window(spark, docs):
     assert set(got) <= set(want) and len(set(got)) >= 0.95 * len(set(want)) and len([g for g in got if g[0] >= 400]) == 2 * len({g for g in got if g[0] >= 400})
     gated = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(both, bench).collect()}
     assert len(gated & set(want)) >= 0.9 * len(set(want))
+
+
+def test_fences_follow_language_and_source(spark):
+    """The same text is kept where such texts are usual and rejected where they are not; nothing but the fences decides."""
+    r = random.Random(2)
+    code = lambda k: " ".join(w + (" &" if r.random() < 0.3 else "") for w in prose(k, 150).split())
+    same = code(1)
+    rows = [(k, code(k), "en", "code") for k in range(200)] + [(1000 + k, prose(k, 150), "en", "plain") for k in range(200)] + [(1, same, "en", "code"), (2000, same, "en", "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = common.cut(quality.with_features(docs))
+    got = {(x.doc_id, x.source): x.kept for x in quality.judge(measured, least_group=50).filter("NOT features.base_failed").collect()}
+    assert got[1, "code"] and not got[2000, "plain"]
+    assert sum(not v for (_, s), v in got.items() if s == "code") <= 4 and sum(not v for (_, s), v in got.items() if s == "plain") <= 4
