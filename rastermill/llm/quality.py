@@ -11,7 +11,7 @@ SYMBOLS = "[#*$%&|<>]"
 #: Thresholds of up to this many groups are broadcast, more are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 #: Quantiles sketched over all values of a feature, and over those above zero.
-ALL, SOME, ACCURACY = [0.25, 0.75], [0.05, 0.25, 0.75], 10_000
+ALL, SOME, ACCURACY = [0.25, 0.75], [0.05, 0.75], 10_000
 #: Interquartile ranges from the upper (or lower) quartile to the fence.
 FENCE = {"symbols": 3.0, "dup_lines": 3.0, "repeats": 3.0, "word_len": 6.0}
 
@@ -50,7 +50,7 @@ def thresholds(measured: DataFrame, features: str = "features", least_group: int
     """(lang, source, fences): bounds of every language and source, from sketches over rows that passed the base rules.
 
     No bound is a constant. Word length: FENCE interquartile ranges beyond its quartiles. Duplicate lines and repeats,
-    which most texts lack: so many ranges above the upper quartile of the values above zero. Symbols: so many ranges
+    which most texts lack: so many times the upper quartile of the values above zero, beyond it. Symbols: so many ranges
     above the upper quartile of all values, or the 5 % quantile of the values above zero where that is more, so the
     fence is low where symbols are rare and rises with their use in a source. A feature nobody shows has no bound.
     Groups of fewer than least_group such rows take their language's bounds, small languages those of all rows. The
@@ -66,7 +66,7 @@ def thresholds(measured: DataFrame, features: str = "features", least_group: int
     both = name(own, "own").join(name(lang, "lang"), "lang").crossJoin(F.broadcast(name(every, "all")))  # the last is one row
     pick = lambda k: F.when(F.col("own_n") >= least_group, F.col(f"own_{k}")).when(F.col("lang_n") >= least_group, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}"))
     above = lambda q, low, high, fence: q[high] + fence * (q[high] - q[low])
-    high = {k: above(pick(f"{k}_z"), 1, 2, FENCE[k]) for k in ("dup_lines", "repeats")} | {"word_len": above(pick("word_len_q"), 0, 1, FENCE["word_len"])}
+    high = {k: pick(f"{k}_z")[1] + FENCE[k] * pick(f"{k}_z")[1] for k in ("dup_lines", "repeats")} | {"word_len": above(pick("word_len_q"), 0, 1, FENCE["word_len"])}
     high["symbols"] = F.greatest(above(pick("symbols_q"), 0, 1, FENCE["symbols"]), pick("symbols_z")[0])
     low = pick("word_len_q")[0] - FENCE["word_len"] * (pick("word_len_q")[1] - pick("word_len_q")[0])
     return both.select("lang", "source", F.struct(*[high[k].alias(f"{k}_max") for k in FENCE], low.alias("word_len_min")).alias("fences"))
@@ -128,8 +128,9 @@ def _quantiles(keys: str) -> str:
 def _verdict() -> str:
     pick = lambda q: f"(CASE WHEN own.n >= 100 THEN own.{q} WHEN lang.n >= 100 THEN lang.{q} ELSE every.{q} END)"
     above = lambda q, k, fence: f"{pick(f'{q}{k}_75')} + {fence}::DOUBLE * ({pick(f'{q}{k}_75')} - {pick(f'{q}{k}_25')})"
+    beyond = lambda k, fence: f"{pick(f'z{k}_75')} + {fence}::DOUBLE * {pick(f'z{k}_75')}"
     low = f"{pick('q4_25')} - {FENCE['word_len']}::DOUBLE * ({pick('q4_75')} - {pick('q4_25')})"
-    high = [f"greatest({above('q', 1, FENCE['symbols'])}, {pick('z1_5')})", above("z", 2, FENCE["dup_lines"]), above("z", 3, FENCE["repeats"]), above("q", 4, FENCE["word_len"])]
+    high = [f"greatest({above('q', 1, FENCE['symbols'])}, {pick('z1_5')})", beyond(2, FENCE["dup_lines"]), beyond(3, FENCE["repeats"]), above("q", 4, FENCE["word_len"])]
     return " AND ".join(["NOT base_failed", *(f"coalesce(x{k} <= {h}, true)" for k, h in enumerate(high, 1)), f"coalesce(x4 >= {low}, true)"])
 
 
