@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in [PATTERNS["email"], PATTERNS["date"], PATTERNS["ssn"], PATTERNS["ip"], PATTERNS["phone"], PATTERNS["card"]])
 USUAL = r"^(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})[ -]?$"
 OTHER = "|".join(f"(?:{PATTERNS[p]})" for p in ["date", "ssn", "ip", "phone"])
-KEY = "rastermill"
+#: Spark setting that holds the secret key of op8 and the pipeline; unset, each run draws one and its values link within it.
+KEY_SETTING = "spark.rastermill.pseudonym.key"
+#: First serials of social security numbers: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
+SSN = r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
 
 
 def _digest(key: str, kind: str, i: Column, x: Column) -> Column:
@@ -95,8 +100,13 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    n = permute(_digits(m).cast("long"), F.lit(100_000), F.lit(10_000), key, "ssn")
-    return _refill(m, F.lpad(n.cast("string"), 9, "0"))
+    """Permuted among the numbers that can be issued (see SSN); others stay."""
+    d, many = _digits(m), 99 * 9999
+    area, group, serial = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 2).cast("long"), F.substring(d, 6, 4).cast("long")
+    n = permute((area - F.when(area > 666, 2).otherwise(1)) * many + (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(many), key, "ssn")
+    at = F.floor(n / many)
+    spread = lambda v, at: F.concat(F.lpad((at + F.when(at >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.floor(v % many / 9999) + 1).cast("string"), 2, "0"), F.lpad((v % 9999 + 1).cast("string"), 4, "0"))
+    return F.when(m.rlike(SSN), _refill(m, spread(n, at))).otherwise(m)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -131,7 +141,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["l"], s["r"])), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of OTHER or an e-mail address, or the match itself if it isn't valid for its kind."""
     whole = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
     return (
@@ -181,13 +191,21 @@ def _values(m: Column, key: str) -> Column:
     return F.when(m.rlike(f"^(?:{PATTERNS['card']})$") & ~m.rlike(f"^(?:{OTHER})$"), whole).otherwise(pair(new, new != m))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def secret_key(spark: SparkSession) -> str:
+    """The key of KEY_SETTING, or a new random one where it is unset."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with personal values in `text_col` replaced; with count_col also how many values were replaced.
 
     Kinds: e-mail addresses, payment cards (Luhn), IPv4 addresses (octets up to 255), North American telephone numbers,
     social security numbers, dates from 1900 to 2100 (a calendar's days). Equal values get equal pseudonyms in every
-    document, different values of a format different ones, and separators stay; numbers and dates that are not valid stay. Each
-    text is cut at the matches, whole and within its row: no shuffle. Null texts stay null; other columns stay.
+    document, different values of a format different ones, and separators stay; numbers and dates that are not valid stay
+    (social security numbers of areas 000, 666 and 9xx, group 00 or serial 0000 among them). The caller owns the key: it
+    undoes the pseudonyms. The local part of an address is permuted in lower case, its domain stays. Each
+    text, however long, is cut at the matches, whole and within its row: no shuffle. Null and empty texts stay; repeated
+    rows are treated each; an empty table gives an empty one; other columns stay, whatever their names.
     """
     text = F.col(text_col)
     found, parts, new = (f"{text_col}_{x}_{'x' * max(map(len, docs.columns))}" for x in ("found", "parts", "new"))
@@ -202,4 +220,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in their texts: doc_id, text, n_values."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_values")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_key(spark), count_col="n_values")

@@ -20,6 +20,10 @@ INDEX = "page_id long, url string, file string, offset long, length long, record
 RECORD = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
+#: Up to this many digests (100 bytes each) go to every task.
+BROADCAST_DIGESTS = 500_000
+
+
 def store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}")
 
@@ -29,14 +33,17 @@ def with_record_types(pages: DataFrame, least: int = 100) -> DataFrame:
 
     Of rows with equal html of at least `least` bytes, that with the smallest page_id is a response and others revisit
     it; of repeated rows with that page_id all are responses. A null page_id comes last; where all are null, all are
-    responses. Null html is an empty payload. Digests are counted before they are shuffled and only groups of two or
-    more are joined back, so a frequent page is one row of the small side.
+    responses. Null html is an empty payload. Only digests are shuffled, counted before; those of two or more pages are
+    joined back by broadcast up to BROADCAST_DIGESTS of them, so payloads stay where they are, beyond that by shuffle.
+    Html of any length is one payload; other columns play no part.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("payload_digest", F.sha2("payload", 256))
     groups = p.filter(F.octet_length("payload") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    groups = cut(groups.filter("n > 1").drop("n"), "repeated")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_DIGESTS else groups
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return p.join(groups.filter("n > 1").drop("n"), "payload_digest", "left").select(
+    return p.join(groups, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to")
     )
 
@@ -104,9 +111,10 @@ def read_records(selected: DataFrame, gap: int = 64 << 10, most: int = 4 << 20)
     """Read the records of index rows back: RECORD, payload length and digest computed from the bytes read.
 
     Rows of one file are sorted by offset; neighbours closer than `gap` bytes in the same stretch of `most` bytes become
-    one read, so a task holds `most` bytes and one record beyond. A revisit's length is that of the response it refers to.
+    one read, so a task holds `most` bytes and one record beyond. Stretches are dealt out by the bytes to read. A revisit's length is that of the response it refers to.
     """
-    stretch = selected.withColumn("stretch", F.floor(F.col("offset") / most)).groupBy("folder", "file", "stretch").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+    n = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // (2 * most)))  # tasks by the bytes they will read
+    stretch = selected.withColumn("stretch", F.floor(F.col("offset") / most)).groupBy("folder", "file", "stretch").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges")).repartition(n)
 
     def run(batches):
         for b in batches:

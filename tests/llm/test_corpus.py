@@ -212,7 +212,7 @@ def test_leaks(spark, docs, empty):
 def test_pseudonyms(spark, empty):
     text = "Mail bob.42@mail.example.com or +1 (988) 555-2485, card 4111 1111 1111 1111 not 4111111111111112, ip 10.20.30.40 not 300.1.1.1, born 1999-02-28 not 1999-02-30, ssn 123-45-6789, bob.42@mail.example.com."
     rows = [(1, text, "en"), (2, "4111111111111111", "en"), (3, None, "en"), (4, "no values", "en"), (5, "", "en")]
-    got = {x.doc_id: x for x in pii.pseudonymise(table(spark, rows), count_col="n").collect()}
+    got = {x.doc_id: x for x in pii.pseudonymise(table(spark, rows), "k", count_col="n").collect()}
     new = got[1].text
     for old in ("bob.42@", "988) 555", "4111 1111 1111 1111", "10.20.30.40", "1999-02-28", "123-45-6789"):
         assert old not in new
@@ -224,7 +224,7 @@ def test_pseudonyms(spark, empty):
     luhn = sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(card)))
     assert luhn % 10 == 0 and got[2].text == card
     assert got[1].n == 7 and got[3].text is None and got[4].text == "no values" and got[5].text == "" and got[4].n == 0
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, "k").count() == 0
 
 
 def test_permutation_is_one_to_one(spark):
@@ -357,7 +357,7 @@ def test_leaks_of_frequent_and_long_items(spark):
 def test_cards_among_other_numbers(spark):
     card = "4111 1111 1111 1111"
     texts = [f"card {card} 12/27", f"card {card} 123.", f"qty 3 {card}", f"{card} {card} 7", f"no {card[:-1]}2 or", f"12 123-45-6789 {card} x"]
-    got = [(x.text, x.n) for x in pii.pseudonymise(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), count_col="n").orderBy("doc_id").collect()]
+    got = [(x.text, x.n) for x in pii.pseudonymise(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), "k", count_col="n").orderBy("doc_id").collect()]
     new = re.search(r"\d{4}(?: \d{4}){3}", got[0][0])[0]
     assert new != card and [n for _, n in got] == [1, 1, 1, 2, 0, 2]
     assert [t for t, _ in got[:5]] == [t.replace(card, new) for t in texts[:5]]
@@ -413,3 +413,12 @@ def test_fences_follow_language_and_source(spark):
     got = {(x.doc_id, x.source): x.kept for x in quality.judge(measured, least_group=50).filter("NOT features.base_failed").collect()}
     assert got[1, "code"] and not got[2000, "plain"]
     assert sum(not v for (_, s), v in got.items() if s == "code") <= 4 and sum(not v for (_, s), v in got.items() if s == "plain") <= 4
+
+
+def test_social_security_numbers_stay_valid(spark):
+    rows = [(k, f"{a:03d}-{g:02d}-{n:04d}", "en") for k, (a, g, n) in enumerate([(1, 1, 1), (665, 99, 9999), (667, 1, 1), (899, 99, 9999), (0, 10, 10), (666, 10, 10), (900, 10, 10), (5, 0, 5), (5, 5, 0)])]
+    rows.append((1, "long " * 50_000 + "665-99-9999", "en"))
+    got = [x.text for x in pii.pseudonymise(table(spark, rows).withColumn("text_found", F.lit("mine")), "k").orderBy("doc_id", F.length("text")).collect()]
+    new = [got[0], got[1], *got[3:]]
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) and x != t for x, (_, t, _) in zip(new[:4], rows)) and new[4:] == [t for _, t, _ in rows[4:9]]
+    assert got[2].endswith(got[1]) and len({*new[:4]}) == 4
