@@ -18,10 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that with the smallest doc_id. Rows without a doc_id stay."""
-    classes = cut(minhash.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    """One document of each near-duplicate class: that with the smallest doc_id. Texts without words and other texts with
+    the same doc_id stay."""
+    return minhash.near_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts and n_chars of the new text."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.secret_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -39,6 +39,12 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key(text):
+    """16 bytes that texts share if they have the same words in the same order (lower case); null for a text without words."""
+    words = F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
+    return F.when(words != "", F.unhex(F.md5(words.cast("binary"))))
+
+
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
