@@ -453,3 +453,32 @@ def test_near_duplicates_against_all_pairs(spark):
     recall = sum(got[a] == got[b] for a, b in links) / len(links)
     print("recall of links", recall, len(links))
     assert recall >= 0.95 and all(got[a] // 100 == a // 100 for a in got)
+
+
+def test_passages_of_repeated_rows_and_of_several_texts_of_an_id(spark):
+    one, two = prose(1, 90), prose(2, 80)
+    rows = [(0, one, "en"), (2, two + " " + prose(5, 40), "en"), (3, one, "en"), (3, prose(6, 40) + " " + two, "en")]
+    for times in (1, 2):
+        got = substring_dedup.repeated_passages(table(spark, rows * times)).collect()
+        assert sorted((x.doc_id, x.other_doc_id) for x in got) == [(0, 3), (2, 3), (3, 0), (3, 2)]
+
+
+def test_passages_against_all_pairs(spark):
+    """Every pair of texts that share an exact run of 50 words is linked, at least through a third text."""
+    r = random.Random(12)
+    shared = {k: prose(700 + k, 60) for k in range(12)}
+    rows, holds = [], {}
+    for k in range(150):
+        holds[k] = r.sample(range(12), r.choice([0, 1, 1, 2]))
+        rows.append((k, " ".join([prose(2000 + k, 50), *(x for j in holds[k] for x in (shared[j], prose(4000 + 20 * k + j, 30)))]), "en"))
+    links = {(x.doc_id, x.other_doc_id) for x in substring_dedup.repeated_passages(table(spark, rows)).collect()}
+    for j in range(12):
+        members = {k for k in holds if j in holds[k]}
+        reached, todo = {min(members)}, [min(members)]
+        while todo:
+            new = {y for x, y in links if x == todo[-1]} & members - reached
+            todo.pop()
+            reached |= new
+            todo += new
+        assert len(reached) >= 0.9 * len(members), (j, len(reached), len(members))
+    assert all(set(holds[a]) & set(holds[b]) for a, b in links)
