@@ -40,9 +40,9 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
 
 
 def text_key(text):
-    """16 bytes that texts share if they have the same words in the same order (lower case); null for a text without words."""
-    words = F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
-    return F.when(words != "", F.unhex(F.md5(words.cast("binary"))))
+    """16 bytes that equal texts share; null for a text without words. Texts that differ in case or white space alone have
+    keys of their own and are found to be alike by their shingles."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text.cast("binary"))))
 
 
 def remainder(doc_id, n: int):
