@@ -102,46 +102,52 @@ def suffix_tree(words: DataFrame, depth: int = 6, least_share: float = 2e-6, lea
 
 
 class Scorer:
-    """log10 probability of a word: each symbol by the longest retained suffix of what came before, smoothed by the
-    shorter ones (Witten-Bell) down to a uniform byte."""
+    """log10 probability of words: each symbol by the longest retained suffix of what came before, smoothed by the
+    shorter ones (Witten-Bell) down to a uniform byte. The tree is sorted arrays by depth: all symbols of a batch of words
+    are looked up together, equal (context, symbol) pairs once."""
 
     def __init__(self, tree: dict[tuple[int, int], dict[int, int]], depth: int):
-        self.depth = depth
-        self.tree = {k: (v, sum(v.values()), len(v)) for k, v in tree.items()}
-        self.known: dict[tuple[int, int, int], float] = {}
-
-    def probability(self, d: int, ctx: int, sym: int) -> float:
-        if d < 0:
-            return 1 / 256
-        if (p := self.known.get((d, ctx, sym))) is None:
-            node = self.tree.get((d, ctx))
-            lower = self.probability(d - 1, ctx & ((1 << 8 * max(d - 1, 0)) - 1), sym)
-            p = lower if node is None else (node[0].get(sym, 0) + node[2] * lower) / (node[1] + node[2])
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[d, ctx, sym] = p
+        self.depth, self.levels = depth, []
+        for d in range(depth + 1):
+            nodes = sorted((ctx, sum(v.values()), len(v)) for (k, ctx), v in tree.items() if k == d)
+            edges = sorted((ctx << 8 | sym, n) for (k, ctx), v in tree.items() if k == d for sym, n in v.items())
+            self.levels.append([*(np.array(x, np.int64) for x in zip(*nodes)), *(np.array(x, np.int64) for x in zip(*edges))] if nodes else None)
+
+    def probability(self, ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """Of each symbol after its `depth` bytes (packed, the last byte lowest)."""
+        p = np.full(len(ctx), 1 / 256)
+        for d, level in enumerate(self.levels):
+            if level is None:
+                break
+            at, total, kinds, edges, n = level
+            own = ctx & ((1 << 8 * d) - 1)
+            k = np.searchsorted(at, own).clip(max=len(at) - 1)
+            e = np.searchsorted(edges, own << 8 | sym).clip(max=len(edges) - 1)
+            new = (np.where(edges[e] == own << 8 | sym, n[e], 0) + kinds[k] * p) / (total[k] + kinds[k])
+            p = np.where(at[k] == own, new, p)  # retained contexts are closed under suffixes
         return p
 
-    def word(self, word: bytes) -> float:
-        ctx, top, total = 0, (1 << 8 * self.depth) - 1, 0.0
-        for _ in range(self.depth):
-            ctx = ctx << 8 | STOP
-        for sym in (*word, STOP):
-            d = self.depth  # retained contexts are closed under suffixes, so the longest one is found from below
-            k = 0
-            while k < d and (k + 1, ctx & ((1 << 8 * (k + 1)) - 1)) in self.tree:
-                k += 1
-            total += math.log10(self.probability(k, ctx & ((1 << 8 * k) - 1), sym))
-            ctx = (ctx << 8 | sym) & top
-        return total
-
-
-def pair_counts(texts: DataFrame, known: Broadcast, flush: int = 4_000_000) -> DataFrame:
-    """(key long, n long): how often the symbol key % size follows the symbol key // size, both among `known` words or the
-    text's end, which also stands before its first word; size = known words + 1. Tasks count in bounded buffers first."""
+    def words(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.empty(0)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        flat = np.frombuffer(b"".join(b"\x20" * self.depth + w + b"\x20" for w in words), np.uint8).astype(np.int64)
+        pos = np.arange(sizes.sum()) + self.depth * np.repeat(np.arange(1, len(words) + 1), sizes)
+        key = np.zeros(len(pos), np.int64)
+        for j in range(self.depth, -1, -1):
+            key = key << 8 | flat[pos - j]
+        key, back = np.unique(key, return_inverse=True)
+        logs = np.log10(self.probability(key >> 8, key & 255))
+        return np.add.reduceat(logs[back], np.cumsum(sizes) - sizes)
+
+
+def next_counts(texts: DataFrame, known: Broadcast, contexts: Broadcast, flush: int = 4_000_000) -> DataFrame:
+    """(key long, n long): how often the symbol key % size follows the context key // size, the longest kind of context that
+    `contexts` has numbers for (see WordContexts.at()); symbols are the `known` words and the text's end, which also stands
+    before its first word; size = known words + 1. Tasks count in bounded buffers before anything is shuffled."""
 
     def run(batches):
-        get, end = known.value.get, len(known.value)
+        get, tree, end = known.value.get, contexts.value, len(known.value)
         parts, held = [], 0
 
         def out():
@@ -152,9 +158,11 @@ def pair_counts(texts: DataFrame, known: Broadcast, flush: int = 4_000_000) -> D
         for b in batches:
             for text in b.column(0):
                 words = (text.as_py() or "").encode().lower().split()
-                ids = np.array([end, *[get(w, -1) for w in words], end], np.int64)
-                parts.append((ids[:-1] * (end + 1) + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)])
-                held += len(words) + 1
+                ids = np.array([*[get(w, -1) for w in words], end], np.int64)
+                at = tree.at(ids)[-1]
+                ok = (at >= 0) & (ids >= 0)
+                parts.append(at[ok] * (end + 1) + ids[ok])
+                held += len(ids)
                 if held >= flush:
                     yield out()
                     held = 0
@@ -165,53 +173,104 @@ def pair_counts(texts: DataFrame, known: Broadcast, flush: int = 4_000_000) -> D
 
 
 class WordContexts:
-    """Next-word states after one word: the retained pairs and, for each context, the share that goes to the root.
+    """Next-word states after the last one, two, three ... words: contexts that grow by one word a level.
 
-    A context stays if what follows it diverges from the root: n times the Kullback-Leibler divergence over its
-    retained pairs is at least `least_gain` nats for each of them. Pairs that are not retained, and one count for each
-    retained one (Witten-Bell), go to the root's distribution, so the probabilities after a context add up to 1.
+    A context stays if what follows it diverges from what its own suffix, a word shorter, says: n times the
+    Kullback-Leibler divergence over its counted followers is at least `least_gain` nats for each of them. Followers that
+    are not counted, and one count for each that is (Witten-Bell), go to the shorter context, down to the root, so the
+    probabilities after a context add up to 1. Contexts of the next level are the counted (context, follower) pairs.
     """
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, totals: np.ndarray, root: np.ndarray, least_gain: float):
-        size = len(root)
+    def __init__(self, totals: np.ndarray, root: np.ndarray):
+        self.size, self.root, self.plain = len(root), root, 10.0**root
+        self.totals, self.levels = totals, []  # of the contexts that the next level is about
+
+    def at(self, ids: np.ndarray) -> list[np.ndarray]:
+        """By level, the number of the context before each symbol, -1 where there is none; one level more than counted."""
+        out = [np.concatenate((ids[-1:], ids[:-1]))]  # the end stands before the first word
+        for key, _, _ in self.levels:
+            found = np.full(len(ids), -1)
+            before, last = out[-1][:-1], ids[:-1]
+            ok = (before >= 0) & (last >= 0)
+            want = before * self.size + last
+            k = np.searchsorted(key, want).clip(max=max(len(key) - 1, 0))
+            if len(key):
+                found[1:] = np.where(ok & (key[k] == want), k, -1)
+            out.append(found)
+        return out
+
+    def probabilities(self, ids: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+        """Of each symbol; of one not known (-1) the share that its contexts leave to the root."""
+        p = np.where(ids >= 0, self.plain[ids], 1.0)
+        for before, (key, share, left) in zip(at, self.levels):
+            there = before >= 0
+            p = np.where(there, left[before] * p, p)
+            if len(key):
+                want = before * self.size + ids
+                k = np.searchsorted(key, want).clip(max=len(key) - 1)
+                p += np.where(there & (ids >= 0) & (key[k] == want), share[k], 0.0)
+        return p
+
+    def grow(self, key: np.ndarray, n: np.ndarray, least_gain: float) -> None:
+        """Add a level: n times the symbol key % size followed the context key // size of the last level."""
         order = np.argsort(key)
         key, n = key[order], n[order].astype(np.float64)
-        before, after = key // size, key % size
-        kinds = np.bincount(before, minlength=size)
-        gain = np.bincount(before, n * (np.log(n / totals[before]) - math.log(10) * root[after]), size)
+        before, after = key // self.size, key % self.size
+        m, totals = len(self.totals), np.maximum(self.totals, 1)
+        lower = self.plain[after]  # what the shorter contexts say: those that end like this one
+        chain = self._suffixes(before)
+        for back, (k, share, left) in zip(chain, self.levels):
+            want = back * self.size + after
+            j = np.searchsorted(k, want).clip(max=max(len(k) - 1, 0))
+            hit = np.where((back >= 0) & (k[j] == want), share[j], 0.0) if len(k) else 0.0
+            lower = np.where(back >= 0, left[back] * lower, lower) + hit
+        kinds, kept = np.bincount(before, minlength=m), np.bincount(before, n, m)
+        gain = np.bincount(before, n * np.log(n / totals[before] / lower), m)
         stays = (kinds > 0) & (gain >= least_gain * kinds)
-        kept = np.bincount(before, n, size)
-        self.root, self.plain = root, 10.0**root
-        self.to_root = np.where(stays, (totals - kept + kinds) / (totals + kinds).clip(1), 1.0)
-        self.log_to_root = np.log10(self.to_root)
-        self.key = key[stays[before]]
-        self.share = (n / (totals[before] + kinds[before]))[stays[before]]
+        left = np.where(stays, (np.maximum(totals - kept, 0) + kinds) / np.maximum(np.maximum(totals, kept) + kinds, 1), 1.0)
+        share = np.where(stays[before], n / (np.maximum(totals, kept)[before] + kinds[before]), 0.0)
+        self.levels.append((key, share, left))
+        self.totals = n
+
+    def _suffixes(self, number: np.ndarray) -> list[np.ndarray]:
+        """By level below the last, the numbers of the contexts that end like the given ones of the last level."""
+        if not self.levels:
+            return []
+        words = []  # of the context, the last first
+        at = number
+        for key, _, _ in reversed(self.levels):
+            words.append(key[at] % self.size if len(key) else at)
+            at = key[at] // self.size if len(key) else at
+        words.append(at)
+        out = [words[0]]
+        for d in range(1, len(self.levels)):  # the context of the last d + 1 words, found from its first word on
+            c = words[d]
+            for j, (key, _, _) in zip(range(d - 1, -1, -1), self.levels):
+                want = c * self.size + words[j]
+                k = np.searchsorted(key, want).clip(max=max(len(key) - 1, 0))
+                c = np.where((c >= 0) & (key[k] == want), k, -1) if len(key) else np.full(len(c), -1)
+            out.append(c)
+        return out
 
     def score(self, ids: np.ndarray) -> float:
-        """log10 probability of symbols, the end last; of those not known (-1) only what their context leaves to the root."""
-        before = np.concatenate((ids[-1:], ids[:-1]))
-        known, led = ids >= 0, before >= 0
-        total = float(self.root[ids[known & ~led]].sum() + self.log_to_root[before[led & ~known]].sum())
-        before, ids = before[known & led], ids[known & led]
-        p = self.to_root[before] * self.plain[ids]
-        if len(self.key):
-            key = before * len(self.root) + ids
-            at = np.searchsorted(self.key, key).clip(max=len(self.key) - 1)
-            p += np.where(self.key[at] == key, self.share[at], 0.0)
-        return total + float(np.log10(p).sum())
-
-
-def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, least_gain: float = 1.0, frequent: float = 5e-6, pair_share: float = 5e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """log10 probability of symbols, the end last; of those not known (-1) only what their contexts leave to the root."""
+        return float(np.log10(self.probabilities(ids, self.at(ids))).sum())
+
+
+def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, least_gain: float = 1.0, frequent: float = 2e-6, least_count: int = 3, follower_share: float = 1e-7, most_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows whose `train` holds.
 
     Words are white-space runs, lower case A-Z, and each row ends with one end token. At the root of the tree a whole
     word is one symbol: its count, smoothed (Witten-Bell) by the product of its bytes' probabilities, each by the longest
-    retained suffix of the bytes before; going on and ending follow their counts. Above the root, the word before (or the
-    text's start) is a context: see WordContexts. Base is the unigram score with ADD.
+    retained suffix of the bytes before; going on and ending follow their counts. Above the root, the last one to
+    most_words words (or the text's start) are contexts, the longest that diverge from their suffixes: see WordContexts.
+    Base is the unigram score with ADD.
     Counts, vocabulary and tree cover all training rows. Words that make up `frequent` of the training tokens (at most
     1 / frequent of them) go to tasks as a broadcast; rarer ones meet their counts in a join by word, so no word's group
-    is large there. Contexts are frequent words, and their pairs with frequent words stay if they make up `pair_share` of the
-    training tokens, so at most 1 / pair_share pairs reach the driver and the tasks. Null text is empty; null ids stay null; repeated rows are scored each; an empty table, or one
+    is large there. A follower of a context is counted from least_count occurrences on, so what is gathered grows with the
+    input, up to the bound of what the driver and tasks hold: followers that make up less than follower_share of the
+    training tokens are left out, at most 1 / follower_share a level. Null text is empty, very long ones are scored whole;
+    null ids stay null; repeated rows are scored each and counted each; an empty table, or one
     without training rows, gives defined results (everything unknown); other columns play no part.
     """
     spark = docs.sparkSession
@@ -229,16 +288,19 @@ def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, leas
     def score_words(batches):
         scorer = Scorer(*model.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([scorer.word(w) for w in b.column(0).to_pylist()], pa.float64())], names=["word", "n_train", "tree"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scorer.words(b.column(0).to_pylist()), pa.float64())], names=["word", "n_train", "tree"])
 
     vocabulary = counts.mapInArrow(score_words, "word binary, n_train long, tree double")
     root = F.log10((F.col("n_train") + kinds * F.pow(F.lit(10.0), F.col("tree"))) / (n - ends + kinds)) + go_on
     vocabulary = cut(vocabulary.withColumns({"base": F.log10(F.col("n_train") + ADD) - below, "tree": root}), "vocabulary")
     common = [(bytes(r.word), r.n_train, r.base, r.tree) for r in vocabulary.filter(F.col("n_train") >= max(1.0, frequent * n)).toLocalIterator()] if n else []
     known_b = spark.sparkContext.broadcast({w: k for k, (w, *_) in enumerate(common)})
-    pairs = pair_counts(docs.filter("train").select("text"), known_b).filter(F.col("n") >= pair_share * n).toArrow()
     totals, base, root = (np.array([*(c[k] for c in common), last], float) for k, last in ((1, ends), (2, math.log10(ends + ADD) - below), (3, stop)))
-    contexts = WordContexts(pairs["key"].to_numpy(), pairs["n"].to_numpy(), totals, root, least_gain)
+    contexts = WordContexts(totals, root)
+    for _ in range(most_words):
+        so_far = spark.sparkContext.broadcast(contexts)
+        counted = next_counts(docs.filter("train").select("text"), known_b, so_far).filter(F.col("n") >= max(least_count, follower_share * n)).toArrow()
+        contexts.grow(counted["key"].to_numpy(), counted["n"].to_numpy(), least_gain)
     contexts_b = spark.sparkContext.broadcast((contexts, base))
     names = ["row", "key", "id", "train", "n_tokens", "n_known", "base", "tree", "times"]
     id_kind = docs.schema["id"].dataType.simpleString()

@@ -253,20 +253,40 @@ def test_suffix_tree_scores(spark, docs, empty):
 
 def test_spelling_probabilities_add_up():
     s = suffix_tree.Scorer({(0, 0): {97: 5, 98: 3, 32: 4}, (1, 97): {98: 4, 32: 1}}, 3)
-    for d, ctx in ((0, 0), (1, 97)):
-        assert abs(sum(s.probability(d, ctx, b) for b in range(256)) - 1) < 1e-9
+    after = lambda ctx, sym: s.probability(np.array(ctx), np.array(sym))
+    for ctx in (0x202020, 0x202061, 0x616162):
+        assert abs(after([ctx] * 256, range(256)).sum() - 1) < 1e-9
+    assert abs(after([0x202061], [98])[0] - (4 + 2 * (3 + 3 / 256) / 15) / 7) < 1e-12
+    one = [s.words([w])[0] for w in (b"ab", b"b", b"aab")]
+    assert np.allclose(s.words([b"ab", b"b", b"aab"]), one) and abs(one[1] - np.log10(after([0x202020, 0x202062], [98, 32])).sum()) < 1e-9
 
 
 def test_word_contexts_add_up():
+    r = random.Random(5)
     root = np.log10([0.3, 0.2, 0.1, 0.15])  # the last is the end; a quarter is left for words not known
-    c = suffix_tree.WordContexts(np.array([13, 1, 2, 4]), np.array([6, 9, 1, 2]), np.array([12.0, 5.0, 3.0, 6.0]), root, 0.1)
-    for before in range(4):
-        known = [c.score(np.array([before, k, 3])) - c.score(np.array([before, 3])) for k in range(4)]
-        assert np.isfinite(known).all()
-        p = [10 ** (float(np.log10(c.to_root[before] * 10 ** root[k] + sum(c.share[c.key == before * 4 + k])))) for k in range(4)]
-        assert abs(sum(p) + 0.25 * c.to_root[before] - 1) < 1e-9
-    assert abs(c.score(np.array([-1, 3])) - c.log_to_root[3] - root[3]) < 1e-9
-    none = suffix_tree.WordContexts(np.array([], np.int64), np.array([], np.int64), np.zeros(4), root, 1.0)
+    texts = [np.array([r.choice([0, 0, 1, 2, -1]) for _ in range(30)] + [3]) for _ in range(200)]
+    c = suffix_tree.WordContexts(np.array([sum((t == k).sum() for t in texts) for k in range(4)], float), root)
+    grams = [Counter() for _ in range(3)]
+    for t in texts:
+        padded = [3, *t.tolist()]
+        for d in range(3):
+            grams[d].update(tuple(padded[i - d - 1 : i + 1]) for i in range(d + 1, len(padded)) if min(padded[i - d - 1 : i + 1]) >= 0)
+    for d in range(3):
+        seen = Counter()
+        for t in texts:
+            at = c.at(t)[-1]
+            seen.update((at[i] * 4 + t[i]).item() for i in range(len(t)) if at[i] >= 0 and t[i] >= 0)
+        assert sorted(seen.values()) == sorted(grams[d].values())
+        c.grow(np.array([*seen], np.int64), np.array([*seen.values()]), 0.0)
+    for t in texts[:20]:
+        at = c.at(t)
+        every = sum(c.probabilities(np.full(len(t), k), at) for k in range(4))
+        left = c.probabilities(np.full(len(t), -1), at)
+        assert np.allclose(every + 0.25 * left, 1)
+    t = texts[0]
+    assert abs(c.score(t) - np.log10(c.probabilities(t, c.at(t))).sum()) < 1e-9
+    none = suffix_tree.WordContexts(np.zeros(4), root)
+    none.grow(np.array([], np.int64), np.array([], np.int64), 1.0)
     assert abs(none.score(np.array([0, -1, 3])) - root[0] - root[3]) < 1e-9
 
 
@@ -482,3 +502,14 @@ def test_passages_against_all_pairs(spark):
             todo += new
         assert len(reached) >= 0.9 * len(members), (j, len(reached), len(members))
     assert all(set(holds[a]) & set(holds[b]) for a, b in links)
+
+
+def test_longer_contexts_are_used(spark):
+    """Only three words together say what comes next."""
+    r = random.Random(4)
+    follow = {(a, b): "xyzuvw"[k] for k, (a, b) in enumerate([(a, b) for a in "pqr" for b in "st"])}
+    text = lambda: " ".join(f"{a} m {b} {follow[a, b]}" for a, b in ((r.choice("pqr"), r.choice("st")) for _ in range(40)))
+    d = spark.createDataFrame([(k, text(), k % 10 != 0) for k in range(300)], "doc_id long, text string, train boolean")
+    score = lambda most: suffix_tree.score_texts(d, most_words=most).filter("NOT train").agg(F.sum("score")).first()[0]
+    one, two, three = score(1), score(2), score(3)
+    assert two >= one and three - two > 100
