@@ -156,10 +156,13 @@ def next_counts(texts: DataFrame, known: Broadcast, contexts: Broadcast, flush:
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
         for b in batches:
-            for text in b.column(0):
-                words = (text.as_py() or "").encode().lower().split()
-                ids = np.array([*[get(w, -1) for w in words], end], np.int64)
-                at = tree.at(ids)[-1]
+            for k in range(0, len(b), 256):
+                flat = []
+                for text in b.column(0).slice(k, 256):
+                    flat += [get(w, -1) for w in (text.as_py() or "").encode().lower().split()]
+                    flat.append(end)
+                ids = np.array(flat, np.int64)
+                at = tree.at(ids)[0][-1]
                 ok = (at >= 0) & (ids >= 0)
                 parts.append(at[ok] * (end + 1) + ids[ok])
                 held += len(ids)
@@ -185,30 +188,32 @@ class WordContexts:
         self.size, self.root, self.plain = len(root), root, 10.0**root
         self.totals, self.levels = totals, []  # of the contexts that the next level is about
 
-    def at(self, ids: np.ndarray) -> list[np.ndarray]:
-        """By level, the number of the context before each symbol, -1 where there is none; one level more than counted."""
-        out = [np.concatenate((ids[-1:], ids[:-1]))]  # the end stands before the first word
+    def at(self, ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(contexts, entries) by level, for the symbols of texts one after another, each with its end: the number of the
+        context before each symbol (one level more than counted), and of the counted (context, symbol); -1: there is none."""
+        end = self.size - 1
+        before = np.concatenate(([end], ids[:-1]))  # an end stands before a first word
+        first = before == end
+        out, entries = [before], []
         for key, _, _ in self.levels:
             found = np.full(len(ids), -1)
-            before, last = out[-1][:-1], ids[:-1]
-            ok = (before >= 0) & (last >= 0)
-            want = before * self.size + last
-            k = np.searchsorted(key, want).clip(max=max(len(key) - 1, 0))
             if len(key):
-                found[1:] = np.where(ok & (key[k] == want), k, -1)
-            out.append(found)
-        return out
-
-    def probabilities(self, ids: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+                ok = np.flatnonzero((before >= 0) & (ids >= 0))
+                want = before[ok] * self.size + ids[ok]
+                k = np.searchsorted(key, want).clip(max=len(key) - 1)
+                found[ok] = np.where(key[k] == want, k, -1)
+            before = np.concatenate(([-1], found[:-1]))
+            before[first] = -1  # no longer context runs over a text's end
+            entries.append(found)
+            out.append(before)
+        return out, entries
+
+    def probabilities(self, ids: np.ndarray, at: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
         """Of each symbol; of one not known (-1) the share that its contexts leave to the root."""
         p = np.where(ids >= 0, self.plain[ids], 1.0)
-        for before, (key, share, left) in zip(at, self.levels):
-            there = before >= 0
-            p = np.where(there, left[before] * p, p)
+        for before, entry, (key, share, left) in zip(*at, self.levels):
             if len(key):
-                want = before * self.size + ids
-                k = np.searchsorted(key, want).clip(max=len(key) - 1)
-                p += np.where(there & (ids >= 0) & (key[k] == want), share[k], 0.0)
+                p = np.where(before >= 0, left[before] * p, p) + np.where(entry >= 0, share[entry], 0.0)
         return p
 
     def grow(self, key: np.ndarray, n: np.ndarray, least_gain: float) -> None:
@@ -252,12 +257,13 @@ class WordContexts:
             out.append(c)
         return out
 
-    def score(self, ids: np.ndarray) -> float:
-        """log10 probability of symbols, the end last; of those not known (-1) only what their contexts leave to the root."""
-        return float(np.log10(self.probabilities(ids, self.at(ids))).sum())
+    def score(self, ids: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol of texts one after another, each with its end; of those not known (-1) only what
+        their contexts leave to the root."""
+        return np.log10(self.probabilities(ids, self.at(ids)))
 
 
-def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, least_gain: float = 1.0, frequent: float = 2e-6, least_count: int = 3, follower_share: float = 1e-7, most_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, least_gain: float = 1.0, frequent: float = 2e-6, least_count: int = 3, follower_share: float = 1e-7, most_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows whose `train` holds.
 
     Words are white-space runs, lower case A-Z, and each row ends with one end token. At the root of the tree a whole
@@ -310,19 +316,22 @@ def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, leas
         known, (contexts, base), at = known_b.value, contexts_b.value, TaskContext.get().partitionId() << 40
         end = len(known)
         for b in batches:
-            out: list[tuple] = []
-            for doc_id, text, train in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                at += 1
-                words = (text.as_py() or "").encode().lower().split()
-                ids = np.array([*[known.get(w, -1) for w in words], end], np.int64)
-                found = ids[ids >= 0]
-                out.append((at, b" %d" % at, doc_id, train, len(ids), len(found) - (ends == 0), float(base[found].sum()), contexts.score(ids), None))
-                if len(found) < len(ids):
-                    out += [(at, w, None, None, None, None, None, None, k) for w, k in Counter(w for w in words if w not in known).items()]
-                if len(out) > 50_000:
-                    yield batch(out, b.column(0).type)
-                    out = []
-            yield batch(out, b.column(0).type)
+            for k in range(0, len(b), 256):
+                out: list[tuple] = []
+                some = b.slice(k, 256)
+                texts = [(x or "").encode().lower().split() for x in some.column(1).to_pylist()]
+                ids = np.array([i for words in texts for i in (*[known.get(w, -1) for w in words], end)], np.int64)
+                sizes = np.array([len(words) + 1 for words in texts])
+                starts = np.cumsum(sizes) - sizes
+                here = ids >= 0
+                found, scores = np.add.reduceat(here.astype(np.int64), starts).tolist(), np.add.reduceat(contexts.score(ids), starts).tolist()
+                bases = np.add.reduceat(np.where(here, base[ids], 0.0), starts).tolist()
+                for doc_id, words, train, n_found, score, low in zip(some.column(0).to_pylist(), texts, some.column(2).to_pylist(), found, scores, bases):
+                    at += 1
+                    out.append((at, b" %d" % at, doc_id, train, len(words) + 1, n_found - (ends == 0), low, score, None))
+                    if n_found < len(words) + 1:
+                        out += [(at, w, None, None, None, None, None, None, times) for w, times in Counter(w for w in words if w not in known).items()]
+                yield batch(out, b.column(0).type)
 
     def batch(rows, id_type):
         kinds = (pa.int64(), pa.binary(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())

@@ -274,20 +274,23 @@ def test_word_contexts_add_up():
     for d in range(3):
         seen = Counter()
         for t in texts:
-            at = c.at(t)[-1]
+            at = c.at(t)[0][-1]
             seen.update((at[i] * 4 + t[i]).item() for i in range(len(t)) if at[i] >= 0 and t[i] >= 0)
         assert sorted(seen.values()) == sorted(grams[d].values())
         c.grow(np.array([*seen], np.int64), np.array([*seen.values()]), 0.0)
     for t in texts[:20]:
         at = c.at(t)
-        every = sum(c.probabilities(np.full(len(t), k), at) for k in range(4))
-        left = c.probabilities(np.full(len(t), -1), at)
+        follow = lambda k: [np.searchsorted(key, before * 4 + k).clip(max=len(key) - 1) for before, (key, _, _) in zip(at[0], c.levels)]
+        entry = lambda k: [np.where((b >= 0) & (key[e] == b * 4 + k), e, -1) for e, b, (key, _, _) in zip(follow(k), at[0], c.levels)]
+        every = sum(c.probabilities(np.full(len(t), k), (at[0], entry(k))) for k in range(4))
+        left = c.probabilities(np.full(len(t), -1), (at[0], [np.full(len(t), -1)] * 3))
         assert np.allclose(every + 0.25 * left, 1)
     t = texts[0]
-    assert abs(c.score(t) - np.log10(c.probabilities(t, c.at(t))).sum()) < 1e-9
+    both = np.concatenate(texts[:2])
+    assert np.allclose(c.score(both), np.concatenate([c.score(texts[0]), c.score(texts[1])]))
     none = suffix_tree.WordContexts(np.zeros(4), root)
     none.grow(np.array([], np.int64), np.array([], np.int64), 1.0)
-    assert abs(none.score(np.array([0, -1, 3])) - root[0] - root[3]) < 1e-9
+    assert abs(none.score(np.array([0, -1, 3])).sum() - root[0] - root[3]) < 1e-9
 
 
 def test_held_out_text_scores_above_the_base(spark):
