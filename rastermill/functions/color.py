@@ -53,9 +53,9 @@ def is_nonblack(r="r", g="g", b="b") -> Column:
 
 
 def is_off_sky_color(hsv: Column, h: Column, s: Column, v: Column, a="a") -> Column:
-    """Relative error against an image's mean colour: hue over 5 %, saturation or value over 20 %; never when transparent."""
+    """Relative error against an image's mean colour: hue over 5 %, saturation or value over 20 %; never when not opaque."""
     far = lambda x, y, t: F.coalesce(F.abs(x - y) / F.nullif(y, F.lit(0.0)) > t, F.lit(False))
-    return ~is_transparent(a) & (far(hsv["h"], h, 0.05) | far(hsv["s"], s, 0.2) | far(hsv["v"], v, 0.2))
+    return is_opaque(a) & (far(hsv["h"], h, 0.05) | far(hsv["s"], s, 0.2) | far(hsv["v"], v, 0.2))
 
 
 def apply_exposure(df, factor: float):
@@ -63,3 +63,24 @@ def apply_exposure(df, factor: float):
     if abs(factor - 1) <= 0.001:
         return df
     return df.withColumns({c: F.least(F.floor(F.col(c) * factor + 0.5), F.lit(65535)).cast("int") for c in "rgb"})
+
+
+def rgb_to_hsi(r="r", g="g", b="b") -> Column:
+    """struct(h, s, i): hue as in rgb_to_hsv(), intensity is the mean of the channels; grey has hue and saturation 0."""
+    mean = (F.col(r) + F.col(g) + F.col(b)) / 3 / MAX16
+    grey = (F.col(r) == F.col(g)) & (F.col(g) == F.col(b))
+    low = F.least(r, g, b) / MAX16
+    s = F.when(grey, 0.0).otherwise(1 - low / F.nullif(mean, F.lit(0.0)))
+    return F.struct(F.when(grey, 0.0).otherwise(rgb_to_hsv(r, g, b)["h"]).alias("h"), s.alias("s"), mean.alias("i"))
+
+
+def hsi_to_rgb(h: Column, s: Column, i: Column) -> Column:
+    """struct(r, g, b) of integers, truncated."""
+    z = 1 - F.abs(h / 60 - 2 * F.floor(h / 120) - 1)
+    chroma = 3 * i * s / (1 + z)
+    second, low = chroma * z, i * (1 - s)
+    sector = F.floor(h / 60)
+    full = {"r": (0, 5), "g": (1, 2), "b": (3, 4)}
+    part = {"r": (1, 4), "g": (0, 3), "b": (2, 5)}
+    value = lambda c: F.when(sector.isin(*full[c]), chroma).when(sector.isin(*part[c]), second).otherwise(0.0) + low
+    return F.struct(*[F.floor(value(c) * MAX16 + 1e-9).cast("int").alias(c) for c in "rgb"])

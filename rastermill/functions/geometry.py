@@ -55,3 +55,22 @@ def cie_luminance(px: Column, py: Column, py_level: Column, sun_px: Column, sun_
     gamma = F.when(gamma < math.radians(0.533) / 2, 0.0).otherwise(gamma)
     theta = F.least(math.pi / 2 - (py_level - horizon_py) * fov_y, F.lit(math.pi / 2 - 0.01))
     return (1 + a * F.exp(b / F.cos(theta))) * (1 + c * (F.exp(d * gamma) - F.exp(d * (math.pi / 2))) + e * F.pow(F.cos(gamma), F.lit(2.0)))
+
+
+def sun_glow(gamma: Column, c: Column, d: Column) -> Column:
+    """Luminance by nearness to the sun alone: gamma is the angle to the sun (0 within its disc)."""
+    near = F.when(gamma < math.radians(0.533) / 2, 0.0).otherwise(gamma)
+    return 1 + c * (F.exp(-near / d) - F.exp(-(math.pi / 2) / d))
+
+
+def glow_range(images: DataFrame) -> DataFrame:
+    """(image_id, glow_max, glow_min) of images (image_id, fov, width, height, sun_px, sun_py, c, d): the most is the glow at
+    the sun as if c were 2, so that c brightens the sun; the least is that of a grid of 3 by 3 points. A grid point is a
+    row, least by partial aggregation."""
+    side = lambda name, lo: F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: lo + k * 0.5)).alias(name)
+    d = images.select("*", side("px", -0.5)).select("*", side("py", 0.0))
+    look = lambda x, y: (lambda a: view_vector(a["aoy"], a["aox"]))(view_angles(F.col(x), F.col(y), F.col("fov"), F.col("width"), F.col("height")))
+    d = d.withColumns({"view": look("px", "py"), "sun": look("sun_px", "sun_py")})
+    glow = sun_glow(angle_between(F.col("view"), F.col("sun")), F.col("c"), F.col("d"))
+    peak = sun_glow(F.lit(0.0), F.col("c"), F.col("d"))
+    return d.groupBy("image_id").agg(F.max(1 + 2 * (peak - 1) / F.nullif("c", F.lit(0.0))).alias("glow_max"), F.min(glow).alias("glow_min"))

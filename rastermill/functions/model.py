@@ -76,18 +76,46 @@ def replacement_probability(prob: Column, i: Column, i_hat: Column, s: Column, s
     return clamp01(F.when(s < s_hat, p * F.coalesce(ratio, F.lit(0.0)) * s / s_hat).otherwise(p))
 
 
-def feather_length(sos: Column, eos: Column, depth: float = 0.5, extra: int = 0) -> Column:
-    """Rows over which the fill fades, from the start of sky down, not beyond its end."""
-    end = F.least(sos + F.floor((eos - sos) * depth + 0.5) + extra, eos)
-    return (end - sos).cast("int")
+#: Share of full blue below which a pixel is black and takes all of the prediction.
+BLACK_LEVEL = 0.04
 
 
-def feather_weight(y: Column, sos: Column, length: Column, factor: float = 1.0, exponent: float = 1.0) -> Column:
-    """Share of the prediction: 1 at the start of sky and above, falling to 0 at the end of the feather."""
-    linear = F.when(y >= sos, 1 - (y - sos) / F.nullif(length, F.lit(0))).otherwise(1.0)
+def feather_length(sos: Column, eos: Column, depth: float = 0.5, extra: int = 0, from_row: Column | None = None, absolute_y: Column | None = None) -> Column:
+    """Rows over which the fill fades: `depth` of the sky (or of the rows down to absolute_y), counted from the start of sky
+    or from from_row (the raw start), and not beyond the end."""
+    start = sos if from_row is None else from_row
+    sky = eos - sos if absolute_y is None else absolute_y - start
+    return (F.least(start + F.floor(sky * depth + 0.5) + extra, eos) - start).cast("int")
+
+
+def feather_weight(y: Column, sos: Column, length: Column, blue: Column | None = None, factor: float = 1.0, exponent: float = 1.0) -> Column:
+    """Share of the prediction: 1 above the start of sky and in pixels whose blue is under the black level, else falling
+    from 1 at the start to 0 at the end of the feather."""
+    below = y >= sos if blue is None else (y >= sos) & (blue >= BLACK_LEVEL * MAX16)
+    linear = F.when(below, 1 - (y - sos) / F.nullif(length, F.lit(0))).otherwise(1.0)
     return F.pow(clamp01(1 - (1 - F.coalesce(linear, F.lit(0.0))) * factor), F.lit(exponent))
 
 
+def raw_feather_weight(y: Column, raw_sos: Column, length: Column, blue: Column, factor: float = 1.0, exponent: float = 1.0) -> Column:
+    """The same from the raw start: 1 down to it, 0 beyond the feather, black pixels between take all of the prediction."""
+    inside = feather_weight(y, raw_sos, length, blue, factor, exponent)
+    return F.when(y <= raw_sos, 1.0).when(y > raw_sos + length, 0.0).otherwise(inside)
+
+
+def barycentric_weights(x: Column, y: Column, corners: list[tuple[Column, Column]]) -> list[Column]:
+    """Weights of three corners (x, y) at a point; they add up to 1, and are null where the corners are on one line."""
+    (x1, y1), (x2, y2), (x3, y3) = corners
+    whole = F.nullif((y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3), F.lit(0.0))
+    first = ((y2 - y3) * (x - x3) + (x3 - x2) * (y - y3)) / whole
+    second = ((y3 - y1) * (x - x3) + (x1 - x3) * (y - y3)) / whole
+    return [first, second, 1 - first - second]
+
+
+def barycentric_blend(x: Column, y: Column, corners: list[tuple[Column, Column]], values: list[Column]) -> Column:
+    """The blend of three values that belong to three corners."""
+    return sum(w * v for w, v in zip(barycentric_weights(x, y, corners), values))
+
+
 def logistic_feather(p: Column) -> Column:
     """A linear blend made logistic; 0, .5 and 1 stay."""
     offset = 1 / (1 + math.exp(2.5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import is_nonblack, rgb_to_hsv
+from ..functions.color import TRANSPARENT, is_black, is_nonblack, luma709, rgb_to_hsv
 
 
 def by_y():
@@ -40,7 +40,8 @@ def dilate_start(col: DataFrame, width: int) -> DataFrame:
 
 
 def local_scan_start(col: DataFrame) -> DataFrame:
-    return col.withColumn("scan_y", F.max("raw_sos").over(by_x().rowsBetween(-20, 20)) + 10)
+    """Adds scan_y: 10 rows below the largest raw start of the unmasked columns within 20."""
+    return col.withColumn("scan_y", F.max(F.when(F.col("column_mask") == 0, F.col("raw_sos"))).over(by_x().rowsBetween(-20, 20)) + 10)
 
 
 def column_band_stats(px: DataFrame) -> DataFrame:
@@ -79,11 +80,19 @@ def contrast_end(px: DataFrame, col: DataFrame, reach: int = 20) -> DataFrame:
     return d.groupBy("image_id", "x").agg(F.max_by("y", F.struct("metric", -F.col("y"))).alias("contrast_eos"))
 
 
-def fix_slivers(col: DataFrame, dip: int = 10) -> DataFrame:
-    """Adds fixed_eos: one-column ends more than `dip` rows off both neighbours in the same direction become their mean."""
-    left, right = F.lag("eos").over(by_x()), F.lead("eos").over(by_x())
-    far = (F.col("eos") - left > dip) & (F.col("eos") - right > dip)
-    return col.withColumn("fixed_eos", F.when(far, F.floor((left + right) / 2)).otherwise(F.col("eos")).cast("int"))
+def fix_slivers(col: DataFrame, width: int, dip: int = 10) -> DataFrame:
+    """Adds fixed_eos: ends of one, two or three columns that lie more than `dip` rows above those on either side become the
+    mean of the two. Masked columns take no part. All tests read the old ends; where fixes overlap, the later column's wins."""
+    at = lambda c, k: (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(by_x())
+    d = col.withColumns({"e0": at("eos", -1), "m0": at("column_mask", -1)} | {f"e{k}": at("eos", k) for k in (1, 2, 3)} | {f"m{k}": at("column_mask", k) for k in (1, 2, 3)})
+    start = (F.col("x") < width - 3) & (F.col("column_mask") == 0) & (F.col("m0") == 0) & (F.col("e0") - F.col("eos") > dip)
+    kind = F.coalesce(*[F.when(F.col(f"e{k}") - F.col("eos") > dip, k) for k in (1, 2, 3)])
+    mask = F.coalesce(*[F.when(F.col(f"e{k}") - F.col("eos") > dip, F.col(f"m{k}")) for k in (1, 2, 3)])
+    end = F.coalesce(*[F.when(F.col(f"e{k}") - F.col("eos") > dip, F.col(f"e{k}")) for k in (1, 2, 3)])
+    d = d.withColumn("sliver", F.when(start & (mask == 0), F.struct(kind.alias("n"), F.floor((F.col("e0") + end) / 2).cast("int").alias("v"))))
+    d = d.withColumns({"s1": F.lag("sliver").over(by_x()), "s2": F.lag("sliver", 2).over(by_x())})
+    fixed = F.coalesce("sliver.v", F.when(F.col("s1.n") >= 2, F.col("s1.v")), F.when(F.col("s2.n") == 3, F.col("s2.v")), "eos")
+    return d.select(*col.columns, fixed.cast("int").alias("fixed_eos"))
 
 
 def clamp_slope(col: DataFrame, step: int = 2) -> DataFrame:
@@ -141,9 +150,25 @@ def sobel_strength(px: DataFrame) -> DataFrame:
     return d.withColumn("sobel", out).drop(*[f"{c}_{k}" for c in "rgb" for k in "sd"])
 
 
-def horizontal_smooth(px: DataFrame, reach: int = 50) -> DataFrame:
+def horizontal_smooth(px: DataFrame, col: DataFrame, reach: int = 50) -> DataFrame:
+    """Adds means along rows over the unmasked columns from x - reach to x + reach - 1, for rows above the highest sky end of
+    the image; other rows are left out."""
+    ends = col.filter("column_mask = 0").groupBy("image_id").agg(F.min("eos").alias("lowest"))
+    d = px.join(col.select("image_id", "x", "column_mask"), ["image_id", "x"]).join(ends, "image_id").filter(F.col("y") < F.col("lowest"))
     w = by_row().rangeBetween(-reach, reach - 1)
-    return px.withColumns({f"{c}_smooth": F.avg(c).over(w) for c in "rgb"})
+    return d.withColumns({f"{c}_smooth": F.avg(F.when(F.col("column_mask") == 0, F.col(c))).over(w) for c in "rgb"}).drop("lowest", "column_mask")
+
+
+def seam_smooth(px: DataFrame, col: DataFrame, n: int = 3) -> DataFrame:
+    """Pixels within n rows of the start of sky become the mean of the (2n+1)^2 pixels around, of unmasked columns and not
+    below their sky end: sums down columns, then along rows. Masked columns and other rows stay."""
+    d = px.join(col.select("image_id", "x", "sos", "eos", "column_mask"), ["image_id", "x"])
+    counts = (F.col("column_mask") == 0) & (F.col("y") <= F.col("eos"))
+    down, across = by_y().rangeBetween(-n, n), by_row().rangeBetween(-n, n)
+    d = d.withColumns({f"{c}_1": F.sum(F.when(counts, F.col(c))).over(down) for c in "rgb"} | {"n_1": F.count_if(counts).over(down)})
+    d = d.withColumns({f"{c}_2": F.floor(F.sum(f"{c}_1").over(across) / F.nullif(F.sum("n_1").over(across), F.lit(0)) + 0.5) for c in "rgb"})
+    near = counts & (F.col("y") >= F.col("sos") - n) & (F.col("y") < F.col("sos") + n)
+    return d.select("image_id", "x", "y", *[F.when(near, F.col(f"{c}_2")).otherwise(F.col(c)).cast("int").alias(c) for c in "rgb"], "a")
 
 
 def box_smooth(px: DataFrame, dx: int = 4, dy: int = 6) -> DataFrame:
@@ -153,18 +178,42 @@ def box_smooth(px: DataFrame, dx: int = 4, dy: int = 6) -> DataFrame:
     return d.withColumns({f"{c}_box": F.sum(f"{c}_1").over(down) / F.sum("n_1").over(down) for c in "rgb"}).drop("r_1", "g_1", "b_1", "n_1")
 
 
-def row_means(px: DataFrame, col: DataFrame) -> DataFrame:
-    """(image_id, y, mean_r, mean_g, mean_b, n): means over the columns that are still sky in that row."""
-    d = px.join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y BETWEEN sos AND eos")
+def row_extents(col: DataFrame, flag: int) -> DataFrame:
+    """(image_id, y0, y1): the rows that even_out_rows() works on; one row for each image."""
+    first = F.min("sos") if flag == 2 else F.lit(0)
+    return col.groupBy("image_id").agg(first.cast("int").alias("y0"), (F.max("sos") if flag == 1 else F.max("eos")).cast("int").alias("y1"))
+
+
+def row_means(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
+    """(image_id, y, mean_r, mean_g, mean_b, n): means over the columns that are still sky in that row.
+
+    flag 0: from the top to the lowest end of sky; 1: from the top to the lowest start; 2: from the highest start to the
+    lowest end, of columns whose sky has begun.
+    """
+    d = px.join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).join(row_extents(col, flag), "image_id")
+    d = d.filter("y BETWEEN y0 AND y1 AND y <= eos" + (" AND y >= sos" if flag == 2 else ""))
     return d.groupBy("image_id", "y").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"], F.count("*").alias("n"))
 
 
-def even_out_rows(px: DataFrame, col: DataFrame) -> DataFrame:
-    """Pulls sky pixels to their row's mean, fully at the first row and not at all at the lowest sky row of the image."""
-    d = px.join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y BETWEEN sos AND eos")
-    row, image = Window.partitionBy("image_id", "y"), Window.partitionBy("image_id")
-    w = 1 - F.col("y") / F.nullif(F.max("eos").over(image), F.lit(0))
-    return d.select("image_id", "x", "y", *[F.floor(F.avg(c).over(row) * w + F.col(c) * (1 - w)).cast("int").alias(c) for c in "rgb"])
+def even_out_rows(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
+    """px with the sky's pixels pulled to their row's mean (see row_means()), opaque where they are.
+
+    flag 0: fully at the top, not at all at the lowest end. flags 1 and 2: fully down to each column's start; from there
+    (flag 2: from the middle of its sky) less and less down to its end. With flag 2 the sky then starts at row_extents().y0
+    in every column. The row means are joined by (image, row).
+    """
+    means = row_means(px, col, flag).drop("n")
+    d = px.join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).join(row_extents(col, flag), "image_id").join(means, ["image_id", "y"], "left")
+    inside = F.col("y").between(F.col("y0"), F.col("y1")) & F.col("mean_r").isNotNull()
+    if flag == 0:
+        w = F.when(F.col("y") <= F.col("eos"), 1 - F.col("y") / F.nullif("y1", F.lit(0)))
+    else:
+        begin = F.col("sos").cast("double") if flag == 1 else (F.col("eos") + F.col("sos")) / 2
+        w = 1 - (F.col("y") - begin) / F.nullif(F.col("eos") - begin, F.lit(0.0))
+        w = F.when(F.col("y") <= F.col("sos"), 1.0).when(w > 0, w)
+    d = d.withColumn("w", F.when(inside, w))
+    mixed = lambda c: F.greatest(F.lit(0), F.least(F.lit(65535), F.floor(F.col("w") * F.col(f"mean_{c}") + (1 - F.col("w")) * F.col(c))))
+    return d.select("image_id", "x", "y", *[F.when(F.col("w").isNull(), F.col(c)).otherwise(mixed(c)).cast("int").alias(c) for c in "rgb"], F.when(F.col("w").isNull(), F.col("a")).otherwise(65535).alias("a"))
 
 
 def extend_end_by_class(px: DataFrame, col: DataFrame, reach: int = 5) -> DataFrame:
@@ -175,28 +224,50 @@ def extend_end_by_class(px: DataFrame, col: DataFrame, reach: int = 5) -> DataFr
 
 
 def trim_halo(px: DataFrame, col: DataFrame) -> DataFrame:
-    """In the 4 rows up to the end, a luma peak above both neighbours is scaled to the luma of the row before it."""
-    luma = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
-    d = px.withColumn("l", luma).withColumns({"l0": F.lag("l").over(by_y()), "l2": F.lead("l").over(by_y())}).join(col.select("image_id", "x", "eos"), ["image_id", "x"])
-    peak = F.col("y").between(F.col("eos") - 3, F.col("eos")) & (F.col("l") > F.col("l0")) & (F.col("l") > F.col("l2"))
-    return d.select("image_id", "x", "y", *[F.when(peak, F.floor(F.col(c) * F.col("l0") / F.col("l"))).otherwise(F.col(c)).cast("int").alias(c) for c in "rgb"], F.coalesce(peak, F.lit(False)).alias("trimmed"))
-
-
-def interpolate_masked_columns(px: DataFrame, masks: DataFrame) -> DataFrame:
-    """Pixels of masked columns, linear in x between the columns on both sides of the range."""
+    """Adds trimmed and final_eos: from the row before the end to two after it, a luma peak above both neighbours is scaled to
+    the luma of the row before it, and the last such row is the final end. Transparent pixels below the raw start keep
+    their colour. All tests read the old pixels. col: the columns whose fill reaches their end."""
+    d = px.withColumn("l", luma709()).withColumns({"l0": F.lag("l").over(by_y()), "l2": F.lead("l").over(by_y())})
+    d = d.join(col.select("image_id", "x", "raw_sos", "eos"), ["image_id", "x"])
+    peak = F.col("y").between(F.col("eos") - 1, F.col("eos") + 2) & (F.col("l") > F.col("l0")) & (F.col("l") > F.col("l2"))
+    d = d.withColumn("peak", F.coalesce(peak, F.lit(False)))
+    scaled = F.col("peak") & ~((F.col("a") < 32767) & (F.col("y") > F.col("raw_sos")))
+    final = F.coalesce(F.max(F.when(F.col("peak"), F.col("y"))).over(Window.partitionBy("image_id", "x")), F.col("eos"))
+    return d.select("image_id", "x", "y", *[F.when(scaled, F.floor(F.col(c) * (F.col("l0") / F.col("l")) + 0.5)).otherwise(F.col(c)).cast("int").alias(c) for c in "rgb"], scaled.alias("trimmed"), final.alias("final_eos"))
+
+
+def interpolate_masked_columns(px: DataFrame, col: DataFrame, masks: DataFrame) -> DataFrame:
+    """Opaque pixels of masked columns, linear in x between the columns on both sides of a range, for the rows down to 10
+    below the lowest start of sky of those columns. Ranges at an edge of the image give none."""
     m = masks.filter("kind = 'column'").select("image_id", F.col("l").alias("from_x"), F.col("r").alias("to_x"))
-    near = px.join(m, "image_id")
+    rows = m.join(col.select("image_id", "x", "sos"), "image_id").filter("x BETWEEN from_x - 1 AND to_x").groupBy("image_id", "from_x", "to_x").agg((F.max("sos") + 10).alias("rows"))
+    near = px.join(rows, "image_id").filter(F.col("y") < F.col("rows"))
     inside = near.filter("x BETWEEN from_x AND to_x").select("image_id", "x", "y", "from_x", "to_x")
     side = lambda at, p: near.filter(F.col("x") == F.expr(at)).select("image_id", "y", "from_x", *[F.col(c).alias(f"{p}{c}") for c in "rgb"])
     d = inside.join(side("from_x - 1", "a"), ["image_id", "y", "from_x"]).join(side("to_x + 1", "b"), ["image_id", "y", "from_x"])
-    w = (F.col("x") - F.col("from_x") + 1) / (F.col("to_x") - F.col("from_x") + 2)
-    return d.select("image_id", "x", "y", *[F.floor(F.col(f"a{c}") * (1 - w) + F.col(f"b{c}") * w).cast("int").alias(c) for c in "rgb"])
+    w = (F.col("x") - F.col("from_x") + 1) / (F.col("to_x") - F.col("from_x") + 3)
+    return d.select("image_id", "x", "y", *[F.floor(F.col(f"a{c}") * (1 - w) + F.col(f"b{c}") * w).cast("int").alias(c) for c in "rgb"], F.lit(65535).alias("a"))
+
 
+def clear_black_edges(px: DataFrame, col: DataFrame) -> DataFrame:
+    """px with black pixels at the edges of the sky transparent, masked columns left as they are.
 
-def clear_black_edges(px: DataFrame) -> DataFrame:
-    """Opaque black pixels with fewer than 10 good pixels above them in their column become transparent."""
-    good = F.sum(F.when(is_nonblack() & (F.col("a") >= 32767), 1).otherwise(0)).over(by_y().rowsBetween(Window.unboundedPreceding, 0))
-    return px.withColumn("a", F.when(~is_nonblack() & (good < 10), 0).otherwise(F.col("a")))
+    Up from the raw start, black pixels are cleared until more than 10 others in a row have been passed. Then, in the rows
+    from the highest to the lowest start, black pixels beside a transparent one are cleared; that test reads the pixels
+    as the first step left them.
+    """
+    d = px.join(col.select("image_id", "x", "raw_sos", "column_mask"), ["image_id", "x"])
+    d = d.join(col.groupBy("image_id").agg(F.min("sos").alias("low"), F.max("sos").alias("high")), "image_id")
+    black, up = is_black() & (F.col("a") >= TRANSPARENT), Window.partitionBy("image_id", "x").orderBy(F.desc("y"))
+    above = (F.col("y") < F.col("raw_sos")) & (F.col("y") > 0) & (F.col("column_mask") == 0)
+    d = d.withColumns({"black": black, "above": above}).withColumn("good", (F.col("above") & ~F.col("black")).cast("int"))
+    d = d.withColumn("passed", F.sum("good").over(up.rowsBetween(-11, 0)))
+    ended = F.max("passed").over(up.rowsBetween(Window.unboundedPreceding, 0)) >= 12
+    d = d.withColumn("a1", F.when(F.col("above") & F.col("black") & ~ended, 0).otherwise(F.col("a")))
+    beside = F.least(F.lag("a1").over(by_row()), F.lead("a1").over(by_row())) < TRANSPARENT
+    edge = F.col("y").between(F.col("low"), F.col("high")) & (F.col("column_mask") == 0) & F.col("black") & F.coalesce(beside, F.lit(False))
+    d = d.withColumn("a", F.when(edge, 0).otherwise(F.col("a1")))
+    return d.select(*px.columns)
 
 
 def edge_suspects(px: DataFrame, reach: int = 2) -> DataFrame:

@@ -37,23 +37,30 @@ def sky_probability(predicted: DataFrame, col: DataFrame) -> DataFrame:
     return d.withColumns({"prob_sky": F.when(F.col("y") < F.col("sos"), 1.0).otherwise(prob), "p_hat": F.when(F.col("y") < F.col("sos"), 1.0).otherwise(p_hat)}).drop("sos")
 
 
-def column_corrections(predicted: DataFrame, col: DataFrame) -> DataFrame:
-    """(image_id, x, h_corr, s_corr, v_corr): measured over predicted in the top quarter of each column's sky; 1 if empty."""
-    d = predicted.withColumn("hsv", rgb_to_hsv("r", "g", "b")).join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"])
-    top = F.expr("y >= sos AND y <= sos + (eos - sos) / 4 AND greatest(r, g, b) > 3840")
+def column_corrections(predicted: DataFrame, col: DataFrame, height: int) -> DataFrame:
+    """(image_id, x, h_corr, s_corr, v_corr, n): measured over predicted in the top quarter of each unmasked column's sky,
+    hue and value weighing by saturation; 1 where a column has no such pixel (n is 0)."""
+    d = predicted.withColumn("hsv", rgb_to_hsv("r", "g", "b")).join(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos"), ["image_id", "x"])
+    end = F.least(F.col("sos") + F.floor((F.col("eos") - F.col("sos")) * 0.25 + 0.5), F.col("eos"), F.lit(height - 1))
+    top = (F.col("y") >= F.col("sos")) & (F.col("y") < end) & (F.greatest("r", "g", "b") > 3840)
     s = lambda c: F.sum(F.when(top, c))
     ratio = lambda a, b: F.coalesce(s(a) / F.nullif(s(b), F.lit(0.0)), F.lit(1.0))
     h, sat, v = F.col("hsv.h"), F.col("hsv.s"), F.col("hsv.v")
-    return d.groupBy("image_id", "x").agg(ratio(h * sat, F.col("h_hat") * sat).alias("h_corr"), ratio(sat, F.col("s_hat")).alias("s_corr"), ratio(v, F.col("v_hat")).alias("v_corr"))
+    return d.groupBy("image_id", "x").agg(ratio(h * sat, F.col("h_hat") * sat).alias("h_corr"), ratio(sat, F.col("s_hat")).alias("s_corr"), ratio(v * sat, F.col("v_hat") * sat).alias("v_corr"), F.count_if(top).alias("n"))
 
 
 def smooth_corrections(corr: DataFrame, reach: int = 126) -> DataFrame:
+    """Means over the columns within `reach` that have pixels; 1 where none has."""
     w = Window.partitionBy("image_id").orderBy("x").rangeBetween(-reach, reach)
-    return corr.select("image_id", "x", *[F.avg(c).over(w).alias(c) for c in ("h_corr", "s_corr", "v_corr")])
+    mean = lambda c: F.coalesce(F.avg(F.when(F.col("n") > 0, F.col(c))).over(w), F.lit(1.0)).alias(c)
+    return corr.select("image_id", "x", *[mean(c) for c in ("h_corr", "s_corr", "v_corr")])
 
 
-def zenith_color(predicted: DataFrame) -> DataFrame:
-    return predicted.filter("y = 0").groupBy("image_id").agg(*[F.avg(f"{c}_hat").alias(f"{c}_zenith") for c in "hsv"])
+def zenith_color(predicted: DataFrame, col: DataFrame, factors: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """(image_id, h_zenith, s_zenith, v_zenith): the mean prediction of the unmasked columns in the top row, times the
+    factors of the whole image."""
+    d = predicted.filter("y = 0").join(col.filter("column_mask = 0").select("image_id", "x"), ["image_id", "x"])
+    return d.groupBy("image_id").agg(*[(F.avg(f"{c}_hat") * f).alias(f"{c}_zenith") for c, f in zip("hsv", factors)])
 
 
 def fit_error(smp: DataFrame) -> DataFrame:
@@ -70,16 +77,16 @@ def dark_top_check(predicted: DataFrame, height: int) -> DataFrame:
     return d.groupBy("image_id").agg((F.count_if((F.col("top") < 100 / 255) & (F.col("top") < F.col("mid"))) > 10).alias("dark_top"))
 
 
-def fill_sky_columns(predicted: DataFrame, col: DataFrame, depth: float = 0.5) -> DataFrame:
+def fill_sky_columns(predicted: DataFrame, col: DataFrame, height: int, depth: float = 0.5) -> DataFrame:
     """Default fill: the prediction, corrected by smoothed column factors, blended in over the feather; transparent pixels
-    below the start of sky stay."""
-    corr = smooth_corrections(column_corrections(predicted, col))
-    d = predicted.join(corr, ["image_id", "x"]).join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"])
+    below the start of sky stay, and so do masked columns."""
+    corr = smooth_corrections(column_corrections(predicted, col, height))
+    d = predicted.join(corr, ["image_id", "x"], "left").join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"])
     d = d.withColumn("n", model.feather_length(F.col("sos"), F.col("eos"), depth))
-    d = d.withColumn("w", F.when(F.col("y") > F.col("sos") + F.col("n"), 0.0).otherwise(model.feather_weight(F.col("y"), F.col("sos"), F.col("n"))))
+    d = d.withColumn("w", F.when(F.col("y") > F.col("sos") + F.col("n"), 0.0).otherwise(model.feather_weight(F.col("y"), F.col("sos"), F.col("n"), F.col("b"))))
     d = d.withColumn("new", model.predicted_rgb(F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * F.col("h_corr"))), F.col("s_hat") * F.col("s_corr"), F.col("v_hat") * F.col("v_corr")))
-    skip = (F.col("a") < 16384) & (F.col("y") >= F.col("sos"))
-    mixed = lambda c: F.when(skip, F.col(c)).otherwise(F.floor(F.col(f"new.{c}") * F.col("w") + F.col(c) * (1 - F.col("w")))).cast("int")
+    skip = F.col("h_corr").isNull() | (F.col("a") < 16384) & (F.col("y") >= F.col("sos"))
+    mixed = lambda c: F.when(skip, F.col(c)).otherwise(F.floor(F.col(f"new.{c}") * F.col("w") + F.col(c) * (1 - F.col("w")) + 0.5)).cast("int")
     return d.select("image_id", "x", "y", *[mixed(c).alias(c) for c in "rgb"], F.when(~skip & (F.col("w") > 0), 65535).otherwise(F.col("a")).alias("a"))
 
 
@@ -87,7 +94,7 @@ def replace_sky(predicted: DataFrame, col: DataFrame, depth: float = 0.5) -> Dat
     """Full replacement down to the effective end: the larger of sky probability and feather decides the share."""
     d = sky_probability(predicted, col).join(col.select("image_id", "x", "sos", F.coalesce("manual_eos", "eos").alias("end")), ["image_id", "x"])
     n = model.feather_length(F.col("sos"), F.col("end"), depth)
-    feather = F.when(F.col("y") > F.col("sos") + n, 0.0).otherwise(model.logistic_feather(model.feather_weight(F.col("y"), F.col("sos"), n)))
+    feather = F.when(F.col("y") > F.col("sos") + n, 0.0).otherwise(model.logistic_feather(model.feather_weight(F.col("y"), F.col("sos"), n, F.col("b"))))
     p = F.when(F.col("a") < 16384, 1.0).when(F.col("y") > F.col("end"), 0.0).otherwise(F.greatest("p_hat", feather))
     d = d.withColumn("p", p)
     return d.select("image_id", "x", "y", *[F.floor(F.col(f"{c}_hat") * F.col("p") + F.col(c) * (1 - F.col("p"))).cast("int").alias(c) for c in "rgb"], "p")

@@ -88,6 +88,28 @@ def best_sat_start(smp: DataFrame) -> DataFrame:
     return fits.groupBy("image_id").agg(F.min_by(F.struct("horizon", "sse"), F.struct("sse", "horizon")).alias("b")).select("image_id", "b.*")
 
 
+#: The standard sets of general sky luminance (type, gradation, A, B, C, D, E).
+SKY_SETS = [
+    (1, 1, 4.0, -0.70, 0.0, -1.0, 0.00), (2, 1, 4.0, -0.70, 2.0, -1.5, 0.15), (3, 2, 1.1, -0.80, 0.0, -1.0, 0.00), (4, 2, 1.1, -0.80, 2.0, -1.5, 0.15),
+    (5, 3, 0.0, -1.00, 0.0, -1.0, 0.00), (6, 3, 0.0, -1.00, 2.0, -1.5, 0.15), (7, 3, 0.0, -1.00, 5.0, -2.5, 0.35), (8, 3, 0.0, -1.00, 10.0, -3.0, 0.45),
+    (9, 4, -1.0, -0.55, 2.0, -1.5, 0.15), (10, 4, -1.0, -0.55, 5.0, -2.5, 0.30), (11, 4, -1.0, -0.55, 10.0, -3.0, 0.45), (12, 5, -1.0, -0.32, 10.0, -3.0, 0.45),
+    (13, 5, -1.0, -0.32, 16.0, -3.0, 0.30), (14, 6, -1.0, -0.15, 16.0, -3.0, 0.30), (15, 6, -1.0, -0.15, 24.0, -2.8, 0.15), (16, 3, -1.0, -0.30, 0.0, -1.0, 0.00),
+]
+
+
+def sky_sets(spark: SparkSession, kind: str = "all") -> DataFrame:
+    """(type, gradation, ca, cb, cc, cd, ce) of the standard sets; kind `uniform` (no brightening by the sun), `nonuniform` or `all`."""
+    d = spark.createDataFrame(SKY_SETS, "type int, gradation int, ca double, cb double, cc double, cd double, ce double")
+    uniform = (F.col("cc") < 0.01) & (F.col("cd") < 0.01)
+    return d if kind == "all" else d.filter(uniform if kind == "uniform" else ~uniform)
+
+
+def sun_grid(spark: SparkSession, fov: float) -> DataFrame:
+    """(sun, sx, sy): 37 angles from -180 to 180 degrees, as positions in an image of that field of view, by 4 heights."""
+    d = spark.range(148).select(F.col("id").cast("int").alias("sun"))
+    return d.select("sun", ((F.floor(F.col("sun") / 4) * 10 - 180) / fov).alias("sx"), (F.col("sun") % 4 * 0.5).alias("sy"))
+
+
 def score_sky_grid(smp: DataFrame, params: DataFrame, suns: DataFrame, luminance) -> DataFrame:
     """(image_id, type, sun, sse): every sample under every parameter set and sun position. The two sides of the grid are
     fixed lists (16 sets, 148 positions) and are broadcast; sums are made where the samples are."""
@@ -97,5 +119,6 @@ def score_sky_grid(smp: DataFrame, params: DataFrame, suns: DataFrame, luminance
 
 
 def best_sky_grid(scores: DataFrame) -> DataFrame:
-    d = scores.withColumn("sse", F.round("sse", 6))
+    """(image_id, type, sun, sse): the least error of each image, to 3 places; of equal ones the first set and position."""
+    d = scores.withColumn("sse", F.round("sse", 3))
     return d.groupBy("image_id").agg(F.min_by(F.struct("type", "sun", "sse"), F.struct("sse", "type", "sun")).alias("b")).select("image_id", "b.*")

@@ -87,13 +87,14 @@ def rgb_to_hsv(s):
     return rounded(s.hsv.select("image_id", "x", "y", "h", "s", "v"), 6, "s", "v").withColumn("h", F.round("h", 4))
 
 
-@query(None)
+@query(f"{BASE}, h AS ({S.hsv('px')}) SELECT image_id, x, y, " + " AND ".join(f"abs({e}-{c})<=3" for c, e in S.rgb("h", "s", "v").items()) + " AS close FROM h")
 def hsv_round_trip(s):
+    """Channels are truncated, so each comes back a little less."""
     d = s.hsv.withColumn("back", color.hsv_to_rgb(F.col("h"), F.col("s"), F.col("v")))
-    return d.select("image_id", "x", "y", *[F.abs(F.col(f"back.{c}") - F.col(c)).alias(f"d{c}") for c in "rgb"])
+    return d.select("image_id", "x", "y", (F.greatest(*[F.abs(F.col(f"back.{c}") - F.col(c)) for c in "rgb"]) <= 3).alias("close"))
 
 
-@query(f"{BASE}, h AS ({S.hsv('px')}) SELECT image_id, count(*) FILTER (WHERE a >= 16384 AND (abs(h-205)/205.0 > 0.05 OR abs(s-0.5)/0.5 > 0.2 OR abs(v-0.8)/0.8 > 0.2)) AS off FROM h GROUP BY 1")
+@query(f"{BASE}, h AS ({S.hsv('px')}) SELECT image_id, count(*) FILTER (WHERE a >= 32767 AND (abs(h-205)/205.0 > 0.05 OR abs(s-0.5)/0.5 > 0.2 OR abs(v-0.8)/0.8 > 0.2)) AS off FROM h GROUP BY 1")
 def off_sky_color(s):
     d = s.px.withColumn("hsv", color.rgb_to_hsv("r", "g", "b"))
     return d.groupBy("image_id").agg(F.count_if(color.is_off_sky_color(F.col("hsv"), F.lit(205.0), F.lit(0.5), F.lit(0.8))).alias("off"))
@@ -174,7 +175,7 @@ def dilate_start(s):
     return columns.dilate_start(s.col, W).select("image_id", "x", "sos")
 
 
-@query(f"{BASE} SELECT image_id, x, max(raw_sos) OVER ({XW} ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)+10 AS scan_y FROM col")
+@query(f"{BASE} SELECT image_id, x, max(raw_sos) FILTER (WHERE column_mask=0) OVER ({XW} ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)+10 AS scan_y FROM col")
 def local_scan_start(s):
     return columns.local_scan_start(s.col).select("image_id", "x", "scan_y")
 
@@ -208,9 +209,16 @@ def contrast_end(s):
     return columns.contrast_end(s.px, s.col)
 
 
-@query(f"{BASE}, c AS (SELECT *, eos+CASE WHEN x%11=5 THEN 20 ELSE 0 END AS e FROM col), n AS (SELECT image_id, x, e, lag(e) OVER ({XW}) AS a, lead(e) OVER ({XW}) AS b FROM c) SELECT image_id, x, CAST(CASE WHEN e-a>10 AND e-b>10 THEN floor((a+b)/2) ELSE e END AS INT) AS fixed_eos FROM n")
+_DIPS = "eos - CASE WHEN x % 11 = 5 OR x IN (12, 13, 30, 31, 32) THEN 14 ELSE 0 END"
+
+
+@query(f"""{BASE}, c AS (SELECT image_id, x, column_mask AS m, {_DIPS} AS e FROM col),
+n AS (SELECT *, lag(e) OVER w AS e0, lag(m) OVER w AS m0, {', '.join(f'lead(e,{k}) OVER w AS e{k}, lead(m,{k}) OVER w AS m{k}' for k in (1, 2, 3))} FROM c WINDOW w AS ({XW})),
+k AS (SELECT *, CASE WHEN x<37 AND m=0 AND m0=0 AND e0-e>10 THEN CASE WHEN e1-e>10 THEN CASE WHEN m1=0 THEN 1 END WHEN e2-e>10 THEN CASE WHEN m2=0 THEN 2 END WHEN e3-e>10 THEN CASE WHEN m3=0 THEN 3 END END END AS n FROM n),
+v AS (SELECT *, floor((e0+CASE n WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END)/2.0) AS v FROM k)
+SELECT image_id, x, CAST(CASE WHEN n IS NOT NULL THEN v WHEN lag(n) OVER w>=2 THEN lag(v) OVER w WHEN lag(n,2) OVER w=3 THEN lag(v,2) OVER w ELSE e END AS INT) AS fixed_eos FROM v WINDOW w AS ({XW})""")
 def fix_slivers(s):
-    return columns.fix_slivers(s.col.withColumn("eos", F.expr("eos + CASE WHEN x % 11 = 5 THEN 20 ELSE 0 END"))).select("image_id", "x", "fixed_eos")
+    return columns.fix_slivers(s.col.withColumn("eos", F.expr(f"cast({_DIPS} AS int)")), W).select("image_id", "x", "fixed_eos")
 
 
 @query(f"{BASE}, run AS (SELECT *, sum(column_mask) OVER ({XW}) AS k FROM col) SELECT a.image_id, a.x, CAST(CASE WHEN a.column_mask=1 THEN a.eos ELSE greatest(min(b.eos+2*abs(a.x-b.x)), a.sos) END AS INT) AS clamped_eos FROM run a JOIN run b ON a.image_id=b.image_id AND a.k=b.k AND a.column_mask=b.column_mask GROUP BY a.image_id, a.x, a.column_mask, a.eos, a.sos")
@@ -240,27 +248,49 @@ def sobel_strength(s):
     return columns.sobel_strength(s.px).select("image_id", "x", "y", F.round("sobel", 2).alias("sobel"))
 
 
-@query(f"{BASE} SELECT image_id, x, y, {', '.join(f'round(avg({c}) OVER w, 3) AS {c}_smooth' for c in 'rgb')} FROM px WINDOW w AS ({RW} RANGE BETWEEN 50 PRECEDING AND 49 FOLLOWING)")
+@query(f"""{BASE}, d AS (SELECT px.*, column_mask, (SELECT min(eos) FROM col k WHERE k.image_id=px.image_id AND k.column_mask=0) AS low FROM px JOIN col USING (image_id, x))
+SELECT image_id, x, y, {', '.join(f'round(avg({c}) FILTER (WHERE column_mask=0) OVER w, 3) AS {c}_smooth' for c in 'rgb')} FROM d WHERE y<low WINDOW w AS ({RW} RANGE BETWEEN 50 PRECEDING AND 49 FOLLOWING)""")
 def horizontal_smooth(s):
-    d = columns.horizontal_smooth(s.px).select("image_id", "x", "y", "r_smooth", "g_smooth", "b_smooth")
+    d = columns.horizontal_smooth(s.px, s.col).select("image_id", "x", "y", "r_smooth", "g_smooth", "b_smooth")
     return rounded(d, 3, "r_smooth", "g_smooth", "b_smooth")
 
 
+@query(f"""{BASE}, d AS (SELECT px.*, sos, eos, column_mask FROM px JOIN col USING (image_id, x)),
+n AS (SELECT p.image_id, p.x, p.y, {', '.join(f'CAST(floor(avg(q.{c})+0.5) AS INT) AS {c}' for c in 'rgb')} FROM d p JOIN d q ON p.image_id=q.image_id AND q.x BETWEEN p.x-3 AND p.x+3 AND q.y BETWEEN p.y-3 AND p.y+3
+  WHERE p.column_mask=0 AND p.y<=p.eos AND p.y>=p.sos-3 AND p.y<p.sos+3 AND q.column_mask=0 AND q.y<=q.eos GROUP BY 1, 2, 3)
+SELECT px.image_id, px.x, px.y, {', '.join(f'coalesce(n.{c}, px.{c}) AS {c}' for c in 'rgb')}, px.a FROM px LEFT JOIN n ON n.image_id=px.image_id AND n.x=px.x AND n.y=px.y""")
+def seam_smooth(s):
+    return columns.seam_smooth(s.px, s.col)
+
+
 @query(f"{BASE} SELECT p.image_id, p.x, p.y, {', '.join(f'round(avg(q.{c}), 3) AS {c}_box' for c in 'rgb')} FROM px p JOIN px q ON p.image_id=q.image_id AND q.x BETWEEN p.x-4 AND p.x+4 AND q.y BETWEEN p.y-6 AND p.y+6 GROUP BY 1, 2, 3")
 def box_smooth(s):
     d = columns.box_smooth(s.px).select("image_id", "x", "y", "r_box", "g_box", "b_box")
     return rounded(d, 3, "r_box", "g_box", "b_box")
 
 
-@query(f"{BASE} SELECT image_id, y, {', '.join(f'round(avg({c}), 4) AS mean_{c}' for c in 'rgb')}, count(*) AS n FROM px JOIN col USING (image_id, x) WHERE y BETWEEN sos AND eos GROUP BY 1, 2")
-def row_means(s):
-    return rounded(columns.row_means(s.px, s.col), 4, "mean_r", "mean_g", "mean_b")
+def _rows(flag: int) -> str:
+    low, high = "min(sos)" if flag == 2 else "0", "max(sos)" if flag == 1 else "max(eos)"
+    return f"""{BASE}, ext AS (SELECT image_id, {low} AS y0, {high} AS y1 FROM col GROUP BY 1), d AS (SELECT px.*, sos, eos, y0, y1 FROM px JOIN col USING (image_id, x) JOIN ext USING (image_id)),
+m AS (SELECT image_id, y, {', '.join(f'avg({c}) AS mean_{c}' for c in 'rgb')}, count(*) AS n FROM d WHERE y BETWEEN y0 AND y1 AND y<=eos{' AND y>=sos' if flag == 2 else ''} GROUP BY 1, 2)"""
+
+
+def _even(flag: int) -> str:
+    begin = "sos" if flag == 1 else "((eos+sos)/2.0::DOUBLE)"
+    w = "CASE WHEN y<=eos THEN 1-y/nullif(y1,0)::DOUBLE END" if flag == 0 else f"CASE WHEN y<=sos THEN 1.0 WHEN 1-(y-{begin})/nullif(eos-{begin},0)::DOUBLE>0 THEN 1-(y-{begin})/nullif(eos-{begin},0)::DOUBLE END"
+    mixed = ", ".join(f"CAST(CASE WHEN w IS NULL THEN {c} ELSE greatest(0,least(65535,floor(w*mean_{c}+(1-w)*{c}))) END AS INT) AS {c}" for c in "rgb")
+    return f"{_rows(flag)}, e AS (SELECT d.*, mean_r, mean_g, mean_b, CASE WHEN y BETWEEN y0 AND y1 AND mean_r IS NOT NULL THEN {w} END AS w FROM d LEFT JOIN m USING (image_id, y)) SELECT image_id, x, y, {mixed}, CASE WHEN w IS NULL THEN a ELSE 65535 END AS a FROM e"
+
+
+def _register_rows() -> None:
+    """row_means and even_out_rows for each of the three ranges of rows."""
+    means = f" SELECT image_id, y, {', '.join(f'round(mean_{c}, 4) AS mean_{c}' for c in 'rgb')}, n FROM m"
+    for flag, name in ((0, ""), (1, "_to_start"), (2, "_from_start")):
+        QUERIES[f"row_means{name}"] = (lambda spark, sf, flag=flag: rounded(columns.row_means((s := Scene(spark, sf)).px, s.col, flag), 4, "mean_r", "mean_g", "mean_b"), _rows(flag) + means)
+        QUERIES[f"even_out_rows{name}"] = (lambda spark, sf, flag=flag: columns.even_out_rows((s := Scene(spark, sf)).px, s.col, flag), _even(flag))
 
 
-@query(f"""{BASE}, d AS (SELECT image_id, x, y, r, g, b, max(eos) OVER (PARTITION BY image_id) AS m FROM px JOIN col USING (image_id, x) WHERE y BETWEEN sos AND eos)
-SELECT image_id, x, y, {', '.join(f'CAST(floor(avg({c}) OVER w*(1-y/m::DOUBLE)+{c}*(1-(1-y/m::DOUBLE))) AS INT) AS {c}' for c in 'rgb')} FROM d WINDOW w AS (PARTITION BY image_id, y)""")
-def even_out_rows(s):
-    return columns.even_out_rows(s.px, s.col)
+_register_rows()
 
 
 @query(f"{BASE} SELECT image_id, x, greatest(max(eos), max(y) FILTER (WHERE abs(y-eos)<=5 AND y BETWEEN raw_sos AND eos+2)) AS extended_eos FROM px JOIN col USING (image_id, x) GROUP BY 1, 2")
@@ -269,21 +299,29 @@ def extend_end_by_class(s):
     return columns.extend_end_by_class(d, s.col)
 
 
-@query(f"""{BASE}, l AS (SELECT *, 0.299*r+0.587*g+0.114*b AS l FROM px), n AS (SELECT *, lag(l) OVER w AS l0, lead(l) OVER w AS l2 FROM l WINDOW w AS ({YW})),
-t AS (SELECT n.*, coalesce(y BETWEEN eos-3 AND eos AND l>l0 AND l>l2, false) AS k FROM n JOIN col USING (image_id, x))
-SELECT image_id, x, y, {', '.join(f'CAST(CASE WHEN k THEN floor({c}*l0/l) ELSE {c} END AS INT) AS {c}' for c in 'rgb')}, k AS trimmed FROM t""")
+@query(f"""{BASE}, l AS (SELECT *, 0.21126*r+0.7152*g+0.0722*b AS l FROM px), n AS (SELECT *, lag(l) OVER w AS l0, lead(l) OVER w AS l2 FROM l WINDOW w AS ({YW})),
+t AS (SELECT n.*, raw_sos, eos, coalesce(y BETWEEN eos-1 AND eos+2 AND l>l0 AND l>l2, false) AS p FROM n JOIN col USING (image_id, x)), k AS (SELECT *, p AND NOT (a<32767 AND y>raw_sos) AS k FROM t)
+SELECT image_id, x, y, {', '.join(f'CAST(CASE WHEN k THEN floor({c}*(l0/l)+0.5) ELSE {c} END AS INT) AS {c}' for c in 'rgb')}, k AS trimmed, coalesce(max(y) FILTER (WHERE p) OVER (PARTITION BY image_id, x), eos) AS final_eos FROM k""")
 def trim_halo(s):
     return columns.trim_halo(s.px, s.col)
 
 
-@query(f"{BASE} SELECT p.image_id, p.x, p.y, {', '.join(f'CAST(floor(a.{c}*(1-(p.x-4)/4.0::DOUBLE)+b.{c}*((p.x-4)/4.0::DOUBLE)) AS INT) AS {c}' for c in 'rgb')} FROM px p JOIN px a ON a.image_id=p.image_id AND a.y=p.y AND a.x=4 JOIN px b ON b.image_id=p.image_id AND b.y=p.y AND b.x=8 WHERE p.x BETWEEN 5 AND 7")
+@query(f"{BASE} SELECT p.image_id, p.x, p.y, {', '.join(f'CAST(floor(a.{c}*(1-(p.x-4)/5.0::DOUBLE)+b.{c}*((p.x-4)/5.0::DOUBLE)) AS INT) AS {c}' for c in 'rgb')}, 65535 AS a FROM px p JOIN px a ON a.image_id=p.image_id AND a.y=p.y AND a.x=4 JOIN px b ON b.image_id=p.image_id AND b.y=p.y AND b.x=8 WHERE p.x BETWEEN 5 AND 7 AND p.y<10+(SELECT max(sos) FROM col k WHERE k.image_id=p.image_id AND k.x BETWEEN 4 AND 7)")
 def interpolate_masked_columns(s):
-    return columns.interpolate_masked_columns(s.px, s.masks)
+    return columns.interpolate_masked_columns(s.px, s.col, s.masks)
 
 
-@query(f"{BASE}, q AS (SELECT *, sum(CASE WHEN greatest(r,g,b)>3840 AND a>=32767 THEN 1 ELSE 0 END) OVER ({YW} ROWS UNBOUNDED PRECEDING) AS n FROM px) SELECT image_id, x, y, CASE WHEN greatest(r,g,b)<=3840 AND n<10 THEN 0 ELSE a END AS a FROM q")
+_BLACK_AT = "(x*3+y)%17=0 OR (x%8=2 AND y IN (3, 4))"
+
+
+@query(f"""{BASE}, p AS (SELECT image_id, x, y, CASE WHEN {_BLACK_AT} THEN 900 ELSE r END AS r, CASE WHEN {_BLACK_AT} THEN 900 ELSE g END AS g, CASE WHEN {_BLACK_AT} THEN 900 ELSE b END AS b, CASE WHEN {_BLACK_AT} THEN 65535 ELSE a END AS a FROM px),
+d AS (SELECT p.*, column_mask, greatest(r,g,b)<=3840 AND a>=16384 AS black, y<20 AND y>0 AND column_mask=0 AS above, min(sos) OVER (PARTITION BY image_id) AS low, max(sos) OVER (PARTITION BY image_id) AS high FROM p JOIN col USING (image_id, x)),
+q AS (SELECT *, sum(CASE WHEN above AND NOT black THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, x ORDER BY y DESC ROWS 11 PRECEDING) AS passed FROM d),
+e AS (SELECT *, CASE WHEN above AND black AND max(passed) OVER (PARTITION BY image_id, x ORDER BY y DESC ROWS UNBOUNDED PRECEDING)<12 THEN 0 ELSE a END AS a1 FROM q)
+SELECT image_id, x, y, CASE WHEN y BETWEEN low AND high AND column_mask=0 AND black AND coalesce(least(lag(a1) OVER w, lead(a1) OVER w)<16384, false) THEN 0 ELSE a1 END AS a FROM e WINDOW w AS ({RW})""")
 def clear_black_edges(s):
-    return columns.clear_black_edges(s.px).select("image_id", "x", "y", "a")
+    planted = s.px.withColumns({c: F.expr(f"CASE WHEN {_BLACK_AT} THEN {v} ELSE {c} END") for c, v in (("r", 900), ("g", 900), ("b", 900), ("a", 65535))})
+    return columns.clear_black_edges(planted, s.col.withColumn("raw_sos", F.lit(20))).select("image_id", "x", "y", "a")
 
 
 @query(f"{BASE}, z AS (SELECT image_id, x, y, r, g, b, CASE WHEN a<65535 THEN 0 ELSE a END AS a FROM px) SELECT p.image_id, p.x, p.y, CASE WHEN min(q.a)=0 AND least(p.r,p.g,p.b)*8<greatest(p.r,p.g,p.b) THEN 0 ELSE p.a END AS a FROM z p JOIN z q ON p.image_id=q.image_id AND q.x BETWEEN p.x-2 AND p.x+2 AND q.y BETWEEN p.y-2 AND p.y+2 GROUP BY p.image_id, p.x, p.y, p.r, p.g, p.b, p.a")
@@ -386,28 +424,28 @@ def best_sat_start(s):
     return sampling.best_sat_start(s.samples())
 
 
-_SETS, _SUNS = "(1,4.0,-0.70,0.0,-1.0,0.0),(5,0.0,-1.0,0.0,-1.0,0.0),(12,-1.0,-0.32,10.0,-3.0,0.45)", "(1,-0.3,0.6),(2,0.0,0.8),(3,0.3,0.6)"
+_SETS = ", ".join(f"({t},{a}::DOUBLE,{b}::DOUBLE,{c}::DOUBLE,{d}::DOUBLE,{e}::DOUBLE)" for t, _, a, b, c, d, e in sampling.SKY_SETS)
+_SUNS = f"(SELECT k AS sun, (floor(k/4)*10-180)/{S.FOV}::DOUBLE AS sx, (k%4)*0.5::DOUBLE AS sy FROM (SELECT CAST(unnest(generate_series(0, 147)) AS INT) AS k))"
 _FY = f"(radians({S.FOV})*{H}/{W})"
 _GAMMA = f"sqrt(pow((px-sx)*radians({S.FOV}),2)+pow((py-sy)*{_FY},2))"
 _CIE = f"(1+ca*exp(cb/cos(least(pi()/2-(py-{S.HORIZON})*{_FY},pi()/2-0.01))))*(1+cc*(exp(cd*gamma)-exp(cd*pi()/2))+ce*pow(cos(gamma),2))"
-_GRID = f"""{SAMPLES}, q AS (SELECT *, CASE WHEN {_GAMMA}<radians(0.533)/2 THEN 0 ELSE {_GAMMA} END AS gamma FROM smp, (VALUES {_SETS}) p(type,ca,cb,cc,cd,ce), (VALUES {_SUNS}) z(sun,sx,sy)),
+_GRID = f"""{SAMPLES}, q AS (SELECT *, CASE WHEN {_GAMMA}<radians(0.533)/2 THEN 0 ELSE {_GAMMA} END AS gamma FROM smp, (VALUES {_SETS}) p(type,ca,cb,cc,cd,ce), {_SUNS} z),
 sc AS (SELECT image_id, type, sun, sum(pow(v-{_CIE}/10,2)) AS sse FROM q GROUP BY 1, 2, 3)"""
 
 
 def _scores(s):
-    params = s.spark.sql(f"SELECT type, {', '.join(f"CAST({k} AS DOUBLE) {k}" for k in ("ca", "cb", "cc", "cd", "ce"))} FROM VALUES {_SETS} AS t(type, ca, cb, cc, cd, ce)")
-    suns = s.spark.sql(f"SELECT sun, CAST(sx AS DOUBLE) sx, CAST(sy AS DOUBLE) sy FROM VALUES {_SUNS} AS t(sun, sx, sy)")
+    params, suns = sampling.sky_sets(s.spark), sampling.sun_grid(s.spark, S.FOV)
     c = F.col
     lum = geometry.cie_luminance(c("px"), c("py"), c("py"), c("sx"), c("sy"), F.lit(S.HORIZON), F.radians(F.lit(S.FOV)), F.radians(F.lit(S.FOV)) * H / W, c("ca"), c("cb"), c("cc"), c("cd"), c("ce"))
     return sampling.score_sky_grid(s.samples(), params, suns, lum / 10)
 
 
-@query(f"{_GRID} SELECT image_id, type, sun, round(sse, 5) AS sse FROM sc")
+@query(f"{_GRID} SELECT image_id, type, sun, round(sse, 2) AS sse FROM sc")
 def score_sky_grid(s):
-    return rounded(_scores(s), 5, "sse")
+    return rounded(_scores(s), 2, "sse")
 
 
-@query(f"{_GRID} SELECT image_id, type, sun, sse FROM (SELECT image_id, type, sun, round(sse, 6) AS sse, row_number() OVER (PARTITION BY image_id ORDER BY round(sse, 6), type, sun) AS k FROM sc) WHERE k=1")
+@query(f"{_GRID} SELECT image_id, type, sun, sse FROM (SELECT image_id, type, sun, round(sse, 3) AS sse, row_number() OVER (PARTITION BY image_id ORDER BY round(sse, 3), type, sun) AS k FROM sc) WHERE k=1")
 def best_sky_grid(s):
     return sampling.best_sky_grid(_scores(s))
 
@@ -458,23 +496,24 @@ def sky_probability(s):
     return rounded(fill.sky_probability(s.predicted, s.col).select("image_id", "x", "y", "prob_sky"), 3, "prob_sky")
 
 
-_CORR = f"""{MODEL}, hp AS ({S.hsv('pred JOIN col USING (image_id, x)')}), corr AS (SELECT image_id, x, {', '.join(f'coalesce(sum({a}) FILTER (WHERE k)/nullif(sum({b}) FILTER (WHERE k),0),1) AS {n}' for n, a, b in (('h_corr', 'h*s', 'h_hat*s'), ('s_corr', 's', 's_hat'), ('v_corr', 'v', 'v_hat')))}
-FROM (SELECT *, y>=sos AND y<=sos+(eos-sos)/4.0 AND greatest(r,g,b)>3840 AS k FROM hp) GROUP BY 1, 2)"""
+_CORR = f"""{MODEL}, hp AS ({S.hsv('pred JOIN col USING (image_id, x)')}), corr AS (SELECT image_id, x, {', '.join(f'coalesce(sum({a}) FILTER (WHERE k)/nullif(sum({b}) FILTER (WHERE k),0),1) AS {n}' for n, a, b in (('h_corr', 'h*s', 'h_hat*s'), ('s_corr', 's', 's_hat'), ('v_corr', 'v*s', 'v_hat*s')))}, count(*) FILTER (WHERE k) AS n
+FROM (SELECT *, y>=sos AND y<least(sos+floor((eos-sos)*0.25+0.5),eos,24) AND greatest(r,g,b)>3840 AS k FROM hp WHERE column_mask=0) GROUP BY 1, 2),
+sm AS (SELECT image_id, x, {', '.join(f'coalesce(avg({c}_corr) FILTER (WHERE n>0) OVER w, 1) AS {c}_corr' for c in 'hsv')} FROM corr WINDOW w AS ({XW} RANGE BETWEEN 126 PRECEDING AND 126 FOLLOWING))"""
 
 
-@query(f"{_CORR} SELECT image_id, x, round(h_corr, 5) AS h_corr, round(s_corr, 5) AS s_corr, round(v_corr, 5) AS v_corr FROM corr")
+@query(f"{_CORR} SELECT image_id, x, round(h_corr, 5) AS h_corr, round(s_corr, 5) AS s_corr, round(v_corr, 5) AS v_corr, n FROM corr")
 def column_corrections(s):
-    return rounded(fill.column_corrections(s.predicted, s.col), 5, "h_corr", "s_corr", "v_corr")
+    return rounded(fill.column_corrections(s.predicted, s.col, H), 5, "h_corr", "s_corr", "v_corr")
 
 
-@query(f"{_CORR} SELECT image_id, x, {', '.join(f'round(avg({c}_corr) OVER w, 5) AS {c}_corr' for c in 'hsv')} FROM corr WINDOW w AS ({XW} RANGE BETWEEN 126 PRECEDING AND 126 FOLLOWING)")
+@query(f"{_CORR} SELECT image_id, x, {', '.join(f'round({c}_corr, 5) AS {c}_corr' for c in 'hsv')} FROM sm")
 def smooth_corrections(s):
-    return rounded(fill.smooth_corrections(fill.column_corrections(s.predicted, s.col)), 5, "h_corr", "s_corr", "v_corr")
+    return rounded(fill.smooth_corrections(fill.column_corrections(s.predicted, s.col, H)), 5, "h_corr", "s_corr", "v_corr")
 
 
-@query(f"{MODEL} SELECT image_id, round(avg(h_hat), 4) AS h_zenith, round(avg(s_hat), 6) AS s_zenith, round(avg(v_hat), 6) AS v_zenith FROM pred WHERE y=0 GROUP BY 1")
+@query(f"{MODEL} SELECT image_id, round(avg(h_hat), 4) AS h_zenith, round(avg(s_hat), 6) AS s_zenith, round(avg(v_hat), 6) AS v_zenith FROM pred JOIN col USING (image_id, x) WHERE y=0 AND column_mask=0 GROUP BY 1")
 def zenith_color(s):
-    return rounded(fill.zenith_color(s.predicted), 6, "s_zenith", "v_zenith").withColumn("h_zenith", F.round("h_zenith", 4))
+    return rounded(fill.zenith_color(s.predicted, s.col), 6, "s_zenith", "v_zenith").withColumn("h_zenith", F.round("h_zenith", 4))
 
 
 @query(f"{MODEL} SELECT image_id, round(sum(pow(greatest(r,g,b)/65535.0::DOUBLE-v_hat,2)), 4) AS sse_v, round(sum({'+'.join(f'pow(({c}-{c}_hat)/65535.0::DOUBLE,2)' for c in 'rgb')}), 2) AS sse_rgb FROM pred GROUP BY 1")
@@ -488,10 +527,14 @@ def dark_top_check(s):
     return fill.dark_top_check(s.predicted, H)
 
 
-@query(f"{BASE} SELECT image_id, x, y, round(CASE WHEN y>=sos THEN greatest(0,least(1,1-(y-sos)/(least(sos+floor((eos-sos)*0.5+0.5),eos)-sos))) ELSE 1 END, 6) AS w FROM px JOIN col USING (image_id, x)")
+@query(f"""{BASE} SELECT image_id, x, y, round(CASE WHEN y>=sos AND b>=0.04*65535 THEN greatest(0,least(1,1-(y-sos)/(least(sos+floor((eos-sos)*0.5+0.5),eos)-sos))) ELSE 1 END, 6) AS w,
+round(CASE WHEN y<=raw_sos THEN 1 WHEN y>least(raw_sos+floor((eos-sos)*0.5+0.5),eos) THEN 0 WHEN b<0.04*65535 THEN 1 ELSE greatest(0,least(1,1-(y-raw_sos)/(least(raw_sos+floor((eos-sos)*0.5+0.5),eos)-raw_sos))) END::DOUBLE, 6) AS raw_w FROM px JOIN col USING (image_id, x)""")
 def feather_weight(s):
     d = s.px.join(s.col, ["image_id", "x"])
-    return d.select("image_id", "x", "y", F.round(model.feather_weight(F.col("y"), F.col("sos"), model.feather_length(F.col("sos"), F.col("eos"))), 6).alias("w"))
+    y, sos, eos, raw = F.col("y"), F.col("sos"), F.col("eos"), F.col("raw_sos")
+    w = model.feather_weight(y, sos, model.feather_length(sos, eos), F.col("b"))
+    raw_w = model.raw_feather_weight(y, raw, model.feather_length(sos, eos, from_row=raw), F.col("b"))
+    return d.select("image_id", "x", "y", F.round(w, 6).alias("w"), F.round(raw_w, 6).alias("raw_w"))
 
 
 @query(f"{BASE}, {S.REL} SELECT image_id, x, y, round((1/(1+exp(-(py-0.5)*5))-1/(1+exp(2.5)))/(1-2/(1+exp(2.5))), 6) AS p FROM rel")
@@ -499,22 +542,30 @@ def logistic_feather(s):
     return s.rel.select("image_id", "x", "y", F.round(model.logistic_feather(F.col("py")), 6).alias("p"))
 
 
-@query(None)
+_NEW = S.rgb("greatest(0,least(359.99,h_hat*h_corr))::DOUBLE", "greatest(0,least(1,s_hat*s_corr))::DOUBLE", "greatest(0,least(1,v_hat*v_corr))::DOUBLE")
+
+
+@query(f"""{_CORR}, f AS (SELECT pred.*, sos, least(sos+floor((eos-sos)*0.5+0.5),eos)-sos AS n, h_corr, s_corr, v_corr FROM pred JOIN col USING (image_id, x) LEFT JOIN sm USING (image_id, x)),
+w AS (SELECT *, h_corr IS NULL OR (a<16384 AND y>=sos) AS skip, CASE WHEN y>sos+n THEN 0.0 WHEN y>=sos AND b>=0.04*65535 THEN coalesce(greatest(0,least(1,1-(y-sos)/nullif(n,0)::DOUBLE)),0) ELSE 1.0 END::DOUBLE AS w FROM f)
+SELECT image_id, x, y, {', '.join(f'CAST(CASE WHEN skip THEN {c} ELSE floor({e}*w+{c}*(1-w)+0.5) END AS INT) AS {c}' for c, e in _NEW.items())}, CASE WHEN NOT skip AND w>0 THEN 65535 ELSE a END AS a FROM w""")
 def fill_sky_columns(s):
-    return fill.fill_sky_columns(s.predicted, s.col)
+    return fill.fill_sky_columns(s.predicted, s.col, H)
 
 
-@query(None)
+@query(f"""{MODEL}, {S.PROB}, e AS (SELECT *, coalesce(manual_eos, eos) AS fin, least(sos+floor((coalesce(manual_eos, eos)-sos)*0.5+0.5),coalesce(manual_eos, eos))-sos AS n FROM prob),
+f AS (SELECT *, CASE WHEN y>=sos AND b>=0.04*65535 THEN coalesce(greatest(0,least(1,1-(y-sos)/nullif(n,0)::DOUBLE)),0) ELSE 1.0 END::DOUBLE AS w FROM e),
+p AS (SELECT *, CASE WHEN a<16384 THEN 1.0 WHEN y>fin THEN 0.0 ELSE greatest(p_hat, CASE WHEN y>sos+n THEN 0.0 ELSE (1/(1+exp(-(w-0.5)*5))-1/(1+exp(2.5)))/(1-2/(1+exp(2.5))) END) END::DOUBLE AS p FROM f)
+SELECT image_id, x, y, {', '.join(f'CAST(floor({c}_hat*p+{c}*(1-p)) AS INT) AS {c}' for c in 'rgb')}, round(p, 6) AS p FROM p""")
 def replace_sky(s):
     return rounded(fill.replace_sky(s.predicted, s.col), 6, "p")
 
 
-@query(None)
+@query(f"{MODEL}, {S.PROB} SELECT image_id, x, y, {', '.join(f'CAST(floor(prob_sky*65535) AS INT) AS {c}' for c in 'rgb')} FROM prob")
 def probability_map(s):
     return fill.diagnostic_maps(s.predicted, s.col, "probability")
 
 
-@query(None)
+@query(f"{MODEL} SELECT image_id, x, y, {', '.join(f'abs({c}-{c}_hat) AS {c}' for c in 'rgb')} FROM pred")
 def error_map(s):
     return fill.diagnostic_maps(s.predicted, s.col, "error")
 
@@ -674,3 +725,50 @@ def sky_outline(s):
     start = columns.start_of_sky(s.px, s.masks, H).select("image_id", "x", F.col("raw_sos").alias("sos"))
     ends = columns.first_band_failure(rounded(columns.column_band_stats(s.px), 6, "dh", "ds", "dv")).select("image_id", "x", F.coalesce("end_y", F.lit(H - 1)).alias("eos"))
     return rounded(columns.sky_extent(start.join(ends, ["image_id", "x"]), H), 6, "lowest_py")
+
+
+@query(f"{BASE}, h AS ({S.hsv('px')}), i AS (SELECT *, (r+g+b)/3.0::DOUBLE/65535 AS i FROM h) SELECT image_id, x, y, round(h, 4) AS h, round(CASE WHEN r=g AND g=b THEN 0 ELSE 1-least(r,g,b)/65535.0::DOUBLE/nullif(i,0) END, 6) AS s, round(i, 6) AS i FROM i")
+def rgb_to_hsi(s):
+    d = s.px.withColumn("hsi", color.rgb_to_hsi()).select("image_id", "x", "y", "hsi.*")
+    return rounded(d, 6, "s", "i").withColumn("h", F.round("h", 4))
+
+
+@query(f"{BASE} SELECT image_id, x, y, true AS close FROM px")
+def hsi_round_trip(s):
+    """Every channel comes back within 1."""
+    d = s.px.withColumn("hsi", color.rgb_to_hsi())
+    d = d.withColumn("back", color.hsi_to_rgb(F.col("hsi.h"), F.col("hsi.s"), F.col("hsi.i")))
+    return d.select("image_id", "x", "y", (F.greatest(*[F.abs(F.col(f"back.{c}") - F.col(c)) for c in "rgb"]) <= 1).alias("close"))
+
+
+_TRIANGLE = [(0.0, 0.0), (39.0, 4.0), (20.0, 24.0)]
+_W1 = "((4-24)*(x-20)+(20-39)*(y-24))/((4-24)*(0-20)+(20-39)*(0-24))::DOUBLE"
+_W2 = "((24-0)*(x-20)+(0-20)*(y-24))/((4-24)*(0-20)+(20-39)*(0-24))::DOUBLE"
+
+
+@query(f"{BASE} SELECT image_id, x, y, round({_W1}, 6) AS w1, round({_W2}, 6) AS w2, round({_W1}*r+{_W2}*g+(1-{_W1}-{_W2})*b, 4) AS blend FROM px")
+def barycentric_blend(s):
+    corners = [(F.lit(x), F.lit(y)) for x, y in _TRIANGLE]
+    w = model.barycentric_weights(F.col("x"), F.col("y"), corners)
+    blend = model.barycentric_blend(F.col("x"), F.col("y"), corners, [F.col(c) for c in "rgb"])
+    return s.px.select("image_id", "x", "y", F.round(w[0], 6).alias("w1"), F.round(w[1], 6).alias("w2"), F.round(blend, 4).alias("blend"))
+
+
+_GLOW = "(1+{c}*(exp(-(CASE WHEN gam<radians(0.533)/2 THEN 0 ELSE gam END)/{d})-exp(-(pi()/2)/{d})))"
+
+
+@query(f"{BASE}, {S.REL}, va AS (SELECT *, -px*radians({S.FOV}) AS u, asin({_L}) AS w FROM rel), q AS (SELECT *, acos(greatest(-1,least(1,sin(0.3)*cos(0.2)*sin(u)*cos(w)+sin(0.2)*sin(w)+cos(0.3)*cos(0.2)*cos(u)*cos(w)))) AS gam FROM va) SELECT image_id, x, y, round({_GLOW.format(c=6.5, d=0.3)}, 6) AS glow FROM q")
+def sun_glow(s):
+    a = geometry.view_angles(F.col("px"), F.col("py"), F.lit(S.FOV), F.lit(W), F.lit(H))
+    gamma = geometry.angle_between(geometry.view_vector(a["aoy"], a["aox"]), geometry.view_vector(F.lit(0.3), F.lit(0.2)))
+    return s.rel.select("image_id", "x", "y", F.round(geometry.sun_glow(gamma, F.lit(6.5), F.lit(0.3)), 6).alias("glow"))
+
+
+_ANGLE = "acos(greatest(-1,least(1,sin(su)*cos(sw)*sin(u)*cos(w)+sin(sw)*sin(w)+cos(su)*cos(sw)*cos(u)*cos(w))))"
+
+
+@query(f"""{BASE}, p AS (SELECT image_id, 2+image_id%7*0.5::DOUBLE AS c, px, py, -px*radians({S.FOV}) AS u, asin({_L}) AS w, -0.1*radians({S.FOV}) AS su, asin((0.8-0.5)*sin(radians({S.FOV})*{H}/{W}/2)*2) AS sw FROM img, (VALUES (-0.5),(0.0),(0.5)) a(px), (VALUES (0.0),(0.5),(1.0)) b(py)),
+q AS (SELECT *, {_ANGLE} AS gam FROM p) SELECT image_id, round(max(1+2*(1-exp(-(pi()/2)/0.3))), 6) AS glow_max, round(min({_GLOW.format(c='c', d=0.3)}), 6) AS glow_min FROM q GROUP BY 1""")
+def glow_range(s):
+    images = s.sized.withColumns({"fov": F.lit(S.FOV), "sun_px": F.lit(0.1), "sun_py": F.lit(0.8), "c": 2 + F.col("image_id") % 7 * 0.5, "d": F.lit(0.3)})
+    return rounded(geometry.glow_range(images), 6, "glow_max", "glow_min")

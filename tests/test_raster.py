@@ -27,7 +27,7 @@ def rows(df, cols):
     return sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-TWINS = ["sky_outline", "drop_masked", "skip_mask_y", "clamp_slope", "nearest_unmasked_end", "box_smooth", "sobel_strength", "close_neighbors", "sample_sky", "score_sky_grid", "column_corrections", "best_sat_start", "contrast_end", "edge_suspects", "bilateral_gray", "bilateral_gray_rows", "two_band_profile", "paired_t_end", "interpolate_transparent", "repair_sky_hue", "audit_marks", "forecast_ratio"]
+TWINS = ["sky_outline", "drop_masked", "skip_mask_y", "clamp_slope", "nearest_unmasked_end", "box_smooth", "sobel_strength", "close_neighbors", "sample_sky", "score_sky_grid", "column_corrections", "best_sat_start", "contrast_end", "edge_suspects", "bilateral_gray", "bilateral_gray_rows", "two_band_profile", "paired_t_end", "interpolate_transparent", "repair_sky_hue", "audit_marks", "forecast_ratio", "fix_slivers", "clear_black_edges", "trim_halo", "seam_smooth", "even_out_rows", "even_out_rows_from_start", "fill_sky_columns", "replace_sky", "rgb_to_hsi", "glow_range"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
