@@ -59,6 +59,35 @@ def first_band_failure(stats: DataFrame, h_tol: float = 360.0, s_tol: float = 0.
     return stats.groupBy("image_id", "x").agg(F.min(F.when(bad, F.col("y"))).alias("end_y"))
 
 
+def end_of_sky_scan(px: DataFrame, col: DataFrame, h_tol: float = 360.0, s_tol: float = 0.3, v_tol: float = 0.015, rects: DataFrame | None = None) -> DataFrame:
+    """(image_id, x, eos): from scan_y down, the first row whose bands part by more than a tolerance, then on while the
+    difference of luma still grows, then the sharpest step near it. Rows in a rectangle (l, r, t, b) never end a column;
+    columns without an end keep their old one, masked columns too."""
+    stats = column_band_stats(px).withColumns({c: F.round(c, 9) for c in ("dh", "ds", "dv")})  # sums in another order tell nothing
+    stats = stats.join(local_scan_start(col).select("image_id", "x", "scan_y"), ["image_id", "x"])
+    bad = (F.col("y") >= F.col("scan_y")) & ((F.col("dh") > h_tol) | (F.col("ds") > s_tol) | (F.col("dv") > v_tol))
+    if rects is not None:
+        inside = px.join(rects, "image_id").filter("x BETWEEN l AND r AND y BETWEEN t AND b").select("image_id", "x", "y").distinct().withColumn("in_rect", F.lit(True))
+        stats = stats.join(inside, ["image_id", "x", "y"], "left")
+        bad &= F.col("in_rect").isNull()
+    stats = stats.withColumns({"bad": bad, "grows": F.coalesce(F.lead("dv").over(by_y()) > F.col("dv"), F.lit(False))})
+    stats = stats.withColumn("begun", F.max(F.col("bad").cast("int")).over(by_y().rowsBetween(Window.unboundedPreceding, 0)))
+    first = stats.groupBy("image_id", "x").agg(F.min(F.when((F.col("begun") == 1) & ~F.col("grows"), F.col("y"))).alias("found"))
+    rough = col.join(first, ["image_id", "x"], "left").withColumn("old", F.col("eos")).withColumn("eos", F.coalesce("found", "eos"))
+    sharp = hires_end(px, rough, v_tol)
+    keep = F.col("found").isNull() | (F.col("column_mask") == 1)
+    return rough.join(sharp, ["image_id", "x"], "left").select("image_id", "x", F.when(keep, F.col("old")).otherwise(F.coalesce("hires_eos", "eos")).cast("int").alias("eos"))
+
+
+def find_end_of_sky(ends: DataFrame, col: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, x, eos, lowest_py): a detector's ends (image_id, x, eos) without slivers and steeper steps than two rows a
+    column; lowest_py is the image's."""
+    d = col.drop("eos").join(ends, ["image_id", "x"])
+    d = fix_slivers(d, width).drop("eos").withColumnRenamed("fixed_eos", "eos")
+    d = clamp_slope(d).drop("eos").withColumnRenamed("clamped_eos", "eos")
+    return d.join(sky_extent(d, height).select("image_id", "lowest_py"), "image_id").select("image_id", "x", F.col("eos").cast("int").alias("eos"), "lowest_py")
+
+
 def hires_end(px: DataFrame, col: DataFrame, val_tol: float = 0.015) -> DataFrame:
     """(image_id, x, hires_eos): near the end, the first row where the means of 3 rows before and after part; two rows on."""
     above, below = by_y().rowsBetween(-3, -1), by_y().rowsBetween(1, 3)

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..sources.store import saved
 from pyspark.sql.types import StructType
 
 
@@ -84,90 +86,133 @@ def student_t_cdf(t: Column, df: Column) -> Column:
 
     @F.pandas_udf("double")
     def cdf(t: pd.Series, df: pd.Series) -> pd.Series:
-        def one(t, n):
-            x, a, b = n / (n + t * t), n / 2, 0.5
-            front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(max(x, 1e-300)) + b * math.log(max(1 - x, 1e-300)))
-            flip = x >= (a + 1) / (a + b + 2)
-            if flip:
-                a, b, x = b, a, 1 - x
-            c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-30)
-            f = d
-            for m in range(1, 200):
-                for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                    d, c = 1 / (1 + num * d or 1e-30), 1 + num / c or 1e-30
-                    f *= d * c
-                if abs(d * c - 1) < 1e-12:
-                    break
-            tail = front * f / a
-            tail = (1 - tail if flip else tail) / 2
-            return 1 - tail if t > 0 else tail
-
-        return pd.Series([float("nan") if pd.isna(x) or pd.isna(n) else one(float(x), float(n)) for x, n in zip(t, df)])
+        t, n = t.to_numpy(float), df.to_numpy(float)
+        x, a, b = n / (n + t * t), n / 2, np.full(len(n), 0.5)
+        ok = np.isfinite(x) & (n > 0)
+        x, a = np.where(ok, x, 0.5), np.where(ok, a, 0.5)
+        kinds, back = np.unique(a, return_inverse=True)  # few degrees of freedom, many rows
+        gammas = np.array([math.lgamma(k + 0.5) - math.lgamma(k) - math.lgamma(0.5) for k in kinds])[back] if len(kinds) else a
+        front = np.exp(gammas + a * np.log(np.maximum(x, 1e-300)) + b * np.log(np.maximum(1 - x, 1e-300)))
+        flip = x >= (a + 1) / (a + b + 2)
+        p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+        tiny = lambda v: np.where(v == 0, 1e-30, v)
+        c, d = np.ones(len(z)), 1 / tiny(1 - (p + q) * z / (p + 1))
+        f = d
+        for m in range(1, 200):  # the continued fraction of the incomplete beta function, for all rows at once
+            for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+                d, c = 1 / tiny(1 + num * d), tiny(1 + num / c)
+                f = f * d * c
+            if (np.abs(d * c - 1) < 1e-12).all():
+                break
+        tail = front * f / p
+        tail = np.where(flip, 1 - tail, tail) / 2
+        return pd.Series(np.where(ok, np.where(t > 0, 1 - tail, tail), np.nan))
 
     return cdf(t, df)
 
 
-def end_of_sky_regression(px: DataFrame, ratio: float = 3.5, floor: tuple[float, float, float] = (0.0196, 0.0144, 0.0004), strip: int = 9, start: int = 4) -> DataFrame:
-    """(image_id, x, eos): the default detector. In strips of 9 columns a 9x9 window slides down; each channel is fitted on
-    (1, x, y, y^2), pixels whose product of 1 + err^2 / (mse + floor) over channels exceeds `ratio` are dropped (twice at
-    most), and the end is where the next two rows both fail the same test.
+def end_of_sky_regression(px: DataFrame, col: DataFrame, height: int, ratio: float = 3.5, floor: tuple[float, float, float] = (0.0196, 0.0144, 0.0004), strip: int = 9, masked: str | None = None) -> DataFrame:
+    """(image_id, x, eos): the default detector, on col's start of sky (sos).
 
-    A strip is a group of its own; a narrower last strip is fitted on the columns it has.
+    In strips of `strip` columns a square window slides down from below the middle column's start; each channel is fitted
+    on (1, x, y, y^2) by weighted least squares. Pixels whose product of 1 + err^2 / (mse + floor) over the channels
+    exceeds `ratio` are bad fits from then on (weight .01); that is done twice at most. A column ends below the window
+    where its next two rows both fail the same test; the strip is done when every column has an end. Pixels below a
+    column's end or in a mask (`masked`: a boolean column of px) weigh .05, and those in a mask never fail. Missing pixels
+    weigh nothing. A strip is a group of its own; columns left over at the right edge belong to the last strip, whose
+    second window overlaps the first and shares its bad fits.
     """
-    d = px.withColumn("strip", F.floor(F.col("x") / strip).cast("int")).select("image_id", "strip", "x", "y", "r", "g", "b")
+    half = strip // 2
+    last = col.groupBy("image_id").agg(F.greatest(F.floor((F.max("x") + 1) / strip) - 1, F.lit(0)).alias("last"))
+    d = px.select("image_id", "x", "y", "r", "g", "b", (F.col(masked) if masked else F.lit(False)).alias("m")).join(col.select("image_id", "x", "sos"), ["image_id", "x"])
+    d = d.join(last, "image_id").withColumn("strip", F.least(F.floor(F.col("x") / strip), F.col("last")).cast("int")).drop("last")
+
+    def window(v, m, sos, eos, bad, lo):
+        cols = np.arange(lo, min(lo + strip, v.shape[1]))
+        own = v[:, cols]
+        there = np.isfinite(own[:, :, 0]) & (np.arange(height)[:, None] >= sos[cols])
+        middle = cols[min(half, len(cols) - 1)]
+        yc, fl = int(sos[middle]) + half, np.array(floor)
+
+        def product(rows, b, mse):
+            rows = np.asarray(rows)
+            design = np.stack(np.broadcast_arrays(1.0, (cols - middle)[None, :] / strip, ((rows - yc) / strip)[:, None], (((rows - yc) / strip) ** 2)[:, None]), axis=-1)
+            err = design @ b - own[rows]
+            return design, err, np.prod(1 + err**2 / (mse + fl), axis=-1)
+
+        while yc < height - 1 - half:
+            rows = np.arange(max(0, yc - half), yc + half + 1)
+            ok = there[rows]
+            w = np.where((rows[:, None] > eos[cols]) | m[rows][:, cols], 0.05, 1.0)
+            w = np.where(bad[rows][:, cols], 0.01, w) * ok
+            b, mse = np.zeros((4, 3)), np.ones(3)
+            for _ in range(2):
+                design, _, _ = product(rows, b, mse)
+                root = np.sqrt(w)[..., None]
+                values = np.where(ok[..., None], own[rows], 0.0)
+                b = np.linalg.lstsq((design * root).reshape(-1, 4), (values * root).reshape(-1, 3), rcond=None)[0]
+                _, err, _ = product(rows, b, mse)
+                mse = np.nansum(np.where(ok[..., None], w[..., None] * err**2, 0.0), axis=(0, 1)) / max(1, ok.sum())
+                out = ok & ~bad[rows][:, cols] & ~m[rows][:, cols] & (product(rows, b, mse)[2] > ratio)
+                if not out.any():
+                    break
+                bad[np.ix_(rows, cols)] |= out
+                w = np.where(out, 0.01, w)
+            ahead = np.arange(rows[-1] + 1, min(rows[-1] + 3, height))
+            fails = there[ahead] & (ahead[:, None] <= eos[cols]) & ~m[ahead][:, cols] & (product(ahead, b, mse)[2] > ratio)
+            bad[np.ix_(ahead, cols)] |= fails
+            ended = fails.sum(axis=0) == 2
+            eos[cols] = np.where(ended, np.minimum(eos[cols], rows[-1] + 1), eos[cols])
+            if not (~ended & (eos[cols] == height - 1)).any():
+                eos[cols] = np.minimum(eos[cols], rows[-1] + 1)
+                return
+            yc += 1
 
     def run(key, pdf):
-        p = pdf.sort_values(["y", "x"])
-        xs, ys = np.unique(p.x), np.unique(p.y)
-        v = p[["r", "g", "b"]].to_numpy(float).reshape(len(ys), len(xs), 3) / 65535
-        fl = np.array(floor)
-        u = (xs - xs.mean()) / max(1, strip)
-        end = ys[-1]
-        for top in range(start, len(ys) - strip - 1):
-            rows = np.arange(top, top + strip)
-            z = (rows - rows.mean()) / strip
-            design = np.stack([np.ones(len(u) * strip), np.tile(u, strip), np.repeat(z, len(u)), np.repeat(z**2, len(u))], axis=1)
-            y = v[rows].reshape(-1, 3)
-            keep = np.ones(len(y), bool)
-            for _ in range(3):
-                b = np.linalg.lstsq(design[keep], y[keep], rcond=None)[0]
-                err2 = (y - design @ b) ** 2
-                mse = err2[keep].mean(axis=0)
-                bad = np.prod(1 + err2 / (mse + fl), axis=1) > ratio
-                if not (bad & keep).any() or (keep & ~bad).sum() < 2 * strip:
-                    break
-                keep &= ~bad
-            fails = []
-            for k in (1, 2):
-                zz = (rows[-1] + k - rows.mean()) / strip
-                ahead = np.stack([np.ones(len(u)), u, np.full(len(u), zz), np.full(len(u), zz**2)], axis=1) @ b
-                fails.append((np.prod(1 + (v[rows[-1] + k] - ahead) ** 2 / (mse + fl), axis=1) > ratio).mean() > 0.5)
-            if all(fails):
-                end = ys[rows[-1]]
-                break
-        return pd.DataFrame({"image_id": key[0], "x": xs, "eos": end})
+        x0, n = int(pdf.x.min()), int(pdf.x.max() - pdf.x.min()) + 1
+        at = (pdf.y.to_numpy(), pdf.x.to_numpy() - x0)
+        v, m, sos = np.full((height, n, 3), np.nan), np.zeros((height, n), bool), np.zeros(n, int)
+        v[at], m[at], sos[at[1]] = pdf[["r", "g", "b"]].to_numpy(float) / 65535, pdf.m.to_numpy(bool), pdf.sos.to_numpy()
+        eos, bad = np.full(n, height - 1), np.zeros((height, n), bool)
+        for lo in [0] + ([n - strip] if n > strip else []):
+            window(v, m, sos, eos, bad, lo)
+        xs = np.unique(pdf.x)
+        return pd.DataFrame({"image_id": key[0], "x": xs, "eos": eos[xs - x0]})
 
     return d.groupBy("image_id", "strip").applyInPandas(run, "image_id int, x int, eos int")
 
 
-def cluster_errors(errors: DataFrame, k: int = 4, rounds: int = 100, seed: int = 3) -> DataFrame:
+def cluster_errors(errors: DataFrame, k: int = 4, rounds: int = 100, least_moves: float = 0.001) -> DataFrame:
     """image_id, x, y, cluster, is_sky: k-means on absolute colour errors for each image; sky is the cluster whose centre has
-    the largest blue. Sums for each round are one row for each image and cluster; memory is one image a group."""
+    the largest blue.
 
-    def run(key, pdf):
-        v = pdf[["r", "g", "b"]].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        centres = v[[rng.integers(len(v))]]
-        while len(centres) < min(k, len(v)):
-            d2 = ((v[:, None] - centres) ** 2).sum(-1).min(1)
-            centres = np.vstack([centres, v[rng.choice(len(v), p=d2 / d2.sum())] if d2.sum() else v[0]])
-        label = np.full(len(v), -1)
-        for _ in range(rounds):
-            new = ((v[:, None] - centres) ** 2).sum(-1).argmin(1)
-            moved, label = (new != label).mean(), new
-            centres = np.stack([v[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
-            if moved < 0.001:
+    The first centre is the pixel farthest from the mean, the next ones those farthest from the centres so far. Each round
+    joins an image's centres to its pixels, picks the nearest by column expressions and sums by (image, cluster), with
+    partial aggregation; only centres (k rows of an image) are written between rounds. It ends when no image's centres
+    move pixels by more than least_moves of their number, or after `rounds`.
+    """
+    point = F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"])
+    px = saved(errors.select("image_id", "x", "y", point.alias("p")), "errors")
+    apart = lambda a, b: sum((a[c] - b[c]) * (a[c] - b[c]) for c in "rgb")
+    near = lambda d: d.withColumn("dist", F.transform("centres", lambda c: apart(c, F.col("p")))).withColumn("cluster", (F.array_position("dist", F.array_min("dist")) - 1).cast("int"))
+    centres = px.groupBy("image_id").agg(F.array(F.struct(*[F.avg(f"p.{c}").alias(c) for c in "rgb"])).alias("centres"))
+    for n in range(k):
+        far = px.join(centres, "image_id").withColumn("d", F.array_min(F.transform("centres", lambda c: apart(c, F.col("p")))))
+        new = far.groupBy("image_id").agg(F.max_by("p", F.struct("d", -F.col("y"), -F.col("x"))).alias("new"))
+        both = centres.join(new, "image_id")
+        centres = saved(both.select("image_id", (F.array("new") if n == 0 else F.concat("centres", F.array("new"))).alias("centres")), "centres")
+    counts = None
+    for _ in range(rounds):
+        each = near(px.join(centres, "image_id")).groupBy("image_id", "cluster").agg(F.count("*").alias("n"), F.struct(*[F.avg(f"p.{c}").alias(c) for c in "rgb"]).alias("c"))
+        found = each.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("cluster", F.struct("n", "c").alias("v")))).alias("found"))
+        moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("found", i)["c"], c))
+        sizes = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("found", i)["n"], F.lit(0)))
+        step = saved(centres.join(found, "image_id").select("image_id", moved.alias("centres"), sizes.alias("sizes")), "centres")
+        centres = step.select("image_id", "centres")
+        if counts is not None:
+            change = step.join(counts, "image_id").select(F.aggregate(F.zip_with("sizes", "before", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, v: s + v).alias("m"), F.aggregate("sizes", F.lit(0).cast("long"), lambda s, v: s + v).alias("n"))
+            if change.filter(F.col("m") > least_moves * F.col("n")).isEmpty():
                 break
-        return pdf[["image_id", "x", "y"]].assign(cluster=label, is_sky=label == centres[:, 2].argmax())
-
-    return errors.select("image_id", "x", "y", "r", "g", "b").groupBy("image_id").applyInPandas(run, "image_id int, x int, y int, cluster int, is_sky boolean")
+        counts = step.select("image_id", F.col("sizes").alias("before"))
+    sky = F.array_position(F.transform("centres", lambda c: c["b"]), F.array_max(F.transform("centres", lambda c: c["b"]))) - 1
+    return near(px.join(centres, "image_id")).select("image_id", "x", "y", "cluster", (F.col("cluster") == sky).alias("is_sky"))

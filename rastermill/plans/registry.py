@@ -414,7 +414,7 @@ def fit_bounded(s):
 
 @query(None)
 def end_of_sky_regression(s):
-    return fits.end_of_sky_regression(s.px)
+    return fits.end_of_sky_regression(s.px, s.col, H)
 
 
 @query(f"""{SAMPLES}, g AS (SELECT image_id, hz, 1/(py-hz) AS u, 1/s AS w FROM smp, (SELECT 0.5+k*0.05 AS hz FROM generate_series(0,9) t(k)) WHERE s>0 AND py>hz+0.001),
@@ -772,3 +772,23 @@ q AS (SELECT *, {_ANGLE} AS gam FROM p) SELECT image_id, round(max(1+2*(1-exp(-(
 def glow_range(s):
     images = s.sized.withColumns({"fov": F.lit(S.FOV), "sun_px": F.lit(0.1), "sun_py": F.lit(0.8), "c": 2 + F.col("image_id") % 7 * 0.5, "d": F.lit(0.3)})
     return rounded(geometry.glow_range(images), 6, "glow_max", "glow_min")
+
+
+_SCAN = f"""{_BANDS}, sy AS (SELECT image_id, x, max(raw_sos) FILTER (WHERE column_mask=0) OVER ({XW} ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)+10 AS scan_y FROM col),
+rb AS (SELECT image_id, x, y, round(dh, 9) AS dh, round(ds, 9) AS ds, round(dv, 9) AS dv FROM bands),
+st AS (SELECT rb.*, y>=scan_y AND (dh>360 OR ds>0.3 OR dv>0.015) AS bad, coalesce(lead(dv) OVER ({YW})>dv, false) AS grows FROM rb JOIN sy USING (image_id, x)),
+bg AS (SELECT *, max(CAST(bad AS INT)) OVER ({YW} ROWS UNBOUNDED PRECEDING) AS begun FROM st), fo AS (SELECT image_id, x, min(y) FILTER (WHERE begun=1 AND NOT grows) AS found FROM bg GROUP BY 1, 2),
+ro AS (SELECT col.image_id, col.x, column_mask, found, eos AS old, coalesce(found, eos) AS eos FROM col LEFT JOIN fo USING (image_id, x)),
+hs AS (SELECT image_id, x, y, {'+'.join(f'abs(avg({c}) OVER a - avg({c}) OVER b)' for c in 'rgb')} AS step FROM px WINDOW a AS ({YW} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), b AS ({YW} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+hi AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE step>4000), min(eos))+2 AS hires FROM hs JOIN ro USING (image_id, x) WHERE y BETWEEN eos-10 AND eos+9 GROUP BY 1, 2)"""
+
+
+@query(f"{_SCAN} SELECT image_id, x, CAST(CASE WHEN found IS NULL OR column_mask=1 THEN old ELSE coalesce(hires, eos) END AS INT) AS eos FROM ro LEFT JOIN hi USING (image_id, x)")
+def end_of_sky_scan(s):
+    return columns.end_of_sky_scan(s.px, s.col)
+
+
+@query(None)
+def find_end_of_sky(s):
+    """The default chain: regression detector, slivers, slope, lowest height."""
+    return columns.find_end_of_sky(fits.end_of_sky_regression(s.px, s.col, H), s.col, W, H)
