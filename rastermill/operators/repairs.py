@@ -6,8 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import by_row, by_y
-from .fits import ols_report
+from .columns import by_row, by_x, by_y
 
 
 def with_gray(px: DataFrame) -> DataFrame:
@@ -73,26 +72,85 @@ def interpolate_transparent(px: DataFrame, confident: float = 0.98) -> DataFrame
     return d.select("image_id", "x", "y", *[F.floor(F.col(f"p.m_{c}") * (1 - w) + F.col(f"q.m_{c}") * w).cast("int").alias(c) for c in "rgb"])
 
 
-def local_color_fit(px: DataFrame, centers: DataFrame, width: int, least: int = 16) -> DataFrame:
-    """image_id, cx, cy, n, r, g, b: each channel at a centre by a regression on (1, x, y, y^2) over the opaque pixels within
-    `width`, weighing 1 / (|dx| + |dy| + 1); with fewer than `least` of them the width is doubled once, else there is no row.
+def local_fits(px: DataFrame, centers: DataFrame, width: int, least: int = 16) -> DataFrame:
+    """image_id, cx, cy, n, coef_r, coef_g, coef_b: each channel by a regression on (1, x - cx, y - cy, (y - cy)^2) over the
+    opaque pixels within `width` of a centre, weighing 1 / (|dx| + |dy| + 1); with fewer than `least` of them the width is
+    doubled once, else there is no row.
 
-    Centres are dealt to the columns they reach, so the join with pixels is an equi-join on image and column; only one
-    row of sums a centre reaches the solver.
+    Centres are dealt to the columns they reach, so the join with pixels is an equi-join on image and column; the sums for
+    both widths and all channels are one aggregate, and one row of sums a centre reaches the solver.
     """
     c = centers.select("image_id", "cx", "cy").distinct()
     reach = c.withColumn("x", F.explode(F.sequence(F.col("cx") - 2 * width, F.col("cx") + 2 * width)))
     d = reach.join(px.filter("a >= 32767").select("image_id", "x", "y", "r", "g", "b"), ["image_id", "x"]).filter(F.abs(F.col("y") - F.col("cy")) <= 2 * width)
-    d = d.withColumns({"u": (F.col("x") - F.col("cx")).cast("double"), "v": (F.col("y") - F.col("cy")).cast("double")})
-    near = (F.abs("u") <= width) & (F.abs("v") <= width)
-    enough = d.groupBy("image_id", "cx", "cy").agg(F.count_if(near).alias("n_near"), F.count("*").alias("n_far"))
-    d = d.join(enough.filter(F.col("n_far") >= least), ["image_id", "cx", "cy"]).filter((F.col("n_near") < least) | near).withColumn("vv", F.col("v") * F.col("v"))
-    weight, keys, out = 1 / (F.abs("u") + F.abs("v") + 1), ["image_id", "cx", "cy"], None
-    for channel in "rgb":
-        fit = ols_report(d.withColumn("z", F.col(channel).cast("double")), keys, ["u", "v", "vv"], "z", weight)
-        fit = fit.select(*keys, *(["n"] if out is None else []), F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.col("coef")[0])).alias(channel))
-        out = fit if out is None else out.join(fit, keys)
-    return out
+    u, v = (F.col("x") - F.col("cx")).cast("double"), (F.col("y") - F.col("cy")).cast("double")
+    xs, near = [F.lit(1.0), u, v, v * v], (F.abs(u) <= width) & (F.abs(v) <= width)
+    w = 1 / (F.abs(u) + F.abs(v) + 1)
+    terms = [w * xs[i] * xs[j] for i in range(4) for j in range(4)] + [w * x * F.col(ch) for ch in "rgb" for x in xs]
+    both = d.groupBy("image_id", "cx", "cy").agg(F.count_if(near).alias("n_near"), F.count("*").alias("n_far"), F.array(*[F.sum(F.when(near, t)) for t in terms]).alias("s_near"), F.array(*[F.sum(t) for t in terms]).alias("s_far"))
+    few = F.col("n_near") < least
+    sums = both.filter(F.col("n_far") >= least).select("image_id", "cx", "cy", F.when(few, F.col("n_far")).otherwise(F.col("n_near")).alias("n"), F.when(few, F.col("s_far")).otherwise(F.col("s_near")).alias("s"))
+
+    def solve(batches):
+        for b in batches:
+            s = np.array(b.pop("s").tolist(), float).reshape(-1, 28)
+            coef = np.einsum("nij,nkj->nki", np.linalg.pinv(s[:, :16].reshape(-1, 4, 4), hermitian=True), s[:, 16:].reshape(-1, 3, 4))
+            for k, ch in enumerate("rgb"):
+                b[f"coef_{ch}"] = list(coef[:, k])
+            yield b
+
+    return sums.mapInPandas(solve, "image_id int, cx int, cy int, n long, coef_r array<double>, coef_g array<double>, coef_b array<double>")
+
+
+def fitted(channel: str, dy=0) -> Column:
+    """The colour of a row of local_fits() dy rows below its centre, within 0..65535."""
+    c = F.col(f"coef_{channel}")
+    return F.greatest(F.lit(0.0), F.least(F.lit(65535.0), c[0] + c[2] * dy + c[3] * dy * dy))
+
+
+def local_color_fit(px: DataFrame, centers: DataFrame, width: int, least: int = 16) -> DataFrame:
+    """image_id, cx, cy, n, r, g, b: the colours of local_fits() at their centres."""
+    return local_fits(px, centers, width, least).select("image_id", "cx", "cy", "n", *[fitted(c).alias(c) for c in "rgb"])
+
+
+def fill_vertical_gaps(px: DataFrame, col: DataFrame, height: int, width: int = 50) -> DataFrame:
+    """image_id, x, y, r, g, b of the gaps inside columns: from a row that is not opaque to the next opaque one, between the raw
+    start and three quarters of the height, a blend of the local fits at both ends. Gaps that reach that bound stay, and so
+    do masked columns and the runs of columns with gaps at the image's sides. All fits see the pixels as they came."""
+    d = px.join(col.select("image_id", "x", "raw_sos", "column_mask"), ["image_id", "x"])
+    d = d.filter((F.col("y") >= F.col("raw_sos")) & (F.col("y") < height * 3 // 4)).withColumn("gap", F.col("a") < 32767)
+    whole = d.groupBy("image_id", "x").agg(F.max("gap").alias("any")).groupBy("image_id").agg(F.min(F.when(~F.col("any"), F.col("x"))).alias("first_x"), F.max(F.when(~F.col("any"), F.col("x"))).alias("last_x"))
+    up, down = by_y().rowsBetween(Window.unboundedPreceding, -1), by_y().rowsBetween(1, Window.unboundedFollowing)
+    d = d.withColumns({"above": F.max(F.when(~F.col("gap"), F.col("y"))).over(up), "below": F.min(F.when(~F.col("gap"), F.col("y"))).over(down)})
+    gaps = d.filter("gap AND below IS NOT NULL AND column_mask = 0").join(whole, "image_id").filter("x > first_x AND x < last_x")
+    gaps = gaps.groupBy("image_id", "x", "below").agg(F.min("y").alias("top"))
+    at = lambda y, p: local_fits(px, gaps.select("image_id", F.col("x").alias("cx"), F.col(y).alias("cy")), width).select("image_id", F.col("cx").alias("x"), F.col("cy").alias(y), *[F.col(f"coef_{c}").alias(f"coef_{p}{c}") for c in "rgb"])
+    rows = gaps.join(at("top", "t"), ["image_id", "x", "top"]).join(at("below", "b"), ["image_id", "x", "below"]).withColumn("y", F.explode(F.sequence("top", "below")))
+    w = (F.col("y") - F.col("top")) / (F.col("below") - F.col("top"))
+    mixed = lambda c: (1 - w) * fitted(f"t{c}", F.col("y") - F.col("top")) + w * fitted(f"b{c}", F.col("y") - F.col("below"))
+    return rows.select("image_id", "x", "y", *[F.floor(mixed(c)).cast("int").alias(c) for c in "rgb"])
+
+
+def level_start(col: DataFrame, width_px: int) -> DataFrame:
+    """Adds level_sos: starts raised until columns three apart differ by one row at most, unless a masked column lies between.
+
+    Raising by one until nothing moves ends at the least of s(j) + |x - j| / 3 over the columns j that such steps reach: two
+    running minima in each chain of every third column.
+    """
+    masks = F.greatest("column_mask", *[F.coalesce(F.lag("column_mask", k).over(by_x()), F.lit(1)) for k in (1, 2, 3)])
+    d = col.withColumn("cut", F.when((masks == 1) | (F.col("x") > width_px - 2), 1).otherwise(0)).withColumns({"chain": F.col("x") % 3, "k": F.floor(F.col("x") / 3)})
+    d = d.withColumn("run", F.sum("cut").over(Window.partitionBy("image_id", "chain").orderBy("x")))
+    w = Window.partitionBy("image_id", "chain", "run").orderBy("x")
+    d = d.withColumn("e", F.min(F.col("sos") - F.col("k")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("k"))
+    d = d.withColumn("e", F.min(F.col("e") + F.col("k")).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("k"))
+    return d.select(*col.columns, F.col("e").cast("int").alias("level_sos"))
+
+
+def fill_levelled_start(px: DataFrame, levelled: DataFrame, width: int = 15) -> DataFrame:
+    """image_id, x, y, r, g, b of the pixels between level_sos and the old start, by the local fit half a width below it."""
+    todo = levelled.filter("level_sos < sos").select("image_id", F.col("x").alias("cx"), (F.col("sos") + width // 2).alias("cy"), "level_sos", "sos")
+    rows = local_fits(px, todo, width).join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(level_sos, sos - 1)")))
+    return rows.select("image_id", F.col("cx").alias("x"), "y", *[F.floor(fitted(c, F.col("y") - F.col("cy")) + 0.5).cast("int").alias(c) for c in "rgb"])
 
 
 def fill_to_min_start(px: DataFrame, col: DataFrame, width: int = 30) -> DataFrame:

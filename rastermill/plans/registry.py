@@ -706,6 +706,8 @@ def fill_to_min_start(s):
 
 @query(None)
 def repair_outlier_pixels(s):
+    """The view's pixels, one in 23 of them with a wrong colour."""
+    s.px = s.px.withColumn("r", F.expr("CASE WHEN (x * 5 + y * 7) % 23 = 0 AND a > 0 THEN 60000 ELSE r END"))
     return repairs.repair_outlier_pixels(s.px, s.col)
 
 
@@ -792,3 +794,25 @@ def end_of_sky_scan(s):
 def find_end_of_sky(s):
     """The default chain: regression detector, slivers, slope, lowest height."""
     return columns.find_end_of_sky(fits.end_of_sky_regression(s.px, s.col, H), s.col, W, H)
+
+
+@query(f"""{BASE}, c AS (SELECT *, sos + CASE WHEN x % 13 = 6 THEN 9 ELSE 0 END AS s FROM col),
+l AS (SELECT *, CASE WHEN greatest(column_mask, {', '.join(f'coalesce(lag(column_mask, {k}) OVER ({XW}), 1)' for k in (1, 2, 3))}) = 1 OR x > 38 THEN 1 ELSE 0 END AS cut FROM c),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY image_id, x % 3 ORDER BY x) AS run FROM l)
+SELECT a.image_id, a.x, CAST(min(b.s + abs(a.x - b.x) / 3) AS INT) AS level_sos FROM r a JOIN r b ON a.image_id=b.image_id AND a.x%3=b.x%3 AND a.run=b.run GROUP BY 1, 2""")
+def level_start(s):
+    col = s.col.withColumn("sos", F.expr("cast(sos + CASE WHEN x % 13 = 6 THEN 9 ELSE 0 END AS int)"))
+    return repairs.level_start(col, W).select("image_id", "x", "level_sos")
+
+
+@query(None)
+def fill_levelled_start(s):
+    col = s.col.withColumn("sos", F.expr("cast(sos + CASE WHEN x % 13 = 6 THEN 9 ELSE 0 END AS int)"))
+    return repairs.fill_levelled_start(s.px, repairs.level_start(col, W))
+
+
+@query(None)
+def fill_vertical_gaps(s):
+    """The view's pixels with a hole in every seventh column."""
+    px = s.px.withColumn("a", F.expr("CASE WHEN y BETWEEN 8 AND 11 AND x % 7 = 2 THEN 0 WHEN a > 0 THEN 65535 ELSE a END"))
+    return repairs.fill_vertical_gaps(px, s.col, H, width=8)
