@@ -49,18 +49,26 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
 
+        for edges in self.next:  # a state is its own table of edges from now on: one look-up a letter
+            for ch, to in edges.items():
+                edges[ch] = self.next[to]
+        self.root = self.next[0]
+
     def phrases(self, s: str) -> int:
         """Phrases of the cross-parsing of s: each is the longest match, or one unseen character."""
-        nexts, n, at, i = self.next, 0, 0, 0
-        while i < len(s):
-            to = nexts[at].get(s[i])
+        root = node = self.root
+        n = 0
+        for ch in s:
+            to = node.get(ch)
             if to is None:
-                n += 1
-                i += at == 0  # an unseen character is a phrase of its own
-                at = 0
-            else:
-                at, i = to, i + 1
-        return n + (at != 0)
+                if node is not root:
+                    n += 1
+                    to = root.get(ch)
+                if to is None:
+                    n += 1  # an unseen character is a phrase of its own
+                    to = root
+            node = to
+        return n + (node is not root)
 
 
 class Parser:
