@@ -263,7 +263,7 @@ class WordContexts:
         return np.log10(self.probabilities(ids, self.at(ids)))
 
 
-def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, least_gain: float = 1.0, frequent: float = 2e-6, least_count: int = 3, follower_share: float = 1e-7, most_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, least_gain: float = 1.0, frequent: float = 5e-7, least_count: int = 3, follower_share: float = 1e-7, most_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows whose `train` holds.
 
     Words are white-space runs, lower case A-Z, and each row ends with one end token. At the root of the tree a whole
@@ -314,28 +314,35 @@ def score_texts(docs: DataFrame, depth: int = 6, least_share: float = 2e-6, leas
     def parts(batches):
         """For each row of docs: one row with what the frequent words give (its key holds a space: no word), and one for each rare word."""
         known, (contexts, base), at = known_b.value, contexts_b.value, TaskContext.get().partitionId() << 40
-        end = len(known)
+        get, end = known.get, len(known)
         for b in batches:
             for k in range(0, len(b), 256):
-                out: list[tuple] = []
-                some = b.slice(k, 256)
-                texts = [(x or "").encode().lower().split() for x in some.column(1).to_pylist()]
-                ids = np.array([i for words in texts for i in (*[known.get(w, -1) for w in words], end)], np.int64)
-                sizes = np.array([len(words) + 1 for words in texts])
-                starts = np.cumsum(sizes) - sizes
+                some, flat, lens = b.slice(k, 256), [], []
+                for text in some.column(1):
+                    words = (text.as_py() or "").encode().lower().split()
+                    flat += words
+                    flat.append(b"")  # the text's end
+                    lens.append(len(words) + 1)
+                ids, sizes = np.array([get(w, -1) for w in flat], np.int64), np.array(lens, np.int64)
+                starts, lasts = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
+                ids[lasts] = end
                 here = ids >= 0
-                found, scores = np.add.reduceat(here.astype(np.int64), starts).tolist(), np.add.reduceat(contexts.score(ids), starts).tolist()
-                bases = np.add.reduceat(np.where(here, base[ids], 0.0), starts).tolist()
-                for doc_id, words, train, n_found, score, low in zip(some.column(0).to_pylist(), texts, some.column(2).to_pylist(), found, scores, bases):
-                    at += 1
-                    out.append((at, b" %d" % at, doc_id, train, len(words) + 1, n_found - (ends == 0), low, score, None))
-                    if n_found < len(words) + 1:
-                        out += [(at, w, None, None, None, None, None, None, times) for w, times in Counter(w for w in words if w not in known).items()]
-                yield batch(out, b.column(0).type)
-
-    def batch(rows, id_type):
-        kinds = (pa.int64(), pa.binary(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
+                sums = lambda x: pa.array(np.add.reduceat(x, starts))
+                rows = at + np.arange(len(some)) + 1
+                at += len(some)
+                own = [pa.array([b" %d" % r for r in rows.tolist()], pa.binary()), some.column(0), some.column(2), pa.array(sizes), sums(here - (ids == end) * int(ends == 0))]
+                yield batch(rows, [*own, sums(np.where(here, base[ids], 0.0)), sums(contexts.score(ids)), pa.nulls(len(some), pa.int64())])
+                rare = np.flatnonzero(~here)
+                if len(rare):
+                    words = pa.array([flat[i] for i in rare.tolist()], pa.binary()).dictionary_encode()
+                    kinds = len(words.dictionary)
+                    pair, times = np.unique(np.searchsorted(lasts, rare) * kinds + words.indices.to_numpy(), return_counts=True)
+                    none = [pa.nulls(len(pair), c.type) for c in (some.column(0), some.column(2))]
+                    numbers = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield batch(rows[pair // kinds], [words.dictionary.take(pa.array(pair % kinds)), *none, *numbers, pa.array(times)])
+
+    def batch(rows, columns):
+        return pa.RecordBatch.from_arrays([pa.array(rows), *columns], names=names)
 
     split = docs.mapInArrow(parts, f"row long, key binary, id {id_kind}, train boolean, n_tokens long, n_known long, base double, tree double, times long")
     right = vocabulary.select(F.col("word").alias("key"), F.col("n_train"), F.col("base").alias("w_base"), F.col("tree").alias("w_tree"))
