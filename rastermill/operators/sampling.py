@@ -11,7 +11,7 @@ from ..functions.color import rgb_to_hsv
 def sample_grid_spec(col: DataFrame, width: int, height: int, samples: int = 1000, across: int = 100) -> DataFrame:
     """(image_id, n_rows, dx, dy) so that about `samples` points lie in the sky; steps are 1 at least."""
     mean = F.avg(F.col("eos") - F.col("sos"))
-    n = F.floor(samples / across * height / mean + 0.5)
+    n = F.floor(samples / across * height / F.nullif(mean, F.lit(0.0)) + 0.5)
     d = col.groupBy("image_id").agg(F.greatest(n, F.lit(1)).cast("int").alias("n_rows"))
     return d.withColumns({"dx": F.lit(max(1, width // across)), "dy": F.greatest(F.lit(1), F.floor(height / F.col("n_rows"))).cast("int")})
 
@@ -53,7 +53,7 @@ def close_neighbors(smp: DataFrame) -> DataFrame:
 def flag_outliers(smp: DataFrame) -> DataFrame:
     """Adds is_outlier: fewer than 2 close neighbours, paler and brighter than the inliers' means, or a hue beyond 150-250."""
     means = smp.filter("n_close >= 2").groupBy("image_id").agg(F.avg("s").alias("ms"), F.avg("v").alias("mv"))
-    pale = (F.col("s") / F.col("ms") < 0.05) & (F.col("v") / F.col("mv") > 0.95)
+    pale = (F.try_divide("s", "ms") < 0.05) & (F.try_divide("v", "mv") > 0.95)
     bad = (F.col("n_close") < 2) | F.coalesce(pale, F.lit(False)) | ~F.col("h").between(150, 250)
     return smp.join(means, "image_id", "left").withColumn("is_outlier", bad.cast("int")).drop("ms", "mv")
 

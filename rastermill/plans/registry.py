@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry, model
-from ..operators import columns, fill, fits, masks, overlays, repairs, sampling
+from ..operators import columns, fill, fits, masks, overlays, repairs, sampling, sky_model
 from ..sources import rasters
+from ..sources.store import saved
 from . import sql as S
 
 W, H = S.WIDTH, S.HEIGHT
@@ -816,3 +817,72 @@ def fill_vertical_gaps(s):
     """The view's pixels with a hole in every seventh column."""
     px = s.px.withColumn("a", F.expr("CASE WHEN y BETWEEN 8 AND 11 AND x % 7 = 2 THEN 0 WHEN a > 0 THEN 65535 ELSE a END"))
     return repairs.fill_vertical_gaps(px, s.col, H, width=8)
+
+
+def _flagged(s):
+    return saved(sampling.flag_outliers(sampling.close_neighbors(saved(s.samples(), "samples"))), "samples")
+
+
+def _cameras(s):
+    return s.sized.withColumns({"fov": F.lit(S.FOV), "sun_px": F.lit(0.2), "sun_py": F.lit(0.7)})
+
+
+@query(None)
+def section_curves(s):
+    d = sky_model.section_curves(_flagged(s))
+    return d.select("image_id", "section", "level", "n", *[F.transform(f"coefs_{c}", lambda x: F.round(x, 4)).alias(f"coefs_{c}") for c in "vs"])
+
+
+_AT = "(0.8+0.1*px+0.02*ln(mp)+0.05*px*px+0.1*mp)"
+
+
+@query(f"""{SAMPLES}, c AS (SELECT image_id, least(3,CAST(floor((px+0.5)*4) AS INT)) AS section, count(*) AS n, sum(py) AS spy, avg(v) AS v, avg(s) AS s FROM smp WHERE px<0.5 GROUP BY 1, 2),
+m AS (SELECT image_id, sum(spy)/sum(n) AS mp FROM c GROUP BY 1), k AS (SELECT CAST(unnest(generate_series(0,100)) AS INT) AS k),
+t AS (SELECT image_id, mp, k, k/100.0::DOUBLE-0.5 AS px, CASE WHEN k<=12 THEN 0 WHEN k>=88 THEN 3 ELSE k/25.0::DOUBLE-0.5 END::DOUBLE AS t FROM m, k),
+b AS (SELECT t.image_id, k, px, sum((1-abs(t-section))*(v+{_AT}))/sum(1-abs(t-section)) AS v, sum((1-abs(t-section))*(s+{_AT}))/sum(1-abs(t-section)) AS s FROM t JOIN c ON t.image_id=c.image_id AND abs(t-section)<1 GROUP BY 1, 2, 3)
+SELECT image_id, k, round(px, 6) AS px, round((0.2*avg(v) OVER (PARTITION BY image_id)+0.8*v)/avg(v) OVER (PARTITION BY image_id), 6) AS base_v, round(s, 6) AS base_s FROM b""")
+def base_knots(s):
+    """Knots of plain curves: a section's mean and the same slopes for all."""
+    d = s.samples().filter("px < 0.5").groupBy("image_id", F.floor((F.col("px") + 0.5) * 4).cast("int").alias("section"))
+    d = d.agg(F.count("*").alias("n"), F.sum("py").alias("sum_py"), *[F.array(F.avg(c) + 0.8, *map(F.lit, (0.1, 0.02, 0.05, 0.1))).alias(f"coefs_{c}") for c in "vs"])
+    return rounded(sky_model.base_knots(d, 0.2), 6, "px", "base_v", "base_s")
+
+
+@query(None)
+def best_horizon(s):
+    d = _flagged(s)
+    d = sky_model.with_knots(d, sky_model.base_knots(sky_model.section_curves(d))).withColumn("fov_y", F.radians(F.lit(S.FOV)) * H / W)
+    return sky_model.best_horizon(sky_model.horizon_scores(d)).select("image_id", F.round("slope", 2).alias("slope"), F.round("horizon_py", 4).alias("horizon_py"), F.round("sse", 4).alias("sse"))
+
+
+@query(None)
+def fit_sky_model(s):
+    return sky_model.fit_sky_model(_flagged(s), _cameras(s)).select("image_id", "h_coefs", "s_coefs", "v_coefs", "horizon_py", "slope", "sse")
+
+
+@query(None)
+def fit_sky_luminance(s):
+    return sky_model.fit_sky_luminance(_flagged(s), _cameras(s))
+
+
+def _lit_by_sun():
+    a, b, c, d, e = map(F.lit, sampling.SKY_SETS[11][2:])
+    fov = F.radians(F.lit(S.FOV))
+    return geometry.cie_luminance(F.col("px"), F.col("py"), F.col("py"), F.col("sx"), F.col("sy"), F.lit(S.HORIZON), fov, fov * H / W, a, b, c, d, e)
+
+
+@query(None)
+def refine_sky_params(s):
+    start = s.images.withColumns({"sx": F.lit(0.0), "sy": F.lit(0.5)})
+    return sky_model.refine_sky_params(saved(s.samples(), "samples"), start, {"sx": (0.4, -1.5, 1.5), "sy": (0.4, 0.0, 1.5)}, _lit_by_sun())
+
+
+@query(None)
+def adaptive_end(s):
+    return sky_model.adaptive_end(s.px, s.col, H, above=3)
+
+
+@query(None)
+def run_fill(s):
+    """The whole job on every image."""
+    return sky_model.run_fill(s.px, _cameras(s), s.masks, W, H, samples=400)
