@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, minhash, packing, pii, quality, substring_dedup, suffix_tree, token_counts, warc
+from . import decontaminate, hard_negatives, language_id, main_text, minhash, packing, pii, quality, repetition, substring_dedup, suffix_tree, token_counts, warc
 from .common import table
 
 
@@ -30,5 +30,8 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_packing": op9_packing,
     "op10_language_id": language_id.op10_language_id,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_periodic_runs": repetition.op12_periodic_runs,
+    "op13_main_text": main_text.op13_main_text,
 }
-ORACLES = {"op4_warc": warc.ORACLE, "op5_quality": quality.KEPT_SQL}
+ORACLES = {"op4_warc": warc.ORACLE, "op5_quality": quality.KEPT_SQL, "op11_hard_negatives": hard_negatives.ORACLE}
