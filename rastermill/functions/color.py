@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MAX16 = 65535.0
 OPAQUE, TRANSPARENT, BLACK = 32767, 16384, 3840
+#: Brightest channel of a pixel that holds no picture.
+UNSEEN = 8621
 
 
 def rgb_to_hsv(r, g, b) -> Column:
@@ -52,6 +54,11 @@ def is_nonblack(r="r", g="g", b="b") -> Column:
     return ~is_black(r, g, b)
 
 
+def is_seen(r="r", g="g", b="b", a="a") -> Column:
+    """Opaque, and brighter than what stands for missing picture."""
+    return is_opaque(a) & (F.greatest(r, g, b) > UNSEEN)
+
+
 def is_off_sky_color(hsv: Column, h: Column, s: Column, v: Column, a="a") -> Column:
     """Relative error against an image's mean colour: hue over 5 %, saturation or value over 20 %; never when not opaque."""
     far = lambda x, y, t: F.coalesce(F.abs(x - y) / F.nullif(y, F.lit(0.0)) > t, F.lit(False))

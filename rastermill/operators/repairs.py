@@ -6,7 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.color import is_seen
+from ..functions.model import barycentric_blend
+from ..sources.store import saved
 from .columns import by_row, by_x, by_y
+from .local_fit import fitted, local_fits, repaired, whole
 
 
 def with_gray(px: DataFrame) -> DataFrame:
@@ -72,63 +76,26 @@ def interpolate_transparent(px: DataFrame, confident: float = 0.98) -> DataFrame
     return d.select("image_id", "x", "y", *[F.floor(F.col(f"p.m_{c}") * (1 - w) + F.col(f"q.m_{c}") * w).cast("int").alias(c) for c in "rgb"])
 
 
-def local_fits(px: DataFrame, centers: DataFrame, width: int, least: int = 16) -> DataFrame:
-    """image_id, cx, cy, n, coef_r, coef_g, coef_b: each channel by a regression on (1, x - cx, y - cy, (y - cy)^2) over the
-    opaque pixels within `width` of a centre, weighing 1 / (|dx| + |dy| + 1); with fewer than `least` of them the width is
-    doubled once, else there is no row.
-
-    Centres are dealt to the columns they reach, so the join with pixels is an equi-join on image and column; the sums for
-    both widths and all channels are one aggregate, and one row of sums a centre reaches the solver.
-    """
-    c = centers.select("image_id", "cx", "cy").distinct()
-    reach = c.withColumn("x", F.explode(F.sequence(F.col("cx") - 2 * width, F.col("cx") + 2 * width)))
-    d = reach.join(px.filter("a >= 32767").select("image_id", "x", "y", "r", "g", "b"), ["image_id", "x"]).filter(F.abs(F.col("y") - F.col("cy")) <= 2 * width)
-    u, v = (F.col("x") - F.col("cx")).cast("double"), (F.col("y") - F.col("cy")).cast("double")
-    xs, near = [F.lit(1.0), u, v, v * v], (F.abs(u) <= width) & (F.abs(v) <= width)
-    w = 1 / (F.abs(u) + F.abs(v) + 1)
-    terms = [w * xs[i] * xs[j] for i in range(4) for j in range(4)] + [w * x * F.col(ch) for ch in "rgb" for x in xs]
-    both = d.groupBy("image_id", "cx", "cy").agg(F.count_if(near).alias("n_near"), F.count("*").alias("n_far"), F.array(*[F.sum(F.when(near, t)) for t in terms]).alias("s_near"), F.array(*[F.sum(t) for t in terms]).alias("s_far"))
-    few = F.col("n_near") < least
-    sums = both.filter(F.col("n_far") >= least).select("image_id", "cx", "cy", F.when(few, F.col("n_far")).otherwise(F.col("n_near")).alias("n"), F.when(few, F.col("s_far")).otherwise(F.col("s_near")).alias("s"))
-
-    def solve(batches):
-        for b in batches:
-            s = np.array(b.pop("s").tolist(), float).reshape(-1, 28)
-            coef = np.einsum("nij,nkj->nki", np.linalg.pinv(s[:, :16].reshape(-1, 4, 4), hermitian=True), s[:, 16:].reshape(-1, 3, 4))
-            for k, ch in enumerate("rgb"):
-                b[f"coef_{ch}"] = list(coef[:, k])
-            yield b
-
-    return sums.mapInPandas(solve, "image_id int, cx int, cy int, n long, coef_r array<double>, coef_g array<double>, coef_b array<double>")
-
-
-def fitted(channel: str, dy=0) -> Column:
-    """The colour of a row of local_fits() dy rows below its centre, within 0..65535."""
-    c = F.col(f"coef_{channel}")
-    return F.greatest(F.lit(0.0), F.least(F.lit(65535.0), c[0] + c[2] * dy + c[3] * dy * dy))
-
-
-def local_color_fit(px: DataFrame, centers: DataFrame, width: int, least: int = 16) -> DataFrame:
-    """image_id, cx, cy, n, r, g, b: the colours of local_fits() at their centres."""
-    return local_fits(px, centers, width, least).select("image_id", "cx", "cy", "n", *[fitted(c).alias(c) for c in "rgb"])
-
-
 def fill_vertical_gaps(px: DataFrame, col: DataFrame, height: int, width: int = 50) -> DataFrame:
     """image_id, x, y, r, g, b of the gaps inside columns: from a row that is not opaque to the next opaque one, between the raw
-    start and three quarters of the height, a blend of the local fits at both ends. Gaps that reach that bound stay, and so
-    do masked columns and the runs of columns with gaps at the image's sides. All fits see the pixels as they came."""
+    start and three quarters of the height, a blend of the local fits at both ends; and of the pixels that those fits left
+    out. Gaps that reach that bound stay, and so do masked columns, the runs of columns with gaps at the image's sides,
+    and gaps without a fit at both ends. All fits see the pixels as they came."""
     d = px.join(col.select("image_id", "x", "raw_sos", "column_mask"), ["image_id", "x"])
     d = d.filter((F.col("y") >= F.col("raw_sos")) & (F.col("y") < height * 3 // 4)).withColumn("gap", F.col("a") < 32767)
-    whole = d.groupBy("image_id", "x").agg(F.max("gap").alias("any")).groupBy("image_id").agg(F.min(F.when(~F.col("any"), F.col("x"))).alias("first_x"), F.max(F.when(~F.col("any"), F.col("x"))).alias("last_x"))
-    up, down = by_y().rowsBetween(Window.unboundedPreceding, -1), by_y().rowsBetween(1, Window.unboundedFollowing)
-    d = d.withColumns({"above": F.max(F.when(~F.col("gap"), F.col("y"))).over(up), "below": F.min(F.when(~F.col("gap"), F.col("y"))).over(down)})
-    gaps = d.filter("gap AND below IS NOT NULL AND column_mask = 0").join(whole, "image_id").filter("x > first_x AND x < last_x")
-    gaps = gaps.groupBy("image_id", "x", "below").agg(F.min("y").alias("top"))
-    at = lambda y, p: local_fits(px, gaps.select("image_id", F.col("x").alias("cx"), F.col(y).alias("cy")), width).select("image_id", F.col("cx").alias("x"), F.col("cy").alias(y), *[F.col(f"coef_{c}").alias(f"coef_{p}{c}") for c in "rgb"])
+    any_gap = d.groupBy("image_id", "x").agg(F.max("gap").alias("any")).groupBy("image_id").agg(F.min(F.when(~F.col("any"), F.col("x"))).alias("first_x"), F.max(F.when(~F.col("any"), F.col("x"))).alias("last_x"))
+    below = F.min(F.when(~F.col("gap"), F.col("y"))).over(by_y().rowsBetween(1, Window.unboundedFollowing))
+    gaps = d.withColumn("below", below).filter("gap AND below IS NOT NULL AND column_mask = 0").join(any_gap, "image_id").filter("x > first_x AND x < last_x")
+    gaps = saved(gaps.groupBy("image_id", "x", "below").agg(F.min("y").alias("top")), "gaps")
+    ends = gaps.select("image_id", F.col("x").alias("cx"), F.explode(F.array("top", "below")).alias("cy"))
+    fits = saved(local_fits(px, col, ends, width), "fits")
+    at = lambda y, p: fits.select("image_id", F.col("cx").alias("x"), F.col("cy").alias(y), *[F.col(f"coef_{c}").alias(f"coef_{p}{c}") for c in "rgb"])
     rows = gaps.join(at("top", "t"), ["image_id", "x", "top"]).join(at("below", "b"), ["image_id", "x", "below"]).withColumn("y", F.explode(F.sequence("top", "below")))
     w = (F.col("y") - F.col("top")) / (F.col("below") - F.col("top"))
     mixed = lambda c: (1 - w) * fitted(f"t{c}", F.col("y") - F.col("top")) + w * fitted(f"b{c}", F.col("y") - F.col("below"))
-    return rows.select("image_id", "x", "y", *[F.floor(mixed(c)).cast("int").alias(c) for c in "rgb"])
+    filled = rows.select("image_id", "x", "y", *[whole(mixed(c)).alias(c) for c in "rgb"])
+    filled = filled.groupBy("image_id", "x", "y").agg(F.max(F.struct("r", "g", "b")).alias("new")).select("image_id", "x", "y", "new.*")
+    return filled.unionByName(repaired(px, col, fits).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
 
 
 def level_start(col: DataFrame, width_px: int) -> DataFrame:
@@ -147,53 +114,126 @@ def level_start(col: DataFrame, width_px: int) -> DataFrame:
 
 
 def fill_levelled_start(px: DataFrame, levelled: DataFrame, width: int = 15) -> DataFrame:
-    """image_id, x, y, r, g, b of the pixels between level_sos and the old start, by the local fit half a width below it."""
+    """image_id, x, y, r, g, b of the pixels between level_sos and the old start, by the local fit half a width below it (of
+    every second pixel). Columns without a fit give none."""
     todo = levelled.filter("level_sos < sos").select("image_id", F.col("x").alias("cx"), (F.col("sos") + width // 2).alias("cy"), "level_sos", "sos")
-    rows = local_fits(px, todo, width).join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(level_sos, sos - 1)")))
-    return rows.select("image_id", F.col("cx").alias("x"), "y", *[F.floor(fitted(c, F.col("y") - F.col("cy")) + 0.5).cast("int").alias(c) for c in "rgb"])
+    rows = local_fits(px, levelled, todo, width, step=2).join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(level_sos, sos - 1)")))
+    return rows.select("image_id", F.col("cx").alias("x"), "y", *[whole(fitted(c, F.col("y") - F.col("cy")) + 0.5).alias(c) for c in "rgb"])
 
 
 def fill_to_min_start(px: DataFrame, col: DataFrame, width: int = 30) -> DataFrame:
-    """image_id, x, y, r, g, b of the pixels between the image's smallest start of sky and each column's own, by local fits."""
+    """image_id, x, y, r, g, b of the pixels from below the image's least start of sky down to each unmasked column's own start,
+    by the local fit there, and of the pixels that those fits left out."""
     least = F.min("sos").over(Window.partitionBy("image_id"))
-    todo = col.withColumn("least", least).filter("sos > least").select("image_id", "x", F.explode(F.expr("sequence(least, sos - 1)")).alias("y"))
-    return _recolored(px, todo, width)
-
-
-def _recolored(px: DataFrame, todo: DataFrame, width: int) -> DataFrame:
-    """image_id, x, y, r, g, b: the pixels of todo (image_id, x, y) in the colour of their own local fit."""
-    fit = local_color_fit(px, todo.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy")), width)
-    return fit.select("image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])
-
-
-def repair_outlier_pixels(px: DataFrame, col: DataFrame, step: int = 5, width: int = 5, limit: float = 3000.0) -> DataFrame:
-    """image_id, x, y, r, g, b of repaired pixels: in the top half of the sky, those with a channel more than `limit` off the
-    local fit at the nearest point of a grid of `step` take the fit's colour. All fits see the pixels as they came."""
-    d = px.filter("a >= 32767").join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y >= sos AND y <= sos + (eos - sos) / 2")
-    near = lambda c: F.floor((F.col(c) + step // 2) / step).cast("int") * step
-    d = d.withColumns({"cx": near("x"), "cy": near("y")})
-    fit = local_color_fit(px, d, width).select("image_id", "cx", "cy", *[F.floor(F.col(c) + 0.5).cast("int").alias(f"f_{c}") for c in "rgb"])
-    d = d.join(fit, ["image_id", "cx", "cy"]).filter(F.greatest(*[F.abs(F.col(c) - F.col(f"f_{c}")) for c in "rgb"]) > limit)
-    return d.select("image_id", "x", "y", *[F.col(f"f_{c}").alias(c) for c in "rgb"])
+    todo = col.filter("column_mask = 0").withColumn("least", least).filter("sos > least").select("image_id", F.col("x").alias("cx"), F.col("sos").alias("cy"), "least")
+    fits = saved(local_fits(px, col, todo, width), "fits")
+    rows = fits.join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(least + 1, cy)")))
+    filled = rows.select("image_id", F.col("cx").alias("x"), "y", *[whole(fitted(c, F.col("y") - F.col("cy")) + 0.5).alias(c) for c in "rgb"])
+    return filled.unionByName(repaired(px, col, fits).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
+
+
+def repair_outlier_pixels(px: DataFrame, col: DataFrame, width: int = 5) -> DataFrame:
+    """image_id, x, y, r, g, b of repaired pixels: local fits on a grid of `width` over the top half of the sky, where the sky of
+    all columns within `width` (neither masked nor of a repair mask) overlaps, and the pixels that they left out."""
+    free = col.filter("column_mask = 0" + (" AND repair_mask = 0" if "repair_mask" in col.columns else ""))
+    last = F.max("x").over(Window.partitionBy("image_id"))
+    c = col.select("image_id", "x", last.alias("last")).join(free.select("image_id", "x", "sos", "eos"), ["image_id", "x"])
+    c = c.withColumn("cx", F.explode(F.array(*[((F.floor(F.col("x") / width) + k) * width).cast("int") for k in (-1, 0, 1)]))).filter(F.abs(F.col("cx") - F.col("x")) <= width)
+    c = c.filter(f"cx >= {width} AND cx < last + 1 - 5").groupBy("image_id", "cx").agg(F.max("sos").alias("y0"), F.min("eos").alias("y1"))
+    c = c.withColumn("from", F.floor((F.col("y0") + F.col("y1")) / 2).cast("int") - width).filter("from > y0")
+    places = c.select("image_id", "cx", F.explode(F.expr(f"sequence(from, y0 + 1, -{width})")).alias("cy"))
+    return repaired(px, col, local_fits(px, col, places, width))
 
 
 def clean_vertical_edges(px: DataFrame, col: DataFrame, width: int = 2) -> DataFrame:
-    """image_id, x, y, r, g, b of opaque pixels beside a transparent one, in rows down to the image's largest start of sky."""
-    last = col.groupBy("image_id").agg(F.max("sos").alias("last"))
-    d = px.withColumn("low", F.least(F.lag("a").over(by_row()), F.lead("a").over(by_row()))).filter("a >= 32767 AND low < 16384")
-    return _recolored(px, d.join(last, "image_id").filter("y <= last"), width)
-
-
-def fill_side_edges(px: DataFrame, width_px: int, share: int = 40, width: int = 5) -> DataFrame:
-    """image_id, x, y, r, g, b of black or transparent pixels in the outer 1 / share of the width that lie outside the first
-    or last good pixel of their row: the colour fitted locally at that pixel."""
-    band = max(1, width_px // share)
-    good = F.when((F.col("a") >= 32767) & (F.greatest("r", "g", "b") > 3840), F.col("x"))
-    row = Window.partitionBy("image_id", "y")
-    d = px.withColumns({"first_x": F.min(good).over(row), "last_x": F.max(good).over(row)})
-    d = d.withColumn("cx", F.when((F.col("x") < band) & (F.col("x") < F.col("first_x")), F.col("first_x")).when((F.col("x") >= width_px - band) & (F.col("x") > F.col("last_x")), F.col("last_x")))
-    d = d.filter("cx IS NOT NULL").select("image_id", "x", "y", "cx", F.col("y").alias("cy"))
-    return d.join(local_color_fit(px, d, width), ["image_id", "cx", "cy"]).select("image_id", "x", "y", *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])
+    """image_id, x, y, r, g, b of the pixels beside transparent ones that differ from those around: local fits, without a second
+    try, at the transparent pixel left of one that is not and at the one left of a transparent one, in the rows between the
+    image's least and largest start of sky. Fits see all of the sky, as it came."""
+    rows = col.groupBy("image_id").agg(F.min("sos").alias("first"), F.max("sos").alias("last"))
+    mask = col.select("image_id", "x", "column_mask")
+    d = px.join(F.broadcast(rows), "image_id").filter("y BETWEEN first AND last").join(mask, ["image_id", "x"])
+    d = d.withColumns({"clear": F.col("a") < 16384, "next": F.lead(F.struct("x", (F.col("a") < 16384).alias("clear"), "column_mask")).over(by_row())})
+    d = d.filter("next.x = x + 1 AND clear <> next.clear").filter("CASE WHEN clear THEN next.column_mask ELSE column_mask END = 0")
+    places = d.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return repaired(px, col, local_fits(px, col, places, width, clip_end=False, retry=False), clip_end=False)
+
+
+def fill_side_edges(px: DataFrame, col: DataFrame, share: int = 40) -> DataFrame:
+    """image_id, x, y, r, g, b of the pixels outside the first or last seen pixel of a row (opaque and not black), where that one
+    stands within the outer 1 / share of the image's width: the local fit at it, drawn on to the side. The rows are those
+    between the least and the largest start of those columns, the fits ten times as wide as the gap, 20 at most, of every
+    second pixel. Masked columns stay; rows without a seen pixel there, or without a fit, give none."""
+    wide = col.groupBy("image_id").agg((F.max("x") + 1).alias("w")).withColumn("band", F.floor(F.col("w") / share).cast("int"))
+    c = col.join(wide, "image_id")
+    out = []
+    for left in (True, False):
+        outer = c.filter("x < band" if left else "x >= w - 1 - band").filter("band > 0")
+        rows = outer.groupBy("image_id", "w", "band").agg(F.min("sos").alias("first"), F.max("sos").alias("last"))
+        d = px.join(F.broadcast(rows), "image_id").filter("y BETWEEN first AND last").filter("x < band" if left else "x > w - 1 - band")
+        good = (F.min if left else F.max)(F.when(is_seen(), F.col("x")))
+        ends = d.groupBy("image_id", "w", "y").agg(good.alias("cx")).filter("cx IS NOT NULL").withColumn("gap", F.col("cx") if left else F.col("w") - F.col("cx"))
+        ends = ends.filter("gap > 0" if left else "gap > 1")
+        out.append(ends.select("image_id", "cx", F.col("y").alias("cy"), F.least(F.lit(20), F.col("gap") * 10).cast("int").alias("width"), F.expr("sequence(0, cx - 1)" if left else "sequence(cx + 1, w - 1)").alias("xs")))
+    todo = saved(out[0].unionByName(out[1]), "sides")
+    rows = local_fits(px, col, todo, step=2).drop("width").join(todo, ["image_id", "cx", "cy"]).withColumn("x", F.explode("xs"))
+    rows = rows.join(col.filter("column_mask = 0").select("image_id", "x"), ["image_id", "x"])
+    return rows.select("image_id", "x", F.col("cy").alias("y"), *[whole(fitted(c, 0, F.col("x") - F.col("cx"))).alias(c) for c in "rgb"])
+
+
+def overhang_holes(px: DataFrame, col: DataFrame) -> DataFrame:
+    """(image_id, at, x0, x1, y0, y1, px1, py1, px2, py2, px3, py3): the holes beneath overhanging sky, one for a place `at` where
+    the start of sky steps by more than one row to the column at + 1.
+
+    In the rows between both starts, seen pixels (opaque and not black) are looked for away from the step, beneath the
+    higher start; the farthest of these first ones (ties: the highest) ends the hole. Steps next to which all rows are
+    seen have no hole; nor have those, looking to the right, with a row that is unseen up to the image's side (looking to
+    the left, such rows and column 0 count for nothing). A hole has columns x0 .. x1 and rows y0 .. y1, and three
+    corners: its end and the starts on both sides of the step.
+    """
+    ahead = F.lead(F.struct("x", "sos")).over(by_x())
+    c = col.select("image_id", "x", "sos", "column_mask", ahead.alias("n")).filter("n.x = x + 1 AND column_mask = 0 AND abs(n.sos - sos) > 1")
+    c = c.select("image_id", F.col("x").alias("at"), (F.col("n.sos") > F.col("sos")).alias("left"), F.least("sos", "n.sos").alias("top"), F.greatest("sos", "n.sos").alias("bottom"))
+    c = saved(c, "steps")
+    rows = c.groupBy("image_id").agg(F.min("top").alias("first"), F.max("bottom").alias("last"))  # a row an image with steps
+    d = px.join(F.broadcast(rows), "image_id").filter("y > first AND y < last").withColumn("seen", F.when(is_seen(), F.col("x")))
+    inner = F.when(F.col("x") > 0, F.col("seen"))
+    d = d.withColumns({"to_left": F.last(inner, True).over(by_row().rowsBetween(Window.unboundedPreceding, 0)), "to_right": F.first("seen", True).over(by_row().rowsBetween(0, Window.unboundedFollowing))})
+    todo = c.withColumn("x", F.when(F.col("left"), F.col("at")).otherwise(F.col("at") + 1)).withColumn("y", F.explode(F.expr("sequence(top + 1, bottom - 1)")))
+    d = todo.join(d.select("image_id", "x", "y", "to_left", "to_right"), ["image_id", "x", "y"])
+    d = d.withColumn("end", F.when(F.col("left"), F.col("to_left")).otherwise(F.col("to_right")))
+    farthest = F.when(F.col("left"), -F.col("end")).otherwise(F.col("end"))
+    holes = d.groupBy("image_id", "at", "left", "top", "bottom").agg(F.max_by(F.struct("end", "y"), F.when(F.col("end").isNotNull(), F.struct(farthest, -F.col("y")))).alias("m"), F.count_if(F.col("end").isNull()).alias("open"))
+    holes = holes.filter("m.end IS NOT NULL AND (left OR open = 0)").filter("CASE WHEN left THEN m.end < at ELSE m.end > at + 1 END")
+    left = F.col("left")
+    return holes.select(
+        "image_id", "at",
+        F.when(left, F.col("m.end") + 1).otherwise(F.col("at") + 1).alias("x0"), F.when(left, F.col("at")).otherwise(F.col("m.end") - 1).alias("x1"),
+        (F.col("top") + 1).alias("y0"), (F.col("bottom") - 1).alias("y1"),
+        F.col("m.end").alias("px1"), F.col("m.y").alias("py1"),
+        F.col("at").alias("px2"), F.when(left, F.col("top")).otherwise(F.col("bottom")).alias("py2"),
+        (F.col("at") + 1).alias("px3"), F.when(left, F.col("bottom")).otherwise(F.col("top")).alias("py3"),
+    )
+
+
+def fill_overhang_holes(px: DataFrame, col: DataFrame, width: int = 30) -> DataFrame:
+    """image_id, x, y, r, g, b of the unseen pixels in overhang_holes(): the local fits at the hole's three corners, by barycentric
+    weights; and of the pixels that those fits left out. A pixel of several holes belongs to the leftmost one; holes
+    without a fit at each corner, or whose corners lie on one line, stay. All fits see the pixels as they came."""
+    holes = saved(overhang_holes(px, col), "holes")
+    corner = F.explode(F.array(*[F.struct(F.col(f"px{k}").alias("cx"), F.col(f"py{k}").alias("cy")) for k in (1, 2, 3)])).alias("c")
+    fits = saved(local_fits(px, col, holes.select("image_id", corner).select("image_id", "c.cx", "c.cy"), width, clip_end=False), "fits")
+    d = holes
+    for k in (1, 2, 3):
+        of = fits.select("image_id", F.col("cx").alias(f"px{k}"), F.col("cy").alias(f"py{k}"), *[F.col(f"coef_{c}").alias(f"coef_{k}{c}") for c in "rgb"])
+        d = d.join(of, ["image_id", f"px{k}", f"py{k}"])
+    d = d.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    d = d.join(px.filter(~is_seen()).select("image_id", "x", "y"), ["image_id", "x", "y"])
+    corners = [(F.col(f"px{k}"), F.col(f"py{k}")) for k in (1, 2, 3)]
+    of = lambda c: [F.expr(f"coef_{k}{c}[0] + coef_{k}{c}[1] * (x - px{k}) + coef_{k}{c}[2] * (y - py{k}) + coef_{k}{c}[3] * (y - py{k}) * (y - py{k})") for k in (1, 2, 3)]
+    blend = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(65535.0), barycentric_blend(F.col("x"), F.col("y"), corners, of(c)) + 0.5))
+    new = F.struct(*[whole(blend(c)).alias(c) for c in "rgb"])
+    filled = d.groupBy("image_id", "x", "y").agg(F.min_by(new, "at").alias("new")).filter("new.r IS NOT NULL").select("image_id", "x", "y", "new.*")
+    return filled.unionByName(repaired(px, col, fits, clip_end=False).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
 
 
 def forecast_weights(height: int, back: int = 10, ahead: int = 2) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry, model
-from ..operators import columns, fill, fits, masks, overlays, repairs, sampling, sky_model
+from ..operators import columns, fill, fits, local_fit, masks, overlays, repairs, sampling, sky_model
 from ..sources import rasters
 from ..sources.store import saved
 from . import sql as S
@@ -697,7 +697,8 @@ def forecast_ratio(s):
 
 @query(None)
 def local_color_fit(s):
-    return rounded(repairs.local_color_fit(s.px, s.px.filter("x % 5 = 0 AND y % 5 = 0").selectExpr("image_id", "x AS cx", "y AS cy"), 3), 3, "r", "g", "b")
+    places = s.px.filter("x % 5 = 0 AND y % 5 = 0").selectExpr("image_id", "x AS cx", "y AS cy")
+    return rounded(local_fit.local_color_fit(s.px, s.col, places, 3), 3, "r", "g", "b")
 
 
 @query(None)
@@ -719,7 +720,17 @@ def clean_vertical_edges(s):
 
 @query(None)
 def fill_side_edges(s):
-    return repairs.fill_side_edges(s.px, W)
+    """The view's pixels, transparent in the outer columns of every third row."""
+    px = s.px.withColumn("a", F.expr("CASE WHEN (x < 2 OR x > 37) AND y % 3 = 1 THEN 0 ELSE a END"))
+    return repairs.fill_side_edges(px, s.col, share=8)
+
+
+@query(None)
+def fill_overhang_holes(s):
+    """The view's pixels, with a start of sky that steps down in every eighth column and holes beneath the higher one."""
+    col = s.col.withColumn("sos", F.expr("CAST(2 + CASE WHEN x % 8 >= 5 THEN 7 ELSE 0 END AS INT)"))
+    px = s.px.withColumn("a", F.expr("CASE WHEN y < 2 OR (x % 8 >= 5 AND y < 9) OR (x % 8 IN (3, 4) AND y BETWEEN 4 AND 7) THEN 0 WHEN a > 0 THEN 65535 ELSE 0 END"))
+    return repairs.fill_overhang_holes(px, col, width=6)
 
 
 @query(f"{_BANDS}, e AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE y>=6 AND (round(dh, 6)>360 OR round(ds, 6)>0.3 OR round(dv, 6)>0.015)), 24) AS eos FROM bands GROUP BY 1, 2), f AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE greatest(r,g,b)>3840), 0) AS sos FROM px GROUP BY 1, 2) SELECT image_id, min(sos) AS min_sos, max(sos) AS max_sos, min(eos) AS min_eos, max(eos) AS max_eos, round(1-max(eos)/24.0::DOUBLE, 6) AS lowest_py FROM e JOIN f USING (image_id, x) GROUP BY 1")

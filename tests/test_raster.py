@@ -99,46 +99,6 @@ def test_partitions_do_not_matter(spark):
     assert results[0] == results[1] == results[2]
 
 
-def test_local_color_fit(spark):
-    r = np.random.default_rng(2)
-    p = pd.DataFrame([(1, x, y, *(int(v) for v in (20000 + 50 * x + 9 * y * y, r.integers(0, 65536), 3000)), 65535 if (x + y) % 7 else 0) for x in range(14) for y in range(12)], columns=["image_id", "x", "y", "r", "g", "b", "a"])
-    centers = [(1, 5, 5), (1, 0, 0), (1, 40, 5)]
-    got = {(q.cx, q.cy): q for q in repairs.local_color_fit(spark.createDataFrame(p, rasters.PIXELS), spark.createDataFrame(centers, "image_id int, cx int, cy int"), 3).collect()}
-    assert set(got) == {(5, 5), (0, 0)}
-    for (cx, cy), q in got.items():
-        ok = p[p.a >= 32767]
-        for width in (3, 6):
-            near = ok[((ok.x - cx).abs() <= width) & ((ok.y - cy).abs() <= width)]
-            if len(near) >= 16:
-                break
-        u, v = near.x - cx, near.y - cy
-        w = np.sqrt(1 / (u.abs() + v.abs() + 1)).to_numpy()
-        design = np.stack([np.ones(len(u)), u, v, v * v], axis=1) * w[:, None]
-        for c in "rgb":
-            want = np.linalg.lstsq(design, near[c].to_numpy() * w, rcond=None)[0][0]
-            assert q.n == len(near) and abs(q[c] - min(65535, max(0, want))) < 1e-3
-
-
-def test_repairs_by_local_fits(spark):
-    color = lambda x, y: (20000 + 50 * x, 30000 + 40 * y, 40000 + 10 * y * y)
-    p = {(x, y): [*color(x, y), 65535] for x in range(20) for y in range(16)}
-    p[9, 3][0] = 60000  # an outlier
-    for y in (0, 1):
-        p[12, y] = [0, 0, 0, 0]  # a late start
-    p[0, 6] = [0, 0, 0, 0]  # a hole at the side
-    px = spark.createDataFrame([(1, x, y, *v) for (x, y), v in p.items()], rasters.PIXELS)
-    col = spark.createDataFrame([(1, x, 2 if x == 12 else 0, 15) for x in range(20)], "image_id int, x int, sos int, eos int")
-    fixed = {(q.x, q.y): q for q in repairs.repair_outlier_pixels(px, col, limit=8000.0).collect()}
-    assert set(fixed) == {(9, 3)} and abs(fixed[9, 3].r - color(9, 3)[0]) < 6000
-    near = lambda q: all(abs(q[c] - w) < 600 for c, w in zip("gb", color(q.x, q.y)[1:]))
-    top = repairs.fill_to_min_start(px, col, 5).collect()
-    assert {(q.x, q.y) for q in top} == {(12, 0), (12, 1)} and all(map(near, top))
-    beside = repairs.clean_vertical_edges(px, col, 4).collect()
-    assert {(q.x, q.y) for q in beside} == {(11, 0), (13, 0), (11, 1), (13, 1)} and all(map(near, beside))
-    side = repairs.fill_side_edges(px, 20).collect()
-    assert [(q.x, q.y) for q in side] == [(0, 6)] and near(side[0])
-
-
 def test_forecast_ratio(spark):
     r = np.random.default_rng(8)
     v = r.integers(0, 65536, 20)

@@ -126,16 +126,3 @@ def test_levelled_starts(spark):
                 want[x + 3], more = want[x + 3] - 1, True
     got = repairs.level_start(column_table(spark, 30, sos=s, column_mask=mask), 30).orderBy("x").collect()
     assert [p.level_sos for p in got] == want.tolist()
-
-
-def test_gaps_inside_columns(spark):
-    y, x = np.mgrid[0:40, 0:20]
-    v = np.stack([8000 + 90 * x + 100 * y + 3 * y * y, 20000 + 150 * y, 40000 + 0 * x], axis=-1)
-    a = np.full((40, 20), 65535)
-    a[10:14, 7] = a[20:, 0] = a[25:, 12] = a[5:9, 15] = 0  # inside, at the side, down to the bound, in a masked column
-    holed = v.copy()
-    holed[a == 0] = 0
-    col = column_table(spark, 20, column_mask=[int(k == 15) for k in range(20)])
-    got = repairs.fill_vertical_gaps(pixels(spark, holed, a), col, 40, width=6).collect()
-    assert {(p.x, p.y) for p in got} == {(7, k) for k in range(10, 15)}
-    assert all(np.abs(np.array([p.r, p.g, p.b]) - v[p.y, p.x]).max() <= 2 for p in got)
