@@ -116,6 +116,20 @@ def barycentric_blend(x: Column, y: Column, corners: list[tuple[Column, Column]]
     return sum(w * v for w, v in zip(barycentric_weights(x, y, corners), values))
 
 
+def with_sun(s: Column, v: Column, glow: Column, glow_min: Column, glow_max: Column, sun_lum: Column, sat_depth: Column) -> Column:
+    """struct(s, v): saturation and value with the sun's glow, all within 0..1.
+
+    The glow (at most glow_max, at least 0) counts from 0 at glow_min to sun_lum at glow_max; it is added to the value and
+    taken from the saturation, which is multiplied by sat_depth then. A negative sun_lum shows the glow alone, of that size.
+    """
+    light = clamp01(glow / glow_max) * glow_max
+    add = F.greatest(F.lit(0.0), F.abs(sun_lum) * (light - glow_min) / F.nullif(glow_max - glow_min, F.lit(0.0)))
+    add = F.coalesce(add, F.lit(0.0))
+    both = sun_lum > 0
+    value = F.when(both, clamp01(v) + add).otherwise(add)
+    return F.struct((clamp01(clamp01(s) - F.when(both, add).otherwise(0.0)) * sat_depth).alias("s"), clamp01(value).alias("v"))
+
+
 def logistic_feather(p: Column) -> Column:
     """A linear blend made logistic; 0, .5 and 1 stay."""
     offset = 1 / (1 + math.exp(2.5))

@@ -9,21 +9,46 @@ from ..functions import geometry, model
 from ..functions.color import rgb_to_hsv
 
 
+#: Blocks of columns that an image's pixels are dealt to where they meet its model.
+BLOCKS = 16
+
+
 def with_model(px: DataFrame, models: DataFrame) -> DataFrame:
-    """Attaches the model of the image: an equi-join; models is one row for each image."""
-    return px.join(models, "image_id")
+    """Attaches the model of the image; models is one row for each image, and so small that Spark broadcasts it as long as it
+    may. Else its rows are copied to BLOCKS blocks of columns, so that no image's pixels go to one task."""
+    d = px.withColumn("_block", F.col("x") % BLOCKS)
+    copies = models.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    return d.join(copies, ["image_id", "_block"]).drop("_block")
 
 
-def predict_sky(px: DataFrame, models: DataFrame, width: int, height: int) -> DataFrame:
-    """Adds h_hat, s_hat, v_hat (clamped) and r_hat, g_hat, b_hat."""
-    d = with_model(px, models).withColumns({"px": F.col("x") / (width - 1) - 0.5, "py": 1 - F.col("y") / (height - 1)})
+def predict_sky(px: DataFrame, models: DataFrame, width=None, height=None, light: str = "model") -> DataFrame:
+    """Adds px, py, h_hat, s_hat, v_hat (clamped) and r_hat, g_hat, b_hat. Without width and height, models has these columns.
+
+    light: `model` takes the value from the fitted curves; `sun` adds the glow around the sun to it and takes it from the
+    saturation (see with_sun()); `luminance` takes the value from general sky luminance times v_factor. Both need columns of
+    models: sun_px, sun_py, cc, cd; `sun` glow_min, glow_max (see glow_range()), sun_lum, sat_depth; `luminance` ca, cb, ce,
+    v_factor.
+    """
+    d = with_model(px, models)
+    width, height = (F.col(c) if given is None else F.lit(given) for c, given in (("width", width), ("height", height)))
+    d = d.withColumns({"px": F.col("x") / (width - 1) - 0.5, "py": 1 - F.col("y") / (height - 1)})
     d = d.withColumn("hc", geometry.adjust_horizon(F.col("px"), F.col("py"), F.col("curvature"), F.col("slope")))
-    fov_y = F.radians("fov") * height / width
+    fov_x, fov_y = F.radians("fov"), F.radians("fov") * height / width
     d = d.withColumns({
         "h_hat": F.greatest(F.lit(0.0), F.least(F.lit(359.99), model.predict_hue(F.col("px"), F.col("hc"), F.col("h_coefs")))),
         "s_hat": model.clamp01(model.predict_sat(F.col("px"), F.col("hc"), F.col("s_coefs"))),
-        "v_hat": model.clamp01(model.predict_val(F.col("px"), F.col("hc"), F.col("v_coefs"), F.col("knots"), F.col("horizon_py"), fov_y)),
     })
+    if light == "luminance":
+        of = [F.col(c) for c in ("px", "py", "hc", "sun_px", "sun_py", "horizon_py")] + [fov_x, fov_y] + [F.col(c) for c in ("ca", "cb", "cc", "cd", "ce")]
+        value = geometry.cie_luminance(*of) * F.col("v_factor")
+    else:
+        value = model.predict_val(F.col("px"), F.col("hc"), F.col("v_coefs"), F.col("knots"), F.col("horizon_py"), fov_y)
+    d = d.withColumn("v_hat", model.clamp01(value))
+    if light == "sun":
+        look = lambda x, y: (lambda a: geometry.view_vector(a["aoy"], a["aox"]))(geometry.view_angles(F.col(x), F.col(y), F.col("fov"), width, height))
+        d = d.withColumn("glow", geometry.sun_glow(geometry.angle_between(look("px", "py"), look("sun_px", "sun_py")), F.col("cc"), F.col("cd")))
+        lit = model.with_sun(*[F.col(c) for c in ("s_hat", "v_hat", "glow", "glow_min", "glow_max", "sun_lum", "sat_depth")])
+        d = d.withColumn("lit", lit).withColumns({"s_hat": F.col("lit.s"), "v_hat": F.col("lit.v")})
     d = d.withColumn("hat", model.predicted_rgb(F.col("h_hat"), F.col("s_hat"), F.col("v_hat")))
     return d.select(*px.columns, "px", "py", "h_hat", "s_hat", "v_hat", F.col("hat.r").alias("r_hat"), F.col("hat.g").alias("g_hat"), F.col("hat.b").alias("b_hat"))
 
@@ -77,27 +102,106 @@ def dark_top_check(predicted: DataFrame, height: int) -> DataFrame:
     return d.groupBy("image_id").agg((F.count_if((F.col("top") < 100 / 255) & (F.col("top") < F.col("mid"))) > 10).alias("dark_top"))
 
 
-def fill_sky_columns(predicted: DataFrame, col: DataFrame, height: int, depth: float = 0.5) -> DataFrame:
+def zenith_extents(col: DataFrame, end_factor: float) -> DataFrame:
+    """col with the sky's extents that a blend towards the zenith takes, one for all columns of an image: sos is the largest
+    start; eos stands the share end_factor of the way from the least to the largest end. Extents are of unmasked columns."""
+    seen = lambda f, c: f(F.when(F.col("column_mask") == 0, F.col(c)))
+    of = col.groupBy("image_id").agg(seen(F.max, "sos").alias("_sos"), F.floor(end_factor * seen(F.max, "eos") + (1 - end_factor) * seen(F.min, "eos")).cast("int").alias("_eos"))
+    return col.join(F.broadcast(of), "image_id").withColumns({"sos": F.coalesce("_sos", "sos"), "eos": F.coalesce("_eos", "eos")}).drop("_sos", "_eos")
+
+
+def towards_zenith(d: DataFrame, predicted: DataFrame, col: DataFrame, depth: float, factors: tuple[float, float, float]) -> DataFrame:
+    """d (hat and feather_end) with hat blended, from the top row down to `depth` of feather_end, from one colour of the image,
+    zenith_color() with its factors (the hue's is added), to its own."""
+    zenith = zenith_color(predicted, col, (1.0, *factors[1:]))
+    hue = F.col("h_zenith") + factors[0]
+    hue = F.when(hue < 0, hue + 360).when(hue > 360, hue - 360).otherwise(hue)
+    zenith = zenith.select("image_id", model.predicted_rgb(F.least(hue, F.lit(359.99)), F.col("s_zenith"), F.col("v_zenith")).alias("zenith"))
+    d = d.join(F.broadcast(zenith), "image_id", "left").withColumn("last", F.floor(F.col("feather_end") * depth + 0.5))
+    share = F.coalesce((F.col("last") - F.col("y")) / F.nullif("last", F.lit(0)), F.lit(0.0))
+    mixed = [F.floor(share * F.col(f"zenith.{c}") + (1 - share) * F.col(f"hat.{c}") + 0.5).cast("int").alias(c) for c in "rgb"]
+    return d.withColumn("hat", F.when((F.col("y") <= F.col("last")) & F.col("zenith").isNotNull(), F.struct(*mixed)).otherwise(F.col("hat"))).drop("zenith", "last")
+
+
+def above_start(channel: str, factor: float):
+    """The predicted saturation or value, times a factor that is `factor` in the top row and 1 at the start of sky."""
+    share = 1 - F.col("y") / F.nullif("sos", F.lit(0))
+    return F.col(f"{channel}_hat") * F.when(F.col("y") < F.col("sos"), 1 - share * (1 - factor)).otherwise(1.0)
+
+
+def fill_sky_columns(predicted: DataFrame, col: DataFrame, height: int, depth: float = 0.5, zenith: tuple[float, float] | None = None, factors: tuple[float, float, float] = (0.0, 1.0, 1.0)) -> DataFrame:
     """Default fill: the prediction, corrected by smoothed column factors, blended in over the feather; transparent pixels
-    below the start of sky stay, and so do masked columns."""
+    below the raw start of sky stay, and so do masked columns.
+
+    zenith: (depth, end factor) to blend the top rows towards one colour of the image, down to `depth` of the feather's end;
+    the sky then has the extents of zenith_extents(). factors: added to the zenith's hue, and multiplying its saturation and
+    value and, less and less down to the start of sky, those of the prediction.
+    """
     corr = smooth_corrections(column_corrections(predicted, col, height))
-    d = predicted.join(corr, ["image_id", "x"], "left").join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"])
-    d = d.withColumn("n", model.feather_length(F.col("sos"), F.col("eos"), depth))
-    d = d.withColumn("w", F.when(F.col("y") > F.col("sos") + F.col("n"), 0.0).otherwise(model.feather_weight(F.col("y"), F.col("sos"), F.col("n"), F.col("b"))))
-    d = d.withColumn("new", model.predicted_rgb(F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * F.col("h_corr"))), F.col("s_hat") * F.col("s_corr"), F.col("v_hat") * F.col("v_corr")))
-    skip = F.col("h_corr").isNull() | (F.col("a") < 16384) & (F.col("y") >= F.col("sos"))
-    mixed = lambda c: F.when(skip, F.col(c)).otherwise(F.floor(F.col(f"new.{c}") * F.col("w") + F.col(c) * (1 - F.col("w")) + 0.5)).cast("int")
-    return d.select("image_id", "x", "y", *[mixed(c).alias(c) for c in "rgb"], F.when(~skip & (F.col("w") > 0), 65535).otherwise(F.col("a")).alias("a"))
-
-
-def replace_sky(predicted: DataFrame, col: DataFrame, depth: float = 0.5) -> DataFrame:
-    """Full replacement down to the effective end: the larger of sky probability and feather decides the share."""
-    d = sky_probability(predicted, col).join(col.select("image_id", "x", "sos", F.coalesce("manual_eos", "eos").alias("end")), ["image_id", "x"])
-    n = model.feather_length(F.col("sos"), F.col("end"), depth)
-    feather = F.when(F.col("y") > F.col("sos") + n, 0.0).otherwise(model.logistic_feather(model.feather_weight(F.col("y"), F.col("sos"), n, F.col("b"))))
-    p = F.when(F.col("a") < 16384, 1.0).when(F.col("y") > F.col("end"), 0.0).otherwise(F.greatest("p_hat", feather))
-    d = d.withColumn("p", p)
-    return d.select("image_id", "x", "y", *[F.floor(F.col(f"{c}_hat") * F.col("p") + F.col(c) * (1 - F.col("p"))).cast("int").alias(c) for c in "rgb"], "p")
+    extents = zenith_extents(col, zenith[1]) if zenith else col
+    d = predicted.join(corr, ["image_id", "x"], "left").join(extents.select("image_id", "x", "sos", "eos", "raw_sos"), ["image_id", "x"])
+    d = d.withColumn("n", model.feather_length(F.col("sos"), F.col("eos"), depth)).withColumn("feather_end", F.col("sos") + F.col("n"))
+    d = d.withColumn("w", F.when(F.col("y") >= F.col("feather_end"), 0.0).otherwise(model.feather_weight(F.col("y"), F.col("sos"), F.col("n"), F.col("b"))))
+    hue = F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * F.col("h_corr")))
+    d = d.withColumn("hat", model.predicted_rgb(hue, above_start("s", factors[1]) * F.col("s_corr"), above_start("v", factors[2]) * F.col("v_corr")))
+    if zenith:
+        d = towards_zenith(d, predicted, col, zenith[0], factors)
+    skip = F.col("h_corr").isNull() | (F.col("a") < 32767) & (F.col("y") > F.col("raw_sos")) | (F.col("y") >= F.col("feather_end"))
+    mixed = lambda c: F.when(skip, F.col(c)).otherwise(F.floor(F.col(f"hat.{c}") * F.col("w") + F.col(c) * (1 - F.col("w")) + 0.5)).cast("int")
+    return d.select("image_id", "x", "y", *[mixed(c).alias(c) for c in "rgb"], F.when(skip, F.col("a")).otherwise(65535).alias("a"))
+
+
+def filled_to_end(col: DataFrame, depth: float = 0.5) -> DataFrame:
+    """The columns of col whose fill reaches their end of sky."""
+    return col.filter(F.col("sos") + model.feather_length(F.col("sos"), F.col("eos"), depth) >= F.col("eos"))
+
+
+def replace_sky(predicted: DataFrame, col: DataFrame, depth: float = 0.5, suns: DataFrame | None = None, zenith: float | None = None, factors: tuple[float, float, float] = (0.0, 1.0, 1.0), fade: bool = False, only_transparent: bool = False) -> DataFrame:
+    """(image_id, x, y, r, g, b, a, p): full replacement of the rows above the effective end (manual, else found), p the
+    prediction's share; rows from there on, and masked columns, keep their pixels (p null).
+
+    Above the start of sky p is 1. Below it p is the larger of sky probability and logistic feather; fade then takes it
+    to 0 from the feather's end to the sky's; near the sun it is at least the sun's weight. In columns with nonsky_mask,
+    p_raw (the probability alone) decides what stays: p_raw * p + (1 - p_raw) * p_raw. Pixels that are not wholly opaque
+    take all of the prediction. suns: image_id, width, height, sun_px, sun_py, cf, cg. zenith and factors: as in
+    fill_sky_columns(), with the columns' own extents. only_transparent: pixels with some alpha keep their colour.
+
+    A column goes one row further where that row is brighter than the new pixel above it and the old one below.
+    """
+    extra = [c for c in ("nonsky_mask", "column_mask") if c in col.columns]
+    d = sky_probability(predicted, col).join(col.select("image_id", "x", "sos", F.coalesce("manual_eos", "eos").alias("end"), *extra), ["image_id", "x"])
+    for c in ("nonsky_mask", "column_mask"):
+        d = d if c in extra else d.withColumn(c, F.lit(0))
+    d = d.withColumn("feather_end", F.col("sos") + model.feather_length(F.col("sos"), F.col("end"), depth))
+    d = d.withColumn("hat", model.predicted_rgb(F.col("h_hat"), above_start("s", factors[1]), above_start("v", factors[2])))
+    if zenith:
+        d = towards_zenith(d, predicted, col, zenith, factors)
+    near_sun = F.lit(0.0)
+    if suns is not None:
+        d = d.join(F.broadcast(suns.select("image_id", (F.col("height") / F.col("width")).alias("aspect"), F.col("sun_px").alias("sx"), F.col("sun_py").alias("sy"), "cf", "cg")), "image_id")
+        near_sun = geometry.sun_weight(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"), F.col("aspect"), F.col("cf"), F.col("cg"))
+    length = F.col("feather_end") - F.col("sos")
+    linear = model.clamp01(1 - F.coalesce((F.col("y") - F.col("sos")) / F.nullif(length, F.lit(0)), F.lit(1.0)))
+    feather = model.logistic_feather(F.when(F.col("y") <= F.col("feather_end"), linear).otherwise(0.0))
+    p = F.greatest("p_hat", feather)
+    if fade:
+        down = (F.col("y") - F.col("feather_end")) / F.nullif(F.col("end") - F.col("feather_end"), F.lit(0))
+        p = p * F.when(F.col("y") > F.col("feather_end"), 1 - F.coalesce(down, F.lit(0.0))).otherwise(1.0)
+    p = F.greatest(p, near_sun)
+    raw = F.col("p_hat")
+    p = F.when(F.col("nonsky_mask") == 1, raw * F.greatest("p_hat", feather, near_sun) + (1 - raw) * raw).otherwise(p)
+    p = F.when(F.col("y") < F.col("sos"), 1.0).when(F.col("a") < 65535, 1.0).otherwise(p)
+    d = d.withColumn("p", F.when(F.col("column_mask") == 0, p))
+    new = {c: F.floor(F.col("p") * F.col(f"hat.{c}") + (1 - F.col("p")) * F.when(F.col("y") < F.col("sos"), F.col(f"hat.{c}")).otherwise(F.col(c)) + 0.5).cast("int") for c in "rgb"}
+    d = d.withColumns({f"new_{c}": v for c, v in new.items()})
+    down = Window.partitionBy("image_id", "x").orderBy("y")
+    top = F.greatest("r", "g", "b")
+    peak = (F.lag(F.greatest("new_r", "new_g", "new_b")).over(down) < top) & (F.lead(top).over(down) < top)
+    low = F.max("y").over(Window.partitionBy("image_id", "x"))
+    more = (F.col("y") == F.col("end")) & (F.col("end") - 1 < low - 2) & F.coalesce(peak, F.lit(False))
+    d = d.withColumn("takes", F.col("p").isNotNull() & ((F.col("y") < F.col("end")) | more))
+    colored = F.col("takes") & (F.col("a") == 0) if only_transparent else F.col("takes")
+    return d.select("image_id", "x", "y", *[F.when(colored, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"], F.when(colored, 65535).otherwise(F.col("a")).alias("a"), F.when(F.col("takes"), F.col("p")).alias("p"))
 
 
 def diagnostic_maps(predicted: DataFrame, col: DataFrame, mode: str) -> DataFrame:

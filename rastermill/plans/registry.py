@@ -33,10 +33,13 @@ class Scene:
             "image_id", F.array(*map(array, S.H)).alias("h_coefs"), F.array(*map(array, S.S)).alias("s_coefs"), array(S.V).alias("v_coefs"), knots.alias("knots"),
             F.lit(S.HORIZON).alias("horizon_py"), F.lit(S.CURVATURE).alias("curvature"), F.lit(S.SLOPE).alias("slope"), F.lit(S.FOV).alias("fov"),
         )
-        self.predicted = fill.predict_sky(self.px, self.models, W, H)
         self.rel = geometry.with_relative_xy(self.px, self.sized)
         self.hsv = self.px.withColumn("hsv", color.rgb_to_hsv("r", "g", "b")).select("*", "hsv.*").drop("hsv")
 
+    @property
+    def predicted(self) -> DataFrame:
+        return fill.predict_sky(self.px, self.models, W, H)
+
     def samples(self) -> DataFrame:
         """Opaque pixels of every second column and row of the sky, as samples."""
         d = masks.sky_band(self.rel.filter("a >= 32767 AND x % 2 = 0 AND y % 2 = 0"), self.col)
@@ -543,24 +546,116 @@ def logistic_feather(s):
     return s.rel.select("image_id", "x", "y", F.round(model.logistic_feather(F.col("py")), 6).alias("p"))
 
 
-_NEW = S.rgb("greatest(0,least(359.99,h_hat*h_corr))::DOUBLE", "greatest(0,least(1,s_hat*s_corr))::DOUBLE", "greatest(0,least(1,v_hat*v_corr))::DOUBLE")
+_TOP = "CASE WHEN y<sos THEN 1-(1-y/nullif(sos,0)::DOUBLE)*(1-{f}) ELSE 1.0 END"
+
 
+def _fill(zenith: bool) -> str:
+    """SQL of the default fill; with a zenith, by depth .6, end factor .5 and factors (-8, .9, 1.1)."""
+    s_top, v_top = (_TOP.format(f=f) for f in ((0.9, 1.1) if zenith else (1.0, 1.0)))
+    new = S.rgb("greatest(0,least(359.99,h_hat*h_corr))::DOUBLE", f"greatest(0,least(1,s_hat*({s_top})*s_corr))::DOUBLE", f"greatest(0,least(1,v_hat*({v_top})*v_corr))::DOUBLE")
+    col = "col"
+    if zenith:
+        ext = "SELECT image_id, max(sos) AS sos, CAST(floor(0.5*max(eos)+0.5*min(eos)) AS INT) AS eos FROM col WHERE column_mask=0 GROUP BY 1"
+        col = f"(SELECT col.image_id, col.x, col.raw_sos, e.sos, e.eos FROM col JOIN ({ext}) e USING (image_id))"
+    top = S.rgb("least(359.99,hz-8)", "sz", "vz")
+    zen = f"""ze AS (SELECT image_id, {', '.join(f'{e} AS z{c}' for c, e in top.items())} FROM (SELECT image_id, avg(h_hat) AS hz, avg(s_hat)*0.9 AS sz, avg(v_hat)*1.1 AS vz FROM pred JOIN col USING (image_id, x) WHERE y=0 AND column_mask=0 GROUP BY 1)),
+zd AS (SELECT h.*, zr, zg, zb, floor((sos+n)*0.6+0.5) AS zl FROM h LEFT JOIN ze USING (image_id)),
+hh AS (SELECT * EXCLUDE (nr, ng, nb), {', '.join(f'CASE WHEN y<=zl AND zl>0 THEN floor((zl-y)/zl*z{c}+(1-(zl-y)/zl)*n{c}+0.5) ELSE n{c} END AS n{c}' for c in 'rgb')} FROM zd)"""
+    return f"""{_CORR}, f AS (SELECT pred.*, sos, raw_sos, least(sos+floor((eos-sos)*0.5+0.5),eos)-sos AS n, h_corr, s_corr, v_corr FROM pred JOIN {col} cc USING (image_id, x) LEFT JOIN sm USING (image_id, x)),
+h AS (SELECT *, {', '.join(f'{e} AS n{c}' for c, e in new.items())} FROM f), {zen if zenith else 'hh AS (SELECT * FROM h)'},
+w AS (SELECT *, h_corr IS NULL OR (a<32767 AND y>raw_sos) OR y>=sos+n AS skip, CASE WHEN y>=sos AND b>=0.04*65535 THEN coalesce(greatest(0,least(1,1-(y-sos)/nullif(n,0)::DOUBLE)),0) ELSE 1.0 END::DOUBLE AS w FROM hh)
+SELECT image_id, x, y, {', '.join(f'CAST(CASE WHEN skip THEN {c} ELSE floor(n{c}*w+{c}*(1-w)+0.5) END AS INT) AS {c}' for c in 'rgb')}, CASE WHEN NOT skip THEN 65535 ELSE a END AS a FROM w"""
 
-@query(f"""{_CORR}, f AS (SELECT pred.*, sos, least(sos+floor((eos-sos)*0.5+0.5),eos)-sos AS n, h_corr, s_corr, v_corr FROM pred JOIN col USING (image_id, x) LEFT JOIN sm USING (image_id, x)),
-w AS (SELECT *, h_corr IS NULL OR (a<16384 AND y>=sos) AS skip, CASE WHEN y>sos+n THEN 0.0 WHEN y>=sos AND b>=0.04*65535 THEN coalesce(greatest(0,least(1,1-(y-sos)/nullif(n,0)::DOUBLE)),0) ELSE 1.0 END::DOUBLE AS w FROM f)
-SELECT image_id, x, y, {', '.join(f'CAST(CASE WHEN skip THEN {c} ELSE floor({e}*w+{c}*(1-w)+0.5) END AS INT) AS {c}' for c, e in _NEW.items())}, CASE WHEN NOT skip AND w>0 THEN 65535 ELSE a END AS a FROM w""")
+
+@query(_fill(False))
 def fill_sky_columns(s):
     return fill.fill_sky_columns(s.predicted, s.col, H)
 
 
-@query(f"""{MODEL}, {S.PROB}, e AS (SELECT *, coalesce(manual_eos, eos) AS fin, least(sos+floor((coalesce(manual_eos, eos)-sos)*0.5+0.5),coalesce(manual_eos, eos))-sos AS n FROM prob),
-f AS (SELECT *, CASE WHEN y>=sos AND b>=0.04*65535 THEN coalesce(greatest(0,least(1,1-(y-sos)/nullif(n,0)::DOUBLE)),0) ELSE 1.0 END::DOUBLE AS w FROM e),
-p AS (SELECT *, CASE WHEN a<16384 THEN 1.0 WHEN y>fin THEN 0.0 ELSE greatest(p_hat, CASE WHEN y>sos+n THEN 0.0 ELSE (1/(1+exp(-(w-0.5)*5))-1/(1+exp(2.5)))/(1-2/(1+exp(2.5))) END) END::DOUBLE AS p FROM f)
-SELECT image_id, x, y, {', '.join(f'CAST(floor({c}_hat*p+{c}*(1-p)) AS INT) AS {c}' for c in 'rgb')}, round(p, 6) AS p FROM p""")
+@query(_fill(True))
+def fill_towards_zenith(s):
+    return fill.fill_sky_columns(s.predicted, s.col, H, zenith=(0.6, 0.5), factors=(-8.0, 0.9, 1.1))
+
+
+#: The sun of the queries with one: place, glow, and reach.
+SUN_PX, SUN_PY, SUN_C, SUN_D, SUN_LUM, SAT_DEPTH, SUN_F, SUN_G = 0.1, 0.8, 3.0, 0.3, 0.6, 0.9, 0.8, 0.25
+
+
+def _sunny(s):
+    images = s.sized.withColumns({"sun_px": F.lit(SUN_PX), "sun_py": F.lit(SUN_PY), "cf": F.lit(SUN_F), "cg": F.lit(SUN_G)})
+    glow = geometry.glow_range(images.withColumns({"fov": F.lit(S.FOV), "c": F.lit(SUN_C), "d": F.lit(SUN_D)}))
+    more = {"cc": F.lit(SUN_C), "cd": F.lit(SUN_D), "sun_lum": F.lit(SUN_LUM), "sat_depth": F.lit(SAT_DEPTH)}
+    return images, s.models.join(images.join(glow, "image_id").withColumns(more), "image_id")
+
+
+_VIEW = f"sin({{u}})*cos({{w}})*sin({{u2}})*cos({{w2}})+sin({{w}})*sin({{w2}})+cos({{u}})*cos({{w}})*cos({{u2}})*cos({{w2}})"
+_AOY, _AOX = f"(-({{x}})*radians({S.FOV}))", f"asin((({{y}})-0.5)*sin(radians({S.FOV})*{H}/{W}/2)*2)"
+
+
+def _gamma(x, y) -> str:
+    """SQL of the angle between a place and the sun, 0 within its disc."""
+    g = "acos(greatest(-1,least(1," + _VIEW.format(u=_AOY.format(x=x), w=_AOX.format(y=y), u2=_AOY.format(x=SUN_PX), w2=_AOX.format(y=SUN_PY)) + ")))"
+    return f"(CASE WHEN {g}<radians(0.533)/2 THEN 0 ELSE {g} END)"
+
+
+def _glow(x, y) -> str:
+    return f"(1+{SUN_C}*(exp(-{_gamma(x, y)}/{SUN_D})-exp(-(pi()/2)/{SUN_D})))"
+
+
+_GMAX = f"(1+2*(1-exp(-(pi()/2)/{SUN_D})))"
+_GMIN = f"(SELECT min({_glow('a', 'b')}) FROM (VALUES (-0.5),(0.0),(0.5)) t(a), (VALUES (0.0),(0.5),(1.0)) u(b))"
+SUNNY = f"""{BASE}, {S.REL}, {S.HC}, {S.HATS.replace('hats AS', 'hats0 AS')}, gm AS (SELECT {_GMIN} AS lo),
+ad AS (SELECT *, greatest(0, {SUN_LUM}*(least(1,greatest(0,{_glow('px', 'py')}/{_GMAX}))*{_GMAX}-lo)/({_GMAX}-lo)) AS add FROM hats0, gm),
+hats AS (SELECT * REPLACE (greatest(0,least(1,s_hat-add))*{SAT_DEPTH} AS s_hat, least(1,v_hat+add)::DOUBLE AS v_hat) FROM ad), {S.PRED}"""
+
+
+@query(f"{SUNNY} SELECT image_id, x, y, round(h_hat, 4) AS h_hat, round(s_hat, 6) AS s_hat, round(v_hat, 6) AS v_hat FROM pred")
+def predict_sky_with_sun(s):
+    d = fill.predict_sky(s.px, _sunny(s)[1], light="sun")
+    return rounded(d.select("image_id", "x", "y", "h_hat", "s_hat", "v_hat"), 6, "s_hat", "v_hat").withColumn("h_hat", F.round("h_hat", 4))
+
+
+_CIE_HC = f"(1-0.5*exp(-0.3/cos(least(pi()/2-(hc-{S.HORIZON})*{_FY},pi()/2-0.01))))*(1+{SUN_C}*(exp(-1.2*gam)-exp(-1.2*pi()/2))+0.4*pow(cos(gam),2))"
+_GAM = f"sqrt(pow((px-{SUN_PX})*radians({S.FOV}),2)+pow((py-{SUN_PY})*{_FY},2))"
+
+
+@query(f"{BASE}, {S.REL}, {S.HC}, g AS (SELECT *, CASE WHEN {_GAM}<radians(0.533)/2 THEN 0 ELSE {_GAM} END AS gam FROM hcs) SELECT image_id, x, y, round(greatest(0,least(1,{_CIE_HC}*0.2)), 6) AS v_hat FROM g")
+def predict_sky_luminance(s):
+    """The value from general sky luminance."""
+    more = {"sun_px": SUN_PX, "sun_py": SUN_PY, "ca": -0.5, "cb": -0.3, "cc": SUN_C, "cd": -1.2, "ce": 0.4, "v_factor": 0.2}
+    d = fill.predict_sky(s.px, s.models.withColumns({k: F.lit(v) for k, v in more.items()}), W, H, "luminance")
+    return rounded(d.select("image_id", "x", "y", "v_hat"), 6, "v_hat")
+
+
+def _replace(pred: str, sun: bool, zenith: bool = False) -> str:
+    """SQL of the full replacement; with the sun also nonsky columns, fading and factors (0, .9, 1.1)."""
+    s_top, v_top = (_TOP.format(f=f) for f in ((0.9, 1.1) if sun else (1.0, 1.0)))
+    hat = S.rgb("h_hat", f"greatest(0,least(1,s_hat*({s_top})))::DOUBLE", f"greatest(0,least(1,v_hat*({v_top})))::DOUBLE")
+    r = f"(sqrt(pow(px-{SUN_PX},2)+pow((py-{SUN_PY})*({H}/{W}.0::DOUBLE),2))/{SUN_G})"
+    near = f"{SUN_F}*sqrt(CASE WHEN {r}<1 THEN 1.0 ELSE 1-1/(1+exp(5-10*({r}-1))) END)" if sun else "0.0"
+    fade = "CASE WHEN y>fe THEN 1-coalesce((y-fe)/nullif(fin-fe,0)::DOUBLE,0) ELSE 1.0 END" if sun else "1.0"
+    nonsky = "x BETWEEN 0 AND 3" if sun else "false"
+    return f"""{pred}, {S.PROB}, e AS (SELECT *, coalesce(manual_eos, eos) AS fin, least(sos+floor((coalesce(manual_eos, eos)-sos)*0.5+0.5),coalesce(manual_eos, eos)) AS fe, {near} AS near FROM prob),
+f AS (SELECT *, CASE WHEN y<=fe THEN greatest(0,least(1,1-coalesce((y-sos)/nullif(fe-sos,0)::DOUBLE,1))) ELSE 0.0 END::DOUBLE AS l FROM e),
+g AS (SELECT *, (1/(1+exp(-(l-0.5)*5))-1/(1+exp(2.5)))/(1-2/(1+exp(2.5))) AS w, {', '.join(f'{x} AS h{c}' for c, x in hat.items())} FROM f),
+p AS (SELECT *, CASE WHEN column_mask=1 THEN NULL WHEN y<sos OR a<65535 THEN 1.0 WHEN {nonsky} THEN p_hat*greatest(p_hat,w,near)+(1-p_hat)*p_hat ELSE greatest(greatest(p_hat,w)*{fade},near) END::DOUBLE AS p FROM g),
+n AS (SELECT *, {', '.join(f'CAST(floor(p*h{c}+(1-p)*CASE WHEN y<sos THEN h{c} ELSE {c} END+0.5) AS INT) AS n{c}' for c in 'rgb')} FROM p),
+q AS (SELECT *, p IS NOT NULL AND (y<fin OR (y=fin AND fin-1<22 AND coalesce(lag(greatest(nr,ng,nb)) OVER w1<greatest(r,g,b) AND lead(greatest(r,g,b)) OVER w1<greatest(r,g,b), false))) AS takes FROM n WINDOW w1 AS ({YW}))
+SELECT image_id, x, y, {', '.join(f'CASE WHEN takes THEN n{c} ELSE {c} END AS {c}' for c in 'rgb')}, CASE WHEN takes THEN 65535 ELSE a END AS a, CASE WHEN takes THEN round(p, 6) END AS p FROM q"""
+
+
+@query(_replace(MODEL, False))
 def replace_sky(s):
     return rounded(fill.replace_sky(s.predicted, s.col), 6, "p")
 
 
+@query(_replace(SUNNY, True))
+def replace_sky_with_sun(s):
+    images, models = _sunny(s)
+    col = s.col.withColumn("nonsky_mask", F.expr("CASE WHEN x BETWEEN 0 AND 3 THEN 1 ELSE 0 END"))
+    return rounded(fill.replace_sky(fill.predict_sky(s.px, models, light="sun"), col, suns=images, factors=(0.0, 0.9, 1.1), fade=True), 6, "p")
+
+
 @query(f"{MODEL}, {S.PROB} SELECT image_id, x, y, {', '.join(f'CAST(floor(prob_sky*65535) AS INT) AS {c}' for c in 'rgb')} FROM prob")
 def probability_map(s):
     return fill.diagnostic_maps(s.predicted, s.col, "probability")
