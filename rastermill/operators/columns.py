@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import model
 from ..functions.color import TRANSPARENT, is_black, is_nonblack, luma709, rgb_to_hsv
 
 
@@ -207,6 +208,30 @@ def box_smooth(px: DataFrame, dx: int = 4, dy: int = 6) -> DataFrame:
     return d.withColumns({f"{c}_box": F.sum(f"{c}_1").over(down) / F.sum("n_1").over(down) for c in "rgb"}).drop("r_1", "g_1", "b_1", "n_1")
 
 
+def box_filter(px: DataFrame, col: DataFrame, dx: int = 4, dy: int = 6, passes: int = 2, depth: float = 1.0, extra: int = 0, factor: float = 1.0, exponent: float = 1.0) -> DataFrame:
+    """px with the filled sky smoothed: above the last row of a column's fill, pixels are pulled by the feather from the raw
+    start to the mean of the box around, once a pass, rounded. Of the box, the unmasked columns count, in the rows down to the
+    own column's last one, which stands the feather's length below the start of sky (not above the raw start, not below the
+    image). Masked columns stay. col: raw_sos, sos, eos, column_mask.
+
+    Sums along rows, then down the own column, so no neighbour is joined and the box ends where the column's fill does.
+    """
+    d = px.join(col.select("image_id", "x", "raw_sos", "sos", "eos", "column_mask"), ["image_id", "x"])
+    d = d.withColumn("n", model.feather_length(F.col("sos"), F.col("eos"), depth, extra, from_row=F.col("raw_sos")))
+    low = F.max("y").over(Window.partitionBy("image_id", "x"))
+    d = d.withColumn("last", F.least(F.greatest(F.col("sos") + F.col("n"), "raw_sos"), low))
+    counts, inside = F.col("column_mask") == 0, F.col("y") <= F.col("last")
+    across, down = by_row().rangeBetween(-dx, dx), by_y().rangeBetween(-dy, dy)
+    for _ in range(passes):
+        d = d.withColumns({f"{c}_1": F.sum(F.when(counts, F.col(c))).over(across) for c in "rgb"} | {"n_1": F.count_if(counts).over(across)})
+        n = F.sum(F.when(inside, F.col("n_1"))).over(down)
+        d = d.withColumns({f"{c}_1": F.floor(F.sum(F.when(inside, F.col(f"{c}_1"))).over(down) / F.nullif(n, F.lit(0)) + 0.5) for c in "rgb"})
+        d = d.withColumn("w", model.raw_feather_weight(F.col("y"), F.col("raw_sos"), F.col("n"), F.col("b"), factor, exponent))
+        new = {c: F.floor(F.col("w") * F.col(f"{c}_1") + (1 - F.col("w")) * F.col(c) + 0.5).cast("int") for c in "rgb"}
+        d = d.withColumns({c: F.when(counts & (F.col("y") < F.col("last")), v).otherwise(F.col(c)) for c, v in new.items()})
+    return d.select(*px.columns)
+
+
 def row_extents(col: DataFrame, flag: int) -> DataFrame:
     """(image_id, y0, y1): the rows that even_out_rows() works on; one row for each image."""
     first = F.min("sos") if flag == 2 else F.lit(0)
@@ -282,21 +307,29 @@ def clear_black_edges(px: DataFrame, col: DataFrame) -> DataFrame:
     """px with black pixels at the edges of the sky transparent, masked columns left as they are.
 
     Up from the raw start, black pixels are cleared until more than 10 others in a row have been passed. Then, in the rows
-    from the highest to the lowest start, black pixels beside a transparent one are cleared; that test reads the pixels
-    as the first step left them.
+    from the highest to the lowest start, runs of black pixels right of a transparent one are cleared whole, from left to
+    right until 10 columns have nothing to clear after one that had; and runs left of a transparent one from right to left.
+    Masked columns end a run. Each of the three steps reads the pixels as the one before left them.
     """
     d = px.join(col.select("image_id", "x", "raw_sos", "column_mask"), ["image_id", "x"])
-    d = d.join(col.groupBy("image_id").agg(F.min("sos").alias("low"), F.max("sos").alias("high")), "image_id")
+    d = d.join(F.broadcast(col.groupBy("image_id").agg(F.min("sos").alias("low"), F.max("sos").alias("high"))), "image_id")
     black, up = is_black() & (F.col("a") >= TRANSPARENT), Window.partitionBy("image_id", "x").orderBy(F.desc("y"))
     above = (F.col("y") < F.col("raw_sos")) & (F.col("y") > 0) & (F.col("column_mask") == 0)
     d = d.withColumns({"black": black, "above": above}).withColumn("good", (F.col("above") & ~F.col("black")).cast("int"))
     d = d.withColumn("passed", F.sum("good").over(up.rowsBetween(-11, 0)))
     ended = F.max("passed").over(up.rowsBetween(Window.unboundedPreceding, 0)) >= 12
-    d = d.withColumn("a1", F.when(F.col("above") & F.col("black") & ~ended, 0).otherwise(F.col("a")))
-    beside = F.least(F.lag("a1").over(by_row()), F.lead("a1").over(by_row())) < TRANSPARENT
-    edge = F.col("y").between(F.col("low"), F.col("high")) & (F.col("column_mask") == 0) & F.col("black") & F.coalesce(beside, F.lit(False))
-    d = d.withColumn("a", F.when(edge, 0).otherwise(F.col("a1")))
-    return d.select(*px.columns)
+    d = d.withColumn("a", F.when(F.col("above") & F.col("black") & ~ended, 0).otherwise(F.col("a")))
+    band = d.filter("y BETWEEN low AND high")
+    for side in (F.col("x"), F.desc("x")):
+        before = Window.partitionBy("image_id", "y").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
+        upto = before.rowsBetween(Window.unboundedPreceding, 0)
+        band = band.withColumn("run", F.col("black") & (F.col("a") >= TRANSPARENT) & (F.col("column_mask") == 0))
+        beside = F.last(F.when(~F.col("run"), F.col("a") < TRANSPARENT), True).over(before)
+        band = band.withColumn("hit", F.when(F.col("run") & F.coalesce(beside, F.lit(False)), F.col("x")))
+        gap = F.abs(F.col("hit") - F.last("hit", True).over(before)) >= 10
+        band = band.withColumn("gap", F.coalesce(gap, F.lit(False)))
+        band = band.withColumn("a", F.when(F.col("hit").isNotNull() & ~F.max("gap").over(upto), 0).otherwise(F.col("a")))
+    return band.select(*px.columns).unionByName(d.filter("y NOT BETWEEN low AND high").select(*px.columns))
 
 
 def edge_suspects(px: DataFrame, reach: int = 2) -> DataFrame:

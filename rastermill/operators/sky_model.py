@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..functions.model import COSINE_SCALE
 from ..sources.store import saved
-from . import columns, fill, fits, masks as masking, sampling
+from . import columns, fits
 
 #: Sections across the image, and the weight of an outlier's error.
 SECTIONS, OUTLIER = 4, 0.001
@@ -246,44 +246,3 @@ def adaptive_end(px: DataFrame, col: DataFrame, height: int, alpha: float = 0.95
 
     end = F.aggregate("rows", state(F.lit(None).cast("int"), F.lit(s_tol), F.lit(v_tol)), step)["end"]
     return d.select("image_id", "x", F.coalesce(end, F.lit(height - 1)).cast("int").alias("eos"))
-
-
-def run_fill(px: DataFrame, images: DataFrame, masks: DataFrame, width: int, height: int, depth: float = 0.5, samples: int = 1000, seed: int | None = None) -> DataFrame:
-    """image_id, x, y, r, g, b, a of images (image_id, width, height, fov) with the sky above and in the start of their sky
-    filled: the whole job with its default steps.
-
-    Suspect edges and black borders become transparent, the regression detector finds the end of the sky, samples give the
-    model, corrected predictions are blended in, masked columns (kind `column`) are interpolated and peaks at the end of the
-    sky taken down; with a seed the result is dithered. Images whose sky has too few samples for a model keep the pixels of
-    the first steps. Between steps, tables are written in the shared folder, so no step is computed twice.
-    """
-    names = ["image_id", "x", "y", "r", "g", "b", "a"]
-    flagged = lambda d: masking.expand_column_masks(d, masks) if "column_mask" not in d.columns else d
-
-    def sky(px):
-        col = columns.dilate_start(flagged(columns.start_of_sky(px, masks, height)), width)
-        if "column_mask" not in col.columns:
-            col = col.withColumn("column_mask", F.lit(0))
-        col = saved(col.fillna(0, ["column_mask"]), "starts")
-        masked = F.col("column_mask") == 1
-        ends = fits.end_of_sky_regression(px, col, height).join(col.select("image_id", "x", "column_mask"), ["image_id", "x"])
-        ends = ends.select("image_id", "x", F.when(masked, 0).otherwise(F.col("eos")).alias("eos"))
-        ends = columns.find_end_of_sky(ends, col, width, height).select("image_id", "x", "eos")
-        return saved(col.drop("eos").join(ends, ["image_id", "x"]).withColumn("manual_eos", F.lit(None).cast("int")), "columns")
-
-    clean = saved(columns.edge_suspects(px.select(*names)), "pixels")
-    clean = saved(columns.clear_black_edges(clean, sky(clean)).select(*names), "pixels")
-    col = sky(clean)
-    unmasked = col.filter("column_mask = 0")
-    points = sampling.sample_sky(clean, unmasked, sampling.sample_grid_spec(unmasked, width, height, samples))
-    points = saved(sampling.with_hsv(geometry.with_relative_xy(points, images)), "samples")
-    points = saved(sampling.flag_outliers(sampling.close_neighbors(points)), "samples")
-    models = saved(fit_sky_model(points, images), "models")
-    predicted = saved(fill.predict_sky(clean, models, width, height), "predicted")
-    filled = fill.fill_sky_columns(predicted, col, height, depth).select(*names)
-    filled = saved(filled.unionByName(clean.join(models.select("image_id"), "image_id", "left_anti").select(*names)), "filled")
-    between = columns.interpolate_masked_columns(filled, col, masks).select(*names[:3], F.struct(*names[3:]).alias("new"))
-    filled = filled.join(between, names[:3], "left").select(*names[:3], *[F.coalesce(f"new.{c}", c).alias(c) for c in names[3:]])
-    trimmed = columns.trim_halo(filled, unmasked).filter("trimmed").select(*names[:3], F.struct(*names[3:6]).alias("new"))
-    filled = filled.join(trimmed, names[:3], "left").select(*names[:3], *[F.coalesce(f"new.{c}", c).alias(c) for c in names[3:6]], "a")
-    return filled if seed is None else fill.dither(filled, seed)

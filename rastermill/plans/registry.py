@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, geometry, model
-from ..operators import columns, fill, fits, local_fit, masks, overlays, repairs, sampling, sky_model
+from ..operators import columns, fill, fits, local_fit, masks, overlays, repairs, sampling, sky_model, whole_fill
 from ..sources import rasters
 from ..sources.store import saved
 from . import sql as S
@@ -273,6 +273,23 @@ def box_smooth(s):
     return rounded(d, 3, "r_box", "g_box", "b_box")
 
 
+def _box_pass(d: str, out: str) -> str:
+    """SQL of one pass of the box filter, from table d to table out."""
+    w = "CASE WHEN p.y<=p.raw_sos THEN 1.0 WHEN p.y>p.raw_sos+p.n THEN 0.0 WHEN p.b<0.04*65535 THEN 1.0 ELSE coalesce(greatest(0,least(1,1-(p.y-p.raw_sos)/nullif(p.n,0)::DOUBLE)),0) END"
+    mean = ", ".join(f"floor(avg(q.{c})+0.5) AS {c}1" for c in "rgb")
+    boxes = f"""SELECT p.image_id, p.x, p.y, {mean} FROM {d} p JOIN {d} q ON p.image_id=q.image_id AND q.x BETWEEN p.x-4 AND p.x+4 AND q.y BETWEEN p.y-6 AND p.y+6 AND q.y<=p.last AND q.column_mask=0
+  WHERE p.column_mask=0 AND p.y<p.last GROUP BY 1, 2, 3"""
+    new = ", ".join(f"CASE WHEN r1 IS NULL THEN p.{c} ELSE CAST(floor({w}*{c}1+(1-{w})*p.{c}+0.5) AS INT) END AS {c}" for c in "rgb")
+    return f"{out}b AS ({boxes}), {out} AS (SELECT p.image_id, p.x, p.y, {new}, p.a, p.raw_sos, p.n, p.last, p.column_mask FROM {d} p LEFT JOIN {out}b USING (image_id, x, y))"
+
+
+@query(f"""{BASE}, f AS (SELECT px.*, raw_sos, column_mask, CAST(least(raw_sos+eos-sos,eos)-raw_sos AS INT) AS n, least(greatest(sos+least(raw_sos+eos-sos,eos)-raw_sos,raw_sos),24) AS last FROM px JOIN (SELECT * REPLACE (sos+x%3 AS sos) FROM col) USING (image_id, x)),
+{_box_pass('f', 'g')}, {_box_pass('g', 'h')} SELECT image_id, x, y, r, g, b, a FROM h""")
+def box_filter(s):
+    """Two passes, with starts of sky below the raw ones."""
+    return columns.box_filter(s.px, s.col.withColumn("sos", F.col("sos") + F.col("x") % 3))
+
+
 def _rows(flag: int) -> str:
     low, high = "min(sos)" if flag == 2 else "0", "max(sos)" if flag == 1 else "max(eos)"
     return f"""{BASE}, ext AS (SELECT image_id, {low} AS y0, {high} AS y1 FROM col GROUP BY 1), d AS (SELECT px.*, sos, eos, y0, y1 FROM px JOIN col USING (image_id, x) JOIN ext USING (image_id)),
@@ -315,14 +332,23 @@ def interpolate_masked_columns(s):
     return columns.interpolate_masked_columns(s.px, s.col, s.masks)
 
 
+def _side(d: str, p: str, order: str) -> str:
+    """SQL of the runs of black pixels that are cleared from one side, from table d to {p}3."""
+    w = f"PARTITION BY image_id, y ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    hit = f"CASE WHEN run AND coalesce(last_value(CASE WHEN NOT run THEN a<16384 END IGNORE NULLS) OVER ({w} 1 PRECEDING), false) THEN x END"
+    return f"""{p}1 AS (SELECT *, black AND a>=16384 AND column_mask=0 AND y BETWEEN low AND high AS run FROM {d}), {p}2 AS (SELECT *, {hit} AS hit FROM {p}1),
+{p}2b AS (SELECT *, coalesce(abs(hit-last_value(hit IGNORE NULLS) OVER ({w} 1 PRECEDING))>=10, false) AS gap FROM {p}2),
+{p}3 AS (SELECT * EXCLUDE (run, hit, gap) REPLACE (CASE WHEN y BETWEEN low AND high AND hit IS NOT NULL AND NOT max(gap) OVER ({w} CURRENT ROW) THEN 0 ELSE a END AS a) FROM {p}2b)"""
+
+
 _BLACK_AT = "(x*3+y)%17=0 OR (x%8=2 AND y IN (3, 4))"
 
 
 @query(f"""{BASE}, p AS (SELECT image_id, x, y, CASE WHEN {_BLACK_AT} THEN 900 ELSE r END AS r, CASE WHEN {_BLACK_AT} THEN 900 ELSE g END AS g, CASE WHEN {_BLACK_AT} THEN 900 ELSE b END AS b, CASE WHEN {_BLACK_AT} THEN 65535 ELSE a END AS a FROM px),
 d AS (SELECT p.*, column_mask, greatest(r,g,b)<=3840 AND a>=16384 AS black, y<20 AND y>0 AND column_mask=0 AS above, min(sos) OVER (PARTITION BY image_id) AS low, max(sos) OVER (PARTITION BY image_id) AS high FROM p JOIN col USING (image_id, x)),
 q AS (SELECT *, sum(CASE WHEN above AND NOT black THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, x ORDER BY y DESC ROWS 11 PRECEDING) AS passed FROM d),
-e AS (SELECT *, CASE WHEN above AND black AND max(passed) OVER (PARTITION BY image_id, x ORDER BY y DESC ROWS UNBOUNDED PRECEDING)<12 THEN 0 ELSE a END AS a1 FROM q)
-SELECT image_id, x, y, CASE WHEN y BETWEEN low AND high AND column_mask=0 AND black AND coalesce(least(lag(a1) OVER w, lead(a1) OVER w)<16384, false) THEN 0 ELSE a1 END AS a FROM e WINDOW w AS ({RW})""")
+e AS (SELECT * REPLACE (CASE WHEN above AND black AND max(passed) OVER (PARTITION BY image_id, x ORDER BY y DESC ROWS UNBOUNDED PRECEDING)<12 THEN 0 ELSE a END AS a) FROM q),
+{_side('e', 'l', 'x')}, {_side('l3', 'r', 'x DESC')} SELECT image_id, x, y, a FROM r3""")
 def clear_black_edges(s):
     planted = s.px.withColumns({c: F.expr(f"CASE WHEN {_BLACK_AT} THEN {v} ELSE {c} END") for c, v in (("r", 900), ("g", 900), ("b", 900), ("a", 65535))})
     return columns.clear_black_edges(planted, s.col.withColumn("raw_sos", F.lit(20))).select("image_id", "x", "y", "a")
@@ -991,4 +1017,12 @@ def adaptive_end(s):
 @query(None)
 def run_fill(s):
     """The whole job on every image."""
-    return sky_model.run_fill(s.px, _cameras(s), s.masks, W, H, samples=400)
+    return whole_fill.run_fill(s.px, _cameras(s), s.masks, whole_fill.FillOptions(samples=400))
+
+
+@query(None)
+def run_replacement(s):
+    """The whole job on every image, with a sun, all filters and dither, the sky replaced."""
+    cameras = s.sized.withColumns({"fov": F.lit(S.FOV), "sun_px": F.lit(SUN_PX), "sun_py": F.lit(SUN_PY), "cc": F.lit(SUN_C), "cd": F.lit(SUN_D), "cf": F.lit(SUN_F), "cg": F.lit(SUN_G), "sun_lum": F.lit(SUN_LUM), "sat_depth": F.lit(SAT_DEPTH)})
+    options = whole_fill.FillOptions(samples=400, replace=True, fade=True, light="sun", uniform=1, transparent=True, smooth_rows=True, box=True, seed=3)
+    return whole_fill.run_fill(s.px, cameras, s.masks, options)

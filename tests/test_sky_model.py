@@ -99,27 +99,3 @@ def test_adaptive_end(spark):
             s_tol *= max(ds / s_tol, 0.95) if ds < s_tol else 1
             v_tol *= max(dv / v_tol, 0.95) if dv < v_tol else 1
         assert got[x] == end
-
-
-def test_run_fill(spark):
-    h, w = 60, 40
-    y, x = np.mgrid[0:h, 0:w]
-    v = np.stack([9000 + 300 * y + 20 * x, 22000 + 250 * y + 15 * x, 46000 + 150 * y + 10 * x], axis=-1)
-    v[45:] = np.random.default_rng(1).integers(2000, 20000, (15, w, 3))
-    a = np.full((h, w), 65535)
-    v[:8, :], a[:8, :] = 0, 0
-    truth = 46000 + 150 * y + 10 * x
-    images = spark.createDataFrame([(0, w, h, 90.0), (1, w, h, 90.0)], "image_id int, width int, height int, fov double")
-    masks = spark.createDataFrame([(0, "column", 10, 12)], "image_id int, kind string, l int, r int")
-    black = pixels(spark, np.zeros((h, w, 3), int), image=1)
-    got = sky_model.run_fill(pixels(spark, v, a).union(black), images, masks, w, h, samples=400, seed=5).toPandas()
-    assert len(got) == 2 * h * w and not got.duplicated(["image_id", "x", "y"]).any()
-    one = got[got.image_id == 0].set_index(["y", "x"]).sort_index()
-    top = one.loc[0:6]
-    outside = ~top.index.get_level_values("x").isin([10, 11, 12])
-    assert (top.a[outside] == 65535).all()
-    want = np.array([truth[i] for i in top.index])
-    assert (np.abs(top.b.to_numpy() - want)[outside] < 6000).all()
-    ground = one.loc[52:]
-    assert np.abs(ground.b.to_numpy() - np.array([v[i][2] for i in ground.index])).max() <= 600
-    assert (got[got.image_id == 1][["r", "g", "b"]] < 600).all().all()
