@@ -149,17 +149,46 @@ def t_profile(px: DataFrame) -> DataFrame:
     return px.withColumn("p", p / 3)
 
 
-def ar_end(px: DataFrame) -> DataFrame:
-    """Adds err: the error of each row's smoothed grey (3 columns) against a forecast from the two rows before, fitted
-    over the 25 rows before."""
-    d = px.withColumn("g3", F.avg((F.col("r") + F.col("g") + F.col("b")) / 3.0).over(by_row().rowsBetween(-1, 1)))
-    d = d.withColumns({"l1": F.lag("g3").over(by_y()), "l2": F.lag("g3", 2).over(by_y())})
-    w = by_y().rowsBetween(-25, -1)
-    s = lambda a, b: F.sum(F.when(F.col("l2").isNotNull(), F.col(a) * F.col(b))).over(w)
-    a, b, c, u, v = s("l1", "l1"), s("l1", "l2"), s("l2", "l2"), s("l1", "g3"), s("l2", "g3")
-    d = d.withColumns({"a_": a, "b_": b, "c_": c, "u_": u, "v_": v})
-    det = F.nullif(F.expr("a_ * c_ - b_ * b_"), F.lit(0.0))
-    return d.withColumn("err", F.col("g3") - (F.expr("c_ * u_ - b_ * v_") * F.col("l1") + F.expr("a_ * v_ - b_ * u_") * F.col("l2")) / det).drop("a_", "b_", "c_", "u_", "v_")
+def ar_forecasts(px: DataFrame, col: DataFrame, height: int, window: int = 20) -> DataFrame:
+    """(image_id, x, y, n, err2, mse): how badly each row's mean colour is forecast from those one and one and a half windows
+    above it.
+
+    Colours (0..1) are means of the column and its neighbours over the window around the row. They are regressed on the two
+    above, channel by channel and without an intercept, over the 5 * window rows before; err2 and mse are means over the
+    channels, mse grows by (4 / n)^10 while the n rows fitted are fewer than 4. Rows start where the upper of the two lies
+    half a window below the raw start. Windows of bounded width only; three equations of two unknowns by closed form.
+    """
+    half = window // 2
+    near, span = by_row().rangeBetween(-1, 1), by_y().rangeBetween(-half, half - 1)
+    d = px.join(col.select("image_id", "x", "raw_sos"), ["image_id", "x"]).withColumn("_n", F.count("*").over(near))
+    d = d.withColumns({f"_{c}": F.sum(F.col(c) / 65535.0).over(near) for c in "rgb"})
+    d = d.withColumns({f"_{c}": F.sum(f"_{c}").over(span) / F.sum("_n").over(span) for c in "rgb"})
+    d = d.filter((F.col("y") >= F.col("raw_sos") + half) & (F.col("y") < height - 1 - window))
+    use = F.col("y") >= F.col("raw_sos") + half + window + half
+    back = by_y().rangeBetween(-5 * window, -1)
+    d = d.withColumn("n", F.count_if(use).over(back))
+    err2, mse = F.lit(0.0), F.lit(0.0)
+    for c in "rgb":
+        lag = lambda k: F.lag(f"_{c}", k).over(by_y())  # noqa: B023, E731
+        d = d.withColumns({"_u": F.when(use, lag(window + half)), "_v": F.when(use, lag(window)), "_s": F.when(use, F.col(f"_{c}"))})
+        d = d.withColumns({f"{i}{j}": F.sum(F.col(f"_{i}") * F.col(f"_{j}")).over(back) for i, j in ("uu", "uv", "vv", "us", "vs", "ss")})
+        det = F.nullif(F.expr("uu * vv - uv * uv"), F.lit(0.0))
+        d = d.withColumns({"b0": F.expr("vv * us - uv * vs") / det, "b1": F.expr("uu * vs - uv * us") / det})
+        d = d.withColumns({f"e{c}": F.pow(F.expr("b0 * _u + b1 * _v - _s"), F.lit(2.0)), f"m{c}": F.expr("(ss - b0 * us - b1 * vs) / n")})
+        err2, mse = err2 + F.col(f"e{c}") / 3, mse + F.col(f"m{c}") / 3
+    few = F.when(F.col("n") < 4, F.pow(4.0 / F.nullif("n", F.lit(0)), F.lit(10.0))).otherwise(1.0)
+    return d.filter(use).select("image_id", "x", "y", "n", err2.alias("err2"), (mse * few).alias("mse"))
+
+
+def ar_end(px: DataFrame, col: DataFrame, height: int, window: int = 20, alpha: float = 0.02, beta: float = 10.0) -> DataFrame:
+    """(image_id, x, found, eos): the first row whose colour breaks with ar_forecasts(): its squared error is over beta times the
+    mean square of the fit (of three rows at least) and over alpha^2. The end is a window above it, or above the old end
+    where no row breaks, and 20 rows below the raw start at least."""
+    d = ar_forecasts(px, col, height, window)
+    breaks = (F.col("n") > 2) & (F.col("err2") > beta * F.col("mse")) & (F.col("err2") > alpha * alpha)
+    first = d.groupBy("image_id", "x").agg(F.min(F.when(breaks, F.col("y"))).alias("found"))
+    d = col.select("image_id", "x", "raw_sos", "eos").join(first, ["image_id", "x"], "left")
+    return d.select("image_id", "x", "found", F.greatest(F.coalesce("found", "eos") - window, F.col("raw_sos") + 20).cast("int").alias("eos"))
 
 
 def emboss_rows(px: DataFrame) -> DataFrame:

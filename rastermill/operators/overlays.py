@@ -4,42 +4,88 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.color import hsv_to_rgb
+from ..functions.model import clamp01
 
-def _boxed(px: DataFrame, elements: DataFrame, reach: str) -> DataFrame:
-    """Elements copied to the columns they touch and joined by (image, column); rows outside the box fall away."""
-    e = elements.withColumns({"ex": F.col("x"), "ey": F.col("y"), "reach": F.expr(reach)}).drop("x", "y")
-    e = e.withColumn("x", F.explode(F.expr("sequence(CAST(floor(ex - reach) AS INT), CAST(ceil(ex + reach) AS INT))")))
-    return px.select("image_id", "x", "y").join(e, ["image_id", "x"]).filter("abs(y - ey) <= reach")
+
+#: The brightest channel that drawn light gives.
+BRIGHTEST = 65534
+
+
+def _boxed(px: DataFrame, elements: DataFrame) -> DataFrame:
+    """Elements (ex, ey, reach) copied to the columns they touch and joined by (image, column); rows outside the box fall away."""
+    e = elements.withColumn("x", F.explode(F.expr("sequence(CAST(floor(ex - reach) AS INT), CAST(floor(ex + reach) AS INT))")))
+    return px.select("image_id", "x", "y").join(e, ["image_id", "x"]).filter("y BETWEEN floor(ey - reach) AND floor(ey + reach)")
+
+
+def ghost_light(channel: str, offset: int) -> Column:
+    """What a ghost adds to a channel of a pixel (0..1, null outside): columns of the ghost, its place ex, ey, the sun's.
+
+    The channel's centre stands `offset` times max_ca thousandths farther from the sun than the ghost's. The pixel's distance
+    to the rim is a blend of that to the nearest of the n_leaves half planes that bound the shape and that to a circle. With
+    r = 1 - distance / radius, light is c + exp(-(b - r) e) (1 - c) up to r = b and falls to 0 at the rim from there; without
+    b it is (1 - r)^e. Within one pixel of the rim it fades.
+    """
+    away = lambda at, sun: at + offset * F.col("max_ca") * (at - sun) / 1000
+    u, v = F.col("x") - away(F.col("ex"), F.col("sun_x")), F.col("y") - away(F.col("ey"), F.col("sun_y"))
+    turn = lambda leaf: 2 * math.pi * leaf / F.col("n_leaves")
+    leaves = F.sequence(F.lit(0), (F.col("n_leaves") - 1).cast("int"))
+    flat = F.col("radius") - F.array_max(F.transform(leaves, lambda k: F.cos(turn(k)) * u + F.sin(turn(k)) * v))
+    d = F.col("pcircle") * (F.col("radius") - F.sqrt(u * u + v * v)) + (1 - F.col("pcircle")) * flat
+    r = 1 - d / F.col("radius")
+    b, c, e = F.col("b"), F.col("c"), F.col("e")
+    profile = F.when(b <= 0, F.pow(F.greatest(1 - r, F.lit(0.0)), e)).when(r < b, c + F.exp(-(b - r) * e) * (1 - c)).otherwise(1 - (r - b) / F.nullif(1 - b, F.lit(0.0)))
+    return F.when((flat > 0) & (d > 0) & r.between(0, 1), F.col(f"i_{channel}") * F.least(d, F.lit(1.0)) * profile)
 
 
 def overlay_ghosts(px: DataFrame, ghosts: DataFrame) -> DataFrame:
-    """Adds each ghost's colour inside its shape: a regular polygon of n_leaves sides blended with a circle by pcircle; the
-    profile rises with the cube root of the distance from the rim. Channels clamp at 65535."""
-    d = _boxed(px, ghosts, "radius * 1.0")
-    d = d.withColumns({"dist": F.expr("sqrt(pow(x - ex, 2) + pow(y - ey, 2))"), "turn": F.expr("atan2(y - ey, x - ex)")})
-    sector = 2 * math.pi / F.col("n_leaves")
-    polygon = F.cos(sector / 2) / F.cos(F.pmod(F.col("turn"), sector) - sector / 2)
-    rim = F.col("radius") * (F.col("pcircle") + (1 - F.col("pcircle")) * polygon)
-    light = F.when(F.col("dist") <= rim, F.cbrt(F.greatest(F.lit(0.0), 1 - F.col("dist") / rim)))
-    sums = d.withColumn("light", light).filter("light IS NOT NULL").groupBy("image_id", "x", "y").agg(*[F.sum(F.col("light") * F.col(f"i_{c}")).alias(f"add_{c}") for c in "rgb"])
+    """px with the light of ghosts: image_id, x, y, radius, i_r, i_g, i_b, e, b, c, max_ca, n_leaves (3 or more; others draw nothing),
+    pcircle, and sun_x, sun_y, the sun's pixel.
+
+    Light of several ghosts adds up in each channel (the cube that a ghost's light is raised to has its root taken again
+    before the next ghost). An element meets only the pixels of its box, by an equi-join on image and column.
+    """
+    g = ghosts.filter("n_leaves > 2").withColumns({"ex": F.col("x"), "ey": F.col("y"), "reach": F.col("radius") * math.sqrt(2) + 1 + F.col("max_ca")}).drop("x", "y")
+    d = _boxed(px, g)
+    sums = d.groupBy("image_id", "x", "y").agg(*[(F.sum(ghost_light(c, k)) * 65535).alias(f"add_{c}") for c, k in zip("rgb", (1, 0, -1))])
     return _added(px, sums)
 
 
-def overlay_rays(px: DataFrame, rays: DataFrame) -> DataFrame:
-    """Adds rays that start at (x, y) in direction (a, b): light falls with the distance to the line and along it."""
-    d = _boxed(px, rays, "radius * 1.0")
-    d = d.withColumns({"along": F.expr("(x - ex) * a + (y - ey) * b"), "off": F.expr("abs((x - ex) * b - (y - ey) * a)")}).filter("along >= 0 AND along <= radius AND off <= width")
-    light = F.col("intensity") * (1 - F.col("off") / F.col("width")) * F.pow(1 - F.col("along") / F.col("radius"), F.col("falloff"))
-    sums = d.groupBy("image_id", "x", "y").agg(*[F.sum(light).alias(f"add_{c}") for c in "rgb"])
+def overlay_rays(px: DataFrame, rays: DataFrame, saturation: float = 1.0) -> DataFrame:
+    """px with rays: image_id, sun_x, sun_y (the sun's pixel, whole numbers), ra, rb (unit normal of the ray's line: the ray
+    goes in direction (rb, -ra)), radius, width, intensity, hue_start, falloff_a, falloff_b, grp.
+
+    A ray has pixels on its side of the sun. Along it (pr: 0 at the sun, 1 at its end, which is half as far upwards as
+    downwards) its light falls by exp(-6 pr), its half width grows to four times that at the sun and ends round, its
+    saturation rises (times `saturation`), and its hue turns once (twice in groups of even number). Across it light falls by a
+    logistic of falloff_a and falloff_b. Colours of all rays add up.
+    """
+    e = rays.withColumns({"ex": F.col("sun_x"), "ey": F.col("sun_y"), "reach": F.col("radius") + F.col("width")})
+    d = _boxed(px, e).withColumns({"rx": F.col("x") - F.col("ex"), "ry": F.col("y") - F.col("ey")})
+    d = d.withColumns({"off": F.expr("ra * rx + rb * ry"), "long": F.expr("radius * ((1 - ra) / 4 + 0.5)")})
+    d = d.withColumn("along", F.sqrt(F.greatest(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry") - F.col("off") * F.col("off"), F.lit(0.0))))
+    d = d.withColumn("pr", F.col("along") / F.col("long")).filter("rb * rx - ra * ry >= 0 AND pr <= 1")
+    half, left = (0.25 + 0.75 * F.col("pr")) * F.col("width"), F.col("long") - F.col("along")
+    d = d.withColumn("half", F.when(left <= half, half * F.sqrt(1 - F.pow(1 - left / half, F.lit(2.0)))).otherwise(half))
+    d = d.withColumn("in", F.col("half") - F.abs("off")).filter("in > 0")
+    across = 1 / (1 + F.exp((1 - F.col("in") / F.col("half") - F.col("falloff_a")) * F.col("falloff_b")))
+    hue = F.col("hue_start") + F.when(F.col("grp") % 2 == 1, 360).otherwise(720) * F.col("pr")
+    for _ in range(2):
+        hue = F.when(hue >= 360, hue - 360).otherwise(hue)
+    s = clamp01(saturation / (1 + F.exp(-(F.col("pr") - 0.4) * 10)))
+    color = hsv_to_rgb(hue, s, F.col("intensity") * F.exp(-6 * F.col("pr")) * F.least(F.col("in"), F.lit(1.0)) * across)
+    sums = d.withColumn("light", color).groupBy("image_id", "x", "y").agg(*[F.sum(f"light.{c}").cast("double").alias(f"add_{c}") for c in "rgb"])
     return _added(px, sums)
 
 
 def _added(px: DataFrame, sums: DataFrame) -> DataFrame:
-    d = px.join(sums, ["image_id", "x", "y"], "left")
-    return d.select("image_id", "x", "y", *[F.least(F.lit(65535), F.floor(F.col(c) + F.coalesce(f"add_{c}", F.lit(0.0)))).cast("int").alias(c) for c in "rgb"], "a")
+    """px and the light of sums (add_r, add_g, add_b); pixels without a row there stay, others end at BRIGHTEST."""
+    d = px.join(sums.withColumn("lit", F.lit(True)), ["image_id", "x", "y"], "left")
+    new = lambda c: F.least(F.lit(BRIGHTEST), F.floor(F.col(c) + F.coalesce(f"add_{c}", F.lit(0.0)))).cast("int")
+    return d.select("image_id", "x", "y", *[F.when(F.col("lit") & F.coalesce("add_r", "add_g", "add_b").isNotNull(), new(c)).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
 
 
 def audit_marks(col: DataFrame, smp: DataFrame, rects: DataFrame, width: int, height: int, depth: float = 0.5) -> DataFrame:

@@ -168,22 +168,52 @@ def fit_sky_model(smp: DataFrame, images: DataFrame) -> DataFrame:
     return d.select("image_id", "h_coefs", "s_coefs", "v_coefs", "knots", "horizon_py", F.lit(0.0).alias("curvature"), "slope", F.col("fov").cast("double").alias("fov"), "sse")
 
 
-def fit_sky_luminance(smp: DataFrame, images: DataFrame) -> DataFrame:
+def level_py(px, py, curvature: float, slope: float):
+    """adjust_horizon() on arrays."""
+    f = 1 - (1 - abs(curvature)) ** 2
+    bow = 1 - np.sqrt(np.maximum(1 - 4 * f * px * px, 0))
+    return py - math.copysign(1, curvature) * bow + slope * px
+
+
+def angle_to_sun(px, py, sun_px: float, sun_py: float, fov_x: float, aspect: float, sphere: bool):
+    """Angles between places and the sun, 0 within its disc: between the directions of view (view_angles()) on the sphere, else as
+    distances in the picture. aspect: height / width."""
+
+    def view(x, y):
+        l = (np.asarray(y, float) - 0.5) * 2 * math.sin(fov_x * aspect / 2)  # noqa: E741
+        up = np.where(l > 1, math.pi - np.arcsin(np.clip(2 - l, -1, 1)), np.arcsin(np.clip(l, -1, 1)))
+        along = -np.asarray(x, float) * fov_x
+        return np.stack([np.sin(along) * np.cos(up), np.sin(up), np.cos(along) * np.cos(up)])
+
+    if sphere:
+        gamma = np.arccos(np.clip((view(px, py) * view(sun_px, sun_py)[:, None]).sum(axis=0), -1, 1))
+    else:
+        gamma = np.hypot((px - sun_px) * fov_x, (py - sun_py) * fov_x * aspect)
+    return np.where(gamma < math.radians(0.533) / 2, 0.0, gamma)
+
+
+def fit_sky_luminance(smp: DataFrame, images: DataFrame, sphere: bool = False) -> DataFrame:
     """(image_id, ca, cb, cc, cd, ce, horizon_py, sun_px, sun_py, factor, sse): general sky luminance of cie_luminance(),
-    times the factor that gives the samples' mean value. images: image_id, width, height, fov, sun_px, sun_py; the sun may
-    move by 20 degrees and by .25 of the height. The samples of one image are one group."""
-    d = smp.select("image_id", "px", "py", "v", "is_outlier").join(images.select("image_id", F.radians("fov").alias("fx"), (F.col("height") / F.col("width")).alias("aspect"), "sun_px", "sun_py"), "image_id")
+    times the factor that gives the samples' mean value.
+
+    images: image_id, width, height, fov, sun_px, sun_py and, if the horizon is bent or tilted, curvature and slope; the sun
+    may move by 20 degrees and by .25 of the height. Angles to the sun are distances in the picture, as in cie_luminance(),
+    or on the sphere of view. The samples of one image are one group.
+    """
+    bent = [(F.col(c) if c in images.columns else F.lit(0.0)).cast("double").alias(c) for c in ("curvature", "slope")]
+    of = images.select("image_id", F.radians("fov").alias("fx"), (F.col("height") / F.col("width")).alias("aspect"), "sun_px", "sun_py", *bent)
+    d = smp.select("image_id", "px", "py", "v", "is_outlier").join(of, "image_id")
 
     def run(key, pdf):
         px, py, v = (pdf[c].to_numpy(float) for c in ("px", "py", "v"))
-        fx, aspect, sun_px, sun_py = (float(pdf[c].iloc[0]) for c in ("fx", "aspect", "sun_px", "sun_py"))
+        fx, aspect, sun_px, sun_py, curvature, slope = (float(pdf[c].iloc[0]) for c in ("fx", "aspect", "sun_px", "sun_py", "curvature", "slope"))
         w = np.where(pdf.is_outlier.to_numpy() == 0, 1.0, OUTLIER)
+        level = level_py(px, py, curvature, slope)
 
         def luminance(q):
             a, b, c, e_, e, horizon, sx, sy = q
-            gamma = np.hypot((px - sx) * fx, (py - sy) * fx * aspect)
-            gamma = np.where(gamma < math.radians(0.533) / 2, 0.0, gamma)
-            theta = np.minimum(math.pi / 2 - (py - horizon) * fx * aspect, math.pi / 2 - 0.01)
+            gamma = angle_to_sun(px, py, sx, sy, fx, aspect, sphere)
+            theta = np.minimum(math.pi / 2 - (level - horizon) * fx * aspect, math.pi / 2 - 0.01)
             light = (1 + a * np.exp(b / np.cos(theta))) * (1 + c * (np.exp(e_ * gamma) - math.exp(e_ * math.pi / 2)) + e * np.cos(gamma) ** 2)
             return light, v.sum() / light.sum() if light.sum() else 1.0
 

@@ -236,9 +236,28 @@ def t_profile(s):
     return columns.t_profile(s.px).filter("y > 1").select("image_id", "x", "y", F.round("p", 4).alias("p"))
 
 
-@query(None)
+def _ar_sql() -> str:
+    """SQL of the forecasts and ends with a window of 4 rows."""
+    near = f"({RW} RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+    span, back = f"({YW} RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING)", f"({YW} RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+    means = ", ".join(f"sum({c}1) OVER {span}/sum(n1) OVER {span} AS {c}s" for c in "rgb")
+    lags = ", ".join(f"CASE WHEN use THEN lag({c}s, 6) OVER ({YW}) END AS {c}u, CASE WHEN use THEN lag({c}s, 4) OVER ({YW}) END AS {c}v, CASE WHEN use THEN {c}s END AS {c}w" for c in "rgb")
+    sums = ", ".join(f"sum({c}{i}*{c}{j}) OVER {back} AS {c}{i}{j}" for c in "rgb" for i, j in ("uu", "uv", "vv", "uw", "vw", "ww"))
+    det = {c: f"nullif({c}uu*{c}vv-{c}uv*{c}uv,0)" for c in "rgb"}
+    b0, b1 = {c: f"({c}vv*{c}uw-{c}uv*{c}vw)/{det[c]}" for c in "rgb"}, {c: f"({c}uu*{c}vw-{c}uv*{c}uw)/{det[c]}" for c in "rgb"}
+    err2 = "+".join(f"pow({b0[c]}*{c}u+{b1[c]}*{c}v-{c}w,2)/3" for c in "rgb")
+    mse = "+".join(f"({c}ww-{b0[c]}*{c}uw-{b1[c]}*{c}vw)/n/3" for c in "rgb")
+    return f"""{BASE}, a AS (SELECT px.*, raw_sos, {', '.join(f'sum({c}/65535.0::DOUBLE) OVER {near} AS {c}1' for c in 'rgb')}, count(*) OVER {near} AS n1 FROM px JOIN col USING (image_id, x)),
+m AS (SELECT image_id, x, y, raw_sos, {means} FROM a), u AS (SELECT *, y>=raw_sos+8 AS use FROM m WHERE y>=raw_sos+2 AND y<20),
+l AS (SELECT image_id, x, y, use, {lags} FROM u), s AS (SELECT *, count(*) FILTER (WHERE use) OVER {back} AS n, {sums} FROM l),
+f AS (SELECT image_id, x, y, n, {err2} AS err2, ({mse})*CASE WHEN n<4 THEN pow(4.0/nullif(n,0),10) ELSE 1 END AS mse FROM s WHERE use),
+k AS (SELECT image_id, x, min(y) FILTER (WHERE n>2 AND err2>3*mse AND err2>0.0001) AS found FROM f GROUP BY 1, 2)
+SELECT image_id, x, found, CAST(greatest(coalesce(found, eos)-4, raw_sos+20) AS INT) AS eos FROM col LEFT JOIN k USING (image_id, x)"""
+
+
+@query(_ar_sql())
 def ar_end(s):
-    return columns.ar_end(s.px).select("image_id", "x", "y", F.round("err", 2).alias("err"))
+    return columns.ar_end(s.px, s.col, H, window=4, alpha=0.01, beta=3.0)
 
 
 @query(f"{BASE}, q AS (SELECT *, 0.2*r+0.2*g+0.6*b AS e FROM px) SELECT image_id, x, y, round(lag(e,2) OVER w+lag(e) OVER w-lead(e) OVER w-lead(e,2) OVER w+0.5, 2) AS emboss FROM q WINDOW w AS ({YW})")
@@ -392,10 +411,18 @@ def flag_outliers(s):
     return sampling.flag_outliers(sampling.close_neighbors(s.samples())).select("image_id", "x", "y", "is_outlier")
 
 
-@query(f"""{_CLOSE}, j AS (SELECT * FROM smp JOIN nb USING (image_id, x, y)) SELECT image_id, x, y, round(h, 4) AS h, round(s, 6) AS s, round(v, 6) AS v, round(r/nullif(b,0)::DOUBLE, 6) AS rb, round(g/nullif(b,0)::DOUBLE, 6) AS gb, CASE WHEN n_close<2 THEN 'x' ELSE 'o' END AS mark FROM j""")
+_REPORT_L = f"((py-0.5)*sin(radians({S.FOV})*{H}/{W}/2)*2)"
+
+
+@query(f"""{MODEL}, q AS ({S.hsv('pred')}) SELECT image_id, x, y, round(-px*{S.FOV}, 1) AS ha, round(degrees(asin({_REPORT_L})), 1) AS va, round(px, 4) AS px, round(py, 4) AS py, round(h, 2) AS hue, round(s, 3) AS sat, round(v, 3) AS val,
+round(v/0.8, 3) AS nv, round(s/0.5, 3) AS ns, round(h_hat, 2) AS hue_hat, round(s_hat, 3) AS sat_hat, round(v_hat, 3) AS val_hat, round(h_hat-h, 2) AS hue_err, round(s_hat-s, 3) AS sat_err, round(v_hat-v, 3) AS val_err,
+CAST(x%4 AS INT) AS n_close, round(r/nullif(b,0)::DOUBLE, 5) AS r, round(g/nullif(b,0)::DOUBLE, 5) AS g, round(b/65535.0::DOUBLE, 5) AS b, 0.01::DOUBLE AS cv_r, 0.02::DOUBLE AS cv_g, 0.03::DOUBLE AS cv_b, CASE WHEN x%4<2 THEN 1 ELSE 7 END AS symbol
+FROM q JOIN col USING (image_id, x) WHERE a >= 32767 AND x%2=0 AND y%2=0 AND y BETWEEN sos AND eos""")
 def sample_report(s):
-    d = sampling.close_neighbors(s.samples()).withColumn("is_outlier", (F.col("n_close") < 2).cast("int"))
-    return rasters.sample_report(d)
+    d = sampling.with_hsv(masks.sky_band(s.predicted.filter("a >= 32767 AND x % 2 = 0 AND y % 2 = 0"), s.col))
+    d = d.withColumns({"normalized_v": F.col("v") / 0.8, "normalized_s": F.col("s") / 0.5, "n_close": F.col("x") % 4, "cv_r": F.lit(0.01), "cv_g": F.lit(0.02), "cv_b": F.lit(0.03)})
+    d = d.withColumn("is_outlier", (F.col("n_close") < 2).cast("int"))
+    return rasters.sample_report(d, s.sized.withColumn("fov", F.lit(S.FOV)))
 
 
 @query(f"{BASE} SELECT image_id, x, round(coalesce(stddev_samp(g), 0), 4) AS sd, round(coalesce(stddev_samp(g), 0)/nullif(avg(g), 0), 6) AS cv FROM px GROUP BY 1, 2")
@@ -733,14 +760,51 @@ def _elements(s, rows, names):
     return rasters.literal(s.spark, s.images, rows, names)
 
 
-@query(None)
+GHOSTS = [(10.0, 8.0, 4.0, 0.3, 0.25, 0.05, 2.0, 0.6, 0.4, 30.0, 6, 0.3), (22.0, 14.0, 6.0, 0.1, 0.2, 0.5, 1.5, 0.0, 0.0, 0.0, 8, 0.7), (24.0, 12.0, 5.0, 0.4, 0.1, 0.1, 3.0, 0.9, 0.2, -20.0, 5, 0.0)]
+RAYS = [(0.6, 0.8, 20.0, 3.0, 0.5, 90.0, 0.65, 10.0, 0), (-0.6, 0.8, 16.0, 4.0, 0.4, 30.0, 0.5, 5.0, 1), (-1.0, 0.0, 12.0, 2.0, 0.7, 200.0, 0.5, 5.0, 2)]
+FLARE_X, FLARE_Y = 18, 9
+
+
+def _literals(rows) -> str:
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"{v}::DOUBLE" for v in r) + ")" for r in rows)
+
+
+def _ghost_sql(c: str, k: int) -> str:
+    """SQL of a ghost's light in one channel; see ghost_light()."""
+    u, v = f"(x-(ex+{k}*ca*(ex-{FLARE_X})/1000))", f"(y-(ey+{k}*ca*(ey-{FLARE_Y})/1000))"
+    flat = f"(radius-list_max(list_transform(range(n), lambda l: cos(2*pi()*l/n)*{u}+sin(2*pi()*l/n)*{v})))"
+    d = f"(pc*(radius-sqrt({u}*{u}+{v}*{v}))+(1-pc)*{flat})"
+    r = f"(1-{d}/radius)"
+    profile = f"CASE WHEN b<=0 THEN pow(greatest(1-{r},0),e) WHEN {r}<b THEN c+exp(-(b-{r})*e)*(1-c) ELSE 1-({r}-b)/(1-b) END"
+    return f"65535*sum(CASE WHEN {flat}>0 AND {d}>0 AND {r} BETWEEN 0 AND 1 THEN i{c}*least({d},1)*{profile} END) AS add_{c}"
+
+
+def _lit_sql(d: str) -> str:
+    new = ", ".join(f"CASE WHEN coalesce(add_r, add_g, add_b) IS NOT NULL THEN CAST(least(65534,floor({c}+coalesce(add_{c},0))) AS INT) ELSE {c} END AS {c}" for c in "rgb")
+    return f"SELECT image_id, x, y, {new}, a FROM px LEFT JOIN {d} USING (image_id, x, y)"
+
+
+@query(f"""{BASE}, g AS (SELECT * FROM (VALUES {_literals(GHOSTS)}) t(ex,ey,radius,ir,ig,ib,e,b,c,ca,n,pc)),
+l AS (SELECT image_id, x, y, {", ".join(_ghost_sql(c, k) for c, k in zip("rgb", (1, 0, -1)))} FROM (SELECT image_id, x, y FROM px), g WHERE abs(x-ex)<=radius*sqrt(2)+2+ca AND x>=floor(ex-radius*sqrt(2)-1-ca) AND x<=floor(ex+radius*sqrt(2)+1+ca)
+  AND y>=floor(ey-radius*sqrt(2)-1-ca) AND y<=floor(ey+radius*sqrt(2)+1+ca) GROUP BY 1, 2, 3) {_lit_sql('l')}""")
 def overlay_ghosts(s):
-    return overlays.overlay_ghosts(s.px, _elements(s, "(10.0D,8.0D,4.0D,9000D,8000D,2000D,6,0.3D),(22.0D,14.0D,6.0D,3000D,6000D,9000D,8,0.7D)", "x, y, radius, i_r, i_g, i_b, n_leaves, pcircle"))
+    rows = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"{v}D" for v in r) + ")" for r in GHOSTS)
+    return overlays.overlay_ghosts(s.px, _elements(s, rows, "x, y, radius, i_r, i_g, i_b, e, b, c, max_ca, n_leaves, pcircle").withColumns({"sun_x": F.lit(FLARE_X), "sun_y": F.lit(FLARE_Y)}))
 
 
-@query(None)
+_RAY = S.rgb("hue", "sat", "val")
+
+
+@query(f"""{BASE}, g AS (SELECT * FROM (VALUES {_literals(RAYS)}) t(ra,rb,radius,width,intensity,hue_start,fa,fb,grp)),
+q AS (SELECT image_id, x, y, g.*, x-{FLARE_X} AS rx, y-{FLARE_Y} AS ry, ra*(x-{FLARE_X})+rb*(y-{FLARE_Y}) AS off, radius*((1-ra)/4+0.5) AS lng FROM (SELECT image_id, x, y FROM px), g),
+w AS (SELECT *, sqrt(greatest(rx*rx+ry*ry-off*off,0)) AS along FROM q), p AS (SELECT *, along/lng AS pr, (0.25+0.75*along/lng)*width AS h0 FROM w WHERE rb*rx-ra*ry>=0 AND along/lng<=1),
+h AS (SELECT *, CASE WHEN lng-along<=h0 THEN h0*sqrt(1-pow(1-(lng-along)/h0,2)) ELSE h0 END AS half FROM p),
+k AS (SELECT *, half-abs(off) AS ins, hue_start+CASE WHEN grp%2=1 THEN 360 ELSE 720 END*pr AS hue0, 1/(1+exp(-(pr-0.4)*10)) AS sat FROM h WHERE half-abs(off)>0),
+v AS (SELECT *, CASE WHEN hue0>=720 THEN hue0-720 WHEN hue0>=360 THEN hue0-360 ELSE hue0 END AS hue, intensity*exp(-6*pr)*least(ins,1)/(1+exp((1-ins/half-fa)*fb)) AS val FROM k),
+l AS (SELECT image_id, x, y, {', '.join(f'sum({e}) AS add_{c}' for c, e in _RAY.items())} FROM v GROUP BY 1, 2, 3) {_lit_sql('l')}""")
 def overlay_rays(s):
-    return overlays.overlay_rays(s.px, _elements(s, "(5.0D,5.0D,0.8D,0.6D,20.0D,1.5D,9000D,1.0D)", "x, y, a, b, radius, width, intensity, falloff"))
+    rows = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"{v}D" for v in r) + ")" for r in RAYS)
+    return overlays.overlay_rays(s.px, _elements(s, rows, "ra, rb, radius, width, intensity, hue_start, falloff_a, falloff_b, grp").withColumns({"sun_x": F.lit(FLARE_X), "sun_y": F.lit(FLARE_Y)}))
 
 
 _SEEN = "FROM col WHERE column_mask=0"
@@ -997,6 +1061,13 @@ def fit_sky_luminance(s):
     return sky_model.fit_sky_luminance(_flagged(s), _cameras(s))
 
 
+@query(None)
+def fit_sky_luminance_on_sphere(s):
+    """With a bent and tilted horizon, and angles between directions of view."""
+    bent = _cameras(s).withColumns({"curvature": F.lit(S.CURVATURE), "slope": F.lit(S.SLOPE)})
+    return sky_model.fit_sky_luminance(_flagged(s), bent, sphere=True)
+
+
 def _lit_by_sun():
     a, b, c, d, e = map(F.lit, sampling.SKY_SETS[11][2:])
     fov = F.radians(F.lit(S.FOV))

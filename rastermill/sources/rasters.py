@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import view_angles
+
 PIXELS = "image_id INT, x INT, y INT, r INT, g INT, b INT, a INT"
 SCANLINES = "image_id INT, y INT, bits INT, channels INT, data BINARY"
-SAMPLES_TEXT = ", ".join(f"{c} DOUBLE" for c in "px py h s v h_hat s_hat v_hat h_err s_err v_err angle n_close r g b cv_r cv_g cv_b".split())
+#: The columns of sample texts, in order (fixed values).
+SAMPLE_COLUMNS = "px py h s v h_hat s_hat v_hat h_err s_err v_err angle n_close r g b cv_r cv_g cv_b".split()
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
@@ -73,14 +76,37 @@ def read_manual_horizon(spark: SparkSession, path: str) -> DataFrame:
     return d.filter("x IS NOT NULL AND y IS NOT NULL")
 
 
-def sample_report(smp: DataFrame) -> DataFrame:
-    """What a sample report holds: position, colour, ratios to blue and the outlier mark."""
-    ratio = lambda c: F.round(F.col(c) / F.nullif(F.col("b"), F.lit(0)), 6)
-    return smp.select("image_id", "x", "y", F.round("h", 4).alias("h"), F.round("s", 6).alias("s"), F.round("v", 6).alias("v"), ratio("r").alias("rb"), ratio("g").alias("gb"), F.when(F.col("is_outlier") == 1, "x").otherwise("o").alias("mark"))
+def sample_report(smp: DataFrame, images: DataFrame) -> DataFrame:
+    """What a report of samples holds, in its order and precision: place, viewing angles (degrees), colour, colour over the base
+    curves, prediction and its errors, close neighbours, ratios to blue and blue, coefficients of variation and the mark of
+    plots (1 for outliers, else 7). images: image_id, width, height, fov."""
+    d = smp.join(F.broadcast(images.select("image_id", "width", "height", "fov")), "image_id")
+    angles = view_angles(F.col("px"), F.col("py"), F.col("fov"), F.col("width"), F.col("height"))
+    over_blue = lambda c: F.col(c) / F.nullif(F.col("b"), F.lit(0))
+    rounds = {
+        "ha": (F.degrees(angles["aoy"]), 1), "va": (F.degrees(angles["aox"]), 1), "px": (F.col("px"), 4), "py": (F.col("py"), 4),
+        "hue": (F.col("h"), 2), "sat": (F.col("s"), 3), "val": (F.col("v"), 3), "nv": (F.col("normalized_v"), 3), "ns": (F.col("normalized_s"), 3),
+        "hue_hat": (F.col("h_hat"), 2), "sat_hat": (F.col("s_hat"), 3), "val_hat": (F.col("v_hat"), 3),
+        "hue_err": (F.col("h_hat") - F.col("h"), 2), "sat_err": (F.col("s_hat") - F.col("s"), 3), "val_err": (F.col("v_hat") - F.col("v"), 3), "n_close": (F.col("n_close"), None),
+        "r": (over_blue("r"), 5), "g": (over_blue("g"), 5), "b": (F.col("b") / 65535.0, 5), **{f"cv_{c}": (F.col(f"cv_{c}"), 6) for c in "rgb"},
+    }
+    mark = F.when(F.col("is_outlier") == 0, 7).otherwise(1).alias("symbol")
+    return d.select("image_id", "x", "y", *[(c if n is None else F.round(c, n)).alias(k) for k, (c, n) in rounds.items()], mark)
+
+
+def write_sample_report(smp: DataFrame, images: DataFrame, path: str) -> None:
+    """The report as text, a folder of files an image, columns by one space."""
+    sample_report(smp, images).write.mode("overwrite").partitionBy("image_id").csv(path, sep=" ", header=True)
 
 
 def write_samples(smp: DataFrame, path: str) -> None:
-    sample_report(smp).write.mode("overwrite").csv(path, sep=" ", header=True)
+    """Samples (with h_hat, s_hat, v_hat and fov, the image's) as text of the 19 columns that read_samples() takes, without a
+    header: colours as shares of full, the angle in degrees for the field of view; numbers are written whole."""
+    cols = {c: F.col(c) for c in ("px", "py", "h", "s", "v", "h_hat", "s_hat", "v_hat")}
+    cols |= {f"{c}_err": F.col(f"{c}_hat") - F.col(c) for c in "hsv"} | {"angle": F.col("fov") * F.col("px"), "n_close": F.col("n_close").cast("long")}
+    cols |= {c: F.col(c) / 65535.0 for c in "rgb"} | {f"cv_{c}": F.col(f"cv_{c}") for c in "rgb"}
+    assert list(cols) == SAMPLE_COLUMNS
+    smp.select(*[c.alias(n) for n, c in cols.items()]).write.mode("overwrite").csv(path, sep=" ")
 
 
 def write_knots(knots: DataFrame, path: str) -> None:
@@ -88,10 +114,25 @@ def write_knots(knots: DataFrame, path: str) -> None:
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """The 19-column sample text; malformed rows are dropped. Adds fov = angle / px and whole-number stand-ins for x, y."""
-    d = spark.read.csv(path, sep=" ", schema=SAMPLES_TEXT, mode="DROPMALFORMED").filter("cv_b IS NOT NULL")
-    place = lambda c: F.floor((F.col(c) + 0.5) * 100000).cast("int")
-    return d.withColumns({"fov": F.col("angle") / F.nullif(F.col("px"), F.lit(0.0)), "x": place("px"), "y": place("py")})
+    """(file, line, the 19 columns, x, y, fov, lowest_py, n_bad) of sample texts: rows whose first 19 fields are numbers, n_close a
+    whole one; what follows in a row is not looked at.
+
+    r, g and b become 0..65535 again; x and y are stand-ins, hundred thousandths of the place. Each file's rows have its field
+    of view (angle / px of the last row with a px), the lowest py and the number of its other rows (a header is one of
+    them, blank lines are not).
+    """
+    d = _lines(spark, path).withColumnRenamed("line_no", "line_no_").filter(F.trim("line") != "").withColumn("p", F.split(F.trim("line"), r"\s+"))
+    number = lambda k: F.expr(f"try_cast(get(p, {k}) AS DOUBLE)")
+    d = d.withColumns({c: number(k) for k, c in enumerate(SAMPLE_COLUMNS)})
+    good = F.get("p", F.lit(SAMPLE_COLUMNS.index("n_close"))).rlike(r"^[+-]?\d+$")
+    for c in SAMPLE_COLUMNS:
+        good = good & F.col(c).isNotNull()
+    d = d.withColumn("good", F.coalesce(good, F.lit(False)))
+    fov = F.max_by(F.col("angle") / F.col("px"), F.when(F.col("good") & (F.col("px") != 0), F.col("line_no_")))
+    of = d.groupBy("file").agg(fov.alias("fov"), F.min(F.when(F.col("good"), F.col("py"))).alias("lowest_py"), F.count_if(~F.col("good")).alias("n_bad"))
+    place = lambda c: F.floor((F.col(c) + 0.5) * 100000 + 0.5).cast("int")
+    d = d.filter("good").join(of, "file").withColumns({"x": place("px"), "y": place("py"), "n_close": F.col("n_close").cast("int")} | {c: F.floor(F.col(c) * 65535 + 0.5).cast("int") for c in "rgb"})
+    return d.select("file", F.col("line_no_").alias("line"), *SAMPLE_COLUMNS, "x", "y", "fov", "lowest_py", "n_bad")
 
 
 def pixel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
