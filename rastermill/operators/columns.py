@@ -138,15 +138,22 @@ def clamp_slope(col: DataFrame, step: int = 2) -> DataFrame:
     return d.withColumn("clamped_eos", F.when(F.col("column_mask") == 1, F.col("eos")).otherwise(F.greatest("e", "sos"))).drop("run", "e")
 
 
-def t_profile(px: DataFrame) -> DataFrame:
-    """Adds p: the 10 rows above against the row itself by a one-value t statistic, 1 - min(1, .1 ln(1 + t)), mean over channels."""
-    above = by_y().rowsBetween(-10, -1)
-    p = F.lit(0.0)
+def t_profile(px: DataFrame, col: DataFrame, height: int, reach: int = 10, near: float = 0.02) -> DataFrame:
+    """(image_id, x, y, p): the `reach` rows above against the row itself, by the largest one-value t statistic of the channels:
+    1 - min(1, .1 ln(1 + t)). A colour within `near` counts of the mean above has that distance in place of t. Rows from
+    `reach` below the raw start down to `reach` above the bottom."""
+    above = by_y().rowsBetween(-reach, -1)
+    d = px.join(col.select("image_id", "x", "raw_sos"), ["image_id", "x"])
+    t, dist = [], F.lit(0.0)
     for c in "rgb":
-        sd = F.stddev_samp(F.col(c).cast("double")).over(above)
-        t = F.abs(F.avg(c).over(above) - F.col(c)) / F.nullif(sd * F.sqrt(1 + 1 / F.count(c).over(above)), F.lit(0.0))
-        p += 1 - F.least(F.lit(1.0), 0.1 * F.log(1 + F.coalesce(t, F.lit(0.0))))
-    return px.withColumn("p", p / 3)
+        off = F.abs(F.avg(c).over(above) - F.col(c))
+        error = F.stddev_samp(F.col(c).cast("double")).over(above) / F.sqrt(F.count(c).over(above))
+        t.append(F.when(error > 0, off / F.nullif(error, F.lit(0.0))).when(off > 0, float("inf")).otherwise(0.0))
+        dist = dist + off * off
+    d = d.withColumns({"t": F.greatest(*t), "dist": F.sqrt(dist)})
+    d = d.filter((F.col("y") >= F.greatest(F.lit(reach), F.col("raw_sos") + reach)) & (F.col("y") < height - reach))
+    worst = F.when(F.col("dist") < near, F.col("dist")).otherwise(F.col("t"))
+    return d.select("image_id", "x", "y", (1 - F.least(F.lit(1.0), 0.1 * F.log(1 + worst))).alias("p"))
 
 
 def ar_forecasts(px: DataFrame, col: DataFrame, height: int, window: int = 20) -> DataFrame:
@@ -299,10 +306,14 @@ def even_out_rows(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
     return d.select("image_id", "x", "y", *[F.when(F.col("w").isNull(), F.col(c)).otherwise(mixed(c)).cast("int").alias(c) for c in "rgb"], F.when(F.col("w").isNull(), F.col("a")).otherwise(65535).alias("a"))
 
 
-def extend_end_by_class(px: DataFrame, col: DataFrame, reach: int = 5) -> DataFrame:
-    """(image_id, x, extended_eos): the lowest pixel of the sky class within `reach` of the end, or the end."""
+def extend_end_by_class(px: DataFrame, col: DataFrame, reach: int = 5, certain: float = 0.75) -> DataFrame:
+    """(image_id, x, extended_eos): the lowest pixel within `reach` of the end that is of the sky class or, where px has p_hat, is
+    sky with more than that certainty; or the end. One round: what is found does not move the box."""
     d = px.join(col.select("image_id", "x", "eos"), ["image_id", "x"])
-    hit = (F.abs(F.col("y") - F.col("eos")) <= reach) & (F.col("pixel_class").bitwiseAND(1) == 1)
+    sky = F.col("pixel_class").bitwiseAND(1) == 1
+    if "p_hat" in px.columns:
+        sky = sky | F.coalesce(F.col("p_hat") > certain, F.lit(False))
+    hit = (F.abs(F.col("y") - F.col("eos")) <= reach) & sky
     return d.groupBy("image_id", "x").agg(F.greatest(F.max("eos"), F.max(F.when(hit, F.col("y")))).alias("extended_eos"))
 
 

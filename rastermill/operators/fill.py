@@ -21,17 +21,10 @@ def with_model(px: DataFrame, models: DataFrame) -> DataFrame:
     return d.join(copies, ["image_id", "_block"]).drop("_block")
 
 
-def predict_sky(px: DataFrame, models: DataFrame, width=None, height=None, light: str = "model") -> DataFrame:
-    """Adds px, py, h_hat, s_hat, v_hat (clamped) and r_hat, g_hat, b_hat. Without width and height, models has these columns.
-
-    light: `model` takes the value from the fitted curves; `sun` adds the glow around the sun to it and takes it from the
-    saturation (see with_sun()); `luminance` takes the value from general sky luminance times v_factor. Both need columns of
-    models: sun_px, sun_py, cc, cd; `sun` glow_min, glow_max (see glow_range()), sun_lum, sat_depth; `luminance` ca, cb, ce,
-    v_factor.
-    """
-    d = with_model(px, models)
+def predicted_places(d: DataFrame, width=None, height=None, light: str = "model") -> DataFrame:
+    """Adds h_hat, s_hat, v_hat (clamped) at places px, py of images, d having the columns of their models; without width and
+    height, these too. light: see predict_sky()."""
     width, height = (F.col(c) if given is None else F.lit(given) for c, given in (("width", width), ("height", height)))
-    d = d.withColumns({"px": F.col("x") / (width - 1) - 0.5, "py": 1 - F.col("y") / (height - 1)})
     d = d.withColumn("hc", geometry.adjust_horizon(F.col("px"), F.col("py"), F.col("curvature"), F.col("slope")))
     fov_x, fov_y = F.radians("fov"), F.radians("fov") * height / width
     d = d.withColumns({
@@ -49,7 +42,20 @@ def predict_sky(px: DataFrame, models: DataFrame, width=None, height=None, light
         d = d.withColumn("glow", geometry.sun_glow(geometry.angle_between(look("px", "py"), look("sun_px", "sun_py")), F.col("cc"), F.col("cd")))
         lit = model.with_sun(*[F.col(c) for c in ("s_hat", "v_hat", "glow", "glow_min", "glow_max", "sun_lum", "sat_depth")])
         d = d.withColumn("lit", lit).withColumns({"s_hat": F.col("lit.s"), "v_hat": F.col("lit.v")})
-    d = d.withColumn("hat", model.predicted_rgb(F.col("h_hat"), F.col("s_hat"), F.col("v_hat")))
+    return d
+
+
+def predict_sky(px: DataFrame, models: DataFrame, width=None, height=None, light: str = "model") -> DataFrame:
+    """Adds px, py, h_hat, s_hat, v_hat (clamped) and r_hat, g_hat, b_hat. Without width and height, models has these columns.
+
+    light: `model` takes the value from the fitted curves; `sun` adds the glow around the sun to it and takes it from the
+    saturation (see with_sun()); `luminance` takes the value from general sky luminance times v_factor. Both need columns of
+    models: sun_px, sun_py, cc, cd; `sun` glow_min, glow_max (see glow_range()), sun_lum, sat_depth; `luminance` ca, cb, ce,
+    v_factor.
+    """
+    w, h = (F.col(c) if given is None else F.lit(given) for c, given in (("width", width), ("height", height)))
+    d = with_model(px, models).withColumns({"px": F.col("x") / (w - 1) - 0.5, "py": 1 - F.col("y") / (h - 1)})
+    d = predicted_places(d, width, height, light).withColumn("hat", model.predicted_rgb(F.col("h_hat"), F.col("s_hat"), F.col("v_hat")))
     return d.select(*px.columns, "px", "py", "h_hat", "s_hat", "v_hat", F.col("hat.r").alias("r_hat"), F.col("hat.g").alias("g_hat"), F.col("hat.b").alias("b_hat"))
 
 
@@ -95,11 +101,15 @@ def fit_error(smp: DataFrame) -> DataFrame:
     return d.groupBy("image_id").agg(F.sum(sq("v_", "v_hat")).alias("sse_v"), F.sum(sum(F.pow((F.col(c) - F.col(f"{c}_hat")) / 65535.0, F.lit(2.0)) for c in "rgb")).alias("sse_rgb"))
 
 
-def dark_top_check(predicted: DataFrame, height: int) -> DataFrame:
-    """(image_id, dark_top): more than 10 columns whose predicted top is below 100/255 and darker than the middle."""
-    at = lambda y: F.max(F.when(F.col("y") == y, F.col("v_hat")))
-    d = predicted.groupBy("image_id", "x").agg(at(0).alias("top"), at(height // 2).alias("mid"))
-    return d.groupBy("image_id").agg((F.count_if((F.col("top") < 100 / 255) & (F.col("top") < F.col("mid"))) > 10).alias("dark_top"))
+def dark_top_check(models: DataFrame, smp: DataFrame, width=None, height=None, light: str = "model") -> DataFrame:
+    """(image_id, n_dark, dark_top): of 101 places across the image, those whose predicted value at the top is under 100 / 255 and
+    darker than at the samples' mean height; and whether there are more than 10."""
+    middle = smp.groupBy("image_id").agg(F.avg("py").alias("middle"))
+    d = models.join(middle, "image_id").withColumn("px", F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: k / 100 - 0.5)))
+    d = predicted_places(d.withColumn("py", F.lit(1.0)), width, height, light).withColumn("top", F.col("v_hat"))
+    d = predicted_places(d.withColumn("py", F.col("middle")), width, height, light)
+    n = F.count_if((F.col("top") < 100 / 255) & (F.col("top") < F.col("v_hat")))
+    return d.groupBy("image_id").agg(n.alias("n_dark"), (n > 10).alias("dark_top"))
 
 
 def zenith_extents(col: DataFrame, end_factor: float) -> DataFrame:
@@ -223,38 +233,50 @@ def clip_counts(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id").agg(F.count_if(F.greatest("r", "g", "b") >= 65535).alias("clipped"))
 
 
-def hue_repair_factors(predicted: DataFrame, l: int, r: int, reach: int = 10) -> DataFrame:  # noqa: E741
-    """(image_id, side, n, slope, intercept): regression in y of measured over predicted saturation on both sides of a range."""
-    d = predicted.withColumn("s", rgb_to_hsv("r", "g", "b")["s"]).filter("s_hat > 0.1")
-    side = F.when(F.col("x").between(l - reach, l - 1), "left").when(F.col("x").between(r + 1, r + reach), "right")
-    d = d.withColumn("side", side).filter("side IS NOT NULL").withColumns({"q": F.col("s") / F.col("s_hat"), "yd": F.col("y").cast("double")})
-    return d.groupBy("image_id", "side").agg(F.count("*").alias("n"), F.regr_slope("q", "yd").alias("slope"), F.regr_intercept("q", "yd").alias("intercept"))
+def hue_repair_factors(predicted: DataFrame, col: DataFrame, l: int, r: int, reach: int = 10) -> DataFrame:  # noqa: E741
+    """(image_id, n_l, n_r, s_l0, s_l1, h_l0, h_l1, s_r0 .. h_r1): intercepts (0) and slopes (1) in y of measured over predicted
+    saturation and hue, left (columns l - reach .. l - 1) and right (r .. r + reach - 1) of a range.
+
+    Pixels of the sky of unmasked columns count whose predicted saturation is over .1 (and hue over 0). A side with two pixels
+    or fewer takes the other side's; if both have no more, all take the sums of measured over those of predicted, without
+    a slope, or 1. One row an image, by partial aggregation.
+    """
+    d = predicted.filter((F.col("x") >= l - reach) & (F.col("x") < r + reach) & ((F.col("x") < l) | (F.col("x") >= r)) & (F.col("s_hat") > 0.1) & (F.col("h_hat") > 0))
+    d = d.join(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y BETWEEN sos AND eos")
+    d = d.withColumn("hsv", rgb_to_hsv("r", "g", "b")).withColumn("yd", F.col("y").cast("double"))
+    sums, out = [], ["n_l", "n_r"]
+    for side, near in (("l", F.col("x") < l), ("r", F.col("x") >= r)):
+        sums.append(F.count_if(near).alias(f"n_{side}"))
+        for c in "sh":
+            q = F.when(near, F.col(f"hsv.{c}") / F.col(f"{c}_hat"))
+            sums += [F.regr_intercept(q, F.col("yd")).alias(f"{c}{side}0"), F.regr_slope(q, F.col("yd")).alias(f"{c}{side}1"), F.avg(q).alias(f"{c}{side}m")]
+    sums += [(F.sum(f"hsv.{c}") / F.sum(f"{c}_hat")).alias(f"{c}m") for c in "sh"]
+    d = col.select("image_id").distinct().join(d.groupBy("image_id").agg(*sums), "image_id", "left").fillna(0, ["n_l", "n_r"])
+    for side, other in (("l", "r"), ("r", "l")):
+        for c in "sh":
+            own = lambda k, at: F.coalesce(f"{c}{at}{k}", F.col(f"{c}{at}m") if k == 0 else F.lit(0.0))  # noqa: B023, E731
+            for k in (0, 1):
+                plain = F.coalesce(f"{c}m", F.lit(1.0)) if k == 0 else F.lit(0.0)
+                out.append(F.when(F.col(f"n_{side}") > 2, own(k, side)).when(F.col(f"n_{other}") > 2, own(k, other)).otherwise(plain).alias(f"{c}_{side}{k}"))
+    return d.select("image_id", *out)
 
 
 def repair_sky_hue(predicted: DataFrame, col: DataFrame, l: int, r: int, reach: int = 10) -> DataFrame:  # noqa: E741
     """New pixels of the sky in the columns l..r-1 of a range with a wrong hue: image_id, x, y, r, g, b, clipped.
 
-    Measured over predicted hue and saturation are regressed in y on either side of the range (one row an image, by
-    partial aggregation). Predicted colours times those factors, blended from side to side, replace the range; then all
-    channels rise so that the channel that dropped most has its old value again. An image without pixels on a side, and
-    masked columns, give no rows.
+    Predicted hue and saturation times hue_repair_factors(), blended from side to side, replace those of the range; then all
+    channels rise so that the channel that dropped most has its old value again. Masked columns give no rows.
     """
-    d = predicted.withColumn("hsv", rgb_to_hsv("r", "g", "b"))
     y = F.col("y").cast("double")
-    fits = []
-    for side, near in (("l", F.col("x").between(l - reach, l - 1)), ("r", F.col("x").between(r + 1, r + reach))):
-        for c in "hs":
-            q = F.when(near & (F.col("s_hat") > 0.1) & (F.col("h_hat") > 0), F.col(f"hsv.{c}") / F.col(f"{c}_hat"))
-            fits += [F.regr_slope(q, y).alias(f"{c}{side}1"), F.regr_intercept(q, y).alias(f"{c}{side}0")]
-    factors = d.groupBy("image_id").agg(*fits)
-    inside = d.filter((F.col("x") >= l) & (F.col("x") < r)).join(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos"), ["image_id", "x"])
-    inside = inside.filter("y BETWEEN sos AND eos").join(factors, "image_id")
+    d = predicted.filter((F.col("x") >= l) & (F.col("x") < r)).withColumn("v", rgb_to_hsv("r", "g", "b")["v"])
+    d = d.join(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y BETWEEN sos AND eos")
+    inside = d.join(F.broadcast(hue_repair_factors(predicted, col, l, r, reach)), "image_id")  # a row an image
     left = 1 - (F.col("x") - l) / float(r - l)
-    factor = lambda c: left * (F.col(f"{c}l0") + F.col(f"{c}l1") * y) + (1 - left) * (F.col(f"{c}r0") + F.col(f"{c}r1") * y)
-    inside = inside.withColumn("new", model.predicted_rgb(F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * factor("h"))), F.col("s_hat") * factor("s"), F.col("hsv.v")))
+    factor = lambda c: left * (F.col(f"{c}_l0") + F.col(f"{c}_l1") * y) + (1 - left) * (F.col(f"{c}_r0") + F.col(f"{c}_r1") * y)
+    inside = inside.withColumn("new", model.predicted_rgb(F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * factor("h"))), F.col("s_hat") * factor("s"), F.col("v")))
     dr, dg, db = (F.col(f"new.{c}") - F.col(c) for c in "rgb")
     ratio = lambda c: F.col(c) / F.nullif(F.col(f"new.{c}"), F.lit(0))
     rise = F.when((dr < dg) & (dr < db), ratio("r")).when((dr >= dg) & (dg < db), ratio("g")).otherwise(ratio("b"))
-    inside = inside.withColumn("rise", F.coalesce(rise, F.lit(1.0))).filter("new.r IS NOT NULL")
+    inside = inside.withColumn("rise", F.coalesce(rise, F.lit(1.0)))
     raised = {c: F.floor(F.col(f"new.{c}") * F.col("rise") + 0.5) for c in "rgb"}
     return inside.select("image_id", "x", "y", *[F.least(F.lit(65535), v).cast("int").alias(c) for c, v in raised.items()], (F.greatest(*raised.values()) > 65535).alias("clipped"))

@@ -88,10 +88,10 @@ def _added(px: DataFrame, sums: DataFrame) -> DataFrame:
     return d.select("image_id", "x", "y", *[F.when(F.col("lit") & F.coalesce("add_r", "add_g", "add_b").isNotNull(), new(c)).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
 
 
-def audit_marks(col: DataFrame, smp: DataFrame, rects: DataFrame, width: int, height: int, depth: float = 0.5) -> DataFrame:
+def audit_marks(col: DataFrame, smp: DataFrame, rects: DataFrame, width: int, height: int, depth: float = 0.5, classes: DataFrame | None = None) -> DataFrame:
     """(image_id, x, y, r, g, b, layer): pixels that show what was found; where several marks fall on one, the last layer's.
 
-    Layers: 1 manual end (red, two below), 2 start of sky (red, one above), 3 raw start (yellow), 4 end of the fill (grey),
+    Layers: 0 pixels of the sky class (light blue), where classes (image_id, x, y, pixel_class) are given, 1 manual end (red, two below), 2 start of sky (red, one above), 3 raw start (yellow), 4 end of the fill (grey),
     5 end of sky (green, two and three below), 6 boxes of 3 by 3 around samples (black to white by their error), 7 borders
     of rectangles (light red). Masked columns have no layer from 2 to 5. Every mark is a row of its own table, so pixels
     are not scanned; marks are united and the last layer is taken by partial aggregation.
@@ -120,6 +120,8 @@ def audit_marks(col: DataFrame, smp: DataFrame, rects: DataFrame, width: int, he
     edge = rects.select("image_id", sides.alias("s")).select("image_id", *[clip(F.col(f"s.{c}"), top).alias(c) for c, top in (("x0", width - 1), ("x1", width - 1), ("y0", last), ("y1", last))])
     edge = edge.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
     marks.append(mark(edge, F.col("y"), (full, half, half), 7))
+    if classes is not None:
+        marks.append(mark(classes.filter(F.col("pixel_class").bitwiseAND(1) == 1), F.col("y"), (half, half, full), 0))
     every = marks[0]
     for m in marks[1:]:
         every = every.unionByName(m)

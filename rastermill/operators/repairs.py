@@ -10,6 +10,7 @@ from ..functions.color import is_seen
 from ..functions.model import barycentric_blend
 from ..sources.store import saved
 from .columns import by_row, by_x, by_y
+from .fits import student_t_cdf
 from .local_fit import fitted, local_fits, repaired, whole
 
 
@@ -33,18 +34,31 @@ def bilateral_gray(px: DataFrame, dx: int = 2, dy: int = 2, alpha: float = 2.0,
 
 
 def two_band_profile(px: DataFrame, above: int = 10, below: int = 5) -> DataFrame:
-    """image_id, x, y, t, mean_diff, color_dist, cv_diff: the rows up to y against the next ones (Welch's t on grey, difference
-    of its means, distance of mean colours relative to the colour above, difference of variation coefficients)."""
+    """(image_id, x, y, t_r, t_g, t_b, mean_diff, color_dist, cv_diff): the `above` rows up to y against the `below` next ones:
+    Welch's t of each channel (0..1), the sum over channels of the absolute differences of means, the distance of the means
+    relative to those above, and the mean absolute difference of variation coefficients. Rows without both bands whole
+    are left out."""
     up, down = by_y().rowsBetween(-above + 1, 0), by_y().rowsBetween(1, below)
-    d = with_gray(px)
-    m1, m2 = F.avg("gray").over(up), F.avg("gray").over(down)
-    s1, s2 = F.stddev_samp("gray").over(up), F.stddev_samp("gray").over(down)
-    error = F.nullif(F.sqrt(s1 * s1 / F.count("*").over(up) + s2 * s2 / F.count("*").over(down)), F.lit(0.0))
     square = lambda c: F.pow(c, F.lit(2.0))
-    dist = F.sqrt(sum(square(F.avg(c).over(up) - F.avg(c).over(down)) for c in "rgb"))
-    size = F.nullif(F.sqrt(sum(square(F.avg(c).over(up)) for c in "rgb")), F.lit(0.0))
-    cv = lambda s, m: s / F.nullif(m, F.lit(0.0))
-    return d.select("image_id", "x", "y", ((m1 - m2) / error).alias("t"), (m1 - m2).alias("mean_diff"), (dist / size).alias("color_dist"), (cv(s1, m1) - cv(s2, m2)).alias("cv_diff"))
+    d, t, diff, dist, cv = px, {}, F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for c in "rgb":
+        v = F.col(c) / 65535.0
+        m1, m2, s1, s2 = F.avg(v).over(up), F.avg(v).over(down), F.stddev_samp(v).over(up), F.stddev_samp(v).over(down)
+        t[f"t_{c}"] = (m1 - m2) / F.nullif(F.sqrt(s1 * s1 / above + s2 * s2 / below), F.lit(0.0))
+        diff = diff + F.abs(m1 - m2)
+        dist = dist + square((m2 - m1) / F.nullif(m1, F.lit(0.0)))
+        cv = cv + F.abs(F.coalesce(s2 / F.nullif(m2, F.lit(0.0)), F.lit(0.0)) - F.coalesce(s1 / F.nullif(m1, F.lit(0.0)), F.lit(0.0))) / 3
+    d = d.withColumns(t | {"mean_diff": diff, "color_dist": F.sqrt(dist), "cv_diff": cv, "_n": F.count("*").over(by_y().rowsBetween(-above + 1, below))})
+    return d.filter(F.col("_n") == above + below).select("image_id", "x", "y", *t, "mean_diff", "color_dist", "cv_diff")
+
+
+def two_band_probability(px: DataFrame, above: int = 10, below: int = 5) -> DataFrame:
+    """two_band_profile() with p_r, p_g, p_b, the probability of a smaller absolute t with above - 1 degrees of freedom (one
+    side), and p_diff, their mean times the mean difference of means."""
+    d = two_band_profile(px, above, below)
+    p = {f"p_{c}": student_t_cdf(F.abs(F.coalesce(F.col(f"t_{c}"), F.lit(0.0))), F.lit(float(above - 1))) for c in "rgb"}
+    d = d.withColumns(p)
+    return d.withColumn("p_diff", (F.col("p_r") + F.col("p_g") + F.col("p_b")) / 3 * F.col("mean_diff") / 3)
 
 
 def paired_t_end(px: DataFrame, col: DataFrame, gap: int = 10, block: int = 10, t_limit: float = 1.833, diff_limit: float = 0.02) -> DataFrame:

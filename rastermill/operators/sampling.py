@@ -65,10 +65,10 @@ def stddev_n(n: Column, s: Column, q: Column) -> Column:
 
 
 def means_t(n1: Column, s1: Column, q1: Column, n2: Column, s2: Column, q2: Column) -> Column:
-    """t of two means with unpooled errors; a second group of one value counts with the first group's spread."""
+    """t of two means with unpooled errors; a second group of one value is held against the error of the first one's mean."""
     d = F.abs(s1 / n1 - s2 / n2)
     v1, v2 = F.pow(stddev_n(n1, s1, q1), F.lit(2.0)), F.pow(stddev_n(n2, s2, q2), F.lit(2.0))
-    return F.coalesce(F.when(n2 == 1, d / F.nullif(F.sqrt(v1 * (1 + 1 / n1)), F.lit(0.0))).otherwise(d / F.nullif(F.sqrt(v1 / n1 + v2 / n2), F.lit(0.0))), F.lit(0.0))
+    return F.coalesce(F.when(n2 == 1, d / F.nullif(F.sqrt(v1 / n1), F.lit(0.0))).otherwise(d / F.nullif(F.sqrt(v1 / n1 + v2 / n2), F.lit(0.0))), F.lit(0.0))
 
 
 def weighted_ols(df: DataFrame, keys: list[str], x: str, y: str, w: Column) -> DataFrame:

@@ -230,10 +230,14 @@ def clamp_slope(s):
     return columns.clamp_slope(s.col).select("image_id", "x", F.col("clamped_eos").cast("int").alias("clamped_eos"))
 
 
-@query(f"""{BASE}, w AS (SELECT image_id, x, y, {'+'.join(f'(1-least(1,0.1*ln(1+coalesce(abs(avg({c}) OVER a-{c})/nullif(stddev_samp({c}) OVER a*sqrt(1+1/(count({c}) OVER a)::DOUBLE),0),0))))' for c in 'rgb')} AS p
-FROM px WINDOW a AS ({YW} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT image_id, x, y, round(p/3, 4) AS p FROM w WHERE y > 1""")
+_T_OFF = {c: f"abs(avg({c}) OVER a-{c})" for c in "rgb"}
+_T = {c: f"CASE WHEN coalesce(stddev_samp({c}) OVER a,0)>0 THEN {_T_OFF[c]}/(stddev_samp({c}) OVER a/sqrt(count({c}) OVER a)) WHEN {_T_OFF[c]}>0 THEN 'inf'::DOUBLE ELSE 0 END" for c in "rgb"}
+
+
+@query(f"""{BASE}, w AS (SELECT image_id, x, y, raw_sos, greatest({', '.join(_T.values())}) AS t, sqrt({'+'.join(f'pow({v},2)' for v in _T_OFF.values())}) AS dist
+FROM px JOIN col USING (image_id, x) WINDOW a AS ({YW} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT image_id, x, y, round(1-least(1,0.1*ln(1+CASE WHEN dist<0.02 THEN dist ELSE t END)), 4) AS p FROM w WHERE y>=raw_sos+10 AND y<15""")
 def t_profile(s):
-    return columns.t_profile(s.px).filter("y > 1").select("image_id", "x", "y", F.round("p", 4).alias("p"))
+    return columns.t_profile(s.px, s.col, H).withColumn("p", F.round("p", 4))
 
 
 def _ar_sql() -> str:
@@ -333,9 +337,10 @@ def _register_rows() -> None:
 _register_rows()
 
 
-@query(f"{BASE} SELECT image_id, x, greatest(max(eos), max(y) FILTER (WHERE abs(y-eos)<=5 AND y BETWEEN raw_sos AND eos+2)) AS extended_eos FROM px JOIN col USING (image_id, x) GROUP BY 1, 2")
+@query(f"{MODEL}, {S.PROB} SELECT image_id, x, greatest(max(eos), max(y) FILTER (WHERE abs(y-eos)<=5 AND (y BETWEEN raw_sos AND eos+x%3 OR p_hat>0.75))) AS extended_eos FROM prob GROUP BY 1, 2")
 def extend_end_by_class(s):
-    d = s.px.join(s.col, ["image_id", "x"]).select("image_id", "x", "y", F.expr("CASE WHEN y BETWEEN raw_sos AND eos + 2 THEN 1 ELSE 0 END").alias("pixel_class"))
+    d = fill.sky_probability(s.predicted, s.col).join(s.col.select("image_id", "x", "raw_sos", "eos"), ["image_id", "x"])
+    d = d.select("image_id", "x", "y", "p_hat", F.expr("CASE WHEN y BETWEEN raw_sos AND eos + x % 3 THEN 1 ELSE 0 END").alias("pixel_class"))
     return columns.extend_end_by_class(d, s.col)
 
 
@@ -579,9 +584,18 @@ def fit_error(s):
     return d.select("image_id", F.round("sse_v", 4).alias("sse_v"), F.round("sse_rgb", 2).alias("sse_rgb"))
 
 
-@query(f"{MODEL}, t AS (SELECT image_id, x, max(v_hat) FILTER (WHERE y=0) AS t, max(v_hat) FILTER (WHERE y=12) AS m FROM pred GROUP BY 1, 2) SELECT image_id, count(*) FILTER (WHERE t<100/255.0 AND t<m)>10 AS dark_top FROM t GROUP BY 1")
+_DARK = [0.1, 0.36, 2.0, 0.2]
+_V_AT = f"greatest(0,least(1,base*{_DARK[1]}+{_DARK[0]}*(exp(cos({_DARK[2]}*((hc-{S.HORIZON}-{_DARK[3]}*base)*radians({S.FOV})*{H}/{W})))/exp(1)-exp(-2))*1.156517642))"
+
+
+@query(f"""{BASE}, {S.REL}, mi AS (SELECT image_id, avg(py) AS middle FROM rel JOIN col USING (image_id, x) WHERE a>=32767 AND x%2=0 AND y%2=0 AND y BETWEEN sos AND eos GROUP BY 1),
+pl AS (SELECT image_id, t, k, k/100.0::DOUBLE-0.5 AS px, CASE WHEN t=1 THEN 1.0::DOUBLE ELSE middle END AS py FROM mi, (SELECT unnest(generate_series(0,100)) AS k), (VALUES (0),(1)) u(t)),
+hc AS (SELECT *, {S.HC.split('SELECT *, ')[1].split(' AS hc')[0]} AS hc, {S._BASE} AS base FROM pl),
+v AS (SELECT image_id, k, t, {_V_AT} AS v FROM hc), w AS (SELECT image_id, k, max(v) FILTER (WHERE t=1) AS top, max(v) FILTER (WHERE t=0) AS mid FROM v GROUP BY 1, 2)
+SELECT image_id, count(*) FILTER (WHERE top<100/255.0::DOUBLE AND top<mid) AS n_dark, count(*) FILTER (WHERE top<100/255.0::DOUBLE AND top<mid)>10 AS dark_top FROM w GROUP BY 1""")
 def dark_top_check(s):
-    return fill.dark_top_check(s.predicted, H)
+    dark = F.array(*[F.lit(v) for v in _DARK])
+    return fill.dark_top_check(s.models.withColumn("v_coefs", dark), s.samples(), W, H)
 
 
 @query(f"""{BASE} SELECT image_id, x, y, round(CASE WHEN y>=sos AND b>=0.04*65535 THEN greatest(0,least(1,1-(y-sos)/(least(sos+floor((eos-sos)*0.5+0.5),eos)-sos))) ELSE 1 END, 6) AS w,
@@ -719,31 +733,50 @@ def error_map(s):
     return fill.diagnostic_maps(s.predicted, s.col, "error")
 
 
-@query(f"{MODEL}, q AS (SELECT image_id, CASE WHEN x BETWEEN 20 AND 29 THEN 'left' WHEN x BETWEEN 34 AND 43 THEN 'right' END AS side, s/s_hat AS q, y FROM ({S.hsv('pred')}) WHERE s_hat>0.1) SELECT image_id, side, count(*) AS n, round(regr_slope(q,y), 5) AS slope, round(regr_intercept(q,y), 4) AS intercept FROM q WHERE side IS NOT NULL GROUP BY 1, 2")
-def hue_repair_factors(s):
-    return fill.hue_repair_factors(s.predicted, 30, 33).withColumns({"slope": F.round("slope", 5), "intercept": F.round("intercept", 4)})
+def _factor_sql() -> str:
+    """SQL of the factors beside the range 30..32; the right side has no pixel in every third image, and no side in every fifth."""
+    parts = []
+    for side, near in (("l", "x<30"), ("r", "x>=33")):
+        parts.append(f"count(*) FILTER (WHERE {near}) AS n_{side}")
+        for c in "sh":
+            q = f"CASE WHEN {near} THEN {c}/{c}_hat END"
+            parts.append(f"regr_intercept({q}, y) AS {c}{side}0, regr_slope({q}, y) AS {c}{side}1, avg({q}) AS {c}{side}m")
+    parts += [f"sum({c})/sum({c}_hat) AS {c}m" for c in "sh"]
+    out = []
+    for side, other in (("l", "r"), ("r", "l")):
+        for c in "sh":
+            for k in (0, 1):
+                own = lambda at: f"coalesce({c}{at}{k}, {f'{c}{at}m' if k == 0 else '0'})"  # noqa: B023, E731
+                out.append(f"CASE WHEN n_{side}>2 THEN {own(side)} WHEN n_{other}>2 THEN {own(other)} ELSE {f'coalesce({c}m, 1)' if k == 0 else '0.0'} END AS {c}_{side}{k}")
+    return f"""q AS ({S.hsv('pred JOIN col USING (image_id, x)')}), n AS (SELECT * FROM q WHERE x BETWEEN 20 AND 42 AND (x<30 OR x>=33) AND s_hat>0.1 AND h_hat>0 AND column_mask=0 AND y BETWEEN sos AND eos
+  AND NOT (image_id%3=1 AND x>=33) AND image_id%5<>2), g AS (SELECT image_id, {', '.join(parts)} FROM n GROUP BY 1),
+f AS (SELECT image_id, coalesce(n_l, 0) AS n_l, coalesce(n_r, 0) AS n_r, {', '.join(out)} FROM (SELECT image_id, g.* EXCLUDE (image_id, n_l, n_r), coalesce(n_l, 0) AS n_l, coalesce(n_r, 0) AS n_r FROM img LEFT JOIN g USING (image_id)))"""
 
 
-def _side_fits() -> str:
-    parts = []
-    for side, near in (("l", "x BETWEEN 20 AND 29"), ("r", "x BETWEEN 34 AND 43")):
-        for c in "hs":
-            q = f"CASE WHEN {near} AND s_hat>0.1 AND h_hat>0 THEN {c}/{c}_hat END"
-            parts.append(f"regr_slope({q}, y) AS {c}{side}1, regr_intercept({q}, y) AS {c}{side}0")
-    return ", ".join(parts)
+def _beside(s):
+    """The prediction, and columns that are masked beside the range in some images."""
+    return s.predicted, s.col.withColumn("column_mask", F.expr("CASE WHEN image_id % 3 = 1 AND x >= 33 OR image_id % 5 = 2 AND x NOT BETWEEN 30 AND 32 THEN 1 ELSE column_mask END"))
+
+
+_SLOPES = [f"{c}_{side}{k}" for side in "lr" for c in "sh" for k in (0, 1)]
+
+
+@query(f"{MODEL}, {_factor_sql()} SELECT image_id, n_l, n_r, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in _SLOPES)} FROM f")
+def hue_repair_factors(s):
+    return rounded(fill.hue_repair_factors(*_beside(s), 30, 33), 6, *_SLOPES)
 
 
 _NEW_HUE = S.rgb("h2", "s2", "v")
 
 
-@query(f"""{MODEL}, q AS ({S.hsv('pred')}), f AS (SELECT image_id, {_side_fits()} FROM q GROUP BY 1),
-i AS (SELECT *, 1-(x-30)/3.0::DOUBLE AS p FROM q JOIN col USING (image_id, x) JOIN f USING (image_id) WHERE x>=30 AND x<33 AND column_mask=0 AND y BETWEEN sos AND eos),
-z AS (SELECT *, greatest(0,least(359.99,h_hat*(p*(hl0+hl1*y)+(1-p)*(hr0+hr1*y)))) AS h2, greatest(0,least(1,s_hat*(p*(sl0+sl1*y)+(1-p)*(sr0+sr1*y)))) AS s2 FROM i),
-n AS (SELECT *, {", ".join(f"{x} AS n_{c}" for c, x in _NEW_HUE.items())} FROM z),
-u AS (SELECT *, coalesce(CASE WHEN n_r-r<n_g-g AND n_r-r<n_b-b THEN r/nullif(n_r,0)::DOUBLE WHEN n_r-r>=n_g-g AND n_g-g<n_b-b THEN g/nullif(n_g,0)::DOUBLE ELSE b/nullif(n_b,0)::DOUBLE END, 1) AS rise FROM n WHERE n_r IS NOT NULL)
-SELECT image_id, x, y, {", ".join(f"CAST(least(65535, floor(n_{c}*rise+0.5)) AS INT) AS {c}" for c in "rgb")}, floor(greatest(n_r,n_g,n_b)*rise+0.5)>65535 AS clipped FROM u""")
+@query(f"""{MODEL}, {_factor_sql()},
+i AS (SELECT *, 1-(x-30)/3.0::DOUBLE AS p FROM q JOIN f USING (image_id) WHERE x>=30 AND x<33 AND column_mask=0 AND y BETWEEN sos AND eos),
+z AS (SELECT *, greatest(0,least(359.99,h_hat*(p*(h_l0+h_l1*y)+(1-p)*(h_r0+h_r1*y)))) AS h2, greatest(0,least(1,s_hat*(p*(s_l0+s_l1*y)+(1-p)*(s_r0+s_r1*y)))) AS s2 FROM i),
+nn AS (SELECT *, {", ".join(f"{x} AS new_{c}" for c, x in _NEW_HUE.items())} FROM z),
+u AS (SELECT *, coalesce(CASE WHEN new_r-r<new_g-g AND new_r-r<new_b-b THEN r/nullif(new_r,0)::DOUBLE WHEN new_r-r>=new_g-g AND new_g-g<new_b-b THEN g/nullif(new_g,0)::DOUBLE ELSE b/nullif(new_b,0)::DOUBLE END, 1) AS rise FROM nn)
+SELECT image_id, x, y, {", ".join(f"CAST(least(65535, floor(new_{c}*rise+0.5)) AS INT) AS {c}" for c in "rgb")}, floor(greatest(new_r,new_g,new_b)*rise+0.5)>65535 AS clipped FROM u""")
 def repair_sky_hue(s):
-    return fill.repair_sky_hue(s.predicted, s.col, 30, 33)
+    return fill.repair_sky_hue(*_beside(s), 30, 33)
 
 
 @query(None)
@@ -814,6 +847,7 @@ _SEEN = "FROM col WHERE column_mask=0"
   FROM pred, (VALUES (-1),(0),(1)) u(i), (VALUES (-1),(0),(1)) w(j) WHERE x%9=4 AND y%7=3),
 ed AS (SELECT image_id, l AS x0, r AS x1, t-1 AS y0, t AS y1 FROM rects UNION ALL SELECT image_id, l, r, b, b+1 FROM rects UNION ALL SELECT image_id, l-1, l, t, b FROM rects UNION ALL SELECT image_id, r, r+1, t, b FROM rects),
 every AS (SELECT image_id, x, least(24,manual_eos+2) AS y, 65535 AS r, 0 AS g, 0 AS b, 1 AS layer FROM col WHERE manual_eos IS NOT NULL
+UNION ALL SELECT image_id, x, y, 32767, 32767, 65535, 0 FROM px JOIN col USING (image_id, x) WHERE y BETWEEN raw_sos AND eos
 UNION ALL SELECT image_id, x, sos-1, 65535, 0, 0, 2 {_SEEN} UNION ALL SELECT image_id, x, raw_sos-1, 32767, 32767, 0, 3 {_SEEN}
 UNION ALL SELECT image_id, x, CAST(sos+floor((eos-sos)*0.5+0.5) AS INT)+k, 32767, 32767, 32767, 4 FROM col, (VALUES (0),(1)) t(k) WHERE column_mask=0
 UNION ALL SELECT image_id, x, least(24,eos+2+k), 0, 65535, 0, 5 FROM col, (VALUES (0),(1)) t(k) WHERE column_mask=0
@@ -822,7 +856,8 @@ UNION ALL SELECT image_id, px.x, px.y, 65535, 32767, 32767, 7 FROM px JOIN ed US
 SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(max_by(r, layer) AS INT) AS r, CAST(max_by(g, layer) AS INT) AS g, CAST(max_by(b, layer) AS INT) AS b, CAST(max(layer) AS INT) AS layer FROM every WHERE y BETWEEN 0 AND 24 GROUP BY 1, 2, 3""")
 def audit_marks(s):
     smp = s.predicted.filter("x % 9 = 4 AND y % 7 = 3").select("image_id", "x", "y", (F.greatest("r", "g", "b") / 65535.0 - F.col("v_hat")).alias("v_error"))
-    return overlays.audit_marks(s.col, smp, s.rects, W, H)
+    classes = masks.tag_sky(s.px.select("image_id", "x", "y").withColumn("pixel_class", F.lit(4)), s.col)
+    return overlays.audit_marks(s.col, smp, s.rects, W, H, classes=classes)
 
 
 _GRAY = "gp AS (SELECT *, (r+g+b)/3.0::DOUBLE/65535.0::DOUBLE AS gray FROM px)"
@@ -843,11 +878,20 @@ def bilateral_gray_rows(s):
     return rounded(repairs.bilateral_gray(s.px, 5, 0), 6, "smooth")
 
 
-@query(f"""{BASE}, {_GRAY}, st AS (SELECT image_id, x, y, avg(gray) OVER u AS m1, avg(gray) OVER d AS m2, stddev_samp(gray) OVER u AS s1, stddev_samp(gray) OVER d AS s2, count(*) OVER u AS n1, count(*) OVER d AS n2,
-{", ".join(f"avg({c}) OVER u AS {c}1, avg({c}) OVER d AS {c}2" for c in "rgb")} FROM gp WINDOW u AS ({YW} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), d AS ({YW} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
-SELECT image_id, x, y, round((m1-m2)/nullif(sqrt(s1*s1/n1+s2*s2/nullif(n2,0)),0), 4) AS t, round(m1-m2, 6) AS mean_diff, round(sqrt(pow(r1-r2,2)+pow(g1-g2,2)+pow(b1-b2,2))/nullif(sqrt(r1*r1+g1*g1+b1*b1),0), 6) AS color_dist, round(s1/nullif(m1,0)-s2/nullif(m2,0), 6) AS cv_diff FROM st""")
+_TWO = ", ".join(f"avg({c}/65535.0::DOUBLE) OVER u AS {c}1, avg({c}/65535.0::DOUBLE) OVER d AS {c}2, stddev_samp({c}/65535.0::DOUBLE) OVER u AS {c}3, stddev_samp({c}/65535.0::DOUBLE) OVER d AS {c}4" for c in "rgb")
+
+
+@query(f"""{BASE}, st AS (SELECT image_id, x, y, {_TWO} FROM px WINDOW u AS ({YW} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), d AS ({YW} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
+SELECT image_id, x, y, {", ".join(f"round(({c}1-{c}2)/nullif(sqrt({c}3*{c}3/10+{c}4*{c}4/5),0), 4) AS t_{c}" for c in "rgb")}, round({"+".join(f"abs({c}1-{c}2)" for c in "rgb")}, 6) AS mean_diff,
+round(sqrt({"+".join(f"pow(({c}2-{c}1)/nullif({c}1,0),2)" for c in "rgb")}), 6) AS color_dist, round(({"+".join(f"abs(coalesce({c}4/nullif({c}2,0),0)-coalesce({c}3/nullif({c}1,0),0))" for c in "rgb")})/3, 6) AS cv_diff FROM st WHERE y BETWEEN 9 AND 19""")
 def two_band_profile(s):
-    return rounded(repairs.two_band_profile(s.px), 6, "mean_diff", "color_dist", "cv_diff").withColumn("t", F.round("t", 4))
+    d = rounded(repairs.two_band_profile(s.px), 6, "mean_diff", "color_dist", "cv_diff")
+    return rounded(d, 4, "t_r", "t_g", "t_b")
+
+
+@query(None)
+def two_band_probability(s):
+    return repairs.two_band_probability(s.px)
 
 
 @query(f"""{BASE}, {_GRAY}, near AS (SELECT a.image_id, a.x, a.eos, b.x AS nx, b.eos AS n_eos FROM col a JOIN col b ON a.image_id=b.image_id AND abs(a.x-b.x)=1 AND b.eos-a.eos>2),
