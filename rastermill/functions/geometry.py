@@ -48,15 +48,27 @@ def sun_weight(px: Column, py: Column, sun_px: Column, sun_py: Column, aspect: C
     return f * F.sqrt(F.when(r < 1, 1.0).otherwise(1 - 1 / (1 + F.exp(5 - 10 * (r - 1)))))
 
 
-def cie_luminance(px: Column, py: Column, py_level: Column, sun_px: Column, sun_py: Column, horizon_py: Column, fov_x: Column, fov_y: Column, a: Column, b: Column, c: Column, d: Column, e: Column) -> Column:
-    """General sky luminance; py_level is py from adjust_horizon(). Within the sun's disc the angle is 0, and the zenith
-    angle stays above the horizon."""
+def sun_angle(px: Column, py: Column, sun_px: Column, sun_py: Column, fov_x: Column, fov_y: Column) -> Column:
+    """Angle to the sun as a distance in the picture; 0 within the sun's disc."""
     gamma = F.sqrt(F.pow((px - sun_px) * fov_x, F.lit(2.0)) + F.pow((py - sun_py) * fov_y, F.lit(2.0)))
-    gamma = F.when(gamma < math.radians(0.533) / 2, 0.0).otherwise(gamma)
-    theta = F.least(math.pi / 2 - (py_level - horizon_py) * fov_y, F.lit(math.pi / 2 - 0.01))
+    return F.when(gamma < math.radians(0.533) / 2, 0.0).otherwise(gamma)
+
+
+def zenith_angle(py_level: Column, horizon_py: Column, fov_y: Column) -> Column:
+    """Angle to the zenith, above the horizon; py_level is py from adjust_horizon()."""
+    return F.least(math.pi / 2 - (py_level - horizon_py) * fov_y, F.lit(math.pi / 2 - 0.01))
+
+
+def luminance(gamma: Column, theta: Column, a: Column, b: Column, c: Column, d: Column, e: Column) -> Column:
+    """General sky luminance by the angles to the sun and to the zenith."""
     return (1 + a * F.exp(b / F.cos(theta))) * (1 + c * (F.exp(d * gamma) - F.exp(d * (math.pi / 2))) + e * F.pow(F.cos(gamma), F.lit(2.0)))
 
 
+def cie_luminance(px: Column, py: Column, py_level: Column, sun_px: Column, sun_py: Column, horizon_py: Column, fov_x: Column, fov_y: Column, a: Column, b: Column, c: Column, d: Column, e: Column) -> Column:
+    """luminance() at a place of the picture."""
+    return luminance(sun_angle(px, py, sun_px, sun_py, fov_x, fov_y), zenith_angle(py_level, horizon_py, fov_y), a, b, c, d, e)
+
+
 def sun_glow(gamma: Column, c: Column, d: Column) -> Column:
     """Luminance by nearness to the sun alone: gamma is the angle to the sun (0 within its disc)."""
     near = F.when(gamma < math.radians(0.533) / 2, 0.0).otherwise(gamma)

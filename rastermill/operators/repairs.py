@@ -19,18 +19,24 @@ def with_gray(px: DataFrame) -> DataFrame:
 
 
 def bilateral_gray(px: DataFrame, dx: int = 2, dy: int = 2, alpha: float = 2.0, beta: float = 0.1) -> DataFrame:
-    """image_id, x, y, smooth: grey averaged over a box with Gaussian weights of distance and of difference in grey.
+    """image_id, x, y, smooth: grey averaged over a box with Gaussian weights of distance and of difference in grey; pixels that
+    are missing count for nothing.
 
-    dy = 0 gives the filter along rows. The box is gathered by a window along the row and one along the column, each of
-    bounded width, so no neighbour is joined.
+    dy = 0 gives the filter along rows. Neighbours along the row become columns by one window, their neighbours along the
+    column by another, so no neighbour is joined and no list is built.
     """
+
+    def beside(value: str, k: int, place: str, w) -> Column:
+        at = lambda c: F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w)
+        return F.col(value) if k == 0 else F.when(at(place) == F.col(place) + k, at(value))
+
     d = with_gray(px).select("image_id", "x", "y", "gray")
-    d = d.withColumn("across", F.collect_list(F.struct("x", "y", "gray")).over(by_row().rangeBetween(-dx, dx)))
-    d = d.withColumn("box", F.flatten(F.collect_list("across").over(by_y().rangeBetween(-dy, dy))))
-    square = lambda c: F.pow(c, F.lit(2.0))
-    weight = lambda q: F.exp(-(square(q["x"] - F.col("x")) + square(q["y"] - F.col("y"))) / (2 * alpha**2) - square(q["gray"] - F.col("gray")) / (2 * beta**2))
-    total = lambda f: F.aggregate("box", F.lit(0.0), lambda acc, q: acc + f(q))
-    return d.select("image_id", "x", "y", (total(lambda q: weight(q) * q["gray"]) / total(weight)).alias("smooth"))
+    d = d.withColumns({f"_{k + dx}": beside("gray", k, "x", by_row()) for k in range(-dx, dx + 1)})
+    box = {(k, j): f"_{k + dx}_{j + dy}" for k in range(-dx, dx + 1) for j in range(-dy, dy + 1)}
+    d = d.withColumns({name: beside(f"_{k + dx}", j, "y", by_y()) for (k, j), name in box.items()})
+    weight = {name: F.exp(-(k * k + j * j) / (2 * alpha**2) - F.pow(F.col(name) - F.col("gray"), F.lit(2.0)) / (2 * beta**2)) for (k, j), name in box.items()}
+    total = lambda f: sum(F.coalesce(f(name), F.lit(0.0)) for name in box.values())
+    return d.select("image_id", "x", "y", (total(lambda n: weight[n] * F.col(n)) / total(lambda n: weight[n])).alias("smooth"))
 
 
 def two_band_profile(px: DataFrame, above: int = 10, below: int = 5) -> DataFrame:

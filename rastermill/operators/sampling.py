@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import rgb_to_hsv
+from ..functions.geometry import luminance
+from ..sources.store import saved
 
 
 def sample_grid_spec(col: DataFrame, width: int, height: int, samples: int = 1000, across: int = 100) -> DataFrame:
@@ -39,8 +41,10 @@ def image_sky_color(smp: DataFrame) -> DataFrame:
 def close_neighbors(smp: DataFrame) -> DataFrame:
     """Adds n_close: other samples of the image with ds^2 + dv^2 < .005, ds^2 + dx^2 < .01 and dh^2 + dv^2 < 36.
 
-    Samples are dealt into cells of the radius in saturation and px; one side is copied to the 9 cells around.
+    Samples are dealt into cells of the radius in saturation and px; one side is copied to the 9 cells around. They are
+    written first, since they are read three times.
     """
+    smp = saved(smp, "samples")
     a = smp.withColumns({"cs": F.floor(F.col("s") / 0.0708), "cx": F.floor(F.col("px") / 0.1)})
     b = a.select("image_id", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("h").alias("h2"), F.col("s").alias("s2"), F.col("v").alias("v2"), F.col("px").alias("px2"), "cs", "cx")
     b = b.withColumn("cs", F.explode(F.sequence(F.col("cs") - 1, F.col("cs") + 1))).withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)))
@@ -110,12 +114,18 @@ def sun_grid(spark: SparkSession, fov: float) -> DataFrame:
     return d.select("sun", ((F.floor(F.col("sun") / 4) * 10 - 180) / fov).alias("sx"), (F.col("sun") % 4 * 0.5).alias("sy"))
 
 
-def score_sky_grid(smp: DataFrame, params: DataFrame, suns: DataFrame, luminance) -> DataFrame:
-    """(image_id, type, sun, sse): every sample under every parameter set and sun position. The two sides of the grid are
-    fixed lists (16 sets, 148 positions) and are broadcast; sums are made where the samples are."""
-    grid = F.broadcast(params.crossJoin(suns))
-    d = smp.crossJoin(grid)
-    return d.groupBy("image_id", "type", "sun").agg(F.sum(F.pow(F.col("v") - luminance, F.lit(2.0))).alias("sse"))
+def score_sky_grid(smp: DataFrame, suns: DataFrame, gamma: Column, theta: Column, scale: float = 1.0, sets: list[tuple] = SKY_SETS) -> DataFrame:
+    """(image_id, type, sun, sse): every sample under every parameter set and sun position, luminance times `scale` against its
+    value. gamma (of the sample's columns and sx, sy) and theta are the angles to the sun and to the zenith.
+
+    The positions are a fixed list of 148 and are broadcast; a sample's angle to a position is worked out once for all
+    sets, whose errors are columns of one aggregate. Sums are made where the samples are.
+    """
+    d = smp.withColumn("theta", theta).crossJoin(F.broadcast(suns)).withColumn("gamma", gamma)
+    error = lambda p: F.col("v") - luminance(F.col("gamma"), F.col("theta"), *[F.lit(float(x)) for x in p]) * scale
+    sums = d.groupBy("image_id", "sun").agg(*[F.sum(F.pow(error(s[2:]), F.lit(2.0))).alias(f"t{s[0]}") for s in sets])
+    each = F.explode(F.array(*[F.struct(F.lit(s[0]).alias("type"), F.col(f"t{s[0]}").alias("sse")) for s in sets])).alias("e")
+    return sums.select("image_id", "sun", each).select("image_id", "e.type", "sun", "e.sse")
 
 
 def best_sky_grid(scores: DataFrame) -> DataFrame:

@@ -496,10 +496,10 @@ sc AS (SELECT image_id, type, sun, sum(pow(v-{_CIE}/10,2)) AS sse FROM q GROUP B
 
 
 def _scores(s):
-    params, suns = sampling.sky_sets(s.spark), sampling.sun_grid(s.spark, S.FOV)
-    c = F.col
-    lum = geometry.cie_luminance(c("px"), c("py"), c("py"), c("sx"), c("sy"), F.lit(S.HORIZON), F.radians(F.lit(S.FOV)), F.radians(F.lit(S.FOV)) * H / W, c("ca"), c("cb"), c("cc"), c("cd"), c("ce"))
-    return sampling.score_sky_grid(s.samples(), params, suns, lum / 10)
+    c, fov = F.col, F.radians(F.lit(S.FOV))
+    gamma = geometry.sun_angle(c("px"), c("py"), c("sx"), c("sy"), fov, fov * H / W)
+    theta = geometry.zenith_angle(c("py"), F.lit(S.HORIZON), fov * H / W)
+    return sampling.score_sky_grid(s.samples(), sampling.sun_grid(s.spark, S.FOV), gamma, theta, 0.1)
 
 
 @query(f"{_GRID} SELECT image_id, type, sun, round(sse, 2) AS sse FROM sc")
@@ -1060,7 +1060,7 @@ def fill_vertical_gaps(s):
 
 
 def _flagged(s):
-    return saved(sampling.flag_outliers(sampling.close_neighbors(saved(s.samples(), "samples"))), "samples")
+    return saved(sampling.flag_outliers(sampling.close_neighbors(s.samples())), "samples")
 
 
 def _cameras(s):
