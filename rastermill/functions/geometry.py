@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import with_image
+
 
 def with_relative_xy(px: DataFrame, images: DataFrame) -> DataFrame:
     """Adds px (-0.5 .. 0.5) and py (1 at the top). images has a row for each image and is joined by its key."""
-    d = px.join(images.select("image_id", "width", "height"), "image_id")
+    d = with_image(px, images.select("image_id", "width", "height"))
     return d.withColumns({"px": F.col("x") / (F.col("width") - 1) - 0.5, "py": 1 - F.col("y") / (F.col("height") - 1)}).drop("width", "height")
 
 

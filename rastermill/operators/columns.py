@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import model
 from ..functions.color import TRANSPARENT, is_black, is_nonblack, luma709, rgb_to_hsv
+from ..functions.keys import of_image
 
 
 def by_y():
@@ -68,7 +69,8 @@ def end_of_sky_scan(px: DataFrame, col: DataFrame, h_tol: float = 360.0, s_tol:
     stats = stats.join(local_scan_start(col).select("image_id", "x", "scan_y"), ["image_id", "x"])
     bad = (F.col("y") >= F.col("scan_y")) & ((F.col("dh") > h_tol) | (F.col("ds") > s_tol) | (F.col("dv") > v_tol))
     if rects is not None:
-        inside = px.join(rects, "image_id").filter("x BETWEEN l AND r AND y BETWEEN t AND b").select("image_id", "x", "y").distinct().withColumn("in_rect", F.lit(True))
+        at = rects.select("image_id", "t", "b", F.explode(F.sequence("l", "r")).alias("x"))
+        inside = px.join(at, ["image_id", "x"]).filter("y BETWEEN t AND b").select("image_id", "x", "y").distinct().withColumn("in_rect", F.lit(True))
         stats = stats.join(inside, ["image_id", "x", "y"], "left")
         bad &= F.col("in_rect").isNull()
     stats = stats.withColumns({"bad": bad, "grows": F.coalesce(F.lead("dv").over(by_y()) > F.col("dv"), F.lit(False))})
@@ -219,8 +221,8 @@ def sobel_strength(px: DataFrame) -> DataFrame:
 def horizontal_smooth(px: DataFrame, col: DataFrame, reach: int = 50) -> DataFrame:
     """Adds means along rows over the unmasked columns from x - reach to x + reach - 1, for rows above the highest sky end of
     the image; other rows are left out."""
-    ends = col.filter("column_mask = 0").groupBy("image_id").agg(F.min("eos").alias("lowest"))
-    d = px.join(col.select("image_id", "x", "column_mask"), ["image_id", "x"]).join(ends, "image_id").filter(F.col("y") < F.col("lowest"))
+    c = col.select("image_id", "x", "column_mask", of_image(F.min(F.when(F.col("column_mask") == 0, F.col("eos")))).alias("lowest"))
+    d = px.join(c, ["image_id", "x"]).filter(F.col("y") < F.col("lowest"))
     w = by_row().rangeBetween(-reach, reach - 1)
     return d.withColumns({f"{c}_smooth": F.avg(F.when(F.col("column_mask") == 0, F.col(c))).over(w) for c in "rgb"}).drop("lowest", "column_mask")
 
@@ -269,9 +271,10 @@ def box_filter(px: DataFrame, col: DataFrame, dx: int = 4, dy: int = 6, passes:
 
 
 def row_extents(col: DataFrame, flag: int) -> DataFrame:
-    """(image_id, y0, y1): the rows that even_out_rows() works on; one row for each image."""
-    first = F.min("sos") if flag == 2 else F.lit(0)
-    return col.groupBy("image_id").agg(first.cast("int").alias("y0"), (F.max("sos") if flag == 1 else F.max("eos")).cast("int").alias("y1"))
+    """(image_id, x, sos, eos, y0, y1): columns with the rows of their image that even_out_rows() works on."""
+    first = of_image(F.min("sos")) if flag == 2 else F.lit(0)
+    last = of_image(F.max("sos") if flag == 1 else F.max("eos"))
+    return col.select("image_id", "x", "sos", "eos", first.cast("int").alias("y0"), last.cast("int").alias("y1"))
 
 
 def row_means(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
@@ -280,7 +283,7 @@ def row_means(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
     flag 0: from the top to the lowest end of sky; 1: from the top to the lowest start; 2: from the highest start to the
     lowest end, of columns whose sky has begun.
     """
-    d = px.join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).join(row_extents(col, flag), "image_id")
+    d = px.join(row_extents(col, flag), ["image_id", "x"])
     d = d.filter("y BETWEEN y0 AND y1 AND y <= eos" + (" AND y >= sos" if flag == 2 else ""))
     return d.groupBy("image_id", "y").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"], F.count("*").alias("n"))
 
@@ -293,7 +296,7 @@ def even_out_rows(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
     in every column. The row means are joined by (image, row).
     """
     means = row_means(px, col, flag).drop("n")
-    d = px.join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).join(row_extents(col, flag), "image_id").join(means, ["image_id", "y"], "left")
+    d = px.join(row_extents(col, flag), ["image_id", "x"]).join(means, ["image_id", "y"], "left")
     inside = F.col("y").between(F.col("y0"), F.col("y1")) & F.col("mean_r").isNotNull()
     if flag == 0:
         w = F.when(F.col("y") <= F.col("eos"), 1 - F.col("y") / F.nullif("y1", F.lit(0)))
@@ -335,9 +338,9 @@ def interpolate_masked_columns(px: DataFrame, col: DataFrame, masks: DataFrame)
     below the lowest start of sky of those columns. Ranges at an edge of the image give none."""
     m = masks.filter("kind = 'column'").select("image_id", F.col("l").alias("from_x"), F.col("r").alias("to_x"))
     rows = m.join(col.select("image_id", "x", "sos"), "image_id").filter("x BETWEEN from_x - 1 AND to_x").groupBy("image_id", "from_x", "to_x").agg((F.max("sos") + 10).alias("rows"))
-    near = px.join(rows, "image_id").filter(F.col("y") < F.col("rows"))
-    inside = near.filter("x BETWEEN from_x AND to_x").select("image_id", "x", "y", "from_x", "to_x")
-    side = lambda at, p: near.filter(F.col("x") == F.expr(at)).select("image_id", "y", "from_x", *[F.col(c).alias(f"{p}{c}") for c in "rgb"])
+    at = lambda x: px.join(rows.withColumn("x", x), ["image_id", "x"]).filter(F.col("y") < F.col("rows"))
+    inside = at(F.explode(F.sequence("from_x", "to_x"))).select("image_id", "x", "y", "from_x", "to_x")
+    side = lambda x, p: at(F.expr(x)).select("image_id", "y", "from_x", *[F.col(c).alias(f"{p}{c}") for c in "rgb"])
     d = inside.join(side("from_x - 1", "a"), ["image_id", "y", "from_x"]).join(side("to_x + 1", "b"), ["image_id", "y", "from_x"])
     w = (F.col("x") - F.col("from_x") + 1) / (F.col("to_x") - F.col("from_x") + 3)
     return d.select("image_id", "x", "y", *[F.floor(F.col(f"a{c}") * (1 - w) + F.col(f"b{c}") * w).cast("int").alias(c) for c in "rgb"], F.lit(65535).alias("a"))
@@ -351,8 +354,8 @@ def clear_black_edges(px: DataFrame, col: DataFrame) -> DataFrame:
     right until 10 columns have nothing to clear after one that had; and runs left of a transparent one from right to left.
     Masked columns end a run. Each of the three steps reads the pixels as the one before left them.
     """
-    d = px.join(col.select("image_id", "x", "raw_sos", "column_mask"), ["image_id", "x"])
-    d = d.join(F.broadcast(col.groupBy("image_id").agg(F.min("sos").alias("low"), F.max("sos").alias("high"))), "image_id")
+    c = col.select("image_id", "x", "raw_sos", "column_mask", of_image(F.min("sos")).alias("low"), of_image(F.max("sos")).alias("high"))
+    d = px.join(c, ["image_id", "x"])
     black, up = is_black() & (F.col("a") >= TRANSPARENT), Window.partitionBy("image_id", "x").orderBy(F.desc("y"))
     above = (F.col("y") < F.col("raw_sos")) & (F.col("y") > 0) & (F.col("column_mask") == 0)
     d = d.withColumns({"black": black, "above": above}).withColumn("good", (F.col("above") & ~F.col("black")).cast("int"))

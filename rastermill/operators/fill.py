@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, model
 from ..functions.color import rgb_to_hsv
-
-
-#: Blocks of columns that an image's pixels are dealt to where they meet its model.
-BLOCKS = 16
+from ..functions.keys import of_image, with_image
 
 
 def with_model(px: DataFrame, models: DataFrame) -> DataFrame:
-    """Attaches the model of the image; models is one row for each image, and so small that Spark broadcasts it as long as it
-    may. Else its rows are copied to BLOCKS blocks of columns, so that no image's pixels go to one task."""
-    d = px.withColumn("_block", F.col("x") % BLOCKS)
-    copies = models.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    return d.join(copies, ["image_id", "_block"]).drop("_block")
+    """Attaches the model of the image; models is one row for each image."""
+    return with_image(px, models)
 
 
 def predicted_places(d: DataFrame, width=None, height=None, light: str = "model") -> DataFrame:
@@ -115,9 +109,9 @@ def dark_top_check(models: DataFrame, smp: DataFrame, width=None, height=None, l
 def zenith_extents(col: DataFrame, end_factor: float) -> DataFrame:
     """col with the sky's extents that a blend towards the zenith takes, one for all columns of an image: sos is the largest
     start; eos stands the share end_factor of the way from the least to the largest end. Extents are of unmasked columns."""
-    seen = lambda f, c: f(F.when(F.col("column_mask") == 0, F.col(c)))
-    of = col.groupBy("image_id").agg(seen(F.max, "sos").alias("_sos"), F.floor(end_factor * seen(F.max, "eos") + (1 - end_factor) * seen(F.min, "eos")).cast("int").alias("_eos"))
-    return col.join(F.broadcast(of), "image_id").withColumns({"sos": F.coalesce("_sos", "sos"), "eos": F.coalesce("_eos", "eos")}).drop("_sos", "_eos")
+    seen = lambda f, c: of_image(f(F.when(F.col("column_mask") == 0, F.col(c))))
+    end = F.floor(end_factor * seen(F.max, "eos") + (1 - end_factor) * seen(F.min, "eos")).cast("int")
+    return col.withColumns({"sos": F.coalesce(seen(F.max, "sos"), "sos"), "eos": F.coalesce(end, "eos")})
 
 
 def towards_zenith(d: DataFrame, predicted: DataFrame, col: DataFrame, depth: float, factors: tuple[float, float, float]) -> DataFrame:
@@ -127,7 +121,8 @@ def towards_zenith(d: DataFrame, predicted: DataFrame, col: DataFrame, depth: fl
     hue = F.col("h_zenith") + factors[0]
     hue = F.when(hue < 0, hue + 360).when(hue > 360, hue - 360).otherwise(hue)
     zenith = zenith.select("image_id", model.predicted_rgb(F.least(hue, F.lit(359.99)), F.col("s_zenith"), F.col("v_zenith")).alias("zenith"))
-    d = d.join(F.broadcast(zenith), "image_id", "left").withColumn("last", F.floor(F.col("feather_end") * depth + 0.5))
+    of = col.select("image_id", "x").join(zenith, "image_id")
+    d = d.join(of, ["image_id", "x"], "left").withColumn("last", F.floor(F.col("feather_end") * depth + 0.5))
     share = F.coalesce((F.col("last") - F.col("y")) / F.nullif("last", F.lit(0)), F.lit(0.0))
     mixed = [F.floor(share * F.col(f"zenith.{c}") + (1 - share) * F.col(f"hat.{c}") + 0.5).cast("int").alias(c) for c in "rgb"]
     return d.withColumn("hat", F.when((F.col("y") <= F.col("last")) & F.col("zenith").isNotNull(), F.struct(*mixed)).otherwise(F.col("hat"))).drop("zenith", "last")
@@ -188,7 +183,8 @@ def replace_sky(predicted: DataFrame, col: DataFrame, depth: float = 0.5, suns:
         d = towards_zenith(d, predicted, col, zenith, factors)
     near_sun = F.lit(0.0)
     if suns is not None:
-        d = d.join(F.broadcast(suns.select("image_id", (F.col("height") / F.col("width")).alias("aspect"), F.col("sun_px").alias("sx"), F.col("sun_py").alias("sy"), "cf", "cg")), "image_id")
+        of = suns.select("image_id", (F.col("height") / F.col("width")).alias("aspect"), F.col("sun_px").alias("sx"), F.col("sun_py").alias("sy"), "cf", "cg")
+        d = d.join(col.select("image_id", "x").join(of, "image_id"), ["image_id", "x"])
         near_sun = geometry.sun_weight(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"), F.col("aspect"), F.col("cf"), F.col("cg"))
     length = F.col("feather_end") - F.col("sos")
     linear = model.clamp01(1 - F.coalesce((F.col("y") - F.col("sos")) / F.nullif(length, F.lit(0)), F.lit(1.0)))
@@ -269,8 +265,8 @@ def repair_sky_hue(predicted: DataFrame, col: DataFrame, l: int, r: int, reach:
     """
     y = F.col("y").cast("double")
     d = predicted.filter((F.col("x") >= l) & (F.col("x") < r)).withColumn("v", rgb_to_hsv("r", "g", "b")["v"])
-    d = d.join(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y BETWEEN sos AND eos")
-    inside = d.join(F.broadcast(hue_repair_factors(predicted, col, l, r, reach)), "image_id")  # a row an image
+    of = col.filter("column_mask = 0").select("image_id", "x", "sos", "eos").join(hue_repair_factors(predicted, col, l, r, reach), "image_id")
+    inside = d.join(of, ["image_id", "x"]).filter("y BETWEEN sos AND eos")
     left = 1 - (F.col("x") - l) / float(r - l)
     factor = lambda c: left * (F.col(f"{c}_l0") + F.col(f"{c}_l1") * y) + (1 - left) * (F.col(f"{c}_r0") + F.col(f"{c}_r1") * y)
     inside = inside.withColumn("new", model.predicted_rgb(F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * factor("h"))), F.col("s_hat") * factor("s"), F.col("v")))

@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.keys import of_image, with_image
 from ..sources.store import saved
-from pyspark.sql.types import StructType
 
 
 def ols_report(df: DataFrame, keys: list[str], xs: list[str], y: str, w: Column | None = None) -> DataFrame:
@@ -123,9 +124,9 @@ def end_of_sky_regression(px: DataFrame, col: DataFrame, height: int, ratio: flo
     second window overlaps the first and shares its bad fits.
     """
     half = strip // 2
-    last = col.groupBy("image_id").agg(F.greatest(F.floor((F.max("x") + 1) / strip) - 1, F.lit(0)).alias("last"))
-    d = px.select("image_id", "x", "y", "r", "g", "b", (F.col(masked) if masked else F.lit(False)).alias("m")).join(col.select("image_id", "x", "sos"), ["image_id", "x"])
-    d = d.join(last, "image_id").withColumn("strip", F.least(F.floor(F.col("x") / strip), F.col("last")).cast("int")).drop("last")
+    last = F.greatest(F.floor((of_image(F.max("x")) + 1) / strip) - 1, F.lit(0)).alias("last")
+    d = px.select("image_id", "x", "y", "r", "g", "b", (F.col(masked) if masked else F.lit(False)).alias("m")).join(col.select("image_id", "x", "sos", last), ["image_id", "x"])
+    d = d.withColumn("strip", F.least(F.floor(F.col("x") / strip), F.col("last")).cast("int")).drop("last")
 
     def window(v, m, sos, eos, bad, lo):
         cols = np.arange(lo, min(lo + strip, v.shape[1]))
@@ -197,13 +198,13 @@ def cluster_errors(errors: DataFrame, k: int = 4, rounds: int = 100, least_moves
     near = lambda d: d.withColumn("dist", F.transform("centres", lambda c: apart(c, F.col("p")))).withColumn("cluster", (F.array_position("dist", F.array_min("dist")) - 1).cast("int"))
     centres = px.groupBy("image_id").agg(F.array(F.struct(*[F.avg(f"p.{c}").alias(c) for c in "rgb"])).alias("centres"))
     for n in range(k):
-        far = px.join(centres, "image_id").withColumn("d", F.array_min(F.transform("centres", lambda c: apart(c, F.col("p")))))
+        far = with_image(px, centres).withColumn("d", F.array_min(F.transform("centres", lambda c: apart(c, F.col("p")))))
         new = far.groupBy("image_id").agg(F.max_by("p", F.struct("d", -F.col("y"), -F.col("x"))).alias("new"))
         both = centres.join(new, "image_id")
         centres = saved(both.select("image_id", (F.array("new") if n == 0 else F.concat("centres", F.array("new"))).alias("centres")), "centres")
     counts = None
     for _ in range(rounds):
-        each = near(px.join(centres, "image_id")).groupBy("image_id", "cluster").agg(F.count("*").alias("n"), F.struct(*[F.avg(f"p.{c}").alias(c) for c in "rgb"]).alias("c"))
+        each = near(with_image(px, centres)).groupBy("image_id", "cluster").agg(F.count("*").alias("n"), F.struct(*[F.avg(f"p.{c}").alias(c) for c in "rgb"]).alias("c"))
         found = each.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("cluster", F.struct("n", "c").alias("v")))).alias("found"))
         moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("found", i)["c"], c))
         sizes = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("found", i)["n"], F.lit(0)))
@@ -215,4 +216,4 @@ def cluster_errors(errors: DataFrame, k: int = 4, rounds: int = 100, least_moves
                 break
         counts = step.select("image_id", F.col("sizes").alias("before"))
     sky = F.array_position(F.transform("centres", lambda c: c["b"]), F.array_max(F.transform("centres", lambda c: c["b"]))) - 1
-    return near(px.join(centres, "image_id")).select("image_id", "x", "y", "cluster", (F.col("cluster") == sky).alias("is_sky"))
+    return near(with_image(px, centres)).select("image_id", "x", "y", "cluster", (F.col("cluster") == sky).alias("is_sky"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import is_seen
+from ..functions.keys import of_image
 from ..functions.model import barycentric_blend
 from ..sources.store import saved
 from .columns import by_row, by_x, by_y
@@ -103,9 +104,10 @@ def fill_vertical_gaps(px: DataFrame, col: DataFrame, height: int, width: int =
     and gaps without a fit at both ends. All fits see the pixels as they came."""
     d = px.join(col.select("image_id", "x", "raw_sos", "column_mask"), ["image_id", "x"])
     d = d.filter((F.col("y") >= F.col("raw_sos")) & (F.col("y") < height * 3 // 4)).withColumn("gap", F.col("a") < 32767)
-    any_gap = d.groupBy("image_id", "x").agg(F.max("gap").alias("any")).groupBy("image_id").agg(F.min(F.when(~F.col("any"), F.col("x"))).alias("first_x"), F.max(F.when(~F.col("any"), F.col("x"))).alias("last_x"))
+    whole_x = F.when(~F.col("any"), F.col("x"))
+    inner = d.groupBy("image_id", "x").agg(F.max("gap").alias("any")).select("image_id", "x", of_image(F.min(whole_x)).alias("first_x"), of_image(F.max(whole_x)).alias("last_x"))
     below = F.min(F.when(~F.col("gap"), F.col("y"))).over(by_y().rowsBetween(1, Window.unboundedFollowing))
-    gaps = d.withColumn("below", below).filter("gap AND below IS NOT NULL AND column_mask = 0").join(any_gap, "image_id").filter("x > first_x AND x < last_x")
+    gaps = d.withColumn("below", below).filter("gap AND below IS NOT NULL AND column_mask = 0").join(inner, ["image_id", "x"]).filter("x > first_x AND x < last_x")
     gaps = saved(gaps.groupBy("image_id", "x", "below").agg(F.min("y").alias("top")), "gaps")
     ends = gaps.select("image_id", F.col("x").alias("cx"), F.explode(F.array("top", "below")).alias("cy"))
     fits = saved(local_fits(px, col, ends, width), "fits")
@@ -169,9 +171,8 @@ def clean_vertical_edges(px: DataFrame, col: DataFrame, width: int = 2) -> DataF
     """image_id, x, y, r, g, b of the pixels beside transparent ones that differ from those around: local fits, without a second
     try, at the transparent pixel left of one that is not and at the one left of a transparent one, in the rows between the
     image's least and largest start of sky. Fits see all of the sky, as it came."""
-    rows = col.groupBy("image_id").agg(F.min("sos").alias("first"), F.max("sos").alias("last"))
-    mask = col.select("image_id", "x", "column_mask")
-    d = px.join(F.broadcast(rows), "image_id").filter("y BETWEEN first AND last").join(mask, ["image_id", "x"])
+    c = col.select("image_id", "x", "column_mask", of_image(F.min("sos")).alias("first"), of_image(F.max("sos")).alias("last"))
+    d = px.join(c, ["image_id", "x"]).filter("y BETWEEN first AND last")
     d = d.withColumns({"clear": F.col("a") < 16384, "next": F.lead(F.struct("x", (F.col("a") < 16384).alias("clear"), "column_mask")).over(by_row())})
     d = d.filter("next.x = x + 1 AND clear <> next.clear").filter("CASE WHEN clear THEN next.column_mask ELSE column_mask END = 0")
     places = d.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
@@ -183,13 +184,12 @@ def fill_side_edges(px: DataFrame, col: DataFrame, share: int = 40) -> DataFrame
     stands within the outer 1 / share of the image's width: the local fit at it, drawn on to the side. The rows are those
     between the least and the largest start of those columns, the fits ten times as wide as the gap, 20 at most, of every
     second pixel. Masked columns stay; rows without a seen pixel there, or without a fit, give none."""
-    wide = col.groupBy("image_id").agg((F.max("x") + 1).alias("w")).withColumn("band", F.floor(F.col("w") / share).cast("int"))
-    c = col.join(wide, "image_id")
+    c = col.withColumn("w", of_image(F.max("x")) + 1).withColumn("band", F.floor(F.col("w") / share).cast("int"))
     out = []
     for left in (True, False):
         outer = c.filter("x < band" if left else "x >= w - 1 - band").filter("band > 0")
-        rows = outer.groupBy("image_id", "w", "band").agg(F.min("sos").alias("first"), F.max("sos").alias("last"))
-        d = px.join(F.broadcast(rows), "image_id").filter("y BETWEEN first AND last").filter("x < band" if left else "x > w - 1 - band")
+        outer = outer.select("image_id", "x", "w", "band", of_image(F.min("sos")).alias("first"), of_image(F.max("sos")).alias("last"))
+        d = px.join(outer, ["image_id", "x"]).filter("y BETWEEN first AND last").filter("x < band" if left else "x > w - 1 - band")
         good = (F.min if left else F.max)(F.when(is_seen(), F.col("x")))
         ends = d.groupBy("image_id", "w", "y").agg(good.alias("cx")).filter("cx IS NOT NULL").withColumn("gap", F.col("cx") if left else F.col("w") - F.col("cx"))
         ends = ends.filter("gap > 0" if left else "gap > 1")
@@ -214,8 +214,8 @@ def overhang_holes(px: DataFrame, col: DataFrame) -> DataFrame:
     c = col.select("image_id", "x", "sos", "column_mask", ahead.alias("n")).filter("n.x = x + 1 AND column_mask = 0 AND abs(n.sos - sos) > 1")
     c = c.select("image_id", F.col("x").alias("at"), (F.col("n.sos") > F.col("sos")).alias("left"), F.least("sos", "n.sos").alias("top"), F.greatest("sos", "n.sos").alias("bottom"))
     c = saved(c, "steps")
-    rows = c.groupBy("image_id").agg(F.min("top").alias("first"), F.max("bottom").alias("last"))  # a row an image with steps
-    d = px.join(F.broadcast(rows), "image_id").filter("y > first AND y < last").withColumn("seen", F.when(is_seen(), F.col("x")))
+    rows = c.groupBy("image_id").agg(F.min("top").alias("first"), F.max("bottom").alias("last"))
+    d = px.join(col.select("image_id", "x").join(rows, "image_id"), ["image_id", "x"]).filter("y > first AND y < last").withColumn("seen", F.when(is_seen(), F.col("x")))
     inner = F.when(F.col("x") > 0, F.col("seen"))
     d = d.withColumns({"to_left": F.last(inner, True).over(by_row().rowsBetween(Window.unboundedPreceding, 0)), "to_right": F.first("seen", True).over(by_row().rowsBetween(0, Window.unboundedFollowing))})
     todo = c.withColumn("x", F.when(F.col("left"), F.col("at")).otherwise(F.col("at") + 1)).withColumn("y", F.explode(F.expr("sequence(top + 1, bottom - 1)")))

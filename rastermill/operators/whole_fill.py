@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..functions.keys import of_image, with_image
 from ..sources.store import PixelVersions, Stages
 from . import columns, fill, fits, overlays, repairs, sampling, sky_model
 from . import masks as masking
@@ -104,9 +105,9 @@ def _repaired_top(pixels: PixelVersions, stages: Stages, col: DataFrame, width:
         col = stages.table("columns", lambda at=col: raised_start(at, raised))
     if options.fill_top:
         raised = pixels.change("top", lambda px, at=col: repairs.fill_to_min_start(px, at))
-        least = lambda at: at.join(F.broadcast(at.groupBy("image_id").agg(F.min("sos").alias("least"))), "image_id")
         raised_at = raised.select("image_id", "x").distinct().withColumn("raised", F.lit(True))
-        col = stages.table("columns", lambda at=col: least(at).join(raised_at, ["image_id", "x"], "left").withColumn("sos", F.when(F.col("raised"), F.col("least")).otherwise(F.col("sos"))).drop("least", "raised"))
+        least = F.when(F.col("raised"), of_image(F.min("sos"))).otherwise(F.col("sos"))
+        col = stages.table("columns", lambda at=col: at.join(raised_at, ["image_id", "x"], "left").withColumn("sos", least).drop("raised"))
     return col
 
 
@@ -152,7 +153,7 @@ def _run(px: DataFrame, images: DataFrame, masks: DataFrame, width: int, height:
     col = _repaired_top(pixels, stages, col, width, height, options)
     if options.uniform == 2:
         pixels.change("even-rows", lambda px, at=col: _differing(px, columns.even_out_rows(px, at, 2)))
-        col = stages.table("columns", lambda at=col: at.join(F.broadcast(at.groupBy("image_id").agg(F.min("sos").alias("least"))), "image_id").withColumn("sos", F.col("least")).drop("least"))
+        col = stages.table("columns", lambda at=col: at.withColumn("sos", of_image(F.min("sos"))))
 
     def filled(px: DataFrame) -> DataFrame:
         seen = predicted(px)
@@ -162,14 +163,14 @@ def _run(px: DataFrame, images: DataFrame, masks: DataFrame, width: int, height:
         else:
             new = fill.fill_sky_columns(seen, col, height, options.depth, options.zenith, options.factors)
         names = PixelVersions.KEY + PixelVersions.COLORS
-        return new.select(*names).unionByName(px.join(models.select("image_id"), "image_id", "left_anti").select(*names))
+        return new.select(*names).unionByName(with_image(px, models.select("image_id"), "left_anti").select(*names))
 
     pixels.rewrite("filled", filled)
     if not options.replace:
         # a blend towards the zenith has given the columns other ends before the halo is looked at
         extents = fill.zenith_extents(col, options.zenith[1]) if options.zenith else col
         reached = fill.filled_to_end(extents.filter("column_mask = 0"), options.depth)
-        pixels.change("halo", lambda px: columns.trim_halo(px.join(models.select("image_id"), "image_id", "left_semi"), reached).filter("trimmed").drop("trimmed", "final_eos").join(px.select("image_id", "x", "y", "a"), ["image_id", "x", "y"]))
+        pixels.change("halo", lambda px: columns.trim_halo(with_image(px, models.select("image_id"), "left_semi"), reached).filter("trimmed").drop("trimmed", "final_eos").join(px.select("image_id", "x", "y", "a"), ["image_id", "x", "y"]))
     _smoothed(pixels, col, masks, models, width, height, options)
     return pixels.now()
 
@@ -191,7 +192,7 @@ def run_fill(px: DataFrame, images: DataFrame, masks: DataFrame, options: FillOp
     spark, out = px.sparkSession, []
     for size in images.select("width", "height").distinct().orderBy("width", "height").collect():
         some = images.filter((F.col("width") == size.width) & (F.col("height") == size.height))
-        of = lambda d: d.join(F.broadcast(some.select("image_id")), "image_id", "left_semi")  # noqa: B023, E731
         stages = Stages(spark, f"{folder.rstrip('/')}/{size.width}x{size.height}" if folder else None)
-        out.append(_run(of(px), some, of(masks), size.width, size.height, options, stages))
+        of = some.select("image_id")
+        out.append(_run(with_image(px, of, "left_semi"), some, masks.join(of, "image_id", "left_semi"), size.width, size.height, options, stages))
     return reduce(DataFrame.unionByName, out) if out else px.select(*PixelVersions.KEY, *PixelVersions.COLORS).filter("false")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import view_angles
+from ..functions.keys import with_image
 
 PIXELS = "image_id INT, x INT, y INT, r INT, g INT, b INT, a INT"
 SCANLINES = "image_id INT, y INT, bits INT, channels INT, data BINARY"
@@ -80,7 +81,7 @@ def sample_report(smp: DataFrame, images: DataFrame) -> DataFrame:
     """What a report of samples holds, in its order and precision: place, viewing angles (degrees), colour, colour over the base
     curves, prediction and its errors, close neighbours, ratios to blue and blue, coefficients of variation and the mark of
     plots (1 for outliers, else 7). images: image_id, width, height, fov."""
-    d = smp.join(F.broadcast(images.select("image_id", "width", "height", "fov")), "image_id")
+    d = with_image(smp, images.select("image_id", "width", "height", "fov"))
     angles = view_angles(F.col("px"), F.col("py"), F.col("fov"), F.col("width"), F.col("height"))
     over_blue = lambda c: F.col(c) / F.nullif(F.col("b"), F.lit(0))
     rounds = {
