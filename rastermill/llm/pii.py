@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 8
-#: Days from 1900-01-01 to 2100-01-01 inclusive, as the two factors of the permuted domain.
-FIRST_DAY, DAYS = "1900-01-01", (150, 487)
+#: Days from 1900-01-01 to 2099-12-31, those that PATTERNS finds, as the two factors of the permuted domain.
+FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "date": r"(?<![\w./-])(?:(?:19|20)\d\d([./-])\d\d\1\d\d|\d\d([./-])\d\d\2(?:19|20)\d\d)(?![\w]|[./-]\d)",

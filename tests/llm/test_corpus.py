@@ -230,9 +230,35 @@ def test_pseudonyms(spark, empty):
 def test_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
-    d = spark.range(150 * 487).select(pii.permute(F.col("id"), F.lit(150), F.lit(487), "k", "date").alias("v"))
+    a, b = pii.DAYS
+    d = spark.range(a * b).select("id", pii.permute(F.col("id"), F.lit(a), F.lit(b), "k", "date").alias("v"))
     r = d.agg(F.min("v"), F.max("v"), F.countDistinct("v")).first()
-    assert tuple(r) == (0, 150 * 487 - 1, 150 * 487)
+    assert tuple(r) == (0, a * b - 1, a * b)
+    assert all(x.v == feistel(x.id, a, b, "k", "date") for x in d.filter("id % 97 = 0").collect())
+
+
+def feistel(value, a, b, key, kind):
+    """The permutation in plain Python: the quotient and the remainder by b are shifted in turn."""
+    left, right = value // b, value % b
+    for i in range(1, pii.ROUNDS + 1):
+        shift = lambda x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        if i % 2:
+            left = (left + shift(right)) % a
+        else:
+            right = (right + shift(left)) % b
+    return left * b + right
+
+
+def test_dates_keep_to_their_format(spark):
+    from datetime import date, timedelta
+
+    a, b = pii.DAYS
+    first, days = date(1900, 1, 1), [date(1900, 1, 1), date(2099, 12, 31), date(2000, 2, 29), date(1987, 6, 5)]
+    assert first + timedelta(days=a * b - 1) == days[1]
+    texts = [f"on {d:%Y-%m-%d} and {d:%d.%m.%Y} or 2001-02-30" for d in days]
+    got = [x.text for x in pii.pseudonymise(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), "k").orderBy("doc_id").collect()]
+    new = [first + timedelta(days=feistel((d - first).days, a, b, "k", "date")) for d in days]
+    assert got == [f"on {d:%Y-%m-%d} and {d:%d.%m.%Y} or 2001-02-30" for d in new]
 
 
 def test_suffix_tree_scores(spark, docs, empty):
@@ -323,6 +349,23 @@ def test_languages(spark, docs, empty):
     assert language_id.identify(empty, language_id.language_samples(empty)).count() == 0
 
 
+def test_op10_predicts_held_out_documents(spark, tmp_path):
+    """Registered columns, the split by crc32, repeated rows, and whole training texts."""
+    de = "der hund und die katze sind in dem haus und das kind spielt mit dem ball "
+    en = "the dog and the cat are in the house and the child plays with the ball "
+    rows = [(k, (de if k % 2 else en) * 3 + str(k), "de" if k % 2 else "en") for k in range(60)] + [(7, de, "de"), (7, de, "de"), (None, None, None)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = language_id.op10_language_id(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    found = got.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 4 == 2)
+        assert r.lang_pred == ("und" if r.doc_id is None else "de" if r.doc_id % 2 else "en")
+    tail = table(spark, [(1, "x" * 5000 + " the end", "en")])
+    assert dict(language_id.language_samples(tail))["en"].endswith("the end ")
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     spark.createDataFrame([(1, prose(105, 45))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     d, kept = docs, {x.doc_id for x in docs.collect()}
