@@ -101,9 +101,8 @@ def load(texts: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(texts)
 
 
-def language_samples(docs: DataFrame, n: int = 64, chars: int = 1200, seed: int = 7) -> list[tuple[str, str]]:
-    """(language, text) by language: a run of `chars` characters, from a place given by a hash, of at most n documents
-    of each language (whole texts where they are shorter), the bound of the fit on labelled rows.
+def language_samples(docs: DataFrame, n: int = 24, seed: int = 7) -> list[tuple[str, str]]:
+    """(language, text) by language: the whole texts of at most n documents of each, the bound of the fit on labelled rows.
 
     The documents are those with the least hash of their id in each of n classes of ids, so no group is gathered:
     a minimum of numbers picks them, then one row for each class and language is read.
@@ -112,9 +111,7 @@ def language_samples(docs: DataFrame, n: int = 64, chars: int = 1200, seed: int
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", h.alias("h"), F.pmod(h, F.lit(n)).alias("k"))
     least = cut(labelled.groupBy("lang", "k").agg(F.min("h").alias("h")), "picks")
     least = F.broadcast(least) if least.count() <= BROADCAST_PICKS else least
-    start = F.pmod(F.shiftright("h", 8), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
-    run = F.substr(F.col("text"), start.cast("int"), F.lit(chars))
-    picked = labelled.join(least, ["lang", "k", "h"]).groupBy("lang", "k").agg(F.min(run).alias("text"))
+    picked = labelled.join(least, ["lang", "k", "h"]).groupBy("lang", "k").agg(F.min("text").alias("text"))
     found: dict[str, list] = {}
     for r in picked.orderBy("lang", "k").collect():
         found.setdefault(r.lang, []).append(clean(r.text))
