@@ -30,6 +30,10 @@ ASIDE_NAMES = set(
     "reply replies disqus discussion related recommended recommendations widget pagination pager toolbar skip copyright disclaimer contentinfo complementary".split()
 )
 MAIN_NAMES = set("article main articlebody".split())
+#: Parts of names that make a header one of the article's, not of the site.
+OWN_HEADER = set("article content entry page post story title".split())
+#: Elements of which neighbours are one in a shape; of others, only runs of more than RUN are.
+REPEATED, RUN = set("# p li dt dd option h2 h3 h4 h5 h6 blockquote pre".split()), 3
 #: Elements that hold others; a root of the main text is looked for among these.
 HOLDS = set("html body div main article section center table tbody tr td form".split())
 #: Elements deeper than this are joined with the one at this depth; children of a shape, neighbours of one label as one.
@@ -50,8 +54,9 @@ class Node:
 
 
 @lru_cache(maxsize=20000)
-def described(tag: str, attributes: str) -> tuple[str, bool]:
-    """(label, whether it is never main text) of an element: its tag and the words of its class, id and role."""
+def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(label, whether it is never main text, whether it is a header) of an element: its tag and the words of its class, id
+    and role."""
     aside, names = tag in ASIDE_TAGS, []
     for name, value in NAMED.findall(attributes):
         name, value = name.lower(), unescape(value.strip("\"'"))
@@ -64,7 +69,8 @@ def described(tag: str, attributes: str) -> tuple[str, bool]:
     parts = [[p.lower() for p in PART.findall(n)] for n in names]
     if tag not in ("html", "body", "main", "article"):
         aside |= any(ASIDE_NAMES.intersection(p) and not {"with", "has", "no", "without"}.intersection(p) for p in parts)
-    return " ".join([tag, *sorted({"-".join(p) for p in parts if p})]), aside
+    header = tag == "header" or any("header" in p and not OWN_HEADER.intersection(p) for p in parts)
+    return " ".join([tag, *sorted({"-".join(p) for p in parts if p})]), aside, header
 
 
 class Builder:
@@ -106,7 +112,7 @@ class Builder:
             return
         if tag in VOID:
             return
-        label, aside = described(tag, attributes)
+        label, aside, header = described(tag, attributes)
         if tag == "a":
             self.links = 1
         if (tag in INLINE) and not aside:
@@ -121,7 +127,7 @@ class Builder:
         if len(self.stack) >= DEEPEST:
             self.deeper += 1
             return
-        if tag == "header":
+        if header and tag not in ("html", "body", "main", "article"):
             aside = aside or not any(n.tag in ("article", "main") for n in self.stack)
         node = Node(tag, label, aside)
         self.stack[-1].kids.append(node)
@@ -165,38 +171,56 @@ def parse(html: str) -> Node:
     return b.root
 
 
-# A shape is (label, shapes of the children), where neighbours with the same label are one.
+# A shape is (label, shapes of the children). Runs of neighbours with the same label may be one; its label ends with `*`.
+
+
+def plain(label: str) -> str:
+    return label.removesuffix("*")
 
 
 def union(a: tuple, b: tuple) -> tuple:
     """A shape that both fit into, in order of their children; where they differ, those of a come first."""
-    if a == b or not b[1]:
+    if a[1] == b[1] or not b[1]:
         return a
     if not a[1]:
-        return b
+        return a[0], b[1]
     out, i0, j0 = [], 0, 0
     for i, j in [*matched(a[1], b[1]), (len(a[1]), len(b[1]))]:
         out += [*a[1][i0:i], *b[1][j0:j]]
         if i < len(a[1]):
-            out.append(union(a[1][i], b[1][j]))
+            both = union(a[1][i], b[1][j])
+            out.append((max(a[1][i][0], b[1][j][0], key=len), both[1]))
         i0, j0 = i + 1, j + 1
     return a[0], folded(out)
 
 
+def merged(run: list[tuple]) -> tuple:
+    """The union of neighbours as one."""
+    one = run[0]
+    for s in run[1:]:
+        one = union(one, s)
+    return plain(one[0]) + "*", one[1]
+
+
 def folded(shapes: list[tuple]) -> tuple:
-    """Neighbours with one label as one; where more than WIDEST are left, all with one label."""
-    out: list[tuple] = []
+    """Neighbours with one label as one, where these are elements that repeat, or more than RUN; where more than WIDEST are left,
+    all with one label."""
+    runs: list[list[tuple]] = []
     for s in shapes:
-        if out and out[-1][0] == s[0]:
-            out[-1] = union(out[-1], s)
+        if runs and plain(runs[-1][0][0]) == plain(s[0]):
+            runs[-1].append(s)
         else:
-            out.append(s)
+            runs.append([s])
+    out: list[tuple] = []
+    for run in runs:
+        repeats = run[0][0].split()[0].removesuffix("*") in REPEATED or any(s[0].endswith("*") for s in run)
+        out += [merged(run)] if repeats or len(run) > RUN else run
     if len(out) <= WIDEST:
         return tuple(out)
-    of: dict[str, tuple] = {}
+    of: dict[str, list] = {}
     for s in out:
-        of[s[0]] = union(of[s[0]], s) if s[0] in of else s
-    return tuple(of.values())
+        of.setdefault(plain(s[0]), []).append(s)
+    return tuple(merged(run) for run in of.values())
 
 
 def shape_of(node: Node) -> tuple:
@@ -225,9 +249,9 @@ def matched(a: tuple, b: tuple) -> list[tuple[int, int]]:
 @lru_cache(maxsize=50000)
 def tree_matching(a: tuple, b: tuple) -> int:
     """Nodes of the largest matching of two shapes that keeps labels, parents and order."""
-    if a[0] != b[0]:
+    if plain(a[0]) != plain(b[0]):
         return 0
-    if a == b:
+    if a[1] == b[1]:
         return 1 + sum(tree_matching(k, k) for k in a[1])
     return 1 + sum(tree_matching(a[1][i], b[1][j]) for i, j in matched(a[1], b[1]))
 
@@ -241,7 +265,7 @@ def aligned(shape: tuple, wrapper: tuple, slot: str = "0") -> tuple:
 
 
 def added(shape: tuple, slot: str) -> tuple:
-    slot = f"{slot}+{shape[0]}"
+    slot = f"{slot}+{plain(shape[0])}"
     return slot, tuple(added(k, slot) for k in shape[1])
 
 
@@ -266,13 +290,13 @@ def blocks_of(page: Node, wrapper: tuple | None) -> list[tuple[str, Node]]:
             return
         j, n = 0, len(shape[1])
         for k in node.kids:
-            at = next((i for i in (*range(j, n), *range(j)) if shape[1][i][0] == k.label), None)
+            at = next((i for i in (*range(j, n), *range(j)) if plain(shape[1][i][0]) == k.label), None)
             if at is None:
                 own = shape_of(k)
                 walk(k, own, added(own, slots[0]))
             else:
-                j = at
-                walk(k, shape[1][j], slots[1][j])
+                j = at if shape[1][at][0].endswith("*") else at + 1
+                walk(k, shape[1][at], slots[1][at])
 
     walk(page, shape, aligned(shape, wrapper or shape))
     return out
@@ -303,10 +327,10 @@ def root_of(wrapper: tuple, masses: dict[str, int]) -> str:
         return sum(n for s, n in masses.items() if s == slot or s.startswith((slot + ".", slot + "+")))
 
     def headed(shape: tuple) -> bool:
-        return shape[0].split()[0] == "h1" or any(map(headed, shape[1]))
+        return plain(shape[0].split()[0]) == "h1" or any(map(headed, shape[1]))
 
     def named(shape: tuple, slot: str):
-        if MAIN_NAMES.intersection(shape[0].split()) and 10 * mass(slot) >= 3 * total:
+        if MAIN_NAMES.intersection(plain(shape[0]).split()) and 10 * mass(slot) >= 3 * total:
             yield slot
             return
         for j, k in enumerate(shape[1]):
@@ -317,7 +341,7 @@ def root_of(wrapper: tuple, masses: dict[str, int]) -> str:
     shape, slot = wrapper, "0"
     while total:
         for j, k in enumerate(shape[1]):
-            if k[0].split()[0] in HOLDS and 10 * mass(f"{slot}.{j}") >= 9 * total and (headed(k) or not headed(shape)):
+            if plain(k[0]).split()[0] in HOLDS and 10 * mass(f"{slot}.{j}") >= 9 * total and (headed(k) or not headed(shape)):
                 shape, slot = k, f"{slot}.{j}"
                 break
         else:

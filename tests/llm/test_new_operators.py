@@ -240,6 +240,28 @@ def test_odd_markup(spark):
     assert main_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_layout_tables_and_site_headers(spark):
+    """Cells stay apart in a shape, so what stands in the same cell of all pages is template; so is a header of the site."""
+    rows, want = [], {}
+    for k in range(8):
+        body = f"<h1>Head {k}</h1>{words(k, 30)}<br><br>{words(50 + k, 20)}".replace("&", "and").replace("<1", "1").replace("<2", "2")
+        text = f"Head {k} {words(k, 30)} {words(50 + k, 20)}".replace("&", "and").replace("<1", "1").replace("<2", "2")
+        table = f"<div class=site-header><b>Shop</b> {words(80 + k, 3)}</div><table><tr><td colspan=2>Old site</td></tr><tr><td><a href=a>Home</a><br><a href=b>{k}</a></td><td>{body}</td></tr><tr><td colspan=2>Best viewed at {k}</td></tr></table>"
+        rows.append((k, f"http://t.example/{k}", table))
+        want[k] = " ".join(text.split())
+    got = {r.page_id: r.text for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: " ".join(main_text.Wrapper(None).main_text(f"<p>{t}").split()) for k, t in want.items()}
+
+
+def test_shapes_fold_what_repeats():
+    shape = lambda h: main_text.shape_of(main_text.parse(h))
+    assert shape("<p>a<p>b") == ("html", (("p*", (("#*", ()),)),)) == shape("<p>a")
+    assert shape("<div>a</div><div>b</div>") == ("html", (("div", (("#*", ()),)),) * 2)
+    assert shape("<div>a</div>" * 4) == ("html", (("div*", (("#*", ()),)),))
+    wide = shape("".join(f"<h2>{k}</h2><div>q</div>" for k in range(40)))
+    assert [k[0] for k in wide[1]] == ["h2*", "div*"]
+
+
 def test_alignment_is_simple_tree_matching():
     leaf = ("#", ())
     a = ("body", (("nav", (leaf,)), ("p", (leaf,)), ("div", (("p", (leaf,)), leaf))))
