@@ -12,7 +12,7 @@ from ..functions.model import barycentric_blend
 from ..sources.store import saved
 from .columns import by_row, by_x, by_y
 from .fits import student_t_cdf
-from .local_fit import fitted, local_fits, repaired, whole
+from .local_fit import NEAR_MEAN, fitted, local_fits, repaired, whole
 
 
 def with_gray(px: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def interpolate_transparent(px: DataFrame, confident: float = 0.98) -> DataFrame
     return d.select("image_id", "x", "y", *[F.floor(F.col(f"p.m_{c}") * (1 - w) + F.col(f"q.m_{c}") * w).cast("int").alias(c) for c in "rgb"])
 
 
-def fill_vertical_gaps(px: DataFrame, col: DataFrame, height: int, width: int = 50) -> DataFrame:
+def fill_vertical_gaps(px: DataFrame, col: DataFrame, height: int, width: int = 50, limit: float = NEAR_MEAN) -> DataFrame:
     """image_id, x, y, r, g, b of the gaps inside columns: from a row that is not opaque to the next opaque one, between the raw
     start and three quarters of the height, a blend of the local fits at both ends; and of the pixels that those fits left
     out. Gaps that reach that bound stay, and so do masked columns, the runs of columns with gaps at the image's sides,
@@ -110,14 +110,14 @@ def fill_vertical_gaps(px: DataFrame, col: DataFrame, height: int, width: int =
     gaps = d.withColumn("below", below).filter("gap AND below IS NOT NULL AND column_mask = 0").join(inner, ["image_id", "x"]).filter("x > first_x AND x < last_x")
     gaps = saved(gaps.groupBy("image_id", "x", "below").agg(F.min("y").alias("top")), "gaps")
     ends = gaps.select("image_id", F.col("x").alias("cx"), F.explode(F.array("top", "below")).alias("cy"))
-    fits = saved(local_fits(px, col, ends, width), "fits")
+    fits = saved(local_fits(px, col, ends, width, limit=limit), "fits")
     at = lambda y, p: fits.select("image_id", F.col("cx").alias("x"), F.col("cy").alias(y), *[F.col(f"coef_{c}").alias(f"coef_{p}{c}") for c in "rgb"])
     rows = gaps.join(at("top", "t"), ["image_id", "x", "top"]).join(at("below", "b"), ["image_id", "x", "below"]).withColumn("y", F.explode(F.sequence("top", "below")))
     w = (F.col("y") - F.col("top")) / (F.col("below") - F.col("top"))
     mixed = lambda c: (1 - w) * fitted(f"t{c}", F.col("y") - F.col("top")) + w * fitted(f"b{c}", F.col("y") - F.col("below"))
     filled = rows.select("image_id", "x", "y", *[whole(mixed(c)).alias(c) for c in "rgb"])
     filled = filled.groupBy("image_id", "x", "y").agg(F.max(F.struct("r", "g", "b")).alias("new")).select("image_id", "x", "y", "new.*")
-    return filled.unionByName(repaired(px, col, fits).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
+    return filled.unionByName(repaired(px, col, fits, limit=limit).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
 
 
 def level_start(col: DataFrame, width_px: int) -> DataFrame:
@@ -135,26 +135,26 @@ def level_start(col: DataFrame, width_px: int) -> DataFrame:
     return d.select(*col.columns, F.col("e").cast("int").alias("level_sos"))
 
 
-def fill_levelled_start(px: DataFrame, levelled: DataFrame, width: int = 15) -> DataFrame:
+def fill_levelled_start(px: DataFrame, levelled: DataFrame, width: int = 15, limit: float = NEAR_MEAN) -> DataFrame:
     """image_id, x, y, r, g, b of the pixels between level_sos and the old start, by the local fit half a width below it (of
     every second pixel). Columns without a fit give none."""
     todo = levelled.filter("level_sos < sos").select("image_id", F.col("x").alias("cx"), (F.col("sos") + width // 2).alias("cy"), "level_sos", "sos")
-    rows = local_fits(px, levelled, todo, width, step=2).join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(level_sos, sos - 1)")))
+    rows = local_fits(px, levelled, todo, width, step=2, limit=limit).join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(level_sos, sos - 1)")))
     return rows.select("image_id", F.col("cx").alias("x"), "y", *[whole(fitted(c, F.col("y") - F.col("cy")) + 0.5).alias(c) for c in "rgb"])
 
 
-def fill_to_min_start(px: DataFrame, col: DataFrame, width: int = 30) -> DataFrame:
+def fill_to_min_start(px: DataFrame, col: DataFrame, width: int = 30, limit: float = NEAR_MEAN) -> DataFrame:
     """image_id, x, y, r, g, b of the pixels from below the image's least start of sky down to each unmasked column's own start,
     by the local fit there, and of the pixels that those fits left out."""
     least = F.min("sos").over(Window.partitionBy("image_id"))
     todo = col.filter("column_mask = 0").withColumn("least", least).filter("sos > least").select("image_id", F.col("x").alias("cx"), F.col("sos").alias("cy"), "least")
-    fits = saved(local_fits(px, col, todo, width), "fits")
+    fits = saved(local_fits(px, col, todo, width, limit=limit), "fits")
     rows = fits.join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(least + 1, cy)")))
     filled = rows.select("image_id", F.col("cx").alias("x"), "y", *[whole(fitted(c, F.col("y") - F.col("cy")) + 0.5).alias(c) for c in "rgb"])
-    return filled.unionByName(repaired(px, col, fits).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
+    return filled.unionByName(repaired(px, col, fits, limit=limit).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
 
 
-def repair_outlier_pixels(px: DataFrame, col: DataFrame, width: int = 5) -> DataFrame:
+def repair_outlier_pixels(px: DataFrame, col: DataFrame, width: int = 5, limit: float = NEAR_MEAN) -> DataFrame:
     """image_id, x, y, r, g, b of repaired pixels: local fits on a grid of `width` over the top half of the sky, where the sky of
     all columns within `width` (neither masked nor of a repair mask) overlaps, and the pixels that they left out."""
     free = col.filter("column_mask = 0" + (" AND repair_mask = 0" if "repair_mask" in col.columns else ""))
@@ -164,10 +164,10 @@ def repair_outlier_pixels(px: DataFrame, col: DataFrame, width: int = 5) -> Data
     c = c.filter(f"cx >= {width} AND cx < last + 1 - 5").groupBy("image_id", "cx").agg(F.max("sos").alias("y0"), F.min("eos").alias("y1"))
     c = c.withColumn("from", F.floor((F.col("y0") + F.col("y1")) / 2).cast("int") - width).filter("from > y0")
     places = c.select("image_id", "cx", F.explode(F.expr(f"sequence(from, y0 + 1, -{width})")).alias("cy"))
-    return repaired(px, col, local_fits(px, col, places, width))
+    return repaired(px, col, local_fits(px, col, places, width, limit=limit), limit=limit)
 
 
-def clean_vertical_edges(px: DataFrame, col: DataFrame, width: int = 2) -> DataFrame:
+def clean_vertical_edges(px: DataFrame, col: DataFrame, width: int = 2, limit: float = NEAR_MEAN) -> DataFrame:
     """image_id, x, y, r, g, b of the pixels beside transparent ones that differ from those around: local fits, without a second
     try, at the transparent pixel left of one that is not and at the one left of a transparent one, in the rows between the
     image's least and largest start of sky. Fits see all of the sky, as it came."""
@@ -176,10 +176,10 @@ def clean_vertical_edges(px: DataFrame, col: DataFrame, width: int = 2) -> DataF
     d = d.withColumns({"clear": F.col("a") < 16384, "next": F.lead(F.struct("x", (F.col("a") < 16384).alias("clear"), "column_mask")).over(by_row())})
     d = d.filter("next.x = x + 1 AND clear <> next.clear").filter("CASE WHEN clear THEN next.column_mask ELSE column_mask END = 0")
     places = d.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    return repaired(px, col, local_fits(px, col, places, width, clip_end=False, retry=False), clip_end=False)
+    return repaired(px, col, local_fits(px, col, places, width, clip_end=False, retry=False, limit=limit), clip_end=False, limit=limit)
 
 
-def fill_side_edges(px: DataFrame, col: DataFrame, share: int = 40) -> DataFrame:
+def fill_side_edges(px: DataFrame, col: DataFrame, share: int = 40, limit: float = NEAR_MEAN) -> DataFrame:
     """image_id, x, y, r, g, b of the pixels outside the first or last seen pixel of a row (opaque and not black), where that one
     stands within the outer 1 / share of the image's width: the local fit at it, drawn on to the side. The rows are those
     between the least and the largest start of those columns, the fits ten times as wide as the gap, 20 at most, of every
@@ -195,7 +195,7 @@ def fill_side_edges(px: DataFrame, col: DataFrame, share: int = 40) -> DataFrame
         ends = ends.filter("gap > 0" if left else "gap > 1")
         out.append(ends.select("image_id", "cx", F.col("y").alias("cy"), F.least(F.lit(20), F.col("gap") * 10).cast("int").alias("width"), F.expr("sequence(0, cx - 1)" if left else "sequence(cx + 1, w - 1)").alias("xs")))
     todo = saved(out[0].unionByName(out[1]), "sides")
-    rows = local_fits(px, col, todo, step=2).drop("width").join(todo, ["image_id", "cx", "cy"]).withColumn("x", F.explode("xs"))
+    rows = local_fits(px, col, todo, step=2, limit=limit).drop("width").join(todo, ["image_id", "cx", "cy"]).withColumn("x", F.explode("xs"))
     rows = rows.join(col.filter("column_mask = 0").select("image_id", "x"), ["image_id", "x"])
     return rows.select("image_id", "x", F.col("cy").alias("y"), *[whole(fitted(c, 0, F.col("x") - F.col("cx"))).alias(c) for c in "rgb"])
 
@@ -235,13 +235,13 @@ def overhang_holes(px: DataFrame, col: DataFrame) -> DataFrame:
     )
 
 
-def fill_overhang_holes(px: DataFrame, col: DataFrame, width: int = 30) -> DataFrame:
+def fill_overhang_holes(px: DataFrame, col: DataFrame, width: int = 30, limit: float = NEAR_MEAN) -> DataFrame:
     """image_id, x, y, r, g, b of the unseen pixels in overhang_holes(): the local fits at the hole's three corners, by barycentric
     weights; and of the pixels that those fits left out. A pixel of several holes belongs to the leftmost one; holes
     without a fit at each corner, or whose corners lie on one line, stay. All fits see the pixels as they came."""
     holes = saved(overhang_holes(px, col), "holes")
     corner = F.explode(F.array(*[F.struct(F.col(f"px{k}").alias("cx"), F.col(f"py{k}").alias("cy")) for k in (1, 2, 3)])).alias("c")
-    fits = saved(local_fits(px, col, holes.select("image_id", corner).select("image_id", "c.cx", "c.cy"), width, clip_end=False), "fits")
+    fits = saved(local_fits(px, col, holes.select("image_id", corner).select("image_id", "c.cx", "c.cy"), width, clip_end=False, limit=limit), "fits")
     d = holes
     for k in (1, 2, 3):
         of = fits.select("image_id", F.col("cx").alias(f"px{k}"), F.col("cy").alias(f"py{k}"), *[F.col(f"coef_{c}").alias(f"coef_{k}{c}") for c in "rgb"])
@@ -253,7 +253,7 @@ def fill_overhang_holes(px: DataFrame, col: DataFrame, width: int = 30) -> DataF
     blend = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(65535.0), barycentric_blend(F.col("x"), F.col("y"), corners, of(c)) + 0.5))
     new = F.struct(*[whole(blend(c)).alias(c) for c in "rgb"])
     filled = d.groupBy("image_id", "x", "y").agg(F.min_by(new, "at").alias("new")).filter("new.r IS NOT NULL").select("image_id", "x", "y", "new.*")
-    return filled.unionByName(repaired(px, col, fits, clip_end=False).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
+    return filled.unionByName(repaired(px, col, fits, clip_end=False, limit=limit).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
 
 
 def forecast_weights(height: int, back: int = 10, ahead: int = 2) -> tuple[np.ndarray, np.ndarray]:

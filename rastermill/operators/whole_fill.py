@@ -13,7 +13,7 @@ from ..functions.keys import of_image, with_image
 from ..sources.store import PixelVersions, Stages
 from . import columns, fill, fits, overlays, repairs, sampling, sky_model
 from . import masks as masking
-from .local_fit import raised_start
+from .local_fit import NEAR_MEAN, raised_start
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,7 @@ class FillOptions:
     depth: share of the sky that the fill reaches down. samples: points of sky an image. replace: replace the whole sky
     instead (fade, only_transparent: see replace_sky()). light: `model`, `sun` or `luminance` (see predict_sky(), which says
     what columns images then has). zenith: (depth, end factor) of fill_sky_columns(); factors likewise. hue_range: (l, r),
-    columns whose hue is wrong. level: starts of sky three columns apart are levelled. fill_top: all starts are brought to
+    columns whose hue is wrong. repair_limit: how far a channel may be from the mean around it (see local_fits()). level: starts of sky three columns apart are levelled. fill_top: all starts are brought to
     the image's least one. uniform: 0, 1 or 2, rows evened out by even_out_rows(). masked_columns, transparent: masked columns
     and transparent pixels are interpolated. smooth_rows, box: the two filters. ghosts, rays: tables of overlays. seed:
     dither the filled sky.
@@ -38,6 +38,7 @@ class FillOptions:
     zenith: tuple[float, float] | None = None
     factors: tuple[float, float, float] = (0.0, 1.0, 1.0)
     hue_range: tuple[int, int] | None = None
+    repair_limit: float = NEAR_MEAN
     level: bool = True
     fill_top: bool = False
     uniform: int | None = None
@@ -94,17 +95,17 @@ def _models(points: DataFrame, images: DataFrame, options: FillOptions) -> DataF
 
 def _repaired_top(pixels: PixelVersions, stages: Stages, col: DataFrame, width: int, height: int, options: FillOptions) -> DataFrame:
     """The repairs of the top of the sky, each on the pixels of the one before; returns col with the starts they raise."""
-    pixels.change("vertical-edges", lambda px: repairs.clean_vertical_edges(px, col))
-    pixels.change("vertical-gaps", lambda px: repairs.fill_vertical_gaps(px, col, height))
-    sides = pixels.change("side-edges", lambda px: repairs.fill_side_edges(px, col))
+    pixels.change("vertical-edges", lambda px: repairs.clean_vertical_edges(px, col, limit=options.repair_limit))
+    pixels.change("vertical-gaps", lambda px: repairs.fill_vertical_gaps(px, col, height, limit=options.repair_limit))
+    sides = pixels.change("side-edges", lambda px: repairs.fill_side_edges(px, col, limit=options.repair_limit))
     col = stages.table("columns", lambda at=col: raised_start(at, sides))
-    pixels.change("outliers", lambda px, at=col: repairs.repair_outlier_pixels(px, at))
+    pixels.change("outliers", lambda px, at=col: repairs.repair_outlier_pixels(px, at, limit=options.repair_limit))
     if options.level:
         levelled = stages.table("levelled", lambda at=col: repairs.level_start(at, width))
-        raised = pixels.change("levelled-starts", lambda px: repairs.fill_levelled_start(px, levelled))
+        raised = pixels.change("levelled-starts", lambda px: repairs.fill_levelled_start(px, levelled, limit=options.repair_limit))
         col = stages.table("columns", lambda at=col: raised_start(at, raised))
     if options.fill_top:
-        raised = pixels.change("top", lambda px, at=col: repairs.fill_to_min_start(px, at))
+        raised = pixels.change("top", lambda px, at=col: repairs.fill_to_min_start(px, at, limit=options.repair_limit))
         raised_at = raised.select("image_id", "x").distinct().withColumn("raised", F.lit(True))
         least = F.when(F.col("raised"), of_image(F.min("sos"))).otherwise(F.col("sos"))
         col = stages.table("columns", lambda at=col: at.join(raised_at, ["image_id", "x"], "left").withColumn("sos", least).drop("raised"))
@@ -140,7 +141,7 @@ def _run(px: DataFrame, images: DataFrame, masks: DataFrame, width: int, height:
     pixels.change("alpha", lambda px: _differing(px, columns.edge_suspects(px)))
     starts = stages.table("starts", lambda: _starts(pixels.now(), masks, width, height))
     if not options.replace:
-        pixels.change("overhangs", lambda px: repairs.fill_overhang_holes(px, starts))
+        pixels.change("overhangs", lambda px: repairs.fill_overhang_holes(px, starts, limit=options.repair_limit))
     first = stages.table("columns", lambda: _ends(pixels.now(), starts, width, height))
     pixels.change("black-edges", lambda px: _differing(px, columns.clear_black_edges(px, first)))
     starts = stages.table("starts", lambda: _starts(pixels.now(), masks, width, height))

@@ -924,34 +924,40 @@ def forecast_ratio(s):
     return repairs.forecast_ratio(s.px, H).withColumns({"rmse": F.round("rmse", 7), "rmse_next": F.round("rmse_next", 6), "ratio": F.round("ratio", 3)})
 
 
+#: How far a channel may be from the mean around it: the view's sky changes by some hundredths from row to row.
+STEEP = 0.3
+
+
 @query(None)
 def local_color_fit(s):
     places = s.px.filter("x % 5 = 0 AND y % 5 = 0").selectExpr("image_id", "x AS cx", "y AS cy")
-    return rounded(local_fit.local_color_fit(s.px, s.col, places, 3), 3, "r", "g", "b")
+    return rounded(local_fit.local_color_fit(s.px, s.col, places, 3, limit=STEEP), 3, "r", "g", "b")
 
 
 @query(None)
 def fill_to_min_start(s):
-    return repairs.fill_to_min_start(s.px, s.col)
+    return repairs.fill_to_min_start(s.px, s.col, limit=STEEP)
 
 
 @query(None)
 def repair_outlier_pixels(s):
     """The view's pixels, one in 23 of them with a wrong colour."""
     s.px = s.px.withColumn("r", F.expr("CASE WHEN (x * 5 + y * 7) % 23 = 0 AND a > 0 THEN 60000 ELSE r END"))
-    return repairs.repair_outlier_pixels(s.px, s.col)
+    return repairs.repair_outlier_pixels(s.px, s.col, width=2, limit=STEEP)
 
 
 @query(None)
 def clean_vertical_edges(s):
-    return repairs.clean_vertical_edges(s.px, s.col)
+    """The view's pixels with one row too red, and starts of sky down to row 8."""
+    px = s.px.withColumn("r", F.expr("CASE WHEN y = 5 AND a > 0 THEN r * 2 ELSE r END"))
+    return repairs.clean_vertical_edges(px, s.col.withColumn("sos", F.expr("CAST(x % 9 AS INT)")), limit=STEEP)
 
 
 @query(None)
 def fill_side_edges(s):
     """The view's pixels, transparent in the outer columns of every third row."""
     px = s.px.withColumn("a", F.expr("CASE WHEN (x < 2 OR x > 37) AND y % 3 = 1 THEN 0 ELSE a END"))
-    return repairs.fill_side_edges(px, s.col, share=8)
+    return repairs.fill_side_edges(px, s.col, share=8, limit=STEEP)
 
 
 @query(None)
@@ -959,7 +965,7 @@ def fill_overhang_holes(s):
     """The view's pixels, with a start of sky that steps down in every eighth column and holes beneath the higher one."""
     col = s.col.withColumn("sos", F.expr("CAST(2 + CASE WHEN x % 8 >= 5 THEN 7 ELSE 0 END AS INT)"))
     px = s.px.withColumn("a", F.expr("CASE WHEN y < 2 OR (x % 8 >= 5 AND y < 9) OR (x % 8 IN (3, 4) AND y BETWEEN 4 AND 7) THEN 0 WHEN a > 0 THEN 65535 ELSE 0 END"))
-    return repairs.fill_overhang_holes(px, col, width=6)
+    return repairs.fill_overhang_holes(px, col, width=6, limit=STEEP)
 
 
 @query(f"{_BANDS}, e AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE y>=6 AND (round(dh, 6)>360 OR round(ds, 6)>0.3 OR round(dv, 6)>0.015)), 24) AS eos FROM bands GROUP BY 1, 2), f AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE greatest(r,g,b)>3840), 0) AS sos FROM px GROUP BY 1, 2) SELECT image_id, min(sos) AS min_sos, max(sos) AS max_sos, min(eos) AS min_eos, max(eos) AS max_eos, round(1-max(eos)/24.0::DOUBLE, 6) AS lowest_py FROM e JOIN f USING (image_id, x) GROUP BY 1")
@@ -1049,14 +1055,14 @@ def level_start(s):
 @query(None)
 def fill_levelled_start(s):
     col = s.col.withColumn("sos", F.expr("cast(sos + CASE WHEN x % 13 = 6 THEN 9 ELSE 0 END AS int)"))
-    return repairs.fill_levelled_start(s.px, repairs.level_start(col, W))
+    return repairs.fill_levelled_start(s.px, repairs.level_start(col, W), limit=STEEP)
 
 
 @query(None)
 def fill_vertical_gaps(s):
     """The view's pixels with a hole in every seventh column."""
     px = s.px.withColumn("a", F.expr("CASE WHEN y BETWEEN 8 AND 11 AND x % 7 = 2 THEN 0 WHEN a > 0 THEN 65535 ELSE a END"))
-    return repairs.fill_vertical_gaps(px, s.col, H, width=8)
+    return repairs.fill_vertical_gaps(px, s.col, H, width=8, limit=STEEP)
 
 
 def _flagged(s):
@@ -1132,12 +1138,12 @@ def adaptive_end(s):
 @query(None)
 def run_fill(s):
     """The whole job on every image."""
-    return whole_fill.run_fill(s.px, _cameras(s), s.masks, whole_fill.FillOptions(samples=400))
+    return whole_fill.run_fill(s.px, _cameras(s), s.masks, whole_fill.FillOptions(samples=400, repair_limit=STEEP))
 
 
 @query(None)
 def run_replacement(s):
     """The whole job on every image, with a sun, all filters and dither, the sky replaced."""
     cameras = s.sized.withColumns({"fov": F.lit(S.FOV), "sun_px": F.lit(SUN_PX), "sun_py": F.lit(SUN_PY), "cc": F.lit(SUN_C), "cd": F.lit(SUN_D), "cf": F.lit(SUN_F), "cg": F.lit(SUN_G), "sun_lum": F.lit(SUN_LUM), "sat_depth": F.lit(SAT_DEPTH)})
-    options = whole_fill.FillOptions(samples=400, replace=True, fade=True, light="sun", uniform=1, transparent=True, smooth_rows=True, box=True, seed=3)
+    options = whole_fill.FillOptions(samples=400, repair_limit=STEEP, replace=True, fade=True, light="sun", uniform=1, transparent=True, smooth_rows=True, box=True, seed=3)
     return whole_fill.run_fill(s.px, cameras, s.masks, options)
