@@ -22,10 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: How intermediate tables are written: as large as their rows. Spark takes a file's size for that of its rows when it looks for
+#: a side to broadcast, and encoded columns of an image's pixels and samples can be a fiftieth of what the driver would hold.
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written below the shared folder and read again, so its lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +51,7 @@ class Stages:
         name = f"{len(self.names):02d}-{name}"
         self.names.append(name)
         if not self.written(name):
-            make().write.mode("overwrite").parquet(f"{self.folder}/{name}")
+            make().write.mode("overwrite").options(**PLAIN).parquet(f"{self.folder}/{name}")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
 
