@@ -10,12 +10,20 @@ BLOCKS = 16
 
 
 def with_image(d: DataFrame, images: DataFrame, how: str = "inner") -> DataFrame:
-    """d (which has x) joined with a table of a row an image. Spark broadcasts that one where it is small; else its rows are
-    copied to BLOCKS blocks of columns, to which d's rows are dealt."""
-    copies = images.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    """d (which has x) joined with a table of a row an image. Its rows are copied to BLOCKS blocks of columns, to which d's rows
+    are dealt; Spark broadcasts the copies where they are few. A product with a table of blocks makes them, since that
+    counts in Spark's estimate of their size, as explode() does not."""
+    blocks = images.sparkSession.range(BLOCKS).select(F.col("id").cast("int").alias("_block"))
+    copies = images.crossJoin(F.broadcast(blocks))
     return d.withColumn("_block", F.pmod(F.col("x"), F.lit(BLOCKS))).join(copies, ["image_id", "_block"], how).drop("_block")
 
 
+def dealt(copies: DataFrame) -> DataFrame:
+    """Rows that explode() has copied, as a side of a join that Spark shall not broadcast: it estimates their size without the
+    copies."""
+    return copies.hint("merge")
+
+
 def of_image(aggregate: Column) -> Column:
     """An aggregate over an image's rows, for tables with a row a column: pixels then get it through their column, by the join
     with (image, column) that they need anyway."""

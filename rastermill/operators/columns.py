@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import model
 from ..functions.color import TRANSPARENT, is_black, is_nonblack, luma709, rgb_to_hsv
-from ..functions.keys import of_image
+from ..functions.keys import dealt, of_image
 
 
 def by_y():
@@ -70,7 +70,7 @@ def end_of_sky_scan(px: DataFrame, col: DataFrame, h_tol: float = 360.0, s_tol:
     bad = (F.col("y") >= F.col("scan_y")) & ((F.col("dh") > h_tol) | (F.col("ds") > s_tol) | (F.col("dv") > v_tol))
     if rects is not None:
         at = rects.select("image_id", "t", "b", F.explode(F.sequence("l", "r")).alias("x"))
-        inside = px.join(at, ["image_id", "x"]).filter("y BETWEEN t AND b").select("image_id", "x", "y").distinct().withColumn("in_rect", F.lit(True))
+        inside = px.join(dealt(at), ["image_id", "x"]).filter("y BETWEEN t AND b").select("image_id", "x", "y").distinct().withColumn("in_rect", F.lit(True))
         stats = stats.join(inside, ["image_id", "x", "y"], "left")
         bad &= F.col("in_rect").isNull()
     stats = stats.withColumns({"bad": bad, "grows": F.coalesce(F.lead("dv").over(by_y()) > F.col("dv"), F.lit(False))})
@@ -338,7 +338,7 @@ def interpolate_masked_columns(px: DataFrame, col: DataFrame, masks: DataFrame)
     below the lowest start of sky of those columns. Ranges at an edge of the image give none."""
     m = masks.filter("kind = 'column'").select("image_id", F.col("l").alias("from_x"), F.col("r").alias("to_x"))
     rows = m.join(col.select("image_id", "x", "sos"), "image_id").filter("x BETWEEN from_x - 1 AND to_x").groupBy("image_id", "from_x", "to_x").agg((F.max("sos") + 10).alias("rows"))
-    at = lambda x: px.join(rows.withColumn("x", x), ["image_id", "x"]).filter(F.col("y") < F.col("rows"))
+    at = lambda x: px.join(dealt(rows.withColumn("x", x)), ["image_id", "x"]).filter(F.col("y") < F.col("rows"))
     inside = at(F.explode(F.sequence("from_x", "to_x"))).select("image_id", "x", "y", "from_x", "to_x")
     side = lambda x, p: at(F.expr(x)).select("image_id", "y", "from_x", *[F.col(c).alias(f"{p}{c}") for c in "rgb"])
     d = inside.join(side("from_x - 1", "a"), ["image_id", "y", "from_x"]).join(side("to_x + 1", "b"), ["image_id", "y", "from_x"])

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import dealt
 from ..sources.store import saved
 
 #: Fewest pixels to look at, and to fit; the greatest relative distance of a channel from the mean around a place.
@@ -23,7 +24,7 @@ def sky_pixels(px: DataFrame, col: DataFrame, clip_end: bool) -> DataFrame:
 def around(sky: DataFrame, places: DataFrame, step: int = 1) -> DataFrame:
     """Rows of places (image_id, cx, cy, width, ..) with each pixel of the square around, every `step`-th in x and y; u and v
     are its distances to the right and down. Places are dealt to the columns they reach: an equi-join on image and column."""
-    d = places.withColumn("x", F.explode(F.expr("sequence(greatest(cx - width, 0), cx + width)"))).join(sky, ["image_id", "x"])
+    d = dealt(places.withColumn("x", F.explode(F.expr("sequence(greatest(cx - width, 0), cx + width)")))).join(sky, ["image_id", "x"])
     d = d.filter("y BETWEEN cy - width AND cy + width")
     if step > 1:
         d = d.filter(f"(x - greatest(cx - width, 0)) % {step} = 0 AND (y - greatest(cy - width, sos)) % {step} = 0")

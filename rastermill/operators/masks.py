@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import dealt
+
 KINDS = ("column", "sample", "repair", "nonsky")
 
 
@@ -19,7 +21,7 @@ def skip_mask_y(px: DataFrame, rects: DataFrame, masks: DataFrame, height: int)
     """Adds skip_y: where a scan down the column goes on; the bottom of the lowest rectangle, the height in a masked
     column, else y itself."""
     r = rects.select("image_id", F.explode(F.sequence("l", "r")).alias("x"), "t", "b")
-    hit = px.select("image_id", "x", "y").join(r, ["image_id", "x"]).filter(F.col("y").between(F.col("t"), F.col("b"))).groupBy("image_id", "x", "y").agg(F.max("b").alias("bottom"))
+    hit = px.select("image_id", "x", "y").join(dealt(r), ["image_id", "x"]).filter(F.col("y").between(F.col("t"), F.col("b"))).groupBy("image_id", "x", "y").agg(F.max("b").alias("bottom"))
     cols = masks.filter("kind = 'column'").select("image_id", F.explode(F.sequence("l", "r")).alias("x")).distinct().withColumn("masked", F.lit(True))
     d = px.join(hit, ["image_id", "x", "y"], "left").join(cols, ["image_id", "x"], "left")
     return d.withColumn("skip_y", F.when(F.col("masked"), height).otherwise(F.coalesce("bottom", "y"))).drop("bottom", "masked")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import hsv_to_rgb
+from ..functions.keys import dealt
 from ..functions.model import clamp01
 
 
@@ -18,7 +19,7 @@ BRIGHTEST = 65534
 def _boxed(px: DataFrame, elements: DataFrame) -> DataFrame:
     """Elements (ex, ey, reach) copied to the columns they touch and joined by (image, column); rows outside the box fall away."""
     e = elements.withColumn("x", F.explode(F.expr("sequence(CAST(floor(ex - reach) AS INT), CAST(floor(ex + reach) AS INT))")))
-    return px.select("image_id", "x", "y").join(e, ["image_id", "x"]).filter("y BETWEEN floor(ey - reach) AND floor(ey + reach)")
+    return px.select("image_id", "x", "y").join(dealt(e), ["image_id", "x"]).filter("y BETWEEN floor(ey - reach) AND floor(ey + reach)")
 
 
 def ghost_light(channel: str, offset: int) -> Column:

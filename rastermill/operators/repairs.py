@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import is_seen
-from ..functions.keys import of_image
+from ..functions.keys import dealt, of_image
 from ..functions.model import barycentric_blend
 from ..sources.store import saved
 from .columns import by_row, by_x, by_y
@@ -219,7 +219,7 @@ def overhang_holes(px: DataFrame, col: DataFrame) -> DataFrame:
     inner = F.when(F.col("x") > 0, F.col("seen"))
     d = d.withColumns({"to_left": F.last(inner, True).over(by_row().rowsBetween(Window.unboundedPreceding, 0)), "to_right": F.first("seen", True).over(by_row().rowsBetween(0, Window.unboundedFollowing))})
     todo = c.withColumn("x", F.when(F.col("left"), F.col("at")).otherwise(F.col("at") + 1)).withColumn("y", F.explode(F.expr("sequence(top + 1, bottom - 1)")))
-    d = todo.join(d.select("image_id", "x", "y", "to_left", "to_right"), ["image_id", "x", "y"])
+    d = dealt(todo).join(d.select("image_id", "x", "y", "to_left", "to_right"), ["image_id", "x", "y"])
     d = d.withColumn("end", F.when(F.col("left"), F.col("to_left")).otherwise(F.col("to_right")))
     farthest = F.when(F.col("left"), -F.col("end")).otherwise(F.col("end"))
     holes = d.groupBy("image_id", "at", "left", "top", "bottom").agg(F.max_by(F.struct("end", "y"), F.when(F.col("end").isNotNull(), F.struct(farthest, -F.col("y")))).alias("m"), F.count_if(F.col("end").isNull()).alias("open"))
@@ -247,7 +247,7 @@ def fill_overhang_holes(px: DataFrame, col: DataFrame, width: int = 30, limit: f
         of = fits.select("image_id", F.col("cx").alias(f"px{k}"), F.col("cy").alias(f"py{k}"), *[F.col(f"coef_{c}").alias(f"coef_{k}{c}") for c in "rgb"])
         d = d.join(of, ["image_id", f"px{k}", f"py{k}"])
     d = d.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
-    d = d.join(px.filter(~is_seen()).select("image_id", "x", "y"), ["image_id", "x", "y"])
+    d = dealt(d).join(px.filter(~is_seen()).select("image_id", "x", "y"), ["image_id", "x", "y"])
     corners = [(F.col(f"px{k}"), F.col(f"py{k}")) for k in (1, 2, 3)]
     of = lambda c: [F.expr(f"coef_{k}{c}[0] + coef_{k}{c}[1] * (x - px{k}) + coef_{k}{c}[2] * (y - py{k}) + coef_{k}{c}[3] * (y - py{k}) * (y - py{k})") for k in (1, 2, 3)]
     blend = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(65535.0), barycentric_blend(F.col("x"), F.col("y"), corners, of(c)) + 0.5))

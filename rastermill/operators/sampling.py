@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import rgb_to_hsv
 from ..functions.geometry import luminance
+from ..functions.keys import dealt
 from ..sources.store import saved
 
 
@@ -24,7 +25,7 @@ def sample_sky(px: DataFrame, col: DataFrame, spec: DataFrame, reach: int = 2) -
     c = col.join(spec, "image_id").filter("eos - 6 >= sos + 3").filter("x % dx = 0")
     centre = c.select("image_id", F.col("x").alias("cx"), F.explode(F.expr("sequence(eos - 6, sos + 3, -dy)")).alias("cy"))
     near = centre.select("*", F.explode(F.sequence(F.col("cx") - reach, F.col("cx") + reach)).alias("x")).select("*", F.explode(F.sequence(F.col("cy") - reach, F.col("cy") + reach)).alias("y"))
-    d = near.join(px.filter("a >= 32767"), ["image_id", "x", "y"])
+    d = dealt(near).join(px.filter("a >= 32767"), ["image_id", "x", "y"])
     cv = lambda k: F.coalesce(F.stddev_samp(F.col(k).cast("double")), F.lit(0.0)) / F.nullif(F.avg(k), F.lit(0.0))
     return d.groupBy("image_id", F.col("cx").alias("x"), F.col("cy").alias("y")).agg(*[F.floor(F.avg(k)).cast("int").alias(k) for k in "rgb"], *[F.coalesce(cv(k), F.lit(0.0)).alias(f"cv_{k}") for k in "rgb"])
 
@@ -50,7 +51,7 @@ def close_neighbors(smp: DataFrame) -> DataFrame:
     b = b.withColumn("cs", F.explode(F.sequence(F.col("cs") - 1, F.col("cs") + 1))).withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)))
     sq = lambda p: F.pow(F.col(p) - F.col(f"{p}2"), F.lit(2.0))
     close = (sq("s") + sq("v") < 0.005) & (sq("s") + sq("px") < 0.01) & (sq("h") + sq("v") < 36) & ((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")))
-    n = a.join(b, ["image_id", "cs", "cx"]).filter(close).groupBy("image_id", "x", "y").agg(F.count("*").alias("n_close"))
+    n = a.join(dealt(b), ["image_id", "cs", "cx"]).filter(close).groupBy("image_id", "x", "y").agg(F.count("*").alias("n_close"))
     return smp.join(n, ["image_id", "x", "y"], "left").fillna(0, ["n_close"])
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.model import COSINE_SCALE
+from ..functions.keys import dealt
 from ..sources.store import saved
 from . import columns, fits
 
@@ -247,7 +248,7 @@ def refine_sky_params(smp: DataFrame, start: DataFrame, spans: dict[str, tuple[f
             step = reach / half**k / half
             places = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda j: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(name) + j * step)))  # noqa: B023
             grid = grid.withColumn(name, F.explode(F.array_distinct(places)))
-        d = smp.select("image_id", "px", "py", "v").join(grid, "image_id").withColumn("l", luminance)
+        d = smp.select("image_id", "px", "py", "v").join(dealt(grid), "image_id").withColumn("l", luminance)
         sums = d.groupBy(*start.columns).agg(F.sum("v").alias("v"), F.sum("l").alias("l"), *[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("vv", "vl", "ll")])
         factor = F.coalesce(F.col("v") / F.nullif("l", F.lit(0.0)), F.lit(1.0))
         sums = sums.withColumn("sse", F.round(F.col("vv") - 2 * factor * F.col("vl") + factor * factor * F.col("ll"), 9))

@@ -1,7 +1,12 @@
-"""What grows with the images stays off the driver: estimates of intermediate tables."""
+"""What grows with the images stays off the driver: estimates of intermediate tables, and copies that are not broadcast."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from rastermill.functions.keys import BLOCKS, with_image
+from rastermill.operators import local_fit
 from rastermill.sources.store import saved
 
 
@@ -9,8 +14,33 @@ def estimate(df):
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_saved_tables_are_taken_for_as_large_as_their_rows(spark):
     """Three whole numbers of 4 bytes a row, though all rows are alike."""
     d = saved(spark.range(0, 50_000, 1, 2).select(F.lit(1).alias("image_id"), F.lit(2).alias("x"), F.lit(3).alias("y")), "alike")
     assert estimate(d) >= 12 * 50_000
     assert d.count() == 50_000 and d.distinct().count() == 1
+
+
+def test_copies_of_places_are_not_broadcast(spark, small_broadcasts):
+    places = saved(spark.range(0, 2000, 1, 2).select(F.col("id").cast("int").alias("image_id"), F.lit(40).alias("cx"), F.lit(3).alias("cy"), F.lit(30).alias("width")), "places")
+    sky = saved(spark.range(0, 100_000, 1, 2).selectExpr("CAST(id % 2000 AS INT) AS image_id", "CAST(id / 2000 AS INT) AS x", "3 AS y", "1 AS sos"), "sky")
+    assert estimate(places) < 64 << 10 < estimate(sky)
+    d = local_fit.around(sky, places)
+    assert d.count() == 2000 * 40
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_images_count_in_their_estimate(spark, small_broadcasts):
+    images = saved(spark.range(0, 2000, 1, 2).select(F.col("id").cast("int").alias("image_id"), F.col("id").alias("n")), "images")
+    px = saved(spark.range(0, 100_000, 1, 2).selectExpr("CAST(id % 2000 AS INT) AS image_id", "CAST(id / 2000 AS INT) AS x"), "px")
+    assert estimate(images) < 64 << 10 < estimate(images) * BLOCKS
+    d = with_image(px, images)
+    assert d.filter("n = image_id").count() == 100_000
+    assert not re.search("BroadcastHashJoin", d._jdf.queryExecution().executedPlan().toString())
