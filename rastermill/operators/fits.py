@@ -71,6 +71,44 @@ def levenberg_marquardt(residual: Callable, p0: np.ndarray, lo: np.ndarray, hi:
     return p, cost
 
 
+def levenberg_marquardt_many(residual: Callable, p0: np.ndarray, lo: np.ndarray, hi: np.ndarray, tolerance: float = 1e-4, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """levenberg_marquardt() for many problems at once: p0, lo and hi have a row a problem, and residual(parameters, which) gives
+    a row for each of the problems `which`. Each takes the steps it would take alone, and those that are done rest."""
+    p = np.clip(np.asarray(p0, float), lo, hi)
+    at, k = np.arange(len(p)), p.shape[1]
+    r = residual(p, at)
+    cost, damping = (r * r).sum(axis=1), np.full(len(p), 1e-3)
+    for _ in range(rounds):
+        if not len(at):
+            break
+        now, was = p[at], cost[at]
+        h = 1e-6 * np.maximum(np.abs(now), 1e-3)
+        h = np.where(now + h > hi[at], -h, h)
+        jac = np.stack([(residual(now + h * np.eye(k)[j], at) - r[at]) / h[:, j : j + 1] for j in range(k)], axis=1)
+        g, a = jac @ r[at][:, :, None], jac @ jac.transpose(0, 2, 1)
+        q, s, new, todo = now.copy(), r[at], was.copy(), np.arange(len(at))
+        while len(todo):
+            d = damping[at[todo]]
+            damped = a[todo] + d[:, None, None] * np.eye(k) * (np.einsum("nii->ni", a[todo]) + 1e-12)[:, None, :]
+            q[todo] = np.clip(now[todo] - (np.linalg.pinv(damped, rcond=k * np.finfo(float).eps) @ g[todo])[:, :, 0], lo[at[todo]], hi[at[todo]])
+            s[todo] = residual(q[todo], at[todo])
+            new[todo] = (s[todo] ** 2).sum(axis=1)
+            more = ~((new[todo] < was[todo]) | (d > 1e8))
+            todo = todo[more]
+            damping[at[todo]] *= 4
+        better, done = new < was, (new >= was) | (was - new <= tolerance * 1e-4 * was)
+        b = at[better]
+        p[b], r[b], cost[b], damping[b] = q[better], s[better], new[better], damping[b] / 4
+        at = at[~done]
+    return p, cost
+
+
+def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as shuffles have. Fits take long over few bytes, and Spark would put partitions together
+    by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fit_bounded(df: DataFrame, keys: list[str], residual: Callable[[pd.DataFrame, np.ndarray], np.ndarray], p0, lo, hi) -> DataFrame:
     """keys, params, sse, n: a bounded fit for each group; residual gets the group's rows and the parameters."""
     schema = StructType([df.schema[c] for c in keys]).simpleString()[7:-1].replace(":", " ")
@@ -79,7 +117,7 @@ def fit_bounded(df: DataFrame, keys: list[str], residual: Callable[[pd.DataFrame
         p, cost = levenberg_marquardt(lambda q: np.asarray(residual(pdf, q), float), np.array(p0, float), np.array(lo, float), np.array(hi, float))
         return pd.DataFrame([[*key, p.tolist(), cost, len(pdf)]], columns=[*keys, "params", "sse", "n"])
 
-    return df.groupBy(*keys).applyInPandas(run, f"{schema}, params array<double>, sse double, n long")
+    return dealt_out(df, *keys).groupBy(*keys).applyInPandas(run, f"{schema}, params array<double>, sse double, n long")
 
 
 def student_t_cdf(t: Column, df: Column) -> Column:

@@ -21,6 +21,8 @@ from . import columns, fits
 
 #: Sections across the image, and the weight of an outlier's error.
 SECTIONS, OUTLIER = 4, 0.001
+#: Images whose luminance is fitted at once: a group has as many times the samples of one.
+IMAGES = 32
 
 
 def section_curves(smp: DataFrame, least: int = 9, least_range: float = 0.01) -> DataFrame:
@@ -85,22 +87,25 @@ def _saturation(p, px, py):
 def horizon_scores(smp: DataFrame) -> DataFrame:
     """(image_id, slope, horizon_py, v_coefs, sse): a bounded fit of value for slopes from -.2 to .2 by .04, and for horizons
     from .05 below the lowest sample's py down to above .05, by .05 (that first one always). smp has knots and fov_y.
-    Samples are copied to the 11 slopes; the at most 20 horizons are tried in a slope's group."""
-    d = smp.select("image_id", "px", "py", "v", "is_outlier", "knots", "fov_y", F.explode(F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda k: k * 0.04)).alias("slope"))
+    The 11 slopes by at most 20 horizons of an image are fitted at once."""
+    d = smp.select("image_id", "px", "py", "v", "is_outlier", "knots", "fov_y")
+    slopes = np.arange(-5, 6) * 0.04
 
     def run(key, pdf):
         px, py, v = (pdf[c].to_numpy(float) for c in ("px", "py", "v"))
         w, fov_y = np.where(pdf.is_outlier.to_numpy() == 0, 1.0, OUTLIER), float(pdf.fov_y.iloc[0])
         base = np.interp(px, np.linspace(-0.5, 0.5, 101), np.asarray(pdf.knots.iloc[0], float))
-        level, first = py + key[1] * px, min(py.min() - 0.05, 1.0)
-        out = []
-        for k in range(max(1, math.ceil((first - 0.05) / 0.05 - 1e-9))):
-            horizon = first - 0.05 * k
-            p, sse = fits.levenberg_marquardt(lambda q: (_value(q, base, level, horizon, fov_y) - v) * w, np.array([0.2, 0.5, 5.5, 0.25]), np.array([0.01, 0.1, 1.0, 0.05]), np.array([0.8, 0.9, 8.0, 2.0]))
-            out.append((key[0], key[1], horizon, p.tolist(), sse))
-        return pd.DataFrame(out, columns=["image_id", "slope", "horizon_py", "v_coefs", "sse"])
+        first = min(py.min() - 0.05, 1.0)
+        horizons = first - 0.05 * np.arange(max(1, math.ceil((first - 0.05) / 0.05 - 1e-9)))
+        slope, horizon = np.repeat(slopes, len(horizons)), np.tile(horizons, len(slopes))
+        level = py + slopes[:, None] * px
+        of_slope = np.repeat(np.arange(len(slopes)), len(horizons))
+        residual = lambda q, at: (_value(q.T[:, :, None], base, level[of_slope[at]], horizon[at, None], fov_y) - v) * w
+        start, lo, hi = (np.tile(x, (len(slope), 1)) for x in ([0.2, 0.5, 5.5, 0.25], [0.01, 0.1, 1.0, 0.05], [0.8, 0.9, 8.0, 2.0]))
+        p, sse = fits.levenberg_marquardt_many(residual, start, lo, hi)
+        return pd.DataFrame({"image_id": key[0], "slope": slope, "horizon_py": horizon, "v_coefs": list(p), "sse": sse})
 
-    return d.groupBy("image_id", "slope").applyInPandas(run, "image_id int, slope double, horizon_py double, v_coefs array<double>, sse double")
+    return fits.dealt_out(d, "image_id").groupBy("image_id").applyInPandas(run, "image_id int, slope double, horizon_py double, v_coefs array<double>, sse double")
 
 
 def best_horizon(scores: DataFrame) -> DataFrame:
@@ -148,7 +153,7 @@ def side_curves(smp: DataFrame) -> DataFrame:
         hue, _ = fits.levenberg_marquardt(lambda q: (_hue(q, px, level) - h) * w, np.array([least, spread, 40, low]), lo, hi)
         return pd.DataFrame([[*key, sat.tolist(), [*hue.tolist(), 0.0]]], columns=["image_id", "side", "s_coefs", "h_coefs"])
 
-    return d.groupBy("image_id", "side").applyInPandas(run, "image_id int, side int, s_coefs array<double>, h_coefs array<double>")
+    return fits.dealt_out(d, "image_id", "side").groupBy("image_id", "side").applyInPandas(run, "image_id int, side int, s_coefs array<double>, h_coefs array<double>")
 
 
 def fit_sky_model(smp: DataFrame, images: DataFrame) -> DataFrame:
@@ -176,18 +181,19 @@ def level_py(px, py, curvature: float, slope: float):
     return py - math.copysign(1, curvature) * bow + slope * px
 
 
-def angle_to_sun(px, py, sun_px: float, sun_py: float, fov_x: float, aspect: float, sphere: bool):
+def angle_to_sun(px, py, sun_px, sun_py, fov_x, aspect, sphere: bool):
     """Angles between places and the sun, 0 within its disc: between the directions of view (view_angles()) on the sphere, else as
-    distances in the picture. aspect: height / width."""
+    distances in the picture. aspect: height / width. The sun, fov_x and aspect are numbers, or a column with a row an image of px."""
+    sun_px, sun_py, fov_x, aspect = (np.atleast_1d(np.asarray(x, float)) for x in (sun_px, sun_py, fov_x, aspect))
 
     def view(x, y):
-        l = (np.asarray(y, float) - 0.5) * 2 * math.sin(fov_x * aspect / 2)  # noqa: E741
+        l = (np.asarray(y, float) - 0.5) * 2 * np.sin(fov_x * aspect / 2)  # noqa: E741
         up = np.where(l > 1, math.pi - np.arcsin(np.clip(2 - l, -1, 1)), np.arcsin(np.clip(l, -1, 1)))
         along = -np.asarray(x, float) * fov_x
         return np.stack([np.sin(along) * np.cos(up), np.sin(up), np.cos(along) * np.cos(up)])
 
     if sphere:
-        gamma = np.arccos(np.clip((view(px, py) * view(sun_px, sun_py)[:, None]).sum(axis=0), -1, 1))
+        gamma = np.arccos(np.clip((view(px, py) * view(sun_px, sun_py)).sum(axis=0), -1, 1))
     else:
         gamma = np.hypot((px - sun_px) * fov_x, (py - sun_py) * fov_x * aspect)
     return np.where(gamma < math.radians(0.533) / 2, 0.0, gamma)
@@ -199,37 +205,47 @@ def fit_sky_luminance(smp: DataFrame, images: DataFrame, sphere: bool = False) -
 
     images: image_id, width, height, fov, sun_px, sun_py and, if the horizon is bent or tilted, curvature and slope; the sun
     may move by 20 degrees and by .25 of the height. Angles to the sun are distances in the picture, as in cie_luminance(),
-    or on the sphere of view. The samples of one image are one group.
+    or on the sphere of view. IMAGES images of neighbouring ids are fitted at once.
     """
     bent = [(F.col(c) if c in images.columns else F.lit(0.0)).cast("double").alias(c) for c in ("curvature", "slope")]
     of = images.select("image_id", F.radians("fov").alias("fx"), (F.col("height") / F.col("width")).alias("aspect"), "sun_px", "sun_py", *bent)
     d = smp.select("image_id", "px", "py", "v", "is_outlier").join(of, "image_id")
 
-    def run(key, pdf):
-        px, py, v = (pdf[c].to_numpy(float) for c in ("px", "py", "v"))
-        fx, aspect, sun_px, sun_py, curvature, slope = (float(pdf[c].iloc[0]) for c in ("fx", "aspect", "sun_px", "sun_py", "curvature", "slope"))
-        w = np.where(pdf.is_outlier.to_numpy() == 0, 1.0, OUTLIER)
-        level = level_py(px, py, curvature, slope)
-
-        def luminance(q):
-            a, b, c, e_, e, horizon, sx, sy = q
-            gamma = angle_to_sun(px, py, sx, sy, fx, aspect, sphere)
-            theta = np.minimum(math.pi / 2 - (level - horizon) * fx * aspect, math.pi / 2 - 0.01)
-            light = (1 + a * np.exp(b / np.cos(theta))) * (1 + c * (np.exp(e_ * gamma) - math.exp(e_ * math.pi / 2)) + e * np.cos(gamma) ** 2)
-            return light, v.sum() / light.sum() if light.sum() else 1.0
-
-        def residual(q):
-            light, factor = luminance(q)
-            return (light * factor - v) * w
-
-        turn = math.radians(20) / fx
-        lo = np.array([-8, -4, 0, -6, 0, 0, sun_px - turn, sun_py - 0.25])
-        hi = np.array([8, 0, 24, -0.1, 1.7, 0.7, sun_px + turn, sun_py + 0.25])
-        p, sse = fits.levenberg_marquardt(residual, np.array([-0.5, -0.32, 0.1, -1, 0.45, 0.5, sun_px, sun_py]), lo, hi)
-        return pd.DataFrame([[key[0], *p.tolist(), luminance(p)[1], sse]], columns=names)
+    def run(pdf):
+        some = [g for _, g in pdf.groupby("image_id")]
+        most = max(map(len, some))
+        # a row an image, as long as the longest: what is beyond an image's samples repeats its first one and counts for nothing
+        rows = lambda f: np.stack([np.concatenate([x := np.asarray(f(g), float), np.full(most - len(x), x[0])]) for g in some])
+        px, py, v, outlier = (rows(lambda g, c=c: g[c]) for c in ("px", "py", "v", "is_outlier"))
+        there = np.arange(most) < np.array([[len(g)] for g in some])
+        fx, aspect, sun_px, sun_py = (np.array([[float(g[c].iloc[0])] for g in some]) for c in ("fx", "aspect", "sun_px", "sun_py"))
+        w = np.where(outlier == 0, 1.0, OUTLIER) * there
+        level = rows(lambda g: level_py(g.px.to_numpy(float), g.py.to_numpy(float), float(g.curvature.iloc[0]), float(g.slope.iloc[0])))
+        total = np.where(there, v, 0.0).sum(axis=1, keepdims=True)
+
+        def luminance(q, at):
+            a, b, c, e_, e, horizon, sx, sy = q.T[:, :, None]
+            gamma = angle_to_sun(px[at], py[at], sx, sy, fx[at], aspect[at], sphere)
+            theta = np.minimum(math.pi / 2 - (level[at] - horizon) * fx[at] * aspect[at], math.pi / 2 - 0.01)
+            light = (1 + a * np.exp(b / np.cos(theta))) * (1 + c * (np.exp(e_ * gamma) - np.exp(e_ * math.pi / 2)) + e * np.cos(gamma) ** 2)
+            whole = np.where(there[at], light, 0.0).sum(axis=1, keepdims=True)
+            return light, np.divide(total[at], whole, out=np.ones_like(whole), where=whole != 0)
+
+        def residual(q, at):
+            light, factor = luminance(q, at)
+            return (light * factor - v[at]) * w[at]
+
+        turn, n = math.radians(20) / fx, len(some)
+        fixed = lambda *x: np.tile(np.array(x, float), (n, 1))
+        lo = np.hstack([fixed(-8, -4, 0, -6, 0, 0), sun_px - turn, sun_py - 0.25])
+        hi = np.hstack([fixed(8, 0, 24, -0.1, 1.7, 0.7), sun_px + turn, sun_py + 0.25])
+        p, sse = fits.levenberg_marquardt_many(residual, np.hstack([fixed(-0.5, -0.32, 0.1, -1, 0.45, 0.5), sun_px, sun_py]), lo, hi)
+        found = pd.DataFrame(np.column_stack([p, luminance(p, np.arange(n))[1], sse]), columns=names[1:])
+        return found.assign(image_id=[g.image_id.iloc[0] for g in some])[names]
 
     names = ["image_id", "ca", "cb", "cc", "cd", "ce", "horizon_py", "sun_px", "sun_py", "factor", "sse"]
-    return d.groupBy("image_id").applyInPandas(run, "image_id int, " + ", ".join(f"{n} double" for n in names[1:]))
+    d = fits.dealt_out(d.withColumn("block", F.floor(F.col("image_id") / IMAGES)), "block")
+    return d.groupBy("block").applyInPandas(run, "image_id int, " + ", ".join(f"{n} double" for n in names[1:]))
 
 
 def refine_sky_params(smp: DataFrame, start: DataFrame, spans: dict[str, tuple[float, float, float]], luminance: Column, rounds: int = 3, steps: int = 5) -> DataFrame:

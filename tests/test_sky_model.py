@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.functions import geometry
-from rastermill.operators import columns, fill, sampling, sky_model
+from rastermill.operators import columns, fill, fits, sampling, sky_model
 from test_rules import column_table, pixels
 
 
@@ -99,3 +99,22 @@ def test_adaptive_end(spark):
             s_tol *= max(ds / s_tol, 0.95) if ds < s_tol else 1
             v_tol *= max(dv / v_tol, 0.95) if dv < v_tol else 1
         assert got[x] == end
+
+
+def test_many_fits_take_the_steps_of_single_ones():
+    """Each of 40 problems, all in one call, ends where levenberg_marquardt() ends alone."""
+    r = np.random.default_rng(4)
+    x = np.linspace(0, 3, 30)
+    true = r.uniform([0.2, 0.5, 0.5], [1, 2, 3], (40, 3))
+    y = true[:, :1] + true[:, 1:2] * np.exp(-true[:, 2:] * x) + r.normal(0, 0.01, (40, 30))
+    start, lo, hi = (np.tile(p, (40, 1)) for p in ([0.0, 1.0, 1.0], [0.0, 0.0, 0.0], [5.0, 1.5, 10.0]))
+    p, sse = fits.levenberg_marquardt_many(lambda q, at: q[:, :1] + q[:, 1:2] * np.exp(-q[:, 2:] * x) - y[at], start, lo, hi)
+    for k in range(40):
+        one, cost = fits.levenberg_marquardt(lambda q, k=k: q[0] + q[1] * np.exp(-q[2] * x) - y[k], start[k], lo[k], hi[k])
+        assert np.allclose(p[k], one, atol=1e-6) and np.isclose(sse[k], cost, rtol=1e-9)
+
+
+def test_fits_are_dealt_to_as_many_tasks_as_shuffles_have(spark):
+    """Few bytes, yet not one task: Spark does not put their partitions together."""
+    d = fits.dealt_out(spark.range(100).withColumnRenamed("id", "image_id"), "image_id")
+    assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
