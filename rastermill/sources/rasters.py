@@ -38,22 +38,28 @@ def unpack_scanlines(scanlines: DataFrame) -> DataFrame:
                 v = v[: len(v) // r.channels * r.channels].reshape(-1, r.channels)[:, :4]
                 if r.bits == 8:
                     v = v << 8 | v
-                parts.append(pd.DataFrame(v, columns=list("rgba")).assign(image_id=r.image_id, x=np.arange(len(v)), y=r.y))
+                parts.append((r.image_id, r.y, v))
             if parts:
-                yield pd.concat(parts)[["image_id", "x", "y", "r", "g", "b", "a"]]
+                ids, ys, rows = zip(*parts)
+                long = [len(v) for v in rows]
+                at = {"image_id": np.repeat(ids, long), "x": np.concatenate([np.arange(n) for n in long]), "y": np.repeat(ys, long)}
+                yield pd.DataFrame(at | dict(zip("rgba", np.concatenate(rows).T)))
 
     return scanlines.filter("channels >= 4 AND bits IN (8, 16) AND data IS NOT NULL").mapInPandas(run, PIXELS)
 
 
 def pack_scanlines(px: DataFrame, bits: int = 16) -> DataFrame:
-    """Pixels to rows of bytes, in x order; 16 bits become 8 by dropping the low byte."""
+    """Pixels to rows of bytes, in x order; 16 bits become 8 by dropping the low byte. Spark gathers the rows, so tasks turn many
+    of them into bytes at once."""
+    rows = px.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", *"rgba"))).alias("v"))
+    rows = rows.select("image_id", "y", F.flatten(F.transform("v", lambda p: F.array(*[p[c].cast("int") for c in "rgba"]))).alias("v"))
 
-    def run(key, pdf):
-        v = pdf.sort_values("x")[list("rgba")].to_numpy()
-        data = (v >> 8).astype("u1").tobytes() if bits == 8 else v.astype("<u2").tobytes()
-        return pd.DataFrame({"image_id": [key[0]], "y": [key[1]], "bits": [bits], "channels": [4], "data": [data]})
+    def run(batches):
+        for pdf in batches:
+            data = [((v >> 8).astype("u1") if bits == 8 else v.astype("<u2")).tobytes() for v in pdf.pop("v")]
+            yield pdf.assign(bits=bits, channels=4, data=data)[["image_id", "y", "bits", "channels", "data"]]
 
-    return px.groupBy("image_id", "y").applyInPandas(run, SCANLINES)
+    return rows.mapInPandas(run, SCANLINES)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

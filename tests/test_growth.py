@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rastermill.functions.keys import BLOCKS, with_image
 from rastermill.operators import local_fit
+from rastermill.sources import rasters
 from rastermill.sources.store import saved
 
 
@@ -44,3 +45,11 @@ def test_blocks_of_images_count_in_their_estimate(spark, small_broadcasts):
     d = with_image(px, images)
     assert d.filter("n = image_id").count() == 100_000
     assert not re.search("BroadcastHashJoin", d._jdf.queryExecution().executedPlan().toString())
+
+
+def test_scanlines_are_packed_many_at_a_time(spark):
+    """No group of Python's own for every row of every image."""
+    px = spark.range(0, 400).selectExpr("CAST(id / 100 AS INT) AS image_id", "9 - CAST(id % 10 AS INT) AS x", "CAST(id / 10 AS INT) % 10 AS y", "CAST(id AS INT) AS r", "1 AS g", "2 AS b", "65535 AS a")
+    d = rasters.pack_scanlines(px)
+    assert "FlatMapGroups" not in d._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rasters.unpack_scanlines(d).collect()) == sorted(px.collect())
