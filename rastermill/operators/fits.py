@@ -109,12 +109,13 @@ def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def fit_bounded(df: DataFrame, keys: list[str], residual: Callable[[pd.DataFrame, np.ndarray], np.ndarray], p0, lo, hi) -> DataFrame:
-    """keys, params, sse, n: a bounded fit for each group; residual gets the group's rows and the parameters."""
+def fit_bounded(df: DataFrame, keys: list[str], residual: Callable[[np.recarray, np.ndarray], np.ndarray], p0, lo, hi) -> DataFrame:
+    """keys, params, sse, n: a bounded fit for each group; residual gets the group's rows, a record array, and the parameters."""
     schema = StructType([df.schema[c] for c in keys]).simpleString()[7:-1].replace(":", " ")
 
     def run(key, pdf):
-        p, cost = levenberg_marquardt(lambda q: np.asarray(residual(pdf, q), float), np.array(p0, float), np.array(lo, float), np.array(hi, float))
+        rows = np.rec.fromarrays([np.ascontiguousarray(pdf[c]) for c in pdf], names=list(pdf))
+        p, cost = levenberg_marquardt(lambda q: np.asarray(residual(rows, q), float), np.array(p0, float), np.array(lo, float), np.array(hi, float))
         return pd.DataFrame([[*key, p.tolist(), cost, len(pdf)]], columns=[*keys, "params", "sse", "n"])
 
     return dealt_out(df, *keys).groupBy(*keys).applyInPandas(run, f"{schema}, params array<double>, sse double, n long")

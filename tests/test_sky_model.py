@@ -118,3 +118,10 @@ def test_fits_are_dealt_to_as_many_tasks_as_shuffles_have(spark):
     """Few bytes, yet not one task: Spark does not put their partitions together."""
     d = fits.dealt_out(spark.range(100).withColumnRenamed("id", "image_id"), "image_id")
     assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_residuals_get_plain_arrays(spark):
+    """Columns of a group are arrays, since pandas would take longer than the sums."""
+    seen = lambda rows, p: rows.y - p[0] if type(rows.y) is np.ndarray else 1 / 0
+    r = fits.fit_bounded(spark.createDataFrame([(1, 2.0), (1, 4.0)], "k int, y double"), ["k"], seen, [0.0], [0.0], [9.0]).first()
+    assert abs(r.params[0] - 3) < 1e-6 and abs(r.sse - 2) < 1e-9 and r.n == 2
