@@ -18,10 +18,11 @@ def with_image(d: DataFrame, images: DataFrame, how: str = "inner") -> DataFrame
     return d.withColumn("_block", F.pmod(F.col("x"), F.lit(BLOCKS))).join(copies, ["image_id", "_block"], how).drop("_block")
 
 
-def dealt(copies: DataFrame) -> DataFrame:
-    """Rows that explode() has copied, as a side of a join that Spark shall not broadcast: it estimates their size without the
-    copies."""
-    return copies.hint("merge")
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of columns or pixels, as a side of a join that Spark shall not broadcast. It estimates rows that explode() has copied
+    without the copies, and those of a file by its bytes: rows that are a hashed table on the driver take four times as much,
+    pixels read from encoded columns more, and a job of many joins holds many such tables at once."""
+    return rows.hint("merge")
 
 
 def of_image(aggregate: Column) -> Column:

@@ -26,7 +26,7 @@ def start_of_sky(px: DataFrame, masks: DataFrame, height: int) -> DataFrame:
     """(image_id, x, raw_sos, eos): the first row that is not black (0 if none); masked columns end at 0, others at the bottom."""
     first = px.groupBy("image_id", "x").agg(F.coalesce(F.min(F.when(is_nonblack(), F.col("y"))), F.lit(0)).alias("raw_sos"))
     masked = masks.filter("kind = 'column'").select("image_id", F.explode(F.sequence("l", "r")).alias("x")).distinct().withColumn("m", F.lit(True))
-    return first.join(masked, ["image_id", "x"], "left").select("image_id", "x", "raw_sos", F.when(F.col("m"), 0).otherwise(height - 1).alias("eos"))
+    return first.join(dealt(masked), ["image_id", "x"], "left").select("image_id", "x", "raw_sos", F.when(F.col("m"), 0).otherwise(height - 1).alias("eos"))
 
 
 def sky_extent(col: DataFrame, height: int) -> DataFrame:
@@ -66,26 +66,26 @@ def end_of_sky_scan(px: DataFrame, col: DataFrame, h_tol: float = 360.0, s_tol:
     difference of luma still grows, then the sharpest step near it. Rows in a rectangle (l, r, t, b) never end a column;
     columns without an end keep their old one, masked columns too."""
     stats = column_band_stats(px).withColumns({c: F.round(c, 9) for c in ("dh", "ds", "dv")})  # sums in another order tell nothing
-    stats = stats.join(local_scan_start(col).select("image_id", "x", "scan_y"), ["image_id", "x"])
+    stats = stats.join(dealt(local_scan_start(col).select("image_id", "x", "scan_y")), ["image_id", "x"])
     bad = (F.col("y") >= F.col("scan_y")) & ((F.col("dh") > h_tol) | (F.col("ds") > s_tol) | (F.col("dv") > v_tol))
     if rects is not None:
         at = rects.select("image_id", "t", "b", F.explode(F.sequence("l", "r")).alias("x"))
         inside = px.join(dealt(at), ["image_id", "x"]).filter("y BETWEEN t AND b").select("image_id", "x", "y").distinct().withColumn("in_rect", F.lit(True))
-        stats = stats.join(inside, ["image_id", "x", "y"], "left")
+        stats = stats.join(dealt(inside), ["image_id", "x", "y"], "left")
         bad &= F.col("in_rect").isNull()
     stats = stats.withColumns({"bad": bad, "grows": F.coalesce(F.lead("dv").over(by_y()) > F.col("dv"), F.lit(False))})
     stats = stats.withColumn("begun", F.max(F.col("bad").cast("int")).over(by_y().rowsBetween(Window.unboundedPreceding, 0)))
     first = stats.groupBy("image_id", "x").agg(F.min(F.when((F.col("begun") == 1) & ~F.col("grows"), F.col("y"))).alias("found"))
-    rough = col.join(first, ["image_id", "x"], "left").withColumn("old", F.col("eos")).withColumn("eos", F.coalesce("found", "eos"))
+    rough = col.join(dealt(first), ["image_id", "x"], "left").withColumn("old", F.col("eos")).withColumn("eos", F.coalesce("found", "eos"))
     sharp = hires_end(px, rough, v_tol)
     keep = F.col("found").isNull() | (F.col("column_mask") == 1)
-    return rough.join(sharp, ["image_id", "x"], "left").select("image_id", "x", F.when(keep, F.col("old")).otherwise(F.coalesce("hires_eos", "eos")).cast("int").alias("eos"))
+    return rough.join(dealt(sharp), ["image_id", "x"], "left").select("image_id", "x", F.when(keep, F.col("old")).otherwise(F.coalesce("hires_eos", "eos")).cast("int").alias("eos"))
 
 
 def find_end_of_sky(ends: DataFrame, col: DataFrame, width: int, height: int) -> DataFrame:
     """(image_id, x, eos, lowest_py): a detector's ends (image_id, x, eos) without slivers and steeper steps than two rows a
     column; lowest_py is the image's."""
-    d = col.drop("eos").join(ends, ["image_id", "x"])
+    d = col.drop("eos").join(dealt(ends), ["image_id", "x"])
     d = fix_slivers(d, width).drop("eos").withColumnRenamed("fixed_eos", "eos")
     d = clamp_slope(d).drop("eos").withColumnRenamed("clamped_eos", "eos")
     return d.join(sky_extent(d, height).select("image_id", "lowest_py"), "image_id").select("image_id", "x", F.col("eos").cast("int").alias("eos"), "lowest_py")
@@ -95,7 +95,7 @@ def hires_end(px: DataFrame, col: DataFrame, val_tol: float = 0.015) -> DataFram
     """(image_id, x, hires_eos): near the end, the first row where the means of 3 rows before and after part; two rows on."""
     above, below = by_y().rowsBetween(-3, -1), by_y().rowsBetween(1, 3)
     step = sum(F.abs(F.avg(c).over(above) - F.avg(c).over(below)) for c in "rgb")
-    d = px.withColumn("step", step).join(col.select("image_id", "x", "eos"), ["image_id", "x"]).filter("y BETWEEN eos - 10 AND eos + 9")
+    d = px.withColumn("step", step).join(dealt(col.select("image_id", "x", "eos")), ["image_id", "x"]).filter("y BETWEEN eos - 10 AND eos + 9")
     return d.groupBy("image_id", "x").agg((F.coalesce(F.min(F.when(F.col("step") > val_tol / 0.015 * 4000, F.col("y"))), F.first("eos")) + 2).alias("hires_eos"))
 
 
@@ -107,7 +107,7 @@ def contrast_end(px: DataFrame, col: DataFrame, reach: int = 20) -> DataFrame:
     for c in "rgb":
         metric += F.abs(F.avg(c).over(above) - F.avg(c).over(below))
         ss += F.coalesce(F.var_pop(F.col(c).cast("double")).over(above), F.lit(0.0)) * F.count(c).over(above)
-    d = px.withColumn("metric", F.round(metric + 1 / (ss + 1), 3)).join(col.select("image_id", "x", "eos"), ["image_id", "x"])
+    d = px.withColumn("metric", F.round(metric + 1 / (ss + 1), 3)).join(dealt(col.select("image_id", "x", "eos")), ["image_id", "x"])
     d = d.filter((F.abs(F.col("y") - F.col("eos")) <= reach) & F.col("metric").isNotNull())
     return d.groupBy("image_id", "x").agg(F.max_by("y", F.struct("metric", -F.col("y"))).alias("contrast_eos"))
 
@@ -145,7 +145,7 @@ def t_profile(px: DataFrame, col: DataFrame, height: int, reach: int = 10, near:
     1 - min(1, .1 ln(1 + t)). A colour within `near` counts of the mean above has that distance in place of t. Rows from
     `reach` below the raw start down to `reach` above the bottom."""
     above = by_y().rowsBetween(-reach, -1)
-    d = px.join(col.select("image_id", "x", "raw_sos"), ["image_id", "x"])
+    d = px.join(dealt(col.select("image_id", "x", "raw_sos")), ["image_id", "x"])
     t, dist = [], F.lit(0.0)
     for c in "rgb":
         off = F.abs(F.avg(c).over(above) - F.col(c))
@@ -169,7 +169,7 @@ def ar_forecasts(px: DataFrame, col: DataFrame, height: int, window: int = 20) -
     """
     half = window // 2
     near, span = by_row().rangeBetween(-1, 1), by_y().rangeBetween(-half, half - 1)
-    d = px.join(col.select("image_id", "x", "raw_sos"), ["image_id", "x"]).withColumn("_n", F.count("*").over(near))
+    d = px.join(dealt(col.select("image_id", "x", "raw_sos")), ["image_id", "x"]).withColumn("_n", F.count("*").over(near))
     d = d.withColumns({f"_{c}": F.sum(F.col(c) / 65535.0).over(near) for c in "rgb"})
     d = d.withColumns({f"_{c}": F.sum(f"_{c}").over(span) / F.sum("_n").over(span) for c in "rgb"})
     d = d.filter((F.col("y") >= F.col("raw_sos") + half) & (F.col("y") < height - 1 - window))
@@ -196,7 +196,7 @@ def ar_end(px: DataFrame, col: DataFrame, height: int, window: int = 20, alpha:
     d = ar_forecasts(px, col, height, window)
     breaks = (F.col("n") > 2) & (F.col("err2") > beta * F.col("mse")) & (F.col("err2") > alpha * alpha)
     first = d.groupBy("image_id", "x").agg(F.min(F.when(breaks, F.col("y"))).alias("found"))
-    d = col.select("image_id", "x", "raw_sos", "eos").join(first, ["image_id", "x"], "left")
+    d = col.select("image_id", "x", "raw_sos", "eos").join(dealt(first), ["image_id", "x"], "left")
     return d.select("image_id", "x", "found", F.greatest(F.coalesce("found", "eos") - window, F.col("raw_sos") + 20).cast("int").alias("eos"))
 
 
@@ -222,7 +222,7 @@ def horizontal_smooth(px: DataFrame, col: DataFrame, reach: int = 50) -> DataFra
     """Adds means along rows over the unmasked columns from x - reach to x + reach - 1, for rows above the highest sky end of
     the image; other rows are left out."""
     c = col.select("image_id", "x", "column_mask", of_image(F.min(F.when(F.col("column_mask") == 0, F.col("eos")))).alias("lowest"))
-    d = px.join(c, ["image_id", "x"]).filter(F.col("y") < F.col("lowest"))
+    d = px.join(dealt(c), ["image_id", "x"]).filter(F.col("y") < F.col("lowest"))
     w = by_row().rangeBetween(-reach, reach - 1)
     return d.withColumns({f"{c}_smooth": F.avg(F.when(F.col("column_mask") == 0, F.col(c))).over(w) for c in "rgb"}).drop("lowest", "column_mask")
 
@@ -230,7 +230,7 @@ def horizontal_smooth(px: DataFrame, col: DataFrame, reach: int = 50) -> DataFra
 def seam_smooth(px: DataFrame, col: DataFrame, n: int = 3) -> DataFrame:
     """Pixels within n rows of the start of sky become the mean of the (2n+1)^2 pixels around, of unmasked columns and not
     below their sky end: sums down columns, then along rows. Masked columns and other rows stay."""
-    d = px.join(col.select("image_id", "x", "sos", "eos", "column_mask"), ["image_id", "x"])
+    d = px.join(dealt(col.select("image_id", "x", "sos", "eos", "column_mask")), ["image_id", "x"])
     counts = (F.col("column_mask") == 0) & (F.col("y") <= F.col("eos"))
     down, across = by_y().rangeBetween(-n, n), by_row().rangeBetween(-n, n)
     d = d.withColumns({f"{c}_1": F.sum(F.when(counts, F.col(c))).over(down) for c in "rgb"} | {"n_1": F.count_if(counts).over(down)})
@@ -254,7 +254,7 @@ def box_filter(px: DataFrame, col: DataFrame, dx: int = 4, dy: int = 6, passes:
 
     Sums along rows, then down the own column, so no neighbour is joined and the box ends where the column's fill does.
     """
-    d = px.join(col.select("image_id", "x", "raw_sos", "sos", "eos", "column_mask"), ["image_id", "x"])
+    d = px.join(dealt(col.select("image_id", "x", "raw_sos", "sos", "eos", "column_mask")), ["image_id", "x"])
     d = d.withColumn("n", model.feather_length(F.col("sos"), F.col("eos"), depth, extra, from_row=F.col("raw_sos")))
     low = F.max("y").over(Window.partitionBy("image_id", "x"))
     d = d.withColumn("last", F.least(F.greatest(F.col("sos") + F.col("n"), "raw_sos"), low))
@@ -283,7 +283,7 @@ def row_means(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
     flag 0: from the top to the lowest end of sky; 1: from the top to the lowest start; 2: from the highest start to the
     lowest end, of columns whose sky has begun.
     """
-    d = px.join(row_extents(col, flag), ["image_id", "x"])
+    d = px.join(dealt(row_extents(col, flag)), ["image_id", "x"])
     d = d.filter("y BETWEEN y0 AND y1 AND y <= eos" + (" AND y >= sos" if flag == 2 else ""))
     return d.groupBy("image_id", "y").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"], F.count("*").alias("n"))
 
@@ -296,7 +296,7 @@ def even_out_rows(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
     in every column. The row means are joined by (image, row).
     """
     means = row_means(px, col, flag).drop("n")
-    d = px.join(row_extents(col, flag), ["image_id", "x"]).join(means, ["image_id", "y"], "left")
+    d = px.join(dealt(row_extents(col, flag)), ["image_id", "x"]).join(means, ["image_id", "y"], "left")
     inside = F.col("y").between(F.col("y0"), F.col("y1")) & F.col("mean_r").isNotNull()
     if flag == 0:
         w = F.when(F.col("y") <= F.col("eos"), 1 - F.col("y") / F.nullif("y1", F.lit(0)))
@@ -312,7 +312,7 @@ def even_out_rows(px: DataFrame, col: DataFrame, flag: int = 0) -> DataFrame:
 def extend_end_by_class(px: DataFrame, col: DataFrame, reach: int = 5, certain: float = 0.75) -> DataFrame:
     """(image_id, x, extended_eos): the lowest pixel within `reach` of the end that is of the sky class or, where px has p_hat, is
     sky with more than that certainty; or the end. One round: what is found does not move the box."""
-    d = px.join(col.select("image_id", "x", "eos"), ["image_id", "x"])
+    d = px.join(dealt(col.select("image_id", "x", "eos")), ["image_id", "x"])
     sky = F.col("pixel_class").bitwiseAND(1) == 1
     if "p_hat" in px.columns:
         sky = sky | F.coalesce(F.col("p_hat") > certain, F.lit(False))
@@ -325,7 +325,7 @@ def trim_halo(px: DataFrame, col: DataFrame) -> DataFrame:
     the luma of the row before it, and the last such row is the final end. Transparent pixels below the raw start keep
     their colour. All tests read the old pixels. col: the columns whose fill reaches their end."""
     d = px.withColumn("l", luma709()).withColumns({"l0": F.lag("l").over(by_y()), "l2": F.lead("l").over(by_y())})
-    d = d.join(col.select("image_id", "x", "raw_sos", "eos"), ["image_id", "x"])
+    d = d.join(dealt(col.select("image_id", "x", "raw_sos", "eos")), ["image_id", "x"])
     peak = F.col("y").between(F.col("eos") - 1, F.col("eos") + 2) & (F.col("l") > F.col("l0")) & (F.col("l") > F.col("l2"))
     d = d.withColumn("peak", F.coalesce(peak, F.lit(False)))
     scaled = F.col("peak") & ~((F.col("a") < 32767) & (F.col("y") > F.col("raw_sos")))
@@ -355,7 +355,7 @@ def clear_black_edges(px: DataFrame, col: DataFrame) -> DataFrame:
     Masked columns end a run. Each of the three steps reads the pixels as the one before left them.
     """
     c = col.select("image_id", "x", "raw_sos", "column_mask", of_image(F.min("sos")).alias("low"), of_image(F.max("sos")).alias("high"))
-    d = px.join(c, ["image_id", "x"])
+    d = px.join(dealt(c), ["image_id", "x"])
     black, up = is_black() & (F.col("a") >= TRANSPARENT), Window.partitionBy("image_id", "x").orderBy(F.desc("y"))
     above = (F.col("y") < F.col("raw_sos")) & (F.col("y") > 0) & (F.col("column_mask") == 0)
     d = d.withColumns({"black": black, "above": above}).withColumn("good", (F.col("above") & ~F.col("black")).cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, model
 from ..functions.color import rgb_to_hsv
-from ..functions.keys import of_image, with_image
+from ..functions.keys import dealt, of_image, with_image
 
 
 def with_model(px: DataFrame, models: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def predict_sky(px: DataFrame, models: DataFrame, width=None, height=None, light
 
 def sky_probability(predicted: DataFrame, col: DataFrame) -> DataFrame:
     """Adds prob_sky and p_hat; above the start of sky both are 1."""
-    d = predicted.join(col.select("image_id", "x", "sos"), ["image_id", "x"])
+    d = predicted.join(dealt(col.select("image_id", "x", "sos")), ["image_id", "x"])
     prob = model.sky_probability([F.col(c) for c in "rgb"], [F.col(f"{c}_hat") for c in "rgb"])
     i, i_hat = (F.col("r") + F.col("g") + F.col("b")) / 3, (F.col("r_hat") + F.col("g_hat") + F.col("b_hat")) / 3
     p_hat = model.replacement_probability(prob, i, i_hat, rgb_to_hsv("r", "g", "b")["s"], F.col("s_hat"))
@@ -65,7 +65,7 @@ def sky_probability(predicted: DataFrame, col: DataFrame) -> DataFrame:
 def column_corrections(predicted: DataFrame, col: DataFrame, height: int) -> DataFrame:
     """(image_id, x, h_corr, s_corr, v_corr, n): measured over predicted in the top quarter of each unmasked column's sky,
     hue and value weighing by saturation; 1 where a column has no such pixel (n is 0)."""
-    d = predicted.withColumn("hsv", rgb_to_hsv("r", "g", "b")).join(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos"), ["image_id", "x"])
+    d = predicted.withColumn("hsv", rgb_to_hsv("r", "g", "b")).join(dealt(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos")), ["image_id", "x"])
     end = F.least(F.col("sos") + F.floor((F.col("eos") - F.col("sos")) * 0.25 + 0.5), F.col("eos"), F.lit(height - 1))
     top = (F.col("y") >= F.col("sos")) & (F.col("y") < end) & (F.greatest("r", "g", "b") > 3840)
     s = lambda c: F.sum(F.when(top, c))
@@ -84,7 +84,7 @@ def smooth_corrections(corr: DataFrame, reach: int = 126) -> DataFrame:
 def zenith_color(predicted: DataFrame, col: DataFrame, factors: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """(image_id, h_zenith, s_zenith, v_zenith): the mean prediction of the unmasked columns in the top row, times the
     factors of the whole image."""
-    d = predicted.filter("y = 0").join(col.filter("column_mask = 0").select("image_id", "x"), ["image_id", "x"])
+    d = predicted.filter("y = 0").join(dealt(col.filter("column_mask = 0").select("image_id", "x")), ["image_id", "x"])
     return d.groupBy("image_id").agg(*[(F.avg(f"{c}_hat") * f).alias(f"{c}_zenith") for c, f in zip("hsv", factors)])
 
 
@@ -122,7 +122,7 @@ def towards_zenith(d: DataFrame, predicted: DataFrame, col: DataFrame, depth: fl
     hue = F.when(hue < 0, hue + 360).when(hue > 360, hue - 360).otherwise(hue)
     zenith = zenith.select("image_id", model.predicted_rgb(F.least(hue, F.lit(359.99)), F.col("s_zenith"), F.col("v_zenith")).alias("zenith"))
     of = col.select("image_id", "x").join(zenith, "image_id")
-    d = d.join(of, ["image_id", "x"], "left").withColumn("last", F.floor(F.col("feather_end") * depth + 0.5))
+    d = d.join(dealt(of), ["image_id", "x"], "left").withColumn("last", F.floor(F.col("feather_end") * depth + 0.5))
     share = F.coalesce((F.col("last") - F.col("y")) / F.nullif("last", F.lit(0)), F.lit(0.0))
     mixed = [F.floor(share * F.col(f"zenith.{c}") + (1 - share) * F.col(f"hat.{c}") + 0.5).cast("int").alias(c) for c in "rgb"]
     return d.withColumn("hat", F.when((F.col("y") <= F.col("last")) & F.col("zenith").isNotNull(), F.struct(*mixed)).otherwise(F.col("hat"))).drop("zenith", "last")
@@ -144,7 +144,7 @@ def fill_sky_columns(predicted: DataFrame, col: DataFrame, height: int, depth: f
     """
     corr = smooth_corrections(column_corrections(predicted, col, height))
     extents = zenith_extents(col, zenith[1]) if zenith else col
-    d = predicted.join(corr, ["image_id", "x"], "left").join(extents.select("image_id", "x", "sos", "eos", "raw_sos"), ["image_id", "x"])
+    d = predicted.join(dealt(corr), ["image_id", "x"], "left").join(dealt(extents.select("image_id", "x", "sos", "eos", "raw_sos")), ["image_id", "x"])
     d = d.withColumn("n", model.feather_length(F.col("sos"), F.col("eos"), depth)).withColumn("feather_end", F.col("sos") + F.col("n"))
     d = d.withColumn("w", F.when(F.col("y") >= F.col("feather_end"), 0.0).otherwise(model.feather_weight(F.col("y"), F.col("sos"), F.col("n"), F.col("b"))))
     hue = F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * F.col("h_corr")))
@@ -174,7 +174,7 @@ def replace_sky(predicted: DataFrame, col: DataFrame, depth: float = 0.5, suns:
     A column goes one row further where that row is brighter than the new pixel above it and the old one below.
     """
     extra = [c for c in ("nonsky_mask", "column_mask") if c in col.columns]
-    d = sky_probability(predicted, col).join(col.select("image_id", "x", "sos", F.coalesce("manual_eos", "eos").alias("end"), *extra), ["image_id", "x"])
+    d = sky_probability(predicted, col).join(dealt(col.select("image_id", "x", "sos", F.coalesce("manual_eos", "eos").alias("end"), *extra)), ["image_id", "x"])
     for c in ("nonsky_mask", "column_mask"):
         d = d if c in extra else d.withColumn(c, F.lit(0))
     d = d.withColumn("feather_end", F.col("sos") + model.feather_length(F.col("sos"), F.col("end"), depth))
@@ -184,7 +184,7 @@ def replace_sky(predicted: DataFrame, col: DataFrame, depth: float = 0.5, suns:
     near_sun = F.lit(0.0)
     if suns is not None:
         of = suns.select("image_id", (F.col("height") / F.col("width")).alias("aspect"), F.col("sun_px").alias("sx"), F.col("sun_py").alias("sy"), "cf", "cg")
-        d = d.join(col.select("image_id", "x").join(of, "image_id"), ["image_id", "x"])
+        d = d.join(dealt(col.select("image_id", "x").join(of, "image_id")), ["image_id", "x"])
         near_sun = geometry.sun_weight(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"), F.col("aspect"), F.col("cf"), F.col("cg"))
     length = F.col("feather_end") - F.col("sos")
     linear = model.clamp01(1 - F.coalesce((F.col("y") - F.col("sos")) / F.nullif(length, F.lit(0)), F.lit(1.0)))
@@ -238,7 +238,7 @@ def hue_repair_factors(predicted: DataFrame, col: DataFrame, l: int, r: int, rea
     a slope, or 1. One row an image, by partial aggregation.
     """
     d = predicted.filter((F.col("x") >= l - reach) & (F.col("x") < r + reach) & ((F.col("x") < l) | (F.col("x") >= r)) & (F.col("s_hat") > 0.1) & (F.col("h_hat") > 0))
-    d = d.join(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y BETWEEN sos AND eos")
+    d = d.join(dealt(col.filter("column_mask = 0").select("image_id", "x", "sos", "eos")), ["image_id", "x"]).filter("y BETWEEN sos AND eos")
     d = d.withColumn("hsv", rgb_to_hsv("r", "g", "b")).withColumn("yd", F.col("y").cast("double"))
     sums, out = [], ["n_l", "n_r"]
     for side, near in (("l", F.col("x") < l), ("r", F.col("x") >= r)):
@@ -266,7 +266,7 @@ def repair_sky_hue(predicted: DataFrame, col: DataFrame, l: int, r: int, reach:
     y = F.col("y").cast("double")
     d = predicted.filter((F.col("x") >= l) & (F.col("x") < r)).withColumn("v", rgb_to_hsv("r", "g", "b")["v"])
     of = col.filter("column_mask = 0").select("image_id", "x", "sos", "eos").join(hue_repair_factors(predicted, col, l, r, reach), "image_id")
-    inside = d.join(of, ["image_id", "x"]).filter("y BETWEEN sos AND eos")
+    inside = d.join(dealt(of), ["image_id", "x"]).filter("y BETWEEN sos AND eos")
     left = 1 - (F.col("x") - l) / float(r - l)
     factor = lambda c: left * (F.col(f"{c}_l0") + F.col(f"{c}_l1") * y) + (1 - left) * (F.col(f"{c}_r0") + F.col(f"{c}_r1") * y)
     inside = inside.withColumn("new", model.predicted_rgb(F.greatest(F.lit(0.0), F.least(F.lit(359.99), F.col("h_hat") * factor("h"))), F.col("s_hat") * factor("s"), F.col("v")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.keys import of_image, with_image
+from ..functions.keys import dealt, of_image, with_image
 from ..sources.store import saved
 
 
@@ -164,7 +164,7 @@ def end_of_sky_regression(px: DataFrame, col: DataFrame, height: int, ratio: flo
     """
     half = strip // 2
     last = F.greatest(F.floor((of_image(F.max("x")) + 1) / strip) - 1, F.lit(0)).alias("last")
-    d = px.select("image_id", "x", "y", "r", "g", "b", (F.col(masked) if masked else F.lit(False)).alias("m")).join(col.select("image_id", "x", "sos", last), ["image_id", "x"])
+    d = px.select("image_id", "x", "y", "r", "g", "b", (F.col(masked) if masked else F.lit(False)).alias("m")).join(dealt(col.select("image_id", "x", "sos", last)), ["image_id", "x"])
     d = d.withColumn("strip", F.least(F.floor(F.col("x") / strip), F.col("last")).cast("int")).drop("last")
 
     def window(v, m, sos, eos, bad, lo):

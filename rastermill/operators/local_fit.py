@@ -17,7 +17,7 @@ PLACE = ["image_id", "cx", "cy"]
 def sky_pixels(px: DataFrame, col: DataFrame, clip_end: bool) -> DataFrame:
     """The wholly opaque pixels of unmasked columns from the start of sky down (to its end), with their column's sos."""
     c = col.filter("column_mask = 0").select("image_id", "x", "sos", *["eos"] * clip_end)
-    d = px.filter("a >= 65535").select("image_id", "x", "y", "r", "g", "b").join(c, ["image_id", "x"])
+    d = px.filter("a >= 65535").select("image_id", "x", "y", "r", "g", "b").join(dealt(c), ["image_id", "x"])
     return d.filter("y >= sos" + (" AND y <= eos" if clip_end else "")).drop("eos")
 
 
@@ -82,7 +82,7 @@ def local_fits(px: DataFrame, col: DataFrame, places: DataFrame, width: int | No
         return _fitted_once(sky, at, step, limit)
     at = saved(at, "places")
     first = saved(_fitted_once(sky, at, step, limit), "fits")
-    rest = at.join(first.select(*PLACE), PLACE, "left_anti").withColumn("width", F.col("width") * 2)
+    rest = at.join(dealt(first.select(*PLACE)), PLACE, "left_anti").withColumn("width", F.col("width") * 2)
     return first.unionByName(_fitted_once(sky, rest, step, limit))
 
 
@@ -117,10 +117,10 @@ def updated(px: DataFrame, changes: DataFrame, alpha: int | None = 65535) -> Dat
     would be several rows."""
     c = changes.select("image_id", "x", "y", F.struct("r", "g", "b").alias("new"))
     a = F.col("a") if alpha is None else F.when(F.col("new").isNotNull(), alpha).otherwise(F.col("a"))
-    return px.join(c, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *[F.coalesce(f"new.{k}", k).alias(k) for k in "rgb"], a.alias("a"))
+    return px.join(dealt(c), ["image_id", "x", "y"], "left").select("image_id", "x", "y", *[F.coalesce(f"new.{k}", k).alias(k) for k in "rgb"], a.alias("a"))
 
 
 def raised_start(col: DataFrame, changes: DataFrame) -> DataFrame:
     """col whose start of sky goes up to the highest changed pixel of the column."""
     top = changes.groupBy("image_id", "x").agg(F.min("y").alias("top"))
-    return col.join(top, ["image_id", "x"], "left").withColumn("sos", F.least("sos", "top").cast("int")).select(*col.columns)
+    return col.join(dealt(top), ["image_id", "x"], "left").withColumn("sos", F.least("sos", "top").cast("int")).select(*col.columns)

@@ -23,7 +23,7 @@ def skip_mask_y(px: DataFrame, rects: DataFrame, masks: DataFrame, height: int)
     r = rects.select("image_id", F.explode(F.sequence("l", "r")).alias("x"), "t", "b")
     hit = px.select("image_id", "x", "y").join(dealt(r), ["image_id", "x"]).filter(F.col("y").between(F.col("t"), F.col("b"))).groupBy("image_id", "x", "y").agg(F.max("b").alias("bottom"))
     cols = masks.filter("kind = 'column'").select("image_id", F.explode(F.sequence("l", "r")).alias("x")).distinct().withColumn("masked", F.lit(True))
-    d = px.join(hit, ["image_id", "x", "y"], "left").join(cols, ["image_id", "x"], "left")
+    d = px.join(dealt(hit), ["image_id", "x", "y"], "left").join(dealt(cols), ["image_id", "x"], "left")
     return d.withColumn("skip_y", F.when(F.col("masked"), height).otherwise(F.coalesce("bottom", "y"))).drop("bottom", "masked")
 
 
@@ -31,7 +31,7 @@ def expand_column_masks(col: DataFrame, masks: DataFrame) -> DataFrame:
     """Adds a 0/1 flag <kind>_mask for each kind of mask. Ranges become rows of (image, column): an equi-join."""
     m = masks.select("image_id", "kind", F.explode(F.sequence("l", "r")).alias("x"))
     flags = m.groupBy("image_id", "x").agg(*[F.max(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"{k}_mask") for k in KINDS])
-    return col.join(flags, ["image_id", "x"], "left").fillna(0, [f"{k}_mask" for k in KINDS])
+    return col.join(dealt(flags), ["image_id", "x"], "left").fillna(0, [f"{k}_mask" for k in KINDS])
 
 
 def densify_manual_horizon(vertices: DataFrame) -> DataFrame:
@@ -61,10 +61,10 @@ def nearest_unmasked_end(col: DataFrame) -> DataFrame:
 
 
 def sky_band(px: DataFrame, col: DataFrame) -> DataFrame:
-    return px.join(col.select("image_id", "x", "sos", "eos"), ["image_id", "x"]).filter("y BETWEEN sos AND eos").drop("sos", "eos")
+    return px.join(dealt(col.select("image_id", "x", "sos", "eos")), ["image_id", "x"]).filter("y BETWEEN sos AND eos").drop("sos", "eos")
 
 
 def tag_sky(px: DataFrame, col: DataFrame) -> DataFrame:
     """ORs the sky bit (1) into pixel_class on raw_sos .. eos."""
-    d = px.join(col.select("image_id", "x", "raw_sos", "eos"), ["image_id", "x"])
+    d = px.join(dealt(col.select("image_id", "x", "raw_sos", "eos")), ["image_id", "x"])
     return d.withColumn("pixel_class", F.col("pixel_class").bitwiseOR(F.when(F.expr("y BETWEEN raw_sos AND eos"), 1).otherwise(0))).drop("raw_sos", "eos")

@@ -84,7 +84,7 @@ def overlay_rays(px: DataFrame, rays: DataFrame, saturation: float = 1.0) -> Dat
 
 def _added(px: DataFrame, sums: DataFrame) -> DataFrame:
     """px and the light of sums (add_r, add_g, add_b); pixels without a row there stay, others end at BRIGHTEST."""
-    d = px.join(sums.withColumn("lit", F.lit(True)), ["image_id", "x", "y"], "left")
+    d = px.join(dealt(sums.withColumn("lit", F.lit(True))), ["image_id", "x", "y"], "left")
     new = lambda c: F.least(F.lit(BRIGHTEST), F.floor(F.col(c) + F.coalesce(f"add_{c}", F.lit(0.0)))).cast("int")
     return d.select("image_id", "x", "y", *[F.when(F.col("lit") & F.coalesce("add_r", "add_g", "add_b").isNotNull(), new(c)).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
 

@@ -72,15 +72,15 @@ def paired_t_end(px: DataFrame, col: DataFrame, gap: int = 10, block: int = 10,
     """image_id, x, paired_eos: where a neighbour's end is more than `gap` rows lower, blocks of rows below the own end are
     tested pairwise against it; the end moves down to the first block that differs, or to the neighbour's end."""
     ends = col.select("image_id", "x", "eos")
-    near = ends.withColumn("nx", F.explode(F.array(F.col("x") - 1, F.col("x") + 1))).join(ends.toDF("image_id", "nx", "n_eos"), ["image_id", "nx"]).filter(F.col("n_eos") - F.col("eos") > gap)
+    near = ends.withColumn("nx", F.explode(F.array(F.col("x") - 1, F.col("x") + 1))).join(dealt(ends.toDF("image_id", "nx", "n_eos")), ["image_id", "nx"]).filter(F.col("n_eos") - F.col("eos") > gap)
     gray = with_gray(px).select("image_id", "x", "y", "gray")
-    d = near.join(gray, ["image_id", "x"]).filter("y > eos AND y <= n_eos").join(gray.toDF("image_id", "nx", "y", "n_gray"), ["image_id", "nx", "y"])
+    d = near.join(dealt(gray), ["image_id", "x"]).filter("y > eos AND y <= n_eos").join(dealt(gray.toDF("image_id", "nx", "y", "n_gray")), ["image_id", "nx", "y"])
     d = d.withColumns({"block": F.floor((F.col("y") - F.col("eos") - 1) / block), "d": F.col("gray") - F.col("n_gray")})
     s = d.groupBy("image_id", "x", "nx", "eos", "n_eos", "block").agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("s"), F.count("*").alias("n"))
     bad = (F.abs(F.col("m")) * F.sqrt("n") > t_limit * F.col("s")) & (F.abs("m") > diff_limit)
     moved = s.groupBy("image_id", "x", "nx").agg(F.coalesce(F.min(F.when(bad, F.col("eos") + F.col("block") * block)), F.first("n_eos")).alias("end"))
     best = moved.groupBy("image_id", "x").agg(F.max("end").alias("end"))
-    return ends.join(best, ["image_id", "x"], "left").select("image_id", "x", F.coalesce("end", "eos").cast("int").alias("paired_eos"))
+    return ends.join(dealt(best), ["image_id", "x"], "left").select("image_id", "x", F.coalesce("end", "eos").cast("int").alias("paired_eos"))
 
 
 def interpolate_transparent(px: DataFrame, confident: float = 0.98) -> DataFrame:
@@ -102,22 +102,22 @@ def fill_vertical_gaps(px: DataFrame, col: DataFrame, height: int, width: int =
     start and three quarters of the height, a blend of the local fits at both ends; and of the pixels that those fits left
     out. Gaps that reach that bound stay, and so do masked columns, the runs of columns with gaps at the image's sides,
     and gaps without a fit at both ends. All fits see the pixels as they came."""
-    d = px.join(col.select("image_id", "x", "raw_sos", "column_mask"), ["image_id", "x"])
+    d = px.join(dealt(col.select("image_id", "x", "raw_sos", "column_mask")), ["image_id", "x"])
     d = d.filter((F.col("y") >= F.col("raw_sos")) & (F.col("y") < height * 3 // 4)).withColumn("gap", F.col("a") < 32767)
     whole_x = F.when(~F.col("any"), F.col("x"))
     inner = d.groupBy("image_id", "x").agg(F.max("gap").alias("any")).select("image_id", "x", of_image(F.min(whole_x)).alias("first_x"), of_image(F.max(whole_x)).alias("last_x"))
     below = F.min(F.when(~F.col("gap"), F.col("y"))).over(by_y().rowsBetween(1, Window.unboundedFollowing))
-    gaps = d.withColumn("below", below).filter("gap AND below IS NOT NULL AND column_mask = 0").join(inner, ["image_id", "x"]).filter("x > first_x AND x < last_x")
+    gaps = d.withColumn("below", below).filter("gap AND below IS NOT NULL AND column_mask = 0").join(dealt(inner), ["image_id", "x"]).filter("x > first_x AND x < last_x")
     gaps = saved(gaps.groupBy("image_id", "x", "below").agg(F.min("y").alias("top")), "gaps")
     ends = gaps.select("image_id", F.col("x").alias("cx"), F.explode(F.array("top", "below")).alias("cy"))
     fits = saved(local_fits(px, col, ends, width, limit=limit), "fits")
     at = lambda y, p: fits.select("image_id", F.col("cx").alias("x"), F.col("cy").alias(y), *[F.col(f"coef_{c}").alias(f"coef_{p}{c}") for c in "rgb"])
-    rows = gaps.join(at("top", "t"), ["image_id", "x", "top"]).join(at("below", "b"), ["image_id", "x", "below"]).withColumn("y", F.explode(F.sequence("top", "below")))
+    rows = gaps.join(dealt(at("top", "t")), ["image_id", "x", "top"]).join(dealt(at("below", "b")), ["image_id", "x", "below"]).withColumn("y", F.explode(F.sequence("top", "below")))
     w = (F.col("y") - F.col("top")) / (F.col("below") - F.col("top"))
     mixed = lambda c: (1 - w) * fitted(f"t{c}", F.col("y") - F.col("top")) + w * fitted(f"b{c}", F.col("y") - F.col("below"))
     filled = rows.select("image_id", "x", "y", *[whole(mixed(c)).alias(c) for c in "rgb"])
     filled = filled.groupBy("image_id", "x", "y").agg(F.max(F.struct("r", "g", "b")).alias("new")).select("image_id", "x", "y", "new.*")
-    return filled.unionByName(repaired(px, col, fits, limit=limit).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
+    return filled.unionByName(repaired(px, col, fits, limit=limit).join(dealt(filled.select("image_id", "x", "y")), ["image_id", "x", "y"], "left_anti"))
 
 
 def level_start(col: DataFrame, width_px: int) -> DataFrame:
@@ -139,7 +139,7 @@ def fill_levelled_start(px: DataFrame, levelled: DataFrame, width: int = 15, lim
     """image_id, x, y, r, g, b of the pixels between level_sos and the old start, by the local fit half a width below it (of
     every second pixel). Columns without a fit give none."""
     todo = levelled.filter("level_sos < sos").select("image_id", F.col("x").alias("cx"), (F.col("sos") + width // 2).alias("cy"), "level_sos", "sos")
-    rows = local_fits(px, levelled, todo, width, step=2, limit=limit).join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(level_sos, sos - 1)")))
+    rows = local_fits(px, levelled, todo, width, step=2, limit=limit).join(dealt(todo), ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(level_sos, sos - 1)")))
     return rows.select("image_id", F.col("cx").alias("x"), "y", *[whole(fitted(c, F.col("y") - F.col("cy")) + 0.5).alias(c) for c in "rgb"])
 
 
@@ -149,9 +149,9 @@ def fill_to_min_start(px: DataFrame, col: DataFrame, width: int = 30, limit: flo
     least = F.min("sos").over(Window.partitionBy("image_id"))
     todo = col.filter("column_mask = 0").withColumn("least", least).filter("sos > least").select("image_id", F.col("x").alias("cx"), F.col("sos").alias("cy"), "least")
     fits = saved(local_fits(px, col, todo, width, limit=limit), "fits")
-    rows = fits.join(todo, ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(least + 1, cy)")))
+    rows = fits.join(dealt(todo), ["image_id", "cx", "cy"]).withColumn("y", F.explode(F.expr("sequence(least + 1, cy)")))
     filled = rows.select("image_id", F.col("cx").alias("x"), "y", *[whole(fitted(c, F.col("y") - F.col("cy")) + 0.5).alias(c) for c in "rgb"])
-    return filled.unionByName(repaired(px, col, fits, limit=limit).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
+    return filled.unionByName(repaired(px, col, fits, limit=limit).join(dealt(filled.select("image_id", "x", "y")), ["image_id", "x", "y"], "left_anti"))
 
 
 def repair_outlier_pixels(px: DataFrame, col: DataFrame, width: int = 5, limit: float = NEAR_MEAN) -> DataFrame:
@@ -159,7 +159,7 @@ def repair_outlier_pixels(px: DataFrame, col: DataFrame, width: int = 5, limit:
     all columns within `width` (neither masked nor of a repair mask) overlaps, and the pixels that they left out."""
     free = col.filter("column_mask = 0" + (" AND repair_mask = 0" if "repair_mask" in col.columns else ""))
     last = F.max("x").over(Window.partitionBy("image_id"))
-    c = col.select("image_id", "x", last.alias("last")).join(free.select("image_id", "x", "sos", "eos"), ["image_id", "x"])
+    c = col.select("image_id", "x", last.alias("last")).join(dealt(free.select("image_id", "x", "sos", "eos")), ["image_id", "x"])
     c = c.withColumn("cx", F.explode(F.array(*[((F.floor(F.col("x") / width) + k) * width).cast("int") for k in (-1, 0, 1)]))).filter(F.abs(F.col("cx") - F.col("x")) <= width)
     c = c.filter(f"cx >= {width} AND cx < last + 1 - 5").groupBy("image_id", "cx").agg(F.max("sos").alias("y0"), F.min("eos").alias("y1"))
     c = c.withColumn("from", F.floor((F.col("y0") + F.col("y1")) / 2).cast("int") - width).filter("from > y0")
@@ -172,7 +172,7 @@ def clean_vertical_edges(px: DataFrame, col: DataFrame, width: int = 2, limit: f
     try, at the transparent pixel left of one that is not and at the one left of a transparent one, in the rows between the
     image's least and largest start of sky. Fits see all of the sky, as it came."""
     c = col.select("image_id", "x", "column_mask", of_image(F.min("sos")).alias("first"), of_image(F.max("sos")).alias("last"))
-    d = px.join(c, ["image_id", "x"]).filter("y BETWEEN first AND last")
+    d = px.join(dealt(c), ["image_id", "x"]).filter("y BETWEEN first AND last")
     d = d.withColumns({"clear": F.col("a") < 16384, "next": F.lead(F.struct("x", (F.col("a") < 16384).alias("clear"), "column_mask")).over(by_row())})
     d = d.filter("next.x = x + 1 AND clear <> next.clear").filter("CASE WHEN clear THEN next.column_mask ELSE column_mask END = 0")
     places = d.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
@@ -189,14 +189,14 @@ def fill_side_edges(px: DataFrame, col: DataFrame, share: int = 40, limit: float
     for left in (True, False):
         outer = c.filter("x < band" if left else "x >= w - 1 - band").filter("band > 0")
         outer = outer.select("image_id", "x", "w", "band", of_image(F.min("sos")).alias("first"), of_image(F.max("sos")).alias("last"))
-        d = px.join(outer, ["image_id", "x"]).filter("y BETWEEN first AND last").filter("x < band" if left else "x > w - 1 - band")
+        d = px.join(dealt(outer), ["image_id", "x"]).filter("y BETWEEN first AND last").filter("x < band" if left else "x > w - 1 - band")
         good = (F.min if left else F.max)(F.when(is_seen(), F.col("x")))
         ends = d.groupBy("image_id", "w", "y").agg(good.alias("cx")).filter("cx IS NOT NULL").withColumn("gap", F.col("cx") if left else F.col("w") - F.col("cx"))
         ends = ends.filter("gap > 0" if left else "gap > 1")
         out.append(ends.select("image_id", "cx", F.col("y").alias("cy"), F.least(F.lit(20), F.col("gap") * 10).cast("int").alias("width"), F.expr("sequence(0, cx - 1)" if left else "sequence(cx + 1, w - 1)").alias("xs")))
     todo = saved(out[0].unionByName(out[1]), "sides")
-    rows = local_fits(px, col, todo, step=2, limit=limit).drop("width").join(todo, ["image_id", "cx", "cy"]).withColumn("x", F.explode("xs"))
-    rows = rows.join(col.filter("column_mask = 0").select("image_id", "x"), ["image_id", "x"])
+    rows = local_fits(px, col, todo, step=2, limit=limit).drop("width").join(dealt(todo), ["image_id", "cx", "cy"]).withColumn("x", F.explode("xs"))
+    rows = rows.join(dealt(col.filter("column_mask = 0").select("image_id", "x")), ["image_id", "x"])
     return rows.select("image_id", "x", F.col("cy").alias("y"), *[whole(fitted(c, 0, F.col("x") - F.col("cx"))).alias(c) for c in "rgb"])
 
 
@@ -215,7 +215,7 @@ def overhang_holes(px: DataFrame, col: DataFrame) -> DataFrame:
     c = c.select("image_id", F.col("x").alias("at"), (F.col("n.sos") > F.col("sos")).alias("left"), F.least("sos", "n.sos").alias("top"), F.greatest("sos", "n.sos").alias("bottom"))
     c = saved(c, "steps")
     rows = c.groupBy("image_id").agg(F.min("top").alias("first"), F.max("bottom").alias("last"))
-    d = px.join(col.select("image_id", "x").join(rows, "image_id"), ["image_id", "x"]).filter("y > first AND y < last").withColumn("seen", F.when(is_seen(), F.col("x")))
+    d = px.join(dealt(col.select("image_id", "x").join(rows, "image_id")), ["image_id", "x"]).filter("y > first AND y < last").withColumn("seen", F.when(is_seen(), F.col("x")))
     inner = F.when(F.col("x") > 0, F.col("seen"))
     d = d.withColumns({"to_left": F.last(inner, True).over(by_row().rowsBetween(Window.unboundedPreceding, 0)), "to_right": F.first("seen", True).over(by_row().rowsBetween(0, Window.unboundedFollowing))})
     todo = c.withColumn("x", F.when(F.col("left"), F.col("at")).otherwise(F.col("at") + 1)).withColumn("y", F.explode(F.expr("sequence(top + 1, bottom - 1)")))
@@ -253,7 +253,7 @@ def fill_overhang_holes(px: DataFrame, col: DataFrame, width: int = 30, limit: f
     blend = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(65535.0), barycentric_blend(F.col("x"), F.col("y"), corners, of(c)) + 0.5))
     new = F.struct(*[whole(blend(c)).alias(c) for c in "rgb"])
     filled = d.groupBy("image_id", "x", "y").agg(F.min_by(new, "at").alias("new")).filter("new.r IS NOT NULL").select("image_id", "x", "y", "new.*")
-    return filled.unionByName(repaired(px, col, fits, clip_end=False, limit=limit).join(filled.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti"))
+    return filled.unionByName(repaired(px, col, fits, clip_end=False, limit=limit).join(dealt(filled.select("image_id", "x", "y")), ["image_id", "x", "y"], "left_anti"))
 
 
 def forecast_weights(height: int, back: int = 10, ahead: int = 2) -> tuple[np.ndarray, np.ndarray]:

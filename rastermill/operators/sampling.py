@@ -52,7 +52,7 @@ def close_neighbors(smp: DataFrame) -> DataFrame:
     sq = lambda p: F.pow(F.col(p) - F.col(f"{p}2"), F.lit(2.0))
     close = (sq("s") + sq("v") < 0.005) & (sq("s") + sq("px") < 0.01) & (sq("h") + sq("v") < 36) & ((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")))
     n = a.join(dealt(b), ["image_id", "cs", "cx"]).filter(close).groupBy("image_id", "x", "y").agg(F.count("*").alias("n_close"))
-    return smp.join(n, ["image_id", "x", "y"], "left").fillna(0, ["n_close"])
+    return smp.join(dealt(n), ["image_id", "x", "y"], "left").fillna(0, ["n_close"])
 
 
 def flag_outliers(smp: DataFrame) -> DataFrame:

@@ -280,7 +280,7 @@ def adaptive_end(px: DataFrame, col: DataFrame, height: int, alpha: float = 0.95
     exceeds its tolerance, or past the middle of the image. Where the scan runs out first, it ends at the bottom.
     The rows of a column, at most the image's height, are folded in order.
     """
-    stats = columns.column_band_stats(px).join(col.select("image_id", "x", "raw_sos"), ["image_id", "x"])
+    stats = columns.column_band_stats(px).join(dealt(col.select("image_id", "x", "raw_sos")), ["image_id", "x"])
     inside = (F.col("y") >= F.col("raw_sos") + 2 * above) & (F.col("y") < height - 4 - ahead - above)
     row = F.when(inside, F.struct("y", *[F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("dh", "ds", "dv")]))
     d = stats.groupBy("image_id", "x").agg(F.array_sort(F.collect_list(row)).alias("rows"))

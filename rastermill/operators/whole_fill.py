@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.keys import of_image, with_image
-from ..sources.store import PixelVersions, Stages
+from ..functions.keys import dealt, of_image, with_image
+from ..sources.store import PixelVersions, Stages, saved
 from . import columns, fill, fits, overlays, repairs, sampling, sky_model
 from . import masks as masking
 from .local_fit import NEAR_MEAN, raised_start
@@ -55,7 +55,7 @@ def _differing(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new (all pixels) that are not those of old."""
     key, colors = PixelVersions.KEY, PixelVersions.COLORS
     was = old.select(*key, F.struct(*colors).alias("was"))
-    return new.select(*key, *colors).join(was, key).filter(~F.struct(*colors).eqNullSafe(F.col("was"))).drop("was")
+    return new.select(*key, *colors).join(dealt(was), key).filter(~F.struct(*colors).eqNullSafe(F.col("was"))).drop("was")
 
 
 def _starts(px: DataFrame, masks: DataFrame, width: int, height: int) -> DataFrame:
@@ -66,10 +66,11 @@ def _starts(px: DataFrame, masks: DataFrame, width: int, height: int) -> DataFra
 
 def _ends(px: DataFrame, col: DataFrame, width: int, height: int) -> DataFrame:
     """col with the ends of sky of the default detector; masked columns end at 0."""
-    ends = fits.end_of_sky_regression(px, col, height).join(col.select("image_id", "x", "column_mask"), ["image_id", "x"])
+    ends = fits.end_of_sky_regression(px, col, height).join(dealt(col.select("image_id", "x", "column_mask")), ["image_id", "x"])
     ends = ends.select("image_id", "x", F.when(F.col("column_mask") == 1, 0).otherwise(F.col("eos")).alias("eos"))
+    ends = saved(ends, "ends")  # read twice
     found = columns.find_end_of_sky(ends, col, width, height).select("image_id", "x", "eos")
-    return col.drop("eos").join(found, ["image_id", "x"])
+    return col.drop("eos").join(dealt(found), ["image_id", "x"])
 
 
 def _samples(px: DataFrame, col: DataFrame, images: DataFrame, width: int, height: int, options: FillOptions) -> DataFrame:
@@ -108,7 +109,7 @@ def _repaired_top(pixels: PixelVersions, stages: Stages, col: DataFrame, width:
         raised = pixels.change("top", lambda px, at=col: repairs.fill_to_min_start(px, at, limit=options.repair_limit))
         raised_at = raised.select("image_id", "x").distinct().withColumn("raised", F.lit(True))
         least = F.when(F.col("raised"), of_image(F.min("sos"))).otherwise(F.col("sos"))
-        col = stages.table("columns", lambda at=col: at.join(raised_at, ["image_id", "x"], "left").withColumn("sos", least).drop("raised"))
+        col = stages.table("columns", lambda at=col: at.join(dealt(raised_at), ["image_id", "x"], "left").withColumn("sos", least).drop("raised"))
     return col
 
 
@@ -123,7 +124,7 @@ def _smoothed(pixels: PixelVersions, col: DataFrame, masks: DataFrame, models: D
         pixels.change("even-rows", lambda px: _differing(px, columns.even_out_rows(px, col, options.uniform)))
     free = col.filter("column_mask = 0").select("image_id", "x")
     if options.smooth_rows:
-        smooth = lambda px: columns.horizontal_smooth(px, col).join(free, ["image_id", "x"])
+        smooth = lambda px: columns.horizontal_smooth(px, col).join(dealt(free), ["image_id", "x"])
         pixels.change("smooth-rows", lambda px: smooth(px).select("image_id", "x", "y", *[F.floor(f"{c}_smooth").cast("int").alias(c) for c in "rgb"], "a"))
     if options.box:
         pixels.change("box", lambda px: _differing(px, columns.box_filter(px, col)))
@@ -133,7 +134,7 @@ def _smoothed(pixels: PixelVersions, col: DataFrame, masks: DataFrame, models: D
         pixels.change("rays", lambda px: _differing(px, overlays.overlay_rays(px, options.rays)))
     if options.seed is not None:
         top = col.filter("column_mask = 0").select("image_id", "x", (F.col("sos") + F.floor((F.col("eos") - F.col("sos")) * options.depth + 0.5)).alias("fill_end"))
-        pixels.change("dither", lambda px: fill.dither(px.join(top, ["image_id", "x"]).filter("y < fill_end"), options.seed).drop("fill_end"))
+        pixels.change("dither", lambda px: fill.dither(px.join(dealt(top), ["image_id", "x"]).filter("y < fill_end"), options.seed).drop("fill_end"))
 
 
 def _run(px: DataFrame, images: DataFrame, masks: DataFrame, width: int, height: int, options: FillOptions, stages: Stages) -> DataFrame:
@@ -171,7 +172,7 @@ def _run(px: DataFrame, images: DataFrame, masks: DataFrame, width: int, height:
         # a blend towards the zenith has given the columns other ends before the halo is looked at
         extents = fill.zenith_extents(col, options.zenith[1]) if options.zenith else col
         reached = fill.filled_to_end(extents.filter("column_mask = 0"), options.depth)
-        pixels.change("halo", lambda px: columns.trim_halo(with_image(px, models.select("image_id"), "left_semi"), reached).filter("trimmed").drop("trimmed", "final_eos").join(px.select("image_id", "x", "y", "a"), ["image_id", "x", "y"]))
+        pixels.change("halo", lambda px: columns.trim_halo(with_image(px, models.select("image_id"), "left_semi"), reached).filter("trimmed").drop("trimmed", "final_eos").join(dealt(px.select("image_id", "x", "y", "a")), ["image_id", "x", "y"]))
     _smoothed(pixels, col, masks, models, width, height, options)
     return pixels.now()
 

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import dealt
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the session's checkpoint folder. Where neither is set, a folder of our own serves a local master;
@@ -71,7 +73,7 @@ class PixelVersions:
         for c in self.changes[1:]:
             every = every.unionByName(c)
         latest = every.groupBy(*self.KEY).agg(F.max_by(F.struct(*self.COLORS), "version").alias("new"))
-        return self.base.join(latest, self.KEY, "left").select(*self.KEY, *[F.coalesce(f"new.{c}", c).alias(c) for c in self.COLORS])
+        return self.base.join(dealt(latest), self.KEY, "left").select(*self.KEY, *[F.coalesce(f"new.{c}", c).alias(c) for c in self.COLORS])
 
     def change(self, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Apply a stage: make(pixels) gives the changed ones, image_id, x, y, r, g, b and, unless they become opaque, a. Returns them."""

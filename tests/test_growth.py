@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.functions.keys import BLOCKS, with_image
-from rastermill.operators import local_fit
+from rastermill.operators import local_fit, masks
 from rastermill.sources import rasters
-from rastermill.sources.store import saved
+from rastermill.sources.store import PixelVersions, Stages, saved
 
 
 def estimate(df):
@@ -47,6 +47,18 @@ def test_blocks_of_images_count_in_their_estimate(spark, small_broadcasts):
     assert not re.search("BroadcastHashJoin", d._jdf.queryExecution().executedPlan().toString())
 
 
+def test_tables_of_columns_and_changes_are_not_broadcast(spark):
+    """However small Spark takes them for: they grow with the images."""
+    px = saved(spark.range(0, 4000, 1, 2).selectExpr("CAST(id / 1000 AS INT) AS image_id", "CAST(id % 40 AS INT) AS x", "CAST(id / 40 AS INT) % 25 AS y", "1 AS r", "2 AS g", "3 AS b", "65535 AS a"), "px")
+    col = saved(px.select("image_id", "x", F.lit(2).alias("sos"), F.lit(9).alias("eos"), F.lit(0).alias("column_mask")).distinct(), "col")
+    versions = PixelVersions(px, Stages(spark))
+    versions.change("top", lambda d: d.filter("y = 0").withColumn("r", F.lit(7)))
+    for d, n in ((masks.sky_band(px, col), 4 * 40 * 8), (local_fit.sky_pixels(px, col, True), 4 * 40 * 8), (versions.now(), 4000)):
+        assert d.count() == n
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    assert versions.now().filter("r = 7").count() == 4 * 40
+
+
 def test_scanlines_are_packed_many_at_a_time(spark):
     """No group of Python's own for every row of every image."""
     px = spark.range(0, 400).selectExpr("CAST(id / 100 AS INT) AS image_id", "9 - CAST(id % 10 AS INT) AS x", "CAST(id / 10 AS INT) % 10 AS y", "CAST(id AS INT) AS r", "1 AS g", "2 AS b", "65535 AS a")
