@@ -15,6 +15,8 @@ from .common import NEAR, SHINGLE, WordHash, components, cut, shingles, table, t
 DF_BITS, VARIATE_BITS = 18, 16
 #: Up to this many ids (numbers) are broadcast to pick the texts to verify; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Texts of a bucket that are compared with as many others in one group.
+BLOCK = 1000
 
 
 def document_frequencies(docs: DataFrame, bits: int = DF_BITS) -> tuple[int, np.ndarray]:
@@ -94,9 +96,12 @@ def text_classes(docs: DataFrame, bands: int = 9, rows: int = 3, reps: int = 8,
     from a weighted Jaccard similarity of their TF-IDF shingles of `threshold`; classes are the connected texts, class_id
     is the smallest rep of a class, and one text of each class is to keep: that with the smallest rep, then key.
     Candidates share `rows` samples in one of `bands` bands. In a bucket every text is paired with up to `reps`
-    representatives (the least keys of `reps` classes of keys), so pairs grow with the members; pairs whose samples agree
-    in half the positions are verified on whole texts. Pairs with a bucket's first representative are verified first,
-    then those others that would join two classes.
+    representatives (the least keys of `reps` classes of keys); pairs whose samples agree in half the positions are
+    verified on whole texts. Pairs with a bucket's first representative are verified first, then those others that
+    would join two classes. Texts of a bucket that are then still in several classes all meet: their samples are
+    compared in blocks of about BLOCK texts, each pair of blocks a group of its own, and pairs of two classes that
+    agree are verified as well, so no link within a bucket is lost. That part grows with the square of a bucket's
+    texts that no representative has joined.
     """
     spark, samples = docs.sparkSession, bands * rows
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -140,15 +145,62 @@ def text_classes(docs: DataFrame, bands: int = 9, rows: int = 3, reps: int = 8,
         both = some.join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
         return cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), "links")
 
+    def merge(classes: DataFrame, some: DataFrame) -> DataFrame:
+        """The classes after those pairs (a, b) of texts of the classes x and y that are verified."""
+        joins = verified(some.select("a", "b")).join(some, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        merged = components(joins).select(F.col("node").alias("class_id"), F.col("class_id").alias("into"))
+        nodes = classes.union(merged.select(F.col("class_id").alias("node"), "class_id")).distinct()
+        return cut(nodes.join(merged, "class_id", "left").groupBy("node").agg(F.min(F.coalesce("into", "class_id")).alias("class_id")), "merged")
+
     classes = components(verified(pairs.filter("star")))
     at = lambda x: classes.select(F.col("node").alias(x), F.col("class_id").alias(f"{x}_class"))
     rest = pairs.filter("NOT star").join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("a_class", "a").alias("x"), F.coalesce("b_class", "b").alias("y"))
     rest = cut(rest.filter("x <> y"), "rest")
-    if not rest.isEmpty():  # pairs that would join two classes
-        joins = verified(rest.select("a", "b")).join(rest, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        merged = components(joins).select(F.col("node").alias("class_id"), F.col("class_id").alias("into"))
-        nodes = classes.union(merged.select(F.col("class_id").alias("node"), "class_id")).distinct()
-        classes = nodes.join(merged, "class_id", "left").groupBy("node").agg(F.min(F.coalesce("into", "class_id")).alias("class_id"))
+    if not rest.isEmpty():
+        classes = merge(classes, rest)
+    # texts of a bucket that are no heads of it and still in several classes: all of them meet, in blocks
+    met = full.select("bucket", F.col("head").alias("key"))
+    alone = members.join(met, ["bucket", "key"], "left_anti").join(at("key"), "key", "left")
+    alone = cut(alone.select("bucket", "key", F.coalesce("key_class", "key").alias("class")), "alone")
+    several = alone.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most")
+    several = several.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = alone.join(several, "bucket").join(one.select("key", "sig"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "class", "sig")
+
+    def compare(t: pa.Table) -> pa.Table:
+        """The pairs of different classes whose samples agree: of one block, or of one block with the other."""
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, samples)
+        block, keys = t.column("block").to_numpy(), t.column("key").combine_chunks()
+        of = t.column("class").combine_chunks().dictionary_encode().indices.to_numpy()
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        first, second = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        x, y, z = [], [], []
+        for i in first:
+            j = second[second > i] if p == q else second
+            same = (sig[j] == sig[i]).sum(axis=1)
+            ok = (same >= samples // 2) & (of[j] != of[i])
+            x.append(np.full(ok.sum(), i))
+            y.append(j[ok])
+            z.append(same[ok])
+        i, j, n = (np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for v in (x, y, z))
+        return pa.table({"x": keys.take(pa.array(i)), "y": keys.take(pa.array(j)), "n": pa.array(n.astype(np.int32))})
+
+    def across(some: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b, n) whose texts are of two classes, with the classes as x and y."""
+        d = some.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        return d.select("a", "b", "n", F.coalesce("a_class", "a").alias("x"), F.coalesce("b_class", "b").alias("y")).filter("x <> y")
+
+    if not several.isEmpty():
+        found = dealt.groupBy("bucket", "p", "q").applyInArrow(compare, "x binary, y binary, n int")
+        left = cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "left")
+        # first the pair of each text that agrees most, since links spare other pairs of the classes they join
+        best = left.select("a", "b", "n", F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.max(F.struct("n", "a", "b")).alias("m"))
+        best = cut(best.select("m.a", "m.b").distinct(), "best")
+        for some in (lambda: left.join(best, ["a", "b"]), lambda: left.join(best, ["a", "b"], "left_anti")):
+            rest = cut(across(some()), "rest")
+            if not rest.isEmpty():
+                classes = merge(classes, rest)
     linked = one.select("key", "rep").join(classes.select(F.col("node").alias("key"), F.col("class_id").alias("class")), "key", "left")
     linked = cut(linked.withColumn("class", F.coalesce("class", "key")), "linked")
     first = linked.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("first"))

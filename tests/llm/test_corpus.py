@@ -521,6 +521,28 @@ def test_near_duplicates_against_all_pairs(spark):
     assert recall >= 0.95 and all(got[a] // 100 == a // 100 for a in got)
 
 
+def test_near_duplicates_that_no_representative_is_like(spark, monkeypatch):
+    """All texts of a bucket meet, in one block or in several, whether or not they are like its representative."""
+    common, rows = prose(7, 200), []
+    for g in range(30):
+        words = (common + " " + prose(900 + g, 40)).split()
+        rows.append((2 * g, " ".join(words), "en"))
+        words[20] = f"other{g}"
+        rows.append((2 * g + 1, " ".join(words), "en"))
+    d = table(spark, rows)
+    documents, df = minhash.document_frequencies(d)
+    w = minhash.Weights(documents, df, 1, 11)
+    bags = {i: w.of(t) for i, t, _ in rows}
+    bucket = {i: int(w.sample(*bag)[0]) for i, bag in bags.items()}
+    links = [(a, b) for a in bags for b in bags if a < b and bucket[a] == bucket[b] and minhash.weighted_jaccard(*(bags[x] for x in (a, b))) >= 0.8]
+    shared = [a for a, b in links if sum(bucket[a] == x for x in bucket.values()) > 4]
+    assert len(shared) > 4
+    for block in (1000, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = dict(minhash.near_duplicates(d, bands=1, rows=1, reps=1).collect())
+        assert all(got[a] == got[b] for a, b in links) and all(got[x] // 2 == x // 2 for x in got)
+
+
 def test_passages_of_repeated_rows_and_of_several_texts_of_an_id(spark):
     one, two = prose(1, 90), prose(2, 80)
     rows = [(0, one, "en"), (2, two + " " + prose(5, 40), "en"), (3, one, "en"), (3, prose(6, 40) + " " + two, "en")]
