@@ -572,6 +572,31 @@ def test_passages_against_all_pairs(spark):
     assert all(set(holds[a]) & set(holds[b]) for a, b in links)
 
 
+@pytest.mark.parametrize("block", [1000, 20])
+def test_passages_that_no_representative_holds(spark, monkeypatch, block):
+    """All texts hold a line of 30 words, so the representative of its groups has nothing else of the passages around it."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block, raising=False)
+    line = prose(1, 30)
+    rows, passage = [], {}
+    for k in range(120):
+        passage[k] = k % 40 if k < 100 else None
+        own = lambda j: prose(5000 + 10 * k + j, 60)  # noqa: B023, E731
+        around = (prose(100 + passage[k], 12), prose(300 + passage[k], 12)) if k < 100 else (prose(7000 + k, 30), prose(8000 + k, 30))
+        rows.append((k, " ".join([own(0), around[0], line, around[1], own(1)]), "en"))
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    links = {(x.doc_id, x.other_doc_id) for x in got}
+    assert all(passage[a] == passage[b] is not None for a, b in links)
+    for j in range(40):
+        members = [k for k in passage if passage[k] == j]
+        reached, todo = {members[0]}, [members[0]]
+        while todo:
+            at = todo.pop()
+            new = {y for x, y in links if x == at} - reached
+            reached |= new
+            todo += new
+        assert reached == set(members), j
+
+
 def test_longer_contexts_are_used(spark):
     """Only three words together say what comes next."""
     r = random.Random(4)
