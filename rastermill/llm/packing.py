@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import deque
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Ends of sentences: white space after a full stop, question or exclamation mark, or a line break.
-SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
+from .common import held
+
+#: White space as spaces, but line breaks; the mark of a sentence's end among the words (a byte that no text has).
+SPACES, CUT = bytes.maketrans(b"\t\x0b\x0c\r", b"    "), b"\xff"
+#: What stands for that mark among ids.
+NO_ID = 0xFFFFFFFF
+#: Signs at the end of a word that are tokens of their own.
+TAIL = b".,;:!?&%#*$()"
+#: ASCII and the bytes of Latin-1 letters; signs as "p", but the two that are parted from words in whole texts as "q".
+PLAIN = bytes(range(128)) + bytes(range(128, 192)) + b"\xc3"
+KINDS = bytes(113 if x in b",." else 112 if 32 < x < 127 and not chr(x).isalnum() or x < 32 and x not in b"\t\n\v\f\r" or x == 127 else 32 if x < 33 else 97 for x in range(256))
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -23,10 +30,11 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins over it, so a text's ids are its words' ids one after another. New
     words are tokenized many at a time: ASCII ones are told apart by the bytes that each id stands for, others by the id
-    of MARK between them.
+    of MARK between them. Where the tokenizer makes small letters of capitals and parts words from the signs behind them,
+    which is tried on loading, fewer different words are left to tokenize.
     """
 
-    bound, many = 600_000, 2000
+    bound, many = 300_000, 2000
     MARK = "\x02"  # one pre-token and one id; a word that holds it is tokenized by itself
 
     def __init__(self, path: str):
@@ -40,6 +48,29 @@ class WordIds(dict):
             self.sizes[k] = len(token.removesuffix("</w>"))  # a letter of the vocabulary is a byte
         for k, added in self.tokenizer.get_added_tokens_decoder().items():
             self.sizes[k] = len(added.content.encode())
+        same = lambda a, *parts: self.encode(a).tolist() == [k for x in parts for k in self.encode(x).tolist()]
+        self.lowers = same("ABCDEFGHIJ KLMNOPQRS TUVWXYZ IT'S", "abcdefghij klmnopqrs tuvwxyz it's")
+        last = {added.content.encode()[-1] for added in self.tokenizer.get_added_tokens_decoder().values() if added.content}
+        signs = [chr(x) for x in TAIL if x not in last]
+        self.tail = "".join(x for x in signs if all(same(w + x + y, w, x + y) for w in ("word", "caf\xe9", "x7") for y in ("", *signs))).encode()
+        self.parts = b"," in self.tail and b"." in self.tail
+        self[CUT] = NO_ID.to_bytes(4, "little")
+
+    def words(self, text: str | None) -> list[bytes]:
+        """The words of a text, and CUT at the ends of its sentences: behind white space after a full stop, question or
+        exclamation mark, and at line breaks. A letter before a combining mark and added tokens stay as they are."""
+        e = (text or "").encode()
+        if self.lowers and b"\xcc" not in e and b"\xcd" not in e and b"<|" not in e:
+            e = e.lower()
+        e = e.translate(SPACES)
+        if self.parts and not e.translate(None, PLAIN) and b"\xc3\x97" not in e and b"\xc3\xb7" not in e:
+            kinds = e.translate(KINDS)
+            if b"pq " not in kinds and b"qq " not in kinds and b" q " not in kinds and not kinds.startswith(b"q "):
+                e = e.replace(b", ", b" , ").replace(b". ", b" . ")
+        e = e.replace(b"\n", b" \xff ")
+        for end in (b". ", b"! ", b"? "):
+            e = e.replace(end, end + b"\xff ")
+        return e.split()
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -54,10 +85,22 @@ class WordIds(dict):
         if len(self) + len(new) > self.bound:
             self.older = dict(self)
             self.clear()
-            new = set().union(*texts)
+            self[CUT] = NO_ID.to_bytes(4, "little")
+            new = set().union(*texts) - self.keys()
         old = self.older.keys() & new
         self.update((w, self.older[w]) for w in old)
         new -= old
+        parted = {}
+        for w in new:
+            core = w.rstrip(self.tail)
+            if core and len(core) < len(w) and (core[-1] < 128 and core[-1:].isalnum() or core[-1] > 127 and "\xc0" <= (c := core.decode()[-1]) < "\u0250" and c.isalpha() and c.lower().isalpha()):
+                parted[w] = core
+        new.difference_update(parted)
+        new.update(x for x in {*parted.values(), *(w[len(c) :] for w, c in parted.items())} if x not in self)
+        self.tokenize(new)
+        self.update([(w, self[c] + self[w[len(c) :]]) for w, c in parted.items()])
+
+    def tokenize(self, new: set[bytes]) -> None:
         plain = [w for w in new if w.isascii()]
         for k in range(0, len(plain), self.many):
             words = plain[k : k + self.many]
@@ -83,9 +126,8 @@ class WordIds(dict):
                     self[w] = self.encode(w.decode()).tobytes()
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("words", path), lambda: WordIds(path))
 
 
 def cuts(ends: list[int], penalties: list[int], width: int, unpadded: tuple[int, ...] = ()) -> list[int]:
@@ -96,19 +138,23 @@ def cuts(ends: list[int], penalties: list[int], width: int, unpadded: tuple[int,
     length in `unpadded` cost no padding: those few transitions are looked up by their end.
     """
     at = [0, *ends]
-    back = [0] * len(at)
-    value_at = {0: (0, 0)}
+    back, values = [0] * len(at), [0] * len(at)
+    places = np.array(at, np.int64)
+    starts = []  # the end that lies n before each, -1 if none does
+    for n in unpadded:
+        k = np.searchsorted(places, places - n)
+        starts.append((n, np.where(places[k] == places - n, k, -1).tolist()))
     queue: deque[tuple[int, int]] = deque([(0, 0)])
     for j in range(1, len(at)):
-        while at[j] - at[queue[0][1]] > width:
+        here, penalty = at[j] - width, penalties[j - 1]
+        while at[queue[0][1]] < here:
             queue.popleft()
         value, back[j] = queue[0]
-        value += width + penalties[j - 1]  # = cost[j] + end[j]
-        for n in unpadded:
-            if (i := value_at.get(at[j] - n)) and i[0] + n + penalties[j - 1] < value:
-                value, back[j] = i[0] + n + penalties[j - 1], i[1]
-        if unpadded:
-            value_at[at[j]] = (value, j)
+        value += width + penalty  # = cost[j] + end[j]
+        for n, start in starts:
+            if (i := start[j]) >= 0 and values[i] + n + penalty < value:
+                value, back[j] = values[i] + n + penalty, i
+        values[j] = value
         while queue and queue[-1][0] >= value:
             queue.pop()
         queue.append((value, j))
@@ -128,17 +174,18 @@ class Packer:
         self.docs: deque = deque()  # doc_id, bytes of ids, tokens already placed
         self.ends, self.penalties, self.total = [], [], 0
 
-    def add(self, doc_id, sentences: list[bytes]) -> None:
-        self.docs.append([doc_id, b"".join(sentences), 0])
-        for k, s in enumerate(sentences):
-            n, step = len(s) // 4, self.width // 32
+    def add(self, doc_id, ids: bytes, sizes: list[int]) -> None:
+        """A document's ids, and how many of them each sentence has."""
+        self.docs.append([doc_id, ids, 0])
+        step = self.width // 32
+        for k, n in enumerate(sizes):
             for x in range(step, n, step):  # no sentence is longer than a window: it may be cut between words of ids
                 self.ends.append(self.total + x)
                 self.penalties.append(self.word)
             if n:
                 self.total += n
                 self.ends.append(self.total)
-                self.penalties.append(self.sentence if k < len(sentences) - 1 else 0)
+                self.penalties.append(self.sentence if k < len(sizes) - 1 else 0)
 
     def rows(self, last: bool):
         """Pieces of the sequences that are final: all at the last call, else all but the last sequence."""
@@ -190,12 +237,13 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int =
         for b in batches:
             id_type = b.column(0).type
             for k in range(0, len(b), 512):
-                texts = [[s.split() for s in SENTENCE.split((x or "").encode())] for x in b.column(1).slice(k, 512).to_pylist()]
-                ids.learn([s for t in texts for s in t])
+                texts = [ids.words(x) for x in b.column(1).slice(k, 512).to_pylist()]
+                ids.learn(texts)
                 for doc_id, text in zip(b.column(0).slice(k, 512).to_pylist(), texts):
-                    sentences = [b"".join(map(ids.__getitem__, s)) for s in text]
-                    sentences[-1] += end
-                    packer.add(doc_id, sentences)
+                    x = np.frombuffer(b"".join(map(ids.__getitem__, text)) + end, "<u4")
+                    cut = np.flatnonzero(x == NO_ID)
+                    sizes = np.diff(cut, prepend=-1, append=len(x)) - 1
+                    packer.add(doc_id, (x[x != NO_ID] if len(cut) else x).tobytes(), sizes.tolist())
                     if packer.total >= block and (rows := list(packer.rows(False))):
                         yield out(rows)
         if rows := list(packer.rows(True)):

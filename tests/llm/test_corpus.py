@@ -398,6 +398,33 @@ def test_word_ids_equal_the_whole_tokenizer():
                 assert array("I", ids[part]).tolist() == whole.encode(part.decode(), add_special_tokens=False).ids, w
 
 
+def test_ids_of_whole_texts_equal_the_tokenizer():
+    """Parted words, small letters and marks of sentences change no id, and fewer words are left to tokenize."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    r = random.Random(9)
+    letters = "abcXYZ\xe9\xc0\xdf\xd7\xb2'.,;-%0 19  \n\t\r<|>\u0301\u030c\u2014J\u03a3"
+    texts = ["".join(r.choices(letters, k=r.randint(0, 60))) for _ in range(3000)] + ["".join(r.choices("abXY\xe9, . !\n1&", k=40)) for _ in range(3000)]
+    texts += ["<|ENDOFTEXT|> A", "<|endoftext|>, b. C", "J\u030c, x", "x&&, y. ", ", a . b", "a,, b.. c", "", " . ", None]
+    words = [ids.words(t) for t in texts]
+    for k in range(0, len(words), 500):
+        ids.learn(words[k : k + 500])
+        for t, w in zip(texts[k : k + 500], words[k : k + 500]):
+            got = [x for x in array("I", b"".join(ids[x] for x in w)).tolist() if x != packing.NO_ID]
+            assert got == whole.encode(t or "", add_special_tokens=False).ids, t
+    assert ids.words("Ab, cd. Ef! Gh") == [b"ab", b",", b"cd", b".", packing.CUT, b"ef!", packing.CUT, b"gh"]
+
+
+def test_a_worker_keeps_one_thing(monkeypatch):
+    monkeypatch.setattr(common, "_held", {})
+    made = []
+    for what in (1, 1, 2, 2, 1):
+        common.held(what, lambda: made.append(what) or what)  # noqa: B023
+    assert made == [1, 2, 1] and list(common._held) == [1]
+
+
 def test_a_passage_of_many_texts_links_them_all(spark):
     shared = prose(5, 60)
     rows = [(k, prose(1000 + k, 30) + " " + shared + " " + prose(3000 + k, 40), "en") for k in range(200)]
