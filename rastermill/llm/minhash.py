@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE, WordHash, components, cut, shingles, table, text_key
+from .common import NEAR, SHINGLE, WordHash, components, cut, held, shingles, table, text_key
 
 #: Bits of the hashed document-frequency counters, and of the table of random variates.
 DF_BITS, VARIATE_BITS = 18, 16
@@ -77,9 +75,8 @@ class Weights:
         return (chosen >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-@lru_cache(maxsize=1)
 def _weights(documents: int, df: bytes, samples: int, seed: int) -> Weights:
-    return Weights(documents, np.frombuffer(df, np.int64), samples, seed)
+    return held(("weights", documents, df, samples, seed), lambda: Weights(documents, np.frombuffer(df, np.int64), samples, seed))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -100,8 +97,8 @@ def text_classes(docs: DataFrame, bands: int = 9, rows: int = 3, reps: int = 8,
     verified on whole texts. Pairs with a bucket's first representative are verified first, then those others that
     would join two classes. Texts of a bucket that are then still in several classes all meet: their samples are
     compared in blocks of about BLOCK texts, each pair of blocks a group of its own, and pairs of two classes that
-    agree are verified as well, so no link within a bucket is lost. That part grows with the square of a bucket's
-    texts that no representative has joined.
+    agree are verified there as well, so no link within a bucket is lost. That comparison grows with the square of a
+    bucket's texts that no representative has joined; the rows that leave a group are no more than its texts.
     """
     spark, samples = docs.sparkSession, bands * rows
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -136,18 +133,20 @@ def text_classes(docs: DataFrame, bands: int = 9, rows: int = 3, reps: int = 8,
             ok = pa.array([weighted_jaccard(weights.of(x.as_py()), weights.of(y.as_py())) >= threshold for x, y in zip(b.column(2), b.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    def verified(some: DataFrame) -> DataFrame:
-        asked = some.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """(key, text) of the keys asked for."""
         asked = cut(asked.join(one.select("key", "rep"), "key").select(F.col("key").alias("k"), "rep"), "asked")
         asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
         needed = docs.join(asked, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
-        needed = cut(needed.dropDuplicates(["key"]), "needed")
+        return cut(needed.dropDuplicates(["key"]), "needed")
+
+    def verified(some: DataFrame) -> DataFrame:
+        needed = texts_of(some.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         both = some.join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
         return cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), "links")
 
-    def merge(classes: DataFrame, some: DataFrame) -> DataFrame:
-        """The classes after those pairs (a, b) of texts of the classes x and y that are verified."""
-        joins = verified(some.select("a", "b")).join(some, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def merge(classes: DataFrame, joins: DataFrame) -> DataFrame:
+        """The classes after those pairs (a, b) of classes are joined."""
         merged = components(joins).select(F.col("node").alias("class_id"), F.col("class_id").alias("into"))
         nodes = classes.union(merged.select(F.col("class_id").alias("node"), "class_id")).distinct()
         return cut(nodes.join(merged, "class_id", "left").groupBy("node").agg(F.min(F.coalesce("into", "class_id")).alias("class_id")), "merged")
@@ -157,7 +156,7 @@ def text_classes(docs: DataFrame, bands: int = 9, rows: int = 3, reps: int = 8,
     rest = pairs.filter("NOT star").join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("a_class", "a").alias("x"), F.coalesce("b_class", "b").alias("y"))
     rest = cut(rest.filter("x <> y"), "rest")
     if not rest.isEmpty():
-        classes = merge(classes, rest)
+        classes = merge(classes, verified(rest.select("a", "b")).join(rest, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
     # texts of a bucket that are no heads of it and still in several classes: all of them meet, in blocks
     met = full.select("bucket", F.col("head").alias("key"))
     alone = members.join(met, ["bucket", "key"], "left_anti").join(at("key"), "key", "left")
@@ -168,10 +167,11 @@ def text_classes(docs: DataFrame, bands: int = 9, rows: int = 3, reps: int = 8,
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "class", "sig")
 
-    def compare(t: pa.Table) -> pa.Table:
-        """The pairs of different classes whose samples agree: of one block, or of one block with the other."""
+    def alike(t: pa.Table) -> tuple[np.ndarray, ...]:
+        """The pairs of rows of different classes whose samples agree, those that agree most first: of one block, or of one
+        block with the other. With the number of each row's class."""
         sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, samples)
-        block, keys = t.column("block").to_numpy(), t.column("key").combine_chunks()
+        block = t.column("block").to_numpy()
         of = t.column("class").combine_chunks().dictionary_encode().indices.to_numpy()
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
         first, second = np.flatnonzero(block == p), np.flatnonzero(block == q)
@@ -184,23 +184,46 @@ def text_classes(docs: DataFrame, bands: int = 9, rows: int = 3, reps: int = 8,
             y.append(j[ok])
             z.append(same[ok])
         i, j, n = (np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for v in (x, y, z))
-        return pa.table({"x": keys.take(pa.array(i)), "y": keys.take(pa.array(j)), "n": pa.array(n.astype(np.int32))})
-
-    def across(some: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b, n) whose texts are of two classes, with the classes as x and y."""
-        d = some.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        return d.select("a", "b", "n", F.coalesce("a_class", "a").alias("x"), F.coalesce("b_class", "b").alias("y")).filter("x <> y")
+        order = np.argsort(-n, kind="stable")
+        return i[order], j[order], of
+
+    def in_pairs(t: pa.Table) -> pa.Table:
+        i, j, _ = alike(t)
+        return t.drop_columns("sig").take(pa.array(np.union1d(i, j)))
+
+    def joined(t: pa.Table) -> pa.Table:
+        """The pairs of classes that verified pairs of their texts join. Pairs of texts whose classes are joined by then need no
+        verification, so the links are fewer than the classes."""
+        i, j, of = alike(t)
+        weights, known, up = _weights(*shared.value), {}, list(range(int(of.max()) + 1))
+        text, name = t.column("text"), t.column("class")
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        def of_text(k: int):
+            if k not in known:
+                if len(known) >= 500:
+                    known.clear()
+                known[k] = weights.of(text[k].as_py())
+            return known[k]
+
+        links = []
+        for a, b in zip(i.tolist(), j.tolist()):
+            x, y = root(int(of[a])), root(int(of[b]))
+            if x != y and weighted_jaccard(of_text(a), of_text(b)) >= threshold:
+                up[y] = x
+                links.append((a, b))
+        return pa.table({c: name.take(pa.array([x[k] for x in links], pa.int64())) for k, c in enumerate("ab")})
 
     if not several.isEmpty():
-        found = dealt.groupBy("bucket", "p", "q").applyInArrow(compare, "x binary, y binary, n int")
-        left = cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "left")
-        # first the pair of each text that agrees most, since links spare other pairs of the classes they join
-        best = left.select("a", "b", "n", F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.max(F.struct("n", "a", "b")).alias("m"))
-        best = cut(best.select("m.a", "m.b").distinct(), "best")
-        for some in (lambda: left.join(best, ["a", "b"]), lambda: left.join(best, ["a", "b"], "left_anti")):
-            rest = cut(across(some()), "rest")
-            if not rest.isEmpty():
-                classes = merge(classes, rest)
+        group = ["bucket", "p", "q"]
+        some = cut(dealt.groupBy(*group).applyInArrow(in_pairs, "bucket long, p int, q int, block int, key binary, class binary"), "some")
+        if not some.isEmpty():
+            sigs = some.join(one.select("key", "sig"), "key").join(texts_of(some.select("key").distinct()), "key")
+            classes = merge(classes, cut(sigs.groupBy(*group).applyInArrow(joined, "a binary, b binary"), "joined").distinct())
     linked = one.select("key", "rep").join(classes.select(F.col("node").alias("key"), F.col("class_id").alias("class")), "key", "left")
     linked = cut(linked.withColumn("class", F.coalesce("class", "key")), "linked")
     first = linked.groupBy("class").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("first"))

@@ -570,6 +570,23 @@ def test_near_duplicates_that_no_representative_is_like(spark, monkeypatch):
         assert all(got[a] == got[b] for a, b in links) and all(got[x] // 2 == x // 2 for x in got)
 
 
+def test_texts_of_a_bucket_do_not_become_rows_of_pairs(spark, monkeypatch):
+    """Texts that agree in samples but are not near-duplicates: no table has more rows than a few for each text."""
+    shared, counts = prose(7, 600), {}
+    d = table(spark, [(g, shared + " " + prose(900 + g, 40), "en") for g in range(120)])
+    write = minhash.cut
+
+    def counted(df, what):
+        out = write(df, what)
+        counts[what] = max(counts.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "cut", counted)
+    got = minhash.near_duplicates(d, bands=1, rows=1, reps=1).collect()
+    assert all(x.doc_id == x.class_id for x in got) and len(got) == 120
+    assert max(counts.values()) <= 3 * 120, counts
+
+
 def test_passages_of_repeated_rows_and_of_several_texts_of_an_id(spark):
     one, two = prose(1, 90), prose(2, 80)
     rows = [(0, one, "en"), (2, two + " " + prose(5, 40), "en"), (3, one, "en"), (3, prose(6, 40) + " " + two, "en")]
