@@ -641,6 +641,28 @@ def test_passages_that_no_representative_holds(spark, monkeypatch, block):
         assert reached == set(members), j
 
 
+def test_a_line_that_texts_repeat_meets_once_a_text(spark, monkeypatch):
+    """Ten kinds of texts repeat 25 times a common line and one of their own; each text has 25 windows in the groups of the common line."""
+    sizes, cut = [], substring_dedup.cut
+
+    def counted(df, what):
+        out = cut(df, what)
+        if what == "met":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "cut", counted)
+    rows = [(k, " ".join([prose(6000 + k, 60), *([prose(1, 20), prose(2 + k % 10, 20)] * 25), prose(6100 + k, 60)]), "en") for k in range(30)]
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    links = {(x.doc_id, x.other_doc_id) for x in got}
+    assert all(a % 10 == b % 10 for a, b in links)
+    assert all(len({a for a, b in links if a % 10 == j} | {b for a, b in links if a % 10 == j}) == 3 for j in range(10))
+    for k in range(30):
+        words = {w for x in got if x.doc_id == k for w in range(x.start_word, x.start_word + x.n_words)}
+        assert words >= set(range(62, 1058)), (k, len(words))
+    assert sum(sizes) < 600, sizes
+
+
 def test_longer_contexts_are_used(spark):
     """Only three words together say what comes next."""
     r = random.Random(4)
