@@ -226,33 +226,46 @@ def cluster_errors(errors: DataFrame, k: int = 4, rounds: int = 100, least_moves
     """image_id, x, y, cluster, is_sky: k-means on absolute colour errors for each image; sky is the cluster whose centre has
     the largest blue.
 
-    The first centre is the pixel farthest from the mean, the next ones those farthest from the centres so far. Each round
-    joins an image's centres to its pixels, picks the nearest by column expressions and sums by (image, cluster), with
-    partial aggregation; only centres (k rows of an image) are written between rounds. It ends when no image's centres
-    move pixels by more than least_moves of their number, or after `rounds`.
+    The first centre is the pixel farthest from the mean, the next ones those farthest from the centres so far. Pixels are
+    kept as columns of an image, which meet its centres in each round; a round picks the nearest by column expressions and
+    sums by image, with partial aggregation; only centres (a row an image) are written between rounds. It ends when no image's
+    centres move pixels by more than least_moves of their number, or after `rounds`. Images whose centres no longer change
+    stay as they are in all later rounds: once they are three quarters of those left, they leave with their pixels.
     """
-    point = F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"])
-    px = saved(errors.select("image_id", "x", "y", point.alias("p")), "errors")
     apart = lambda a, b: sum((a[c] - b[c]) * (a[c] - b[c]) for c in "rgb")
-    near = lambda d: d.withColumn("dist", F.transform("centres", lambda c: apart(c, F.col("p")))).withColumn("cluster", (F.array_position("dist", F.array_min("dist")) - 1).cast("int"))
-    centres = px.groupBy("image_id").agg(F.array(F.struct(*[F.avg(f"p.{c}").alias(c) for c in "rgb"])).alias("centres"))
+    apart_of = lambda n: F.array(*[apart(F.col("centres")[i], F.col("p")) for i in range(n)])
+    pixels = lambda d, centres: with_image(d, centres.select("image_id", "centres")).select("image_id", "x", "centres", F.explode("column").alias("p"))
+    nearest = lambda d: d.withColumn("dist", apart_of(k)).withColumn("cluster", (F.array_position("dist", F.array_min("dist")) - 1).cast("int"))
+    mean = lambda p=lambda x: x: F.struct(*[F.avg(p(F.col(f"p.{c}"))).alias(c) for c in "rgb"])
+    cols = errors.groupBy("image_id", "x").agg(F.collect_list(F.struct("y", *[F.col(c).cast("double").alias(c) for c in "rgb"])).alias("column"))
+    cols = every = saved(cols, "errors")
+    centres = cols.select("image_id", F.explode("column").alias("p")).groupBy("image_id").agg(F.array(mean()).alias("centres"))
     for n in range(k):
-        far = with_image(px, centres).withColumn("d", F.array_min(F.transform("centres", lambda c: apart(c, F.col("p")))))
-        new = far.groupBy("image_id").agg(F.max_by("p", F.struct("d", -F.col("y"), -F.col("x"))).alias("new"))
+        far = pixels(cols, centres).withColumn("d", F.array_min(apart_of(max(n, 1))))
+        new = far.groupBy("image_id").agg(F.max_by(F.struct(*[f"p.{c}" for c in "rgb"]), F.struct("d", -F.col("p.y"), -F.col("x"))).alias("new"))
         both = centres.join(new, "image_id")
         centres = saved(both.select("image_id", (F.array("new") if n == 0 else F.concat("centres", F.array("new"))).alias("centres")), "centres")
-    counts = None
+    centres, settled = centres.withColumn("sizes", F.lit(None).cast("array<long>")), []
     for _ in range(rounds):
-        each = near(with_image(px, centres)).groupBy("image_id", "cluster").agg(F.count("*").alias("n"), F.struct(*[F.avg(f"p.{c}").alias(c) for c in "rgb"]).alias("c"))
-        found = each.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("cluster", F.struct("n", "c").alias("v")))).alias("found"))
-        moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("found", i)["c"], c))
-        sizes = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("found", i)["n"], F.lit(0)))
-        step = saved(centres.join(found, "image_id").select("image_id", moved.alias("centres"), sizes.alias("sizes")), "centres")
-        centres = step.select("image_id", "centres")
-        if counts is not None:
-            change = step.join(counts, "image_id").select(F.aggregate(F.zip_with("sizes", "before", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, v: s + v).alias("m"), F.aggregate("sizes", F.lit(0).cast("long"), lambda s, v: s + v).alias("n"))
-            if change.filter(F.col("m") > least_moves * F.col("n")).isEmpty():
-                break
-        counts = step.select("image_id", F.col("sizes").alias("before"))
+        of = lambda n: lambda x: F.when(F.col("cluster") == n, x)
+        found = nearest(pixels(cols, centres)).groupBy("image_id").agg(*[F.count(of(n)(F.lit(1))).alias(f"n{n}") for n in range(k)], *[mean(of(n)).alias(f"c{n}") for n in range(k)])
+        moved = F.array(*[F.when(F.col(f"n{n}") > 0, F.col(f"c{n}")).otherwise(F.col("old")[n]) for n in range(k)])
+        step = centres.select("image_id", F.col("centres").alias("old"), F.col("sizes").alias("before")).join(found, "image_id")
+        step = step.select("image_id", moved.alias("centres"), F.array(*[f"n{n}" for n in range(k)]).alias("sizes"), "old", "before")
+        change, size = sum(F.abs(F.col("sizes")[n] - F.col("before")[n]) for n in range(k)), sum(F.col("sizes")[n] for n in range(k))
+        step = step.withColumns({"far": change > least_moves * size, "still": F.coalesce((F.col("centres") == F.col("old")) & (change == 0), F.lit(False))})
+        step = saved(step.drop("old", "before"), "centres")
+        images, still, far, counted = step.agg(F.count("*"), F.count_if("still"), F.count_if("far"), F.count_if(F.col("far").isNotNull())).first()
+        centres = step.select("image_id", "centres", "sizes")
+        if counted and not far or still == images:
+            break
+        if 4 * still >= 3 * images:
+            settled.append(centres.join(step.filter("still").select("image_id"), "image_id"))
+            centres = centres.join(step.filter("NOT still").select("image_id"), "image_id")
+            cols = saved(with_image(cols, centres.select("image_id")), "unsettled")
+    for d in settled:
+        centres = centres.unionByName(d)
     sky = F.array_position(F.transform("centres", lambda c: c["b"]), F.array_max(F.transform("centres", lambda c: c["b"]))) - 1
-    return near(with_image(px, centres)).select("image_id", "x", "y", "cluster", (F.col("cluster") == sky).alias("is_sky"))
+    centres = saved(centres.select("image_id", "centres", sky.alias("sky")), "centres")
+    sky_of = with_image(every, centres).select("image_id", "x", "centres", "sky", F.explode("column").alias("p"))
+    return nearest(sky_of).select("image_id", "x", "p.y", "cluster", (F.col("cluster") == F.col("sky")).alias("is_sky"))

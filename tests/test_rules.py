@@ -99,6 +99,41 @@ def test_clusters(spark):
         assert len(pairs) == 4 and all(is_sky == (true == 0) for _, true, is_sky in pairs)
 
 
+def test_clusters_that_have_settled_leave(spark, monkeypatch):
+    """Clusters are those of plain rounds over all images; those of four colours settle at once, one of noise goes on alone."""
+    r = np.random.default_rng(8)
+    four = np.array([[100, 100, 60000], [100, 50000, 100], [50000, 100, 100], [30000, 30000, 30000]])
+    images = [four[r.integers(0, 4, (12, 12))] for _ in range(7)] + [r.integers(0, 60000, (12, 12, 3))]
+    both = pixels(spark, images[0])
+    for k in range(1, 8):
+        both = both.union(pixels(spark, images[k], image=k))
+    left, saved = [], fits.saved
+
+    def noted(d, what):
+        out = saved(d, what)
+        if "x" in out.columns:
+            left.append(out.select("image_id").distinct().count())
+        return out
+
+    monkeypatch.setattr(fits, "saved", noted)
+    got = {(p.image_id, p.y, p.x): p.cluster for p in fits.cluster_errors(both, least_moves=0.0).collect()}
+    assert left[0] == 8 and left[-1] == 1
+    for k, v in enumerate(images):
+        p = v.reshape(-1, 3).astype(float)
+        apart = lambda c: ((p[:, None] - np.array(c)[None]) ** 2).sum(2)  # noqa: B023, E731
+        c = [p[apart([p.mean(0)])[:, 0].argmax()]]
+        while len(c) < 4:
+            c.append(p[apart(c).min(1).argmax()])
+        for _ in range(100):
+            of = apart(c).argmin(1)
+            new = [p[of == n].mean(0) for n in range(4)]
+            if np.array_equal(new, c):
+                break
+            c = new
+        want = of.reshape(12, 12)
+        assert all(got[k, y, x] == want[y, x] for y in range(12) for x in range(12)), k
+
+
 def test_chain_of_detectors(spark):
     ends = np.full(22, 34)
     ends[9] = 20
