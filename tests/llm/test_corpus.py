@@ -495,6 +495,23 @@ def test_leaks_equal_a_search_of_every_window(spark, docs):
     assert len(gated & set(want)) >= 0.9 * len(set(want))
 
 
+def test_leaks_from_every_word_on(spark):
+    """Twelve of an item's twenty words over the 60 words that one passage is checked with, 50 such texts one word further each."""
+    item = [f"item{c}" for c in "abcdefghijklmnopqrst"]
+    at = {k: 20 + k for k in range(50)}
+    spread = [0, 6, 11, 16, 22, 27, 33, 38, 44, 49, 55, 59]
+
+    def text(k):
+        words = prose(800 + k, 180).split()
+        for i, x in enumerate(spread):
+            words[at[k] + x] = item[i]
+        return " ".join(words)
+
+    docs = table(spark, [(k, text(k), "en") for k in at])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.find_leaks(docs, bench, cosine=-2.0, answers=0.2).collect()} == set(at)
+
+
 def test_fences_follow_language_and_source(spark):
     """The same text is kept where such texts are usual and rejected where they are not; nothing but the fences decides."""
     r = random.Random(2)
