@@ -512,6 +512,16 @@ def test_leaks_from_every_word_on(spark):
     assert {x.doc_id for x in decontaminate.find_leaks(docs, bench, cosine=-2.0, answers=0.2).collect()} == set(at)
 
 
+def test_decontamination_by_row(spark, tmp_path):
+    """A leak whose id is null goes; another text with the id of a leak stays."""
+    item = prose(55, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, prose(1, 60) + " " + item, "en"), (None, prose(2, 80), "en"), (3, item + " " + prose(3, 60), "en"), (3, prose(4, 80), "en"), (5, None, "en")]
+    docs = table(spark, rows)
+    got = sorted((x.doc_id or 0, x.text or "") for x in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect())
+    assert got == sorted((k or 0, t or "") for k, t, _ in (rows[1], *rows[3:]))
+
+
 def test_fences_follow_language_and_source(spark):
     """The same text is kept where such texts are usual and rejected where they are not; nothing but the fences decides."""
     r = random.Random(2)
