@@ -15,6 +15,10 @@ from ..functions.keys import dealt, of_image, with_image
 from ..sources.store import saved
 
 
+#: Images of which one strip each is searched at once.
+STRIPS = 32
+
+
 def ols_report(df: DataFrame, keys: list[str], xs: list[str], y: str, w: Column | None = None) -> DataFrame:
     """keys, n, coef, stderr (arrays: intercept first), r2, sigma2 of weighted regressions on any number of variables.
 
@@ -159,67 +163,83 @@ def end_of_sky_regression(px: DataFrame, col: DataFrame, height: int, ratio: flo
     exceeds `ratio` are bad fits from then on (weight .01); that is done twice at most. A column ends below the window
     where its next two rows both fail the same test; the strip is done when every column has an end. Pixels below a
     column's end or in a mask (`masked`: a boolean column of px) weigh .05, and those in a mask never fail. Missing pixels
-    weigh nothing. A strip is a group of its own; columns left over at the right edge belong to the last strip, whose
-    second window overlaps the first and shares its bad fits.
+    weigh nothing. Strips of STRIPS images of neighbouring ids are one group, whose windows slide together; columns left
+    over at the right edge belong to the last strip, whose second window overlaps the first and shares its bad fits.
     """
     half = strip // 2
     last = F.greatest(F.floor((of_image(F.max("x")) + 1) / strip) - 1, F.lit(0)).alias("last")
     d = px.select("image_id", "x", "y", "r", "g", "b", (F.col(masked) if masked else F.lit(False)).alias("m")).join(dealt(col.select("image_id", "x", "sos", last)), ["image_id", "x"])
     d = d.withColumn("strip", F.least(F.floor(F.col("x") / strip), F.col("last")).cast("int")).drop("last")
 
-    def window(v, m, sos, eos, bad, lo):
-        cols = np.arange(lo, min(lo + strip, v.shape[1]))
-        own = v[:, cols]
-        there = np.isfinite(own[:, :, 0]) & (np.arange(height)[:, None] >= sos[cols])
-        middle = cols[min(half, len(cols) - 1)]
-        yc, fl = int(sos[middle]) + half, np.array(floor)
-
-        def product(rows, b, mse):
-            rows = np.asarray(rows)
-            design = np.stack(np.broadcast_arrays(1.0, (cols - middle)[None, :] / strip, ((rows - yc) / strip)[:, None], (((rows - yc) / strip) ** 2)[:, None]), axis=-1)
-            err = design @ b - own[rows]
-            return design, err, np.prod(1 + err**2 / (mse + fl), axis=-1)
-
-        while yc < height - 1 - half:
-            rows = np.arange(max(0, yc - half), yc + half + 1)
-            ok = there[rows]
-            w = np.where((rows[:, None] > eos[cols]) | m[rows][:, cols], 0.05, 1.0)
-            w = np.where(bad[rows][:, cols], 0.01, w) * ok
-            b, mse = np.zeros((4, 3)), np.ones(3)
+    k, fl = 2 * half + 1, np.array(floor)
+
+    def window(v, m, sos, eos, bad, n, lo):
+        """Slides the windows of columns lo .. lo + strip - 1 of all strips down together; each rests when it is done."""
+        cols = lo[:, None] + np.arange(strip)
+        middle = lo + np.minimum(half, np.minimum(strip, n - lo) - 1)
+        dx, dy = (cols - middle[:, None]) / strip, np.arange(-half, half + 3) / strip
+        design = np.stack(np.broadcast_arrays(1.0, dx[:, None, :], dy[:, None], dy[:, None] ** 2), axis=-1)
+        yc = sos[np.arange(len(lo)), middle] + half
+        at = np.flatnonzero(yc < height - 1 - half)
+        while len(at):
+            rows, c = yc[at, None] + np.arange(-half, half + 3), cols[at]  # the window's rows and the two that follow
+            here = (at[:, None, None], rows[:, :, None], c[:, None, :])
+            own, masked_, gone, end = v[here], m[here], bad[here], eos[at[:, None], c]
+            there = np.isfinite(own[..., 0]) & (rows[:, :, None] >= sos[at[:, None], c][:, None, :])
+            ok, d = there[:, :k], design[at]
+            w = np.where((rows[:, :k, None] > end[:, None, :]) | masked_[:, :k], 0.05, 1.0)
+            w = np.where(gone[:, :k], 0.01, w) * ok
+            values = np.where(ok[..., None], own[:, :k], 0.0).reshape(len(at), -1, 3)
+            b, mse, live = np.zeros((len(at), 4, 3)), np.ones((len(at), 3)), np.arange(len(at))
             for _ in range(2):
-                design, _, _ = product(rows, b, mse)
-                root = np.sqrt(w)[..., None]
-                values = np.where(ok[..., None], own[rows], 0.0)
-                b = np.linalg.lstsq((design * root).reshape(-1, 4), (values * root).reshape(-1, 3), rcond=None)[0]
-                _, err, _ = product(rows, b, mse)
-                mse = np.nansum(np.where(ok[..., None], w[..., None] * err**2, 0.0), axis=(0, 1)) / max(1, ok.sum())
-                out = ok & ~bad[rows][:, cols] & ~m[rows][:, cols] & (product(rows, b, mse)[2] > ratio)
-                if not out.any():
+                x, u = d[live, :k].reshape(len(live), -1, 4), w[live].reshape(len(live), -1, 1)
+                xw = (x * u).transpose(0, 2, 1)
+                b[live] = np.linalg.pinv(xw @ x, rcond=1e-13, hermitian=True) @ (xw @ values[live])
+                err2 = (x @ b[live] - values[live]) ** 2
+                mse[live] = (u * err2).sum(axis=1) / np.maximum(1, ok[live].sum(axis=(1, 2)))[:, None]
+                off = np.prod(1 + err2 / (mse[live, None] + fl), axis=-1).reshape(len(live), k, strip) > ratio
+                out = ok[live] & ~gone[live, :k] & ~masked_[live, :k] & off
+                gone[live, :k] |= out
+                w[live] = np.where(out, 0.01, w[live])
+                live = live[out.any(axis=(1, 2))]
+                if not len(live):
                     break
-                bad[np.ix_(rows, cols)] |= out
-                w = np.where(out, 0.01, w)
-            ahead = np.arange(rows[-1] + 1, min(rows[-1] + 3, height))
-            fails = there[ahead] & (ahead[:, None] <= eos[cols]) & ~m[ahead][:, cols] & (product(ahead, b, mse)[2] > ratio)
-            bad[np.ix_(ahead, cols)] |= fails
-            ended = fails.sum(axis=0) == 2
-            eos[cols] = np.where(ended, np.minimum(eos[cols], rows[-1] + 1), eos[cols])
-            if not (~ended & (eos[cols] == height - 1)).any():
-                eos[cols] = np.minimum(eos[cols], rows[-1] + 1)
-                return
-            yc += 1
-
-    def run(key, pdf):
-        x0, n = int(pdf.x.min()), int(pdf.x.max() - pdf.x.min()) + 1
-        at = (pdf.y.to_numpy(), pdf.x.to_numpy() - x0)
-        v, m, sos = np.full((height, n, 3), np.nan), np.zeros((height, n), bool), np.zeros(n, int)
-        v[at], m[at], sos[at[1]] = pdf[["r", "g", "b"]].to_numpy(float) / 65535, pdf.m.to_numpy(bool), pdf.sos.to_numpy()
-        eos, bad = np.full(n, height - 1), np.zeros((height, n), bool)
-        for lo in [0] + ([n - strip] if n > strip else []):
-            window(v, m, sos, eos, bad, lo)
-        xs = np.unique(pdf.x)
-        return pd.DataFrame({"image_id": key[0], "x": xs, "eos": eos[xs - x0]})
-
-    return d.groupBy("image_id", "strip").applyInPandas(run, "image_id int, x int, eos int")
+            err = d[:, k:].reshape(len(at), -1, 4) @ b - own[:, k:].reshape(len(at), -1, 3)
+            off = np.prod(1 + err**2 / (mse[:, None] + fl), axis=-1).reshape(len(at), 2, strip) > ratio
+            fails = there[:, k:] & (rows[:, k:, None] <= end[:, None, :]) & ~masked_[:, k:] & off
+            gone[:, k:] |= fails
+            bad[here] = gone
+            ended, below = fails.sum(axis=1) == 2, rows[:, k, None]
+            end = np.where(ended, np.minimum(end, below), end)
+            done = ~(~ended & (end == height - 1)).any(axis=1)
+            eos[at[:, None], c] = np.where(done[:, None], np.minimum(end, below), end)
+            yc[at] += 1
+            at = at[~done & (yc[at] < height - 1 - half)]
+
+    def run(pdf):
+        ids, of = np.unique(pdf.image_id.to_numpy(), return_inverse=True)
+        x, y = pdf.x.to_numpy(np.int64), pdf.y.to_numpy(np.int64)
+        x0, x1 = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
+        np.minimum.at(x0, of, x)
+        np.maximum.at(x1, of, x)
+        n, x = x1 - x0 + 1, x - x0[of]
+        wide = max(strip, int(n.max()))
+        # two rows more, and as many columns as the widest strip: what is beyond an image's pixels is missing
+        v, m, bad = np.full((len(ids), height + 2, wide, 3), np.nan), *(np.zeros((len(ids), height + 2, wide), bool) for _ in range(2))
+        sos, seen = np.zeros((len(ids), wide), np.int64), np.zeros((len(ids), wide), bool)
+        v[of, y, x], m[of, y, x] = pdf[["r", "g", "b"]].to_numpy(float) / 65535, pdf.m.to_numpy(bool)
+        sos[of, x], seen[of, x] = pdf.sos.to_numpy(), True
+        eos = np.where(np.arange(wide) < n[:, None], height - 1, 0)
+        window(v, m, sos, eos, bad, n, np.zeros(len(ids), np.int64))
+        if len(more := np.flatnonzero(n > strip)):
+            some = [a[more] for a in (v, m, sos, eos, bad)]
+            window(*some, n[more], n[more] - strip)
+            eos[more] = some[3]
+        image, col_ = np.nonzero(seen)
+        return pd.DataFrame({"image_id": ids[image], "x": col_ + x0[image], "eos": eos[image, col_]})
+
+    d = dealt_out(d.withColumn("block", F.floor(F.col("image_id") / STRIPS)), "block", "strip")
+    return d.groupBy("block", "strip").applyInPandas(run, "image_id int, x int, eos int")
 
 
 def cluster_errors(errors: DataFrame, k: int = 4, rounds: int = 100, least_moves: float = 0.001) -> DataFrame:

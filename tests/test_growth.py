@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.functions.keys import BLOCKS, with_image
-from rastermill.operators import local_fit, masks
+from rastermill.operators import fits, local_fit, masks
 from rastermill.sources import rasters
 from rastermill.sources.store import PixelVersions, Stages, saved
 
@@ -65,3 +65,17 @@ def test_scanlines_are_packed_many_at_a_time(spark):
     d = rasters.pack_scanlines(px)
     assert "FlatMapGroups" not in d._jdf.queryExecution().executedPlan().toString()
     assert sorted(rasters.unpack_scanlines(d).collect()) == sorted(px.collect())
+
+
+def test_strips_of_many_images_are_searched_at_once(spark):
+    """Not a group of Python's own for every strip of every image; each image gets the ends that it gets alone."""
+    px = spark.range(0, 40 * 21 * 30, 1, 4).selectExpr("CAST(id / 630 AS INT) AS i", "CAST(id % 21 AS INT) AS x", "CAST(id / 21 AS INT) % 30 AS y")
+    px = px.filter("x < 21 - i % 5").withColumn("noise", F.pmod(F.xxhash64("i", "x", "y"), F.lit(900)).cast("int"))
+    v = F.when(F.col("y") < 12 + (F.col("i") + F.col("x")) % 9, 40_000 + F.col("y") * 100 + F.col("noise")).otherwise(9000 + F.col("noise"))
+    px = saved(px.select("i", "x", "y", v.alias("r"), (v + 500).alias("g"), (v + 900).alias("b"), F.lit(65535).alias("a"), (F.col("noise") == 5).alias("m")), "px")
+    col = px.select("i", "x", (F.col("i") % 3).alias("sos")).distinct()
+    ends = lambda f: fits.end_of_sky_regression(px.withColumn("image_id", f), col.withColumn("image_id", f), 30, masked="m")
+    one, together = ends(F.col("i") * 1000), ends(F.col("i"))
+    assert "FlatMapGroupsInPandas [block" in together._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.image_id, r.x, r.eos) for r in together.collect())
+    assert got == sorted((r.image_id // 1000, r.x, r.eos) for r in one.collect()) and len(got) == col.count() and len({e for _, _, e in got}) > 5
