@@ -1,7 +1,7 @@
 """Models of sky colour fitted to samples (image_id, x, y, px, py, h, s, v, is_outlier), and the fill of whole images.
 
 Sums over samples are Spark aggregates. Bounded fits run on the samples of one image (about 1000, see sample_grid_spec())
-for one slope of the horizon or one side, so no group grows with the number of images or pixels.
+or of a fixed number of images, so no group grows with the number of images or pixels.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from . import columns, fits
 
 #: Sections across the image, and the weight of an outlier's error.
 SECTIONS, OUTLIER = 4, 0.001
-#: Images whose luminance is fitted at once: a group has as many times the samples of one.
+#: Images whose luminance or sides are fitted at once: a group has as many times the samples of one.
 IMAGES = 32
 
 
@@ -119,7 +119,8 @@ def side_curves(smp: DataFrame) -> DataFrame:
     distance to the other side, outliers nearly nothing. smp has slope, the horizon's.
 
     Saturation starts from the best of ten regressions of 1/s on 1/(py - start); its start, damping and rate are fitted
-    first, then all five with damping and rate kept within a fifth. Hue has no slope along px.
+    first, then all five with damping and rate kept within a fifth. Hue has no slope along px. IMAGES images of neighbouring
+    ids are fitted at once.
     """
     d = smp.select("image_id", "px", "py", "h", "s", "slope", "is_outlier", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
 
@@ -137,23 +138,36 @@ def side_curves(smp: DataFrame) -> DataFrame:
             best = min(best, (sse, float(horizon), b, a))
         return best[1:]
 
-    def run(key, pdf):
-        px, level, h, s = (pdf[c].to_numpy(float) for c in ("px", "py", "h", "s"))
-        level, inlier = level + pdf.slope.to_numpy() * px, pdf.is_outlier.to_numpy() == 0
-        side = (0.5 - px if key[1] == 0 else px + 0.5) / 2
-        w = side * np.where(inlier, 1.0, OUTLIER)
-        lo, hi = np.array([0, 0.001, 0.001, -0.3, -0.3]), np.array([1.0, 10, 10, 0.3, 1])
-        three, _ = fits.levenberg_marquardt(lambda q: (_saturation([*q, 0, 0], px, level) - s) * w, np.array(start(level[inlier], s[inlier], side[inlier])), lo[:3], hi[:3])
-        lo[1:3], hi[1:3] = three[1:] * 0.8, three[1:] * 1.2
-        sat = np.array([*three, 0.05, 0.1])
+    def run(pdf):
+        some = [g for _, g in pdf.groupby(["image_id", "side"])]
+        most = max(map(len, some))
+        # a row a side, as long as the longest: what is beyond a side's samples repeats its first one and counts for nothing
+        rows = lambda c: np.stack([np.concatenate([x := g[c].to_numpy(float), np.full(most - len(x), x[0])]) for g in some])
+        px, level, h, s, slope, outlier = map(rows, ("px", "py", "h", "s", "slope", "is_outlier"))
+        there = np.arange(most) < np.array([[len(g)] for g in some])
+        level, inlier = level + slope * px, (outlier == 0) & there
+        right = np.array([[g.side.iloc[0] == 1] for g in some])
+        side = np.where(right, px + 0.5, 0.5 - px) / 2
+        w = np.where(there, side * np.where(inlier, 1.0, OUTLIER), 0.0)
+        saturation = lambda q, at: (_saturation(q.T[:, :, None], px[at], level[at]) - s[at]) * w[at]
+        first = lambda q, at: saturation(np.hstack([q, np.zeros((len(q), 2))]), at)
+        lo, hi = (np.tile(np.array(x, float), (len(some), 1)) for x in ([0, 0.001, 0.001, -0.3, -0.3], [1.0, 10, 10, 0.3, 1]))
+        begin = np.array([start(level[k][m], s[k][m], side[k][m]) for k, m in enumerate(inlier)])
+        three, _ = fits.levenberg_marquardt_many(first, begin, lo[:, :3], hi[:, :3])
+        lo[:, 1:3], hi[:, 1:3] = three[:, 1:] * 0.8, three[:, 1:] * 1.2
+        sat = np.hstack([three, np.tile([0.05, 0.1], (len(some), 1))])
         for _ in range(2):
-            sat, _ = fits.levenberg_marquardt(lambda q: (_saturation(q, px, level) - s) * w, sat, lo, hi)
-        least, spread, low = h[inlier].min(), min(np.ptp(h[inlier]), 30.0), level[inlier].min()
-        lo, hi = np.array([least / 2, spread - 20, 5, min(low - 0.1, 1.0)]), np.array([least + 20, spread + 20, 80, 1.0])
-        hue, _ = fits.levenberg_marquardt(lambda q: (_hue(q, px, level) - h) * w, np.array([least, spread, 40, low]), lo, hi)
-        return pd.DataFrame([[*key, sat.tolist(), [*hue.tolist(), 0.0]]], columns=["image_id", "side", "s_coefs", "h_coefs"])
+            sat, _ = fits.levenberg_marquardt_many(saturation, sat, lo, hi)
+        least, low = (np.where(inlier, x, np.inf).min(axis=1) for x in (h, level))
+        spread = np.minimum(np.where(inlier, h, -np.inf).max(axis=1) - least, 30.0)
+        five, one = np.full(len(some), 5.0), np.ones(len(some))
+        lo, hi = np.stack([least / 2, spread - 20, five, np.minimum(low - 0.1, 1.0)], axis=1), np.stack([least + 20, spread + 20, 16 * five, one], axis=1)
+        hue, _ = fits.levenberg_marquardt_many(lambda q, at: (_hue(q.T[:, :, None], px[at], level[at]) - h[at]) * w[at], np.stack([least, spread, 8 * five, low], axis=1), lo, hi)
+        ids = pd.DataFrame([(g.image_id.iloc[0], g.side.iloc[0]) for g in some], columns=["image_id", "side"])
+        return ids.assign(s_coefs=list(sat), h_coefs=list(np.hstack([hue, np.zeros((len(some), 1))])))
 
-    return fits.dealt_out(d, "image_id", "side").groupBy("image_id", "side").applyInPandas(run, "image_id int, side int, s_coefs array<double>, h_coefs array<double>")
+    d = fits.dealt_out(d.withColumn("block", F.floor(F.col("image_id") / IMAGES)), "block")
+    return d.groupBy("block").applyInPandas(run, "image_id int, side int, s_coefs array<double>, h_coefs array<double>")
 
 
 def fit_sky_model(smp: DataFrame, images: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.functions.keys import BLOCKS, with_image
-from rastermill.operators import fits, local_fit, masks
+from rastermill.operators import fits, local_fit, masks, sky_model
 from rastermill.sources import rasters
 from rastermill.sources.store import PixelVersions, Stages, saved
 
@@ -79,3 +79,12 @@ def test_strips_of_many_images_are_searched_at_once(spark):
     assert "FlatMapGroupsInPandas [block" in together._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.image_id, r.x, r.eos) for r in together.collect())
     assert got == sorted((r.image_id // 1000, r.x, r.eos) for r in one.collect()) and len(got) == col.count() and len({e for _, _, e in got}) > 5
+
+
+def test_sides_of_many_images_are_fitted_at_once(spark):
+    rows = [(i, x / 20 - 0.5, 0.3 + y / 20, 200.0 + y + i, 0.2 + 0.02 * y + 0.01 * x / 20 + 0.003 * i, 0.01 * (i % 3), int(i == 2 and x == y)) for i in range(6) for x in range(12 + i) for y in range(10)]
+    smp = spark.createDataFrame(rows, "image_id int, px double, py double, h double, s double, slope double, is_outlier int")
+    together, one = sky_model.side_curves(smp), sky_model.side_curves(smp.withColumn("image_id", F.col("image_id") * 1000))
+    assert "FlatMapGroupsInPandas [block" in together._jdf.queryExecution().executedPlan().toString()
+    got, want = ({(r.image_id, r.side): [*r.s_coefs, *r.h_coefs] for r in d.collect()} for d in (together, one))
+    assert len(got) == 12 and all(want[i * 1000, k] == pytest.approx(v, rel=1e-3, abs=1e-4) for (i, k), v in got.items())
