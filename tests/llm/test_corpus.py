@@ -690,6 +690,32 @@ def test_a_line_that_texts_repeat_meets_once_a_text(spark, monkeypatch):
     assert sum(sizes) < 600, sizes
 
 
+def test_surroundings_of_many_windows_at_once():
+    """A row for each window of a text, from one call, and the pairs of a group against plain loops over all of its rows."""
+    g = np.random.default_rng(7)
+    t, least = 46, 37
+    lines = [g.integers(1, 1 << 63, 30).astype(np.uint64) for _ in range(6)]
+    h = np.concatenate([lines[k] for k in g.integers(0, 6, 40)])
+    c = g.integers(0, len(h), 60)
+    l, r = np.maximum(0, c - g.integers(0, 120, 60)), np.minimum(len(h) - 1, c + g.integers(0, 120, 60))
+    rows = substring_dedup.parts_around(h, c, l, r, t)
+    reach = rows.shape[1] // 2
+    want = [[int(h[x] >> np.uint64(48)) | 1 if max(0, l[k]) <= x <= r[k] else 0 for x in range(c[k] - reach, c[k] + reach + 1)] for k in range(60)]
+    assert rows.tolist() == want
+    pairs, _ = substring_dedup.Meeting(t, 0.8).among(rows, np.arange(60), np.full(60, -1))
+
+    def shared(i, j):
+        m = [x != 0 and x in set(want[i]) for x in want[j]]
+        at = [k for k, x in enumerate(m) if x]
+        n = max(sum(m[k : k + t]) for k in range(len(m) - t + 1))
+        far = [x for side in (-1, 1) for x in (m[reach + side * k] for k in range(t // 2 - 7, t // 2 + 8))]
+        return n if at and at[-1] - at[0] + 1 >= t and n >= least and sum(far) >= 15 - (t - least) else 0
+
+    assert pairs and all(shared(i, j) for i, j in pairs)
+    alone = {i for i in range(60) if not any(i in p for p in pairs)}
+    assert not any(shared(i, j) for i in alone for j in range(60) if i < j)
+
+
 def test_longer_contexts_are_used(spark):
     """Only three words together say what comes next."""
     r = random.Random(4)
